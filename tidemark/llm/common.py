@@ -87,3 +87,26 @@ def doc_hash(column: str = "doc_id"):
 def small(df: DataFrame, bytes_a_row: int, limit: int) -> bool:
     """Whether df surely stays under a limit of bytes; counts it."""
     return df.count() * bytes_a_row <= limit
+
+
+def sampled(key: str, share, salt: int):
+    """Condition that keeps about a share (a column or number) of rows, by the key alone."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)) < share * (1 << 30)
+
+
+_made: dict[str, object] = {}
+
+
+def share(spark: SparkSession, value):
+    """Broadcast a value of bounded size, with a name by which workers keep what they make of it."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, value))
+
+
+def made(shared, make: Callable):
+    """make(value) of a value that share() sent, once a Python worker; only the latest few are kept."""
+    name, value = shared.value
+    if name not in _made:
+        while len(_made) > 3:
+            _made.pop(next(iter(_made)))
+        _made[name] = make(value)
+    return _made[name]

@@ -5,12 +5,27 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, licenses, media, sharding
-from tidemark.llm.common import read_table
+from tidemark.llm import chat, decontam, langid, licenses, media, packing, quality, sharding
+from tidemark.llm.common import doc_hash, read_table
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), str(TOKENIZER))
+
+
+def op3_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = doc_hash() % 3 == 1
+    model = langid.fit(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
 def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,15 +58,31 @@ def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number(rows, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = doc_hash() % 5 == 0
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels").filter(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text_digest", "license_id", F.array_join("paragraph_license_ids", ",").alias("paragraph_licenses"))
 
 
 QUERIES = {
+    "op2_packing_first_fit": op2_packing_first_fit,
+    "op3_language_kneser_ney": op3_language_kneser_ney,
     "op4_chat_prefix_targets": op4_chat_prefix_targets,
     "op6_media_columns": op6_media_columns,
     "op7_jump_sharding": op7_jump_sharding,
+    "op8_decontamination": op8_decontamination,
+    "op9_quality_compression": op9_quality_compression,
     "op10_license_digests": op10_license_digests,
 }
 
