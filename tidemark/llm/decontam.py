@@ -180,8 +180,9 @@ def find_windows(shared, column: pa.Array, state: pa.Array | None) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["n_words", "n_hit", "hits", "items"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 4 << 20, text: str = "text", item: str = "item_id", share_of_words: int = 20) -> DataFrame:
-    """docs with n_words, n_hit, items (sorted ids) and contaminated (one word in share_of_words, or more, is hit)."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 4 << 20, text: str = "text", item: str = "item_id", share_of_words: int = 20, into: str | None = None) -> DataFrame:
+    """docs with n_words, n_hit, items (sorted ids) and contaminated (one word in share_of_words, or more, is hit);
+    into: the name of one struct column for them."""
     spark = docs.sparkSession
     own = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
     size = own.agg(F.sum(F.octet_length("body"))).first()[0] or 0
@@ -199,5 +200,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
             state, _ = cut(state, "decontam")
             later = F.arrow_udf(lambda column, old, shared=shared: find_windows(shared, column, old), STATE)
             state = state.withColumn("_state", later(F.col(text), F.col("_state")))
-    return state.withColumns({k: F.col("_state")[k] for k in ("n_words", "n_hit", "items")}).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share_of_words >= F.col("n_words"))).drop("_state")
+    n_words, n_hit = F.col("_state.n_words"), F.col("_state.n_hit")
+    found = {"n_words": n_words, "n_hit": n_hit, "items": F.col("_state.items"), "contaminated": (n_hit > 0) & (n_hit * share_of_words >= n_words)}
+    if into:
+        return state.withColumn(into, F.struct(*(c.alias(k) for k, c in found.items()))).drop("_state")
+    return state.withColumns(found).drop("_state")
 

@@ -276,10 +276,11 @@ def _entropies(shared):
 ADDED = "struct<lang_pred:string,score:double,entropy:double,rejected:boolean>"
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1), entropy (nats an event, null without letters) and rejected."""
+def identify(docs: DataFrame, model: Model | None, text: str = "text", into: str | None = None) -> DataFrame:
+    """docs with lang_pred, score (0 to 1), entropy (nats an event, null without letters) and rejected; into: the name of one struct column for them."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
+        found = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
+        return docs.withColumn(into, found) if into else docs.withColumns({k: found[k] for k in ("lang_pred", "score", "entropy", "rejected")})
     shared = share(docs.sparkSession, model)
 
     @F.arrow_udf(ADDED)
@@ -294,5 +295,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
         score = np.where(none, 0.0, posterior(entropy, model.sharpness).max(1) if len(n) else low)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(low, mask=none), pa.array(none | ((low > model.limit) & (n >= LEAST_EVENTS)))], ["lang_pred", "score", "entropy", "rejected"])
 
+    if into:
+        return docs.withColumn(into, of(F.col(text)))
     own = docs.withColumn("_found", of(F.col(text)))
     return own.withColumns({k: F.col("_found")[k] for k in ("lang_pred", "score", "entropy", "rejected")}).drop("_found")

@@ -134,10 +134,10 @@ def _measured(shared):
     return of
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (0 to 1, higher: better) and predicted (1 from the threshold on)."""
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with a score (0 to 1, higher: better) and whether it reaches the threshold (1 or 0), under the given names."""
     if not len(model.weights):
-        return docs.withColumns({"score": F.lit(model.prior), "predicted": F.lit(int(model.prior >= threshold))})
+        return docs.withColumns({names[0]: F.lit(model.prior), names[1]: F.lit(int(model.prior >= threshold))})
     shared = share(docs.sparkSession, model)
 
     @F.arrow_udf("double")
@@ -145,4 +145,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         with_ = made(shared, Compressors)
         return pa.array(probability(with_.model, with_.sizes(texts)))
 
-    return docs.withColumn("score", of(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn(names[0], of(F.col(text))).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))

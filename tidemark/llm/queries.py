@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, langid, licenses, media, packing, quality, sharding
+from tidemark.llm import chat, decontam, langid, licenses, media, neardup, packing, quality, sharding
 from tidemark.llm.common import doc_hash, read_table
 
 
@@ -34,6 +34,10 @@ def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand(rows))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def _media_digests(batches):
     for batch in batches:
         keys, sizes, files = batch.columns
@@ -79,6 +83,7 @@ QUERIES = {
     "op2_packing_first_fit": op2_packing_first_fit,
     "op3_language_kneser_ney": op3_language_kneser_ney,
     "op4_chat_prefix_targets": op4_chat_prefix_targets,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_media_columns": op6_media_columns,
     "op7_jump_sharding": op7_jump_sharding,
     "op8_decontamination": op8_decontamination,
