@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, langid, licenses, media, neardup, packing, quality, sharding
+from tidemark.llm import chat, decontam, html_extract, langid, licenses, media, neardup, packing, quality, sharding
 from tidemark.llm.common import doc_hash, read_table
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -80,6 +84,7 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_main_text": op1_html_main_text,
     "op2_packing_first_fit": op2_packing_first_fit,
     "op3_language_kneser_ney": op3_language_kneser_ney,
     "op4_chat_prefix_targets": op4_chat_prefix_targets,
