@@ -48,7 +48,9 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n+1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(at):
@@ -103,10 +105,9 @@ def share(spark: SparkSession, value):
 
 
 def made(shared, make: Callable):
-    """make(value) of a value that share() sent, once a Python worker; only the latest few are kept."""
+    """make(value) of a value that share() sent, once a Python worker; only the latest is kept."""
     name, value = shared.value
     if name not in _made:
-        while len(_made) > 3:
-            _made.pop(next(iter(_made)))
+        _made.clear()
         _made[name] = make(value)
     return _made[name]

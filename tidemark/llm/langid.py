@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import made, map_batches, sampled, share, spans_of_rows, texts
+from tidemark.llm.common import made, map_batches, sampled, share, spans_of_rows
 from tidemark.llm.words import mix
 
 UNDETERMINED = "und"
@@ -41,7 +41,7 @@ _FACTORS = np.random.default_rng(20240609).integers(1, 1 << 63, 16, dtype=np.uin
 #: A text is rejected if it has at least LEAST_EVENTS and its entropy is over SLACK times what 99.9 % of unseen labelled texts stay under.
 LEAST_EVENTS, SLACK = 40, 1.5
 #: Distinct tokens whose scores a task keeps.
-KEPT_TOKENS = 200_000
+KEPT_TOKENS = 100_000
 
 
 def words_of(token: str) -> list[str]:
@@ -180,7 +180,9 @@ class Scorer:
                 for w in words_of(t):
                     owner.append(i)
                     which.append(words.setdefault(w, len(words)))
-            value, events = self.model.score_words(list(words))
+            spelled = list(words)
+            parts = [self.model.score_words(spelled[i : i + 8192]) for i in range(0, max(1, len(spelled)), 8192)]
+            value, events = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             rows = np.zeros((len(new), len(self.model.languages) + 1))
             if owner:
                 np.add.at(rows, np.array(owner), np.concatenate([value, events[:, None]], 1)[np.array(which)])
@@ -190,9 +192,9 @@ class Scorer:
 
     def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text: cross-entropy an event in each language, and the number of events."""
-        _, offsets = texts(column)
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)), dtype=np.int64)])
         parts = []
-        for a, b in spans_of_rows(offsets, 4 << 20):
+        for a, b in spans_of_rows(offsets):
             lists = pc.utf8_split_whitespace(pc.fill_null(column.slice(a, b - a), "").cast(pa.large_string()))
             coded = lists.flatten().dictionary_encode()
             sums = np.zeros((b - a, len(self.model.languages) + 1))
