@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -68,6 +70,16 @@ def spans_of_rows(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tup
         row = end
 
 
+_libc = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and several share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with a function that is made once a task, for what is costly to load."""
 
@@ -77,6 +89,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
             if batch.num_rows:
                 step = step or make()
                 yield from step(batch)
+                trim()
 
     return df.mapInArrow(run, schema)
 

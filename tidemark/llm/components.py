@@ -18,17 +18,21 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, discard
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+# The minima are written before they are joined: both sides of the join are then plain shuffles, of which adaptive
+# plans split those that a much linked node makes large.
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, str]:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least, path = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), path
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, str]:
     """edges: u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least, path = cut(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct(), path
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -44,8 +48,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = tuple(found)
         if not found[0]:
             break
-        after, later = cut(_small_star(_large_star(now)), "edges")
-        discard(spark, path)
+        large, minima = _large_star(now)
+        starred, between = cut(large, "edges")
+        discard(spark, minima)
+        small, minima = _small_star(starred)
+        after, later = cut(small, "edges")
+        for gone in (path, between, minima):
+            discard(spark, gone)
         now, path = after, later
     else:
         raise RuntimeError("the components did not settle")

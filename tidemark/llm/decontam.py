@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, made, share, spans_of_rows, texts
+from tidemark.llm.common import cut, made, share, spans_of_rows, texts, trim
 from tidemark.llm.words import BY_SIGN, join, split
 
 WINDOW = 13
@@ -176,6 +176,7 @@ def find_windows(shared, column: pa.Array, state: pa.Array | None) -> pa.Array:
             if old["hits"] is not None:
                 hits[i] = old["hits"] if hits[i] is None else (np.frombuffer(old["hits"], np.uint8) | np.frombuffer(hits[i], np.uint8)).tobytes()
                 items[i] = sorted({*items[i], *old["items"]})
+    trim()
     n_hit = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in hits]
     return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["n_words", "n_hit", "hits", "items"])
 

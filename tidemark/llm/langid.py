@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import made, map_batches, sampled, share, spans_of_rows
+from tidemark.llm.common import made, map_batches, sampled, share, spans_of_rows, trim
 from tidemark.llm.words import mix
 
 UNDETERMINED = "und"
@@ -270,6 +270,7 @@ def _entropies(shared):
     @F.arrow_udf("array<double>")
     def of(column: pa.Array) -> pa.Array:
         entropy, n = made(shared, Scorer).entropies(column)
+        trim()
         return pa.array(list(np.concatenate([entropy, n[:, None]], 1)), pa.list_(pa.float64()))
 
     return of
@@ -290,6 +291,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", into: str
         scorer = made(shared, Scorer)
         model = scorer.model
         entropy, n = scorer.entropies(column)
+        trim()
         none = n == 0
         best = entropy.argmin(1) if len(n) else np.zeros(0, int)
         low = entropy.min(1) if len(n) else np.zeros(0)

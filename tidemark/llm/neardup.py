@@ -43,8 +43,8 @@ SHINGLE, BANDS, ROWS = 5, 28, 6
 PERCENT = 85
 #: Classes of one block.
 BLOCK = 1024
-#: Candidate classes up to which their ids are broadcast (about 40 bytes each).
-BROADCAST_ROWS = 500_000
+#: Candidate classes up to which their ids are broadcast (about 90 bytes each).
+BROADCAST_ROWS = 200_000
 
 _rng = np.random.default_rng(20240610)
 _A = _rng.integers(0, 1 << 31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, discard, made, sampled, share
+from tidemark.llm.common import cut, discard, made, sampled, share, trim
 
 #: Score from which a text counts as good.
 THRESHOLD = 0.3
@@ -58,6 +58,7 @@ class Compressors:
         for i, text in enumerate(texts):
             raw = text.as_buffer() if text.is_valid else b""
             out[i] = (*(len(c.compress(raw)) for c in self.all), len(raw))
+        trim()
         return out
 
 
