@@ -158,10 +158,10 @@ def wilcoxon(df: DataFrame, diff: str, by: list[str]) -> DataFrame:
 
 
 def mcnemar(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """by, both, only_a, only_b, neither, p_value of two 0/1 columns."""
+    """by, both_right, only_a, only_b, neither, p_value of two 0/1 columns."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     x, y = F.col(a) == 1, F.col(b) == 1
-    out = rows.groupBy(*by).agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"))
+    out = rows.groupBy(*by).agg(F.count_if(x & y).alias("both_right"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"))
     return out.withColumn("p_value", _two(mcnemar_p)(F.col("only_a").cast("double"), F.col("only_b").cast("double")))
 
 
