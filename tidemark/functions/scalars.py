@@ -48,7 +48,7 @@ def candle_direction(open_: Column, close: Column) -> Column:
     return F.when(close >= open_, 1).otherwise(-1)
 
 
-def severity(actual: Column, predicted: Column, bands: tuple[float, ...] = (2.0, 3.0, 5.0), names: tuple[str, ...] = ("none", "moderate", "high", "extreme")) -> Column:
+def severity(actual: Column, predicted: Column, bands: tuple[float, ...] = (2.0, 3.0, 5.0), names: tuple[str, ...] = ("none", "moderate", "severe", "extreme")) -> Column:
     """Band of actual / predicted; `names[0]` under the first band or without a positive forecast."""
     r = F.try_divide(actual, predicted)
     out = F.when((predicted <= 0) | r.isNull(), names[0])

@@ -48,14 +48,14 @@ def asof_lagged(left: DataFrame, right: DataFrame, value: str, by: list[str] = B
 
 
 def interval_mean(left: DataFrame, right: DataFrame, value: str, window_ms: int, stale_ms: int | None = None, by: list[str] = BY, name: str | None = None) -> DataFrame:
-    """left with the mean and count of right values in (ts - window_ms, ts]; NULL if the newest is older than stale_ms."""
+    """left with the mean, mean size and count of right values in (ts - window_ms, ts]; NULL if the newest is older than stale_ms."""
     name = name or f"{value}_mean"
     rows = _united(left, right, by, [value])
     w = Window.partitionBy(*by).orderBy("ts").rangeBetween(-window_ms + 1, 0)
     newest = F.last("_right._ts", ignorenulls=True).over(Window.partitionBy(*by).orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    found = rows.withColumn("_mean", F.avg(F.col("_right")[value]).over(w)).withColumn("_n", F.count(F.col("_right")[value]).over(w)).withColumn("_newest", newest).filter("_side = 1")
+    found = rows.withColumn("_mean", F.avg(F.col("_right")[value]).over(w)).withColumn("_abs", F.avg(F.abs(F.col("_right")[value])).over(w)).withColumn("_n", F.count(F.col("_right")[value]).over(w)).withColumn("_newest", newest).filter("_side = 1")
     fresh = F.lit(True) if stale_ms is None else F.col("ts") - F.col("_newest") <= stale_ms
-    return found.select("_left.*", F.when(fresh, F.col("_mean")).alias(name), F.col("_n").alias(f"{name}_n"))
+    return found.select("_left.*", F.when(fresh, F.col("_mean")).alias(name), F.when(fresh, F.col("_abs")).alias(f"abs_{name}"), F.col("_n").alias(f"{name}_n"))
 
 
 def shifted(left: DataFrame, right: DataFrame, values: list[str], step_ms: int, by: list[str] | None = None, prefix: str = "other_") -> DataFrame:

@@ -41,7 +41,7 @@ def windows(df: DataFrame, size: int = 1000, least: int = 3, by: tuple[str, ...]
     whole = Window.partitionBy(*by)
     own = df.withColumn("_p", F.row_number().over(whole.orderBy("ts"))).withColumn("_n", F.count(F.lit(1)).over(whole))
     k = F.least(F.lit(size), F.floor(F.col("_n") / F.lit(least)))
-    mid = F.floor((F.col("_n") - k) / F.lit(2))
+    mid = F.floor(F.col("_n") / F.lit(2)) - F.floor(k / F.lit(2))
     p = F.col("_p")
     label = F.when(p <= k, "older").when(p > F.col("_n") - k, "recent").when((p > mid) & (p <= mid + k), "middle")
     return own.withColumn("window", label).drop("_p", "_n")
@@ -63,12 +63,13 @@ def error_profile(long: DataFrame, by: list[str], actual: str = "actual", foreca
 
 
 def direction_metrics(rows: DataFrame, actual: str, predicted: str, by: list[str], flat: float = 0.0005) -> DataFrame:
-    """Accuracy of directions overall and where one was predicted, and mean returns, over rows with both returns."""
-    own = rows.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).withColumn("_a", s.direction(F.col(actual), flat)).withColumn("_p", s.direction(F.col(predicted), flat))
-    hit = (F.col("_a") == F.col("_p")).cast("double")
+    """Accuracy of directions where the actual one isn't flat, where it is up and where it is down, over rows with an actual return."""
+    own = rows.filter(F.col(actual).isNotNull()).withColumn("_a", s.direction(F.col(actual), flat)).withColumn("_p", s.direction(F.col(predicted), flat))
+    hit = F.coalesce((F.col("_a") == F.col("_p")).cast("double"), F.lit(0.0))
+    on = lambda cond: F.avg(F.when(cond, hit))
     return own.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"), F.avg(F.when(F.col("_p") == 1, hit)).alias("bullish_accuracy"), F.avg(F.when(F.col("_p") == -1, hit)).alias("bearish_accuracy"),
-        F.count_if(F.col("_p") == 1).alias("n_bullish"), F.count_if(F.col("_p") == -1).alias("n_bearish"), F.count_if(F.col("_p") == 0).alias("n_flat"), F.avg(actual).alias("mean_actual"), F.avg(predicted).alias("mean_predicted"),
+        F.count(F.lit(1)).alias("n"), on(F.col("_a") != 0).alias("accuracy"), on(F.col("_a") == 1).alias("bullish_accuracy"), on(F.col("_a") == -1).alias("bearish_accuracy"),
+        F.count_if(F.col("_a") == 1).alias("n_positive"), F.count_if(F.col("_a") == -1).alias("n_negative"), F.count_if(F.col("_a") == 0).alias("n_near_zero"), F.avg(actual).alias("mean_actual"), F.avg(predicted).alias("mean_predicted"),
     )
 
 

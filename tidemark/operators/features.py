@@ -22,30 +22,34 @@ def normalized_range(bars: DataFrame) -> DataFrame:
     return ranges(bars).withColumn("nr", F.try_divide("range", "close"))
 
 
-#: Names of the technical features, in order.
-TECHNICAL = [
-    *(f"ret_{n}" for n in (1, 2, 3, 5, 10, 22)), "abs_ret_1", "sq_ret_1", *(f"nr_lag_{n}" for n in (1, 2, 3)), *(f"nr_mean_{w}" for w in (5, 10, 22, 50)), *(f"nr_std_{w}" for w in (5, 22)),
-    *(f"rv_{w}" for w in (5, 22, 50)), *(f"parkinson_{w}" for w in (5, 22)), "vol_log", "vol_z_22", "vol_cv_22", *(f"ma_dist_{w}" for w in (5, 22, 50)), *(f"range_pos_{w}" for w in (5, 22)), "nr_ratio_5_22", "nr_ratio_1_5", "hour", "dow",
-]
+#: Names of the technical features, in order (fixed values).
+TECHNICAL = (
+    "ret_1 ret_2 ret_3 ret_5 ret_10 ret_22 abs_ret_1 abs_ret_5 abs_ret_22 sq_ret_1 sq_ret_22 nr_1 nr_mean_5 nr_mean_22 nr_std_5 nr_std_22 range_1 range_mean_5 range_mean_22 range_std_5 range_std_22 "
+    "rv_5 rv_22 park_5 park_22 vol_ret vol_z22 logvol_mean22 vol_cv22 dist_ma22 pos_range22 hour dow"
+).split()
 
 
 def technical(bars: DataFrame) -> DataFrame:
-    """bars with the TECHNICAL features; those of a row describe the bars before it (hour and weekday: the row's own time)."""
-    own = normalized_range(bars).withColumns({"_r1": log_return(), "_pk": s.parkinson(F.col("high"), F.col("low")), "_lv": F.log1p("volume")})
-    own = own.withColumns({f"ret_{n}": t.lag(log_return(n=n)) if n == 1 else F.when((t.lag("close") > 0) & (t.lag("close", n + 1) > 0), F.log(F.try_divide(t.lag("close"), t.lag("close", n + 1)))) for n in (2, 3, 5, 10, 22)} | {"ret_1": t.lag("_r1")})
-    m = lambda c, w: t.mean(c, w, 1, 2)
-    d = lambda c, w: t.std(c, w, 1, 2)
-    own = own.withColumns({
-        "abs_ret_1": F.abs("ret_1"), "sq_ret_1": F.col("ret_1") * F.col("ret_1"),
-        **{f"nr_lag_{n}": t.lag("nr", n) for n in (1, 2, 3)}, **{f"nr_mean_{w}": m("nr", w) for w in (5, 10, 22, 50)}, **{f"nr_std_{w}": d("nr", w) for w in (5, 22)},
-        **{f"rv_{w}": d("_r1", w) for w in (5, 22, 50)}, **{f"parkinson_{w}": F.sqrt(m("_pk", w)) for w in (5, 22)},
-        "vol_log": t.lag("_lv"), "vol_z_22": F.try_divide(t.lag("_lv") - m("_lv", 22), d("_lv", 22)), "vol_cv_22": F.try_divide(d("volume", 22), m("volume", 22)),
-        **{f"ma_dist_{w}": F.try_divide(t.lag("close"), m("close", w)) - 1 for w in (5, 22, 50)},
-        **{f"range_pos_{w}": F.try_divide(t.lag("close") - t.low("low", w, 1, 1), t.high("high", w, 1, 1) - t.low("low", w, 1, 1)) for w in (5, 22)},
-        "hour": F.hour(F.timestamp_millis("ts")), "dow": F.weekday(F.timestamp_millis("ts")),
-    })
-    own = own.withColumns({"nr_ratio_5_22": F.try_divide("nr_mean_5", "nr_mean_22"), "nr_ratio_1_5": F.try_divide("nr_lag_1", "nr_mean_5")})
-    return own.drop("_r1", "_pk", "_lv")
+    """bars with the TECHNICAL features and target_norm; those of a row describe the bars before it (hour and weekday: the row's own time).
+
+    Returns are simple ones; ranges are normalised by the close before; means need one value, deviations two."""
+    last = t.lag("close")
+    own = ranges(bars).withColumns({"target_norm": F.try_divide(F.col("high") - F.col("low"), last), "_r": F.try_divide("close", last) - 1, "_pk": s.parkinson(F.col("high"), F.col("low")), "_dv": F.try_divide("volume", t.lag("volume")) - 1})
+    mean = lambda c, w, least=1: t.mean(c, w, 1, least)
+    deviation = lambda c, w: t.std(c, w, 1, 2)
+    low, high, at = t.low("close", 22, 1, 1), t.high("close", 22, 1, 1), F.timestamp_millis("ts")
+    made = {f"ret_{n}": F.try_divide(last, t.lag("close", n + 1)) - 1 for n in (1, 2, 3, 5, 10, 22)}
+    for c, name in (("target_norm", "nr"), ("range", "range")):
+        made |= {f"{name}_1": t.lag(c)} | {f"{name}_mean_{w}": mean(c, w) for w in (5, 22)} | {f"{name}_std_{w}": deviation(c, w) for w in (5, 22)}
+    made |= {f"rv_{w}": deviation("_r", w) for w in (5, 22)} | {f"park_{w}": F.sqrt(mean("_pk", w)) for w in (5, 22)}
+    made |= {
+        "vol_ret": t.lag("_dv"), "vol_z22": F.try_divide(t.lag("volume") - mean("volume", 22, 2), deviation("volume", 22)), "logvol_mean22": F.log1p(mean("volume", 22, 2)),
+        "vol_cv22": F.try_divide(deviation("volume", 22), mean("volume", 22, 2)), "dist_ma22": F.try_divide(last, mean("close", 22)) - 1, "pos_range22": F.try_divide(last - low, high - low),
+        "hour": F.hour(at), "dow": F.weekday(at),
+    }
+    own = own.withColumns(made)
+    own = own.withColumns({f"abs_ret_{n}": F.abs(f"ret_{n}") for n in (1, 5, 22)} | {f"sq_ret_{n}": F.col(f"ret_{n}") * F.col(f"ret_{n}") for n in (1, 22)})
+    return own.drop("_r", "_pk", "_dv")
 
 
 def cross_features(bars: DataFrame) -> DataFrame:

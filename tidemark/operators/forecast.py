@@ -39,7 +39,7 @@ def har_next(df: DataFrame, c: str = "range", window: int | None = 800, least: i
     return out.join(nxt.select("asset", "ts"), ["asset", "ts"], "left_semi").select("asset", "n_obs", "beta", "har")
 
 
-def baselines(df: DataFrame, c: str = "range", ewma_span: int = 10, ewma_context: int = 60) -> DataFrame:
+def baselines(df: DataFrame, c: str = "range", ewma_span: int = 22, ewma_context: int = 512) -> DataFrame:
     """df with prev, mean5, mean22 and ewma forecasts of c."""
     return df.withColumns({"prev": t.lag(c), "mean5": t.mean(c, 5, 1), "mean22": t.mean(c, 22, 1), "ewma": t.ewm(c, ewma_span, ewma_context, 1)})
 
@@ -62,14 +62,25 @@ def bias_correction(df: DataFrame, error: str, width_ms: int = 7 * DAY_MS, least
     return rows.groupBy("asset").agg(F.when(F.count(error) >= least, F.avg(error)).alias("bias"), F.count(error).alias("n"))
 
 
-def tercile_regime(value: Column, low: Column, high: Column) -> Column:
-    return F.when(value.isNull() | low.isNull(), "unknown").when(value < low, "low").when(value > high, "high").otherwise("medium")
+def ema(df: DataFrame, c: str, span: int, name: str) -> DataFrame:
+    """df with the exponential mean over a series' whole past, seeded by its first value; sequential, one call a series."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` double"
 
+    def run(pdf):
+        pdf = pdf.sort_values("ts").reset_index(drop=True)
+        return pdf.assign(**{name: pdf[c].ewm(span=span, adjust=False).mean()})
 
-def regime_of_means(df: DataFrame, c: str = "range", measure: int = 22, context: int = 200, least: int = 30) -> DataFrame:
-    """df with regime: the last mean of `measure` past values among the terciles of its own past."""
+    return df.groupBy("asset").applyInPandas(run, schema)
+
+
+def tercile_regime(value: Column, low: Column, high: Column, unknown: str = "unknown") -> Column:
+    return F.when(value.isNull() | low.isNull(), unknown).when(value < low, "low").when(value > high, "high").otherwise("medium")
+
+
+def regime_of_means(df: DataFrame, c: str = "range", measure: int = 22, context: int = 491, least: int = 2) -> DataFrame:
+    """df with regime: the last mean of `measure` past values among the terciles of its own past (undefined under `least` means)."""
     own = df.withColumn("_m", t.mean(c, measure, 1))
-    return own.withColumn("regime", tercile_regime(F.col("_m"), t.quantile("_m", 1 / 3, context, 0, least), t.quantile("_m", 2 / 3, context, 0, least))).drop("_m")
+    return own.withColumn("regime", tercile_regime(F.col("_m"), t.quantile("_m", 1 / 3, context, 0, least), t.quantile("_m", 2 / 3, context, 0, least), "undefined")).drop("_m")
 
 
 def regime_of_forecast(df: DataFrame, forecast: str, c: str = "range", context: int = 720, least: int = 100) -> DataFrame:
@@ -103,7 +114,7 @@ def stale_regime(regime: Column, age_hours: Column, most: float = 2.0) -> Column
     return F.when(age_hours.isNull() | (age_hours > most), "unknown").otherwise(F.coalesce(regime, F.lit("unknown")))
 
 
-def stop_distance(prediction: Column, close: Column, multiplier: float, low: float = 0.01, high: float = 0.2, missing: float = 0.05) -> Column:
+def stop_distance(prediction: Column, close: Column, multiplier: float, low: float = 0.005, high: float = 0.2, missing: float = 0.05) -> Column:
     """A stop as a share of the price: multiplier * prediction / close within bounds."""
     d = F.try_divide(multiplier * prediction, close)
     return F.when(d.isNull(), missing).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), d)))

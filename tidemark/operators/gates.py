@@ -13,12 +13,13 @@ def gate(df: DataFrame, checks: dict[str, Column], verdicts: tuple[str, str] = (
     return out.withColumn("passed", passed).withColumn("verdict", F.when(F.col("passed") == len(checks), verdicts[0]).otherwise(verdicts[1]))
 
 
-def direction_gates(stats: DataFrame, least_hit: float = 0.52, alpha: float = 0.05, least_n: int = 50) -> DataFrame:
-    """Gates of a direction study over columns n, hit_rate, p_value, worst_window, windows_over_half, worst_asset."""
+def direction_gates(stats: DataFrame, hit: float = 0.55, alpha: float = 0.05, least_n: int = 30, fall: float = 0.1) -> DataFrame:
+    """Gates of a direction study over columns hit_rate, worst_asset (its hit rate), p_value, worst_window, older, recent and least_n (events of the
+    asset with the fewest): hit rate overall and of each asset, significance, every asset over a half, every third over a half, no fall, enough events."""
     return gate(stats, {
-        "G1": F.col("hit_rate") >= least_hit, "G2": F.col("p_value") < alpha, "G3": F.col("n") >= least_n,
-        "G4": F.col("windows_over_half") >= 2, "G5": F.col("worst_window") >= 0.48, "G6": F.col("worst_asset") >= 0.5,
-    })
+        "G1": (F.col("hit_rate") > hit) & (F.col("worst_asset") > hit), "G2": F.col("p_value") < alpha, "G3": F.col("worst_asset") > 0.5,
+        "G4": F.col("worst_window") > 0.5, "G5": F.col("recent") >= F.col("older") - fall, "G6": F.col("least_n") >= least_n,
+    }, ("SIGNAL FOUND", "CLOSED"))
 
 
 def forecast_gates(windows: DataFrame, by: list[str], least_n: int = 100, share: float = 0.75, improvement: float = 0.0) -> DataFrame:

@@ -155,12 +155,12 @@ def stop_sweep(signal_rows: DataFrame, multipliers: list[float], prediction: str
     m = F.explode(F.array(*(F.lit(float(x)) for x in multipliers)))
     rows = signal_rows.withColumn("multiplier", m)
     d = F.try_divide(F.col("multiplier") * F.col(prediction), F.col("close"))
-    stop = F.when((F.col("multiplier") == 0) | d.isNull(), 0.05).otherwise(F.greatest(F.lit(0.01), F.least(F.lit(0.2), d)))
+    stop = F.when((F.col("multiplier") == 0) | d.isNull(), 0.05).otherwise(F.greatest(F.lit(0.005), F.least(F.lit(0.2), d)))
     tr = sim.stopped(rows.withColumn("stop", stop).select("asset", "multiplier", "ts", "open", "low", "close", "entry", "exit", "stop"), fee, ["asset", "multiplier"])
     return sim.trade_metrics(tr, ["asset", "multiplier"])
 
 
 def best_multiplier(sweep: DataFrame, least_trades: int = 30) -> DataFrame:
-    """asset, multiplier: the best profit factor among those with enough trades (the least of equal ones), 0.0 without any."""
-    ok = F.when((F.col("n") >= least_trades) & (F.col("profit_factor") > 0), F.struct("profit_factor", -F.col("multiplier")))
+    """asset, multiplier: the best positive Sharpe ratio among multipliers with enough trades (the least of equal ones), 0.0 without any."""
+    ok = F.when((F.col("multiplier") > 0) & (F.col("n") >= least_trades) & (F.col("sharpe") > 0), F.struct("sharpe", -F.col("multiplier")))
     return sweep.groupBy("asset").agg(F.max(ok).alias("_b")).select("asset", F.coalesce(-F.col("_b.col2"), F.lit(0.0)).alias("multiplier"))

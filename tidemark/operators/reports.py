@@ -41,8 +41,8 @@ def latest_each(pred: DataFrame, now_ms: int, stale_hours: float = 2.0) -> DataF
 
 
 def calibration(pred: DataFrame, n: int = 720, least: int = 24) -> DataFrame:
-    """Over each asset's last n completed rows: errors of the model and of persistence; NULL under `least` rows."""
-    rows = completed(pred).withColumn("prev", t.lag("actual_range")).withColumn("_r", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("ts")))).filter(F.col("_r") <= n)
+    """Over each asset's last n completed rows: errors of the model and of persistence (the forecast of the row before); NULL under `least` rows."""
+    rows = completed(pred).withColumn("_r", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("ts")))).filter(F.col("_r") <= n).withColumn("prev", t.lag("predicted_range"))
     out = rows.groupBy("asset").agg(
         F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("mae"), F.avg("error").alias("bias"), F.avg(F.abs(F.col("actual_range") - F.col("prev"))).alias("persistence_mae"),
         F.avg("actual_range").alias("mean_actual"), F.avg("predicted_range").alias("mean_predicted"), F.count_if(F.col("actual_range") > 2 * F.col("predicted_range")).alias("breakouts"),
@@ -51,16 +51,16 @@ def calibration(pred: DataFrame, n: int = 720, least: int = 24) -> DataFrame:
     return out.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("mae", "bias", "persistence_mae", "improvement_pct")})
 
 
-def live_calibration(pred: DataFrame, short: int = 168, long: int = 720, worse: float = 1.2) -> DataFrame:
-    """Mean errors of the last week's and month's rows, the extreme ratios, and whether the short one is worse by a fifth."""
-    rows = completed(pred).withColumn("_r", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("ts")))).withColumn("_q", F.try_divide("actual_range", "predicted_range"))
-    out = rows.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("_r") <= short, F.col("abs_error"))).alias("mae_short"), F.avg(F.when(F.col("_r") <= long, F.col("abs_error"))).alias("mae_long"), F.max("_q").alias("worst_ratio"), F.min("_q").alias("best_ratio"))
-    return out.withColumn("degrading", F.coalesce(F.col("mae_short") > worse * F.col("mae_long"), F.lit(False)))
+def live_calibration(pred: DataFrame, short: int = 168, long: int = 720, worse: float = 1.5, least: int = 24) -> DataFrame:
+    """Mean error overall and of the last week's and month's rows (NULL under `least`), the extreme ratios of positive forecasts, and whether the last week is worse by a half."""
+    rows = completed(pred).withColumn("_r", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("ts")))).withColumn("_q", F.when(F.col("predicted_range") > 0, F.try_divide("actual_range", "predicted_range")))
+    out = rows.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("mae"), F.when(F.count(F.lit(1)) >= least, F.avg(F.when(F.col("_r") <= short, F.col("abs_error")))).alias("mae_short"), F.when(F.count(F.lit(1)) >= least, F.avg(F.when(F.col("_r") <= long, F.col("abs_error")))).alias("mae_long"), F.max("_q").alias("worst_ratio"), F.min("_q").alias("best_ratio"))
+    return out.withColumn("degrading", F.coalesce(F.col("mae_short") > worse * F.col("mae"), F.lit(False)))
 
 
 def daily_mae(pred: DataFrame) -> DataFrame:
     """asset, day: mean errors of the model and of persistence (the row before, whatever its day)."""
-    rows = completed(pred).withColumn("prev", t.lag("actual_range"))
+    rows = completed(pred).withColumn("prev", t.lag("predicted_range"))
     day = (F.floor(F.col("ts") / F.lit(DAY_MS)) * DAY_MS).cast("long")
     return rows.groupBy("asset", day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("mae"), F.avg(F.abs(F.col("actual_range") - F.col("prev"))).alias("persistence_mae"))
 
@@ -82,7 +82,7 @@ def day_extremes(pred: DataFrame) -> DataFrame:
 
 def weekly(pred: DataFrame, now_ms: int, hours: int = 168) -> DataFrame:
     """Errors of the rows of the last hours, profit factor of signed errors, and share of wins over persistence."""
-    rows = completed(pred).withColumn("prev", t.lag("actual_range")).filter((F.col("ts") >= now_ms - hours * HOUR_MS) & (F.col("ts") < now_ms))
+    rows = completed(pred).filter((F.col("ts") >= now_ms - hours * HOUR_MS) & (F.col("ts") < now_ms)).withColumn("prev", t.lag("predicted_range"))
     gain, loss = F.sum(F.when(F.col("error") > 0, F.col("error"))), F.sum(F.when(F.col("error") < 0, -F.col("error")))
     return rows.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("mae"), F.avg("error").alias("bias"), F.try_divide(gain, loss).alias("profit_factor"), F.avg((F.col("abs_error") < F.abs(F.col("actual_range") - F.col("prev"))).cast("double")).alias("win_share"))
 
@@ -90,7 +90,7 @@ def weekly(pred: DataFrame, now_ms: int, hours: int = 168) -> DataFrame:
 def weeks_beating(pred: DataFrame, size: int = 168, least: int = 24) -> DataFrame:
     """asset, chunk: chunks of `size` completed rows and whether the model beat persistence (which starts anew in each)."""
     rows = completed(pred).withColumn("chunk", F.floor((F.row_number().over(t.order()) - 1) / F.lit(size)))
-    rows = rows.withColumn("prev", F.lag("actual_range").over(Window.partitionBy("asset", "chunk").orderBy("ts")))
+    rows = rows.withColumn("prev", F.lag("predicted_range").over(Window.partitionBy("asset", "chunk").orderBy("ts")))
     out = rows.groupBy("asset", "chunk").agg(F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("mae"), F.avg(F.abs(F.col("actual_range") - F.col("prev"))).alias("persistence_mae")).filter(F.col("n") >= least)
     return out.withColumn("beats", F.col("mae") < F.col("persistence_mae"))
 
@@ -109,7 +109,7 @@ def dominant_regime(pred: DataFrame) -> DataFrame:
 
 def accuracy_series(pred: DataFrame) -> DataFrame:
     """asset, day: mean accuracy of the model less that of persistence."""
-    rows = completed(pred).withColumn("prev", t.lag("actual_range"))
+    rows = completed(pred).withColumn("prev", t.lag("predicted_range"))
     diff = s.accuracy(F.col("abs_error"), F.col("actual_range")) - s.accuracy(F.abs(F.col("actual_range") - F.col("prev")), F.col("actual_range"))
     return rows.groupBy("asset", (F.floor(F.col("ts") / F.lit(DAY_MS)) * DAY_MS).cast("long").alias("day")).agg(F.avg(diff).alias("accuracy_gain"))
 

@@ -39,20 +39,20 @@ def _steps(high_up: bool, steps: int) -> Column:
     return cond
 
 
-def higher_highs(steps: int = 2) -> Column:
+def higher_highs(steps: int = 3) -> Column:
     """1 after `steps` bars with higher highs and higher lows."""
     return _flag(_steps(True, steps))
 
 
-def lower_lows(steps: int = 2) -> Column:
+def lower_lows(steps: int = 3) -> Column:
     return _flag(_steps(False, steps), -1)
 
 
-def momentum(steps: int = 2) -> Column:
+def momentum(steps: int = 3) -> Column:
     return higher_highs(steps) + lower_lows(steps)
 
 
-def fade(steps: int = 2) -> Column:
+def fade(steps: int = 3) -> Column:
     """Against the momentum."""
     return -momentum(steps)
 
@@ -60,20 +60,21 @@ def fade(steps: int = 2) -> Column:
 def engulfing() -> Column:
     """1 where a rising body engulfs the falling one before, -1 the other way."""
     po, pc = t.lag(O), t.lag(C)
-    up = (pc < po) & (_c(C) > _c(O)) & (_c(O) <= pc) & (_c(C) >= po)
-    down = (pc > po) & (_c(C) < _c(O)) & (_c(O) >= pc) & (_c(C) <= po)
+    other = (_c(O) != pc) | (_c(C) != po)  # the same body again is no pattern
+    up = (pc < po) & (_c(C) > _c(O)) & (_c(O) <= pc) & (_c(C) >= po) & other
+    down = (pc > po) & (_c(C) < _c(O)) & (_c(O) >= pc) & (_c(C) <= po) & other
     return F.when(up, 1).when(down, -1).otherwise(0)
 
 
 def doji(most: float = 0.1) -> Column:
-    """1 where the body is at most a share of the range (and there is one)."""
-    return _flag((_c(H) > _c(L)) & (F.abs(_c(C) - _c(O)) <= most * (_c(H) - _c(L))))
+    """1 where the body is under a share of the range (and there is one)."""
+    return _flag((_c(H) > _c(L)) & (F.try_divide(F.abs(_c(C) - _c(O)), _c(H) - _c(L)) < most))
 
 
-def hammer(shadow: float = 2.0, upper: float = 0.5) -> Column:
-    """1 where the lower shadow is `shadow` bodies or more and the upper one at most `upper` bodies."""
-    body = F.abs(_c(C) - _c(O))
-    return _flag((body > 0) & (F.least(O, C) - _c(L) >= shadow * body) & (_c(H) - F.greatest(O, C) <= upper * body))
+def hammer(shadow: float = 2.0, upper: float = 0.5, place: float = 0.7) -> Column:
+    """1 where the lower shadow is over `shadow` bodies, the upper one under `upper` bodies, and the body high in the range."""
+    body, span = F.abs(_c(C) - _c(O)), _c(H) - _c(L)
+    return _flag((body > 0) & (span > 0) & (F.least(O, C) - _c(L) > shadow * body) & (_c(H) - F.greatest(O, C) < upper * body) & (F.least(O, C) >= _c(L) + place * span))
 
 
 def volume_ratio(width: int = 20) -> Column:
@@ -82,15 +83,16 @@ def volume_ratio(width: int = 20) -> Column:
 
 
 def volume_spike(width: int = 20, times: float = 2.0) -> Column:
-    """Direction of bars whose volume is `times` the mean or more."""
-    return F.when(volume_ratio(width) >= times, F.signum(_c(C) - _c(O)).cast("int")).otherwise(0)
+    """Direction of the body of bars whose volume is over `times` the mean."""
+    return F.when(volume_ratio(width) > times, F.signum(_c(C) - _c(O)).cast("int")).otherwise(0)
 
 
 def forward_returns(bars: DataFrame, signal: str, horizon: int = 1, keep_flat: bool = False) -> DataFrame:
-    """asset, ts, signal, forward_return (over the horizon), correct: rows with a signal and a known future."""
-    rows = bars.withColumn("forward_return", F.try_divide(t.lead(C, horizon), _c(C)) - 1).filter((_c(signal) != 0) & _c("forward_return").isNotNull())
+    """asset, ts, signal, forward_return (over the horizon), correct: rows with a signal (keep_flat: all) and a known future.
+    A return of exactly 0 is never correct."""
+    rows = bars.withColumn("forward_return", F.try_divide(t.lead(C, horizon), _c(C)) - 1).filter(_c("forward_return").isNotNull())
     if not keep_flat:
-        rows = rows.filter("forward_return <> 0")
+        rows = rows.filter(F.coalesce(_c(signal), F.lit(0)) != 0)
     return rows.select("asset", "ts", _c(signal).alias("signal"), "forward_return", (F.signum("forward_return") == F.signum(signal)).cast("int").alias("correct"))
 
 
@@ -104,13 +106,13 @@ def hour_bias(bars: DataFrame, part: str = "hour") -> DataFrame:
     return slots.join(found, ["asset", "slot"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def best_hours(bars: DataFrame, top: int = 3, train_share: float = 0.6, least: int = 1) -> DataFrame:
-    """The hours of the best win rate (then mean return, then the earlier hour) in each asset's first share of bars."""
+def best_hours(bars: DataFrame, least_rate: float = 0.55, least: int = 100, train_share: float = 0.6) -> DataFrame:
+    """Hours of a win rate over least_rate from more than `least` returns in each asset's first share of bars, the best first (of equal ones the earlier)."""
     place = F.row_number().over(t.order())
     total = F.count(F.lit(1)).over(Window.partitionBy("asset"))
     train = bars.withColumn("_p", place).withColumn("_n", total).filter(_c("_p") <= F.floor(_c("_n") * train_share)).drop("_p", "_n")
     rank = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("win_rate"), F.asc("slot")))
-    return hour_bias(train).filter(_c("n") >= least).withColumn("place", rank).filter(_c("place") <= top)
+    return hour_bias(train).filter((_c("n") > least) & (_c("win_rate") > least_rate)).withColumn("place", rank)
 
 
 def hour_signal(bars: DataFrame, hours: DataFrame) -> DataFrame:
@@ -123,14 +125,14 @@ def hour_signal(bars: DataFrame, hours: DataFrame) -> DataFrame:
 
 
 def breakout_entry(width: int = 20, times: float = 2.0) -> Column:
-    """Range over `times` its mean, on a rising bar."""
+    """Range over `times` its mean."""
     r = _c(H) - _c(L)
-    return t.true((r > times * t.mean(r, width)) & (_c(C) > _c(O)))
+    return t.true(r > times * t.mean(r, width))
 
 
-def channel_exit(width: int = 10) -> Column:
-    """Close under the lowest low of the bars before."""
-    return t.true(_c(C) < t.low(L, width, 1))
+def channel_exit(width: int = 10, c: str = C, least: int | None = None) -> Column:
+    """Close under the lowest close (or another column) of the bars before."""
+    return t.true(_c(C) < t.low(c, width, 1, least))
 
 
 def donchian(width: int = 20) -> Column:
@@ -195,25 +197,25 @@ def band_signals(df: DataFrame, width: int = 20, k: float = 2.0) -> DataFrame:
     return own.withColumns({"entry": t.true(_c(C) < _c("bb_lower")), "exit": t.true(_c(C) > _c("bb_mid"))})
 
 
-def rsi_signals(df: DataFrame, buy: float = 30, sell: float = 70, width: int = 14, trend: int | None = None, regimes: list[str] | None = None) -> DataFrame:
-    """df with entry (RSI under buy, above an EMA if asked for, in an allowed regime if given) and exit (RSI over sell)."""
+def rsi_signals(df: DataFrame, buy: float = 30, sell: float = 70, width: int = 14, trend: str | None = None, regimes: list[str] | None = None) -> DataFrame:
+    """df with entry (RSI under buy, close above a trend column if named, in an allowed regime if given) and exit (RSI over sell)."""
     own = rsi(df, width)
     entry = _c("rsi") < buy
     if trend:
-        entry = entry & (_c(C) > t.ewm(C, trend, 4 * trend))
+        entry = entry & (_c(C) > _c(trend))
     if regimes is not None:
         entry = entry & _c("regime").isin(regimes)
     return own.withColumns({"entry": t.true(entry), "exit": t.true(_c("rsi") > sell)})
 
 
-def expansion_signals(df: DataFrame, times: float = 2.0, width: int = 20, exit_width: int = 10, trend: int | None = None, regimes: list[str] | None = None) -> DataFrame:
-    """df with entry (a rising bar of an expanded range with volume, above an EMA if asked for, in an allowed regime) and exit (under the channel)."""
-    entry = breakout_entry(width, times) & (_c(V) > 0)
+def expansion_signals(df: DataFrame, times: float = 2.0, width: int = 20, exit_width: int = 10, trend: str | None = None, regimes: list[str] | None = None) -> DataFrame:
+    """df with entry (a rising bar of an expanded range with volume, above a trend column if named, in an allowed regime) and exit (under the lowest low before)."""
+    entry = breakout_entry(width, times) & (_c(C) > _c(O)) & (_c(V) > 0)
     if trend:
-        entry = entry & (_c(C) > t.ewm(C, trend, 4 * trend))
+        entry = entry & (_c(C) > _c(trend))
     if regimes is not None:
         entry = entry & _c("regime").isin(regimes)
-    return df.withColumns({"entry": t.true(entry), "exit": channel_exit(exit_width)})
+    return df.withColumns({"entry": t.true(entry), "exit": channel_exit(exit_width, L, 1)})
 
 
 def contrarian(value: str, high: Column, low: Column) -> Column:

@@ -104,10 +104,10 @@ def equity_metrics(df: DataFrame, by: list[str] | None = None, periods: float |
 
 
 def trade_metrics(tr: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Count, mean, win rate, profit factor and t-statistic of trades' pnl."""
+    """Count, mean, win rate, profit factor, t-statistic and Sharpe ratio (not annualised) of trades' pnl."""
     gain, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), F.sum(F.when(F.col("pnl") < 0, -F.col("pnl")))
     t_stat = F.try_divide(F.avg("pnl"), F.stddev_samp("pnl") / F.sqrt(F.count("pnl").cast("double")))
-    return tr.groupBy(*(by or ["asset"])).agg(F.count("pnl").alias("n"), F.avg("pnl").alias("mean_pnl"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.try_divide(gain, loss).alias("profit_factor"), t_stat.alias("t_stat"))
+    return tr.groupBy(*(by or ["asset"])).agg(F.count("pnl").alias("n"), F.avg("pnl").alias("mean_pnl"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.try_divide(gain, loss).alias("profit_factor"), t_stat.alias("t_stat"), F.try_divide(F.avg("pnl"), F.stddev_pop("pnl")).alias("sharpe"))
 
 
 def concentration(tr: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -129,7 +129,7 @@ def diebold_mariano(df: DataFrame, a: str, b: str, by: list[str], loss: str = "a
     return out.withColumn("p_value", _one(lambda z: 2 * normal_sf(abs(z)))(F.col("dm"))).select(*by, "n", "lags", "mean_diff", "dm", "p_value")
 
 
-def coin_flip(df: DataFrame, correct: str, by: list[str], ts: str = "ts", lags: int = 3) -> DataFrame:
+def coin_flip(df: DataFrame, correct: str, by: list[str], ts: str | Column = "ts", lags: int = 3) -> DataFrame:
     """by, n, hit_rate, dm, p_value: one-sided test that a 0/1 column beats a fair coin, with a fixed number of lags.
 
     Without variance dm is infinite with the sign of the difference (0 for none)."""

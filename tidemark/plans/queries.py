@@ -269,12 +269,12 @@ def _daily_returns(spark: SparkSession, d: str) -> DataFrame:
 _DIR = "CASE WHEN abs({0}) <= 0.0005 THEN 0 WHEN {0} > 0 THEN 1 ELSE -1 END"
 
 
-@query("direction_metrics", f"SELECT asset, count(*) AS n, avg((a = q)::INT) AS accuracy, avg((a = q)::INT) FILTER (q = 1) AS bullish_accuracy, avg((a = q)::INT) FILTER (q = -1) AS bearish_accuracy, count(*) FILTER (q = 1) AS n_bullish, count(*) FILTER (q = -1) AS n_bearish FROM (SELECT asset, {_DIR.format('ret')} AS a, {_DIR.format('prev')} AS q FROM rp WHERE ret IS NOT NULL AND prev IS NOT NULL) GROUP BY asset", v.BARS_1D, RET, keys="asset", floats="accuracy bullish_accuracy bearish_accuracy", others="n n_bullish n_bearish")
+@query("direction_metrics", f"SELECT asset, count(*) AS n, avg(coalesce(a = q, false)::INT) FILTER (a <> 0) AS accuracy, avg(coalesce(a = q, false)::INT) FILTER (a = 1) AS bullish_accuracy, avg(coalesce(a = q, false)::INT) FILTER (a = -1) AS bearish_accuracy, count(*) FILTER (a = 1) AS n_positive, count(*) FILTER (a = -1) AS n_negative FROM (SELECT asset, {_DIR.format('ret')} AS a, CASE WHEN prev IS NOT NULL THEN {_DIR.format('prev')} END AS q FROM rp WHERE ret IS NOT NULL) GROUP BY asset", v.BARS_1D, RET, keys="asset", floats="accuracy bullish_accuracy bearish_accuracy", others="n n_positive n_negative")
 def _(spark, d):
     return ev.direction_metrics(_daily_returns(spark, d), "ret", "prev", ["asset"])
 
 
-@query("ewma_forecast", f"SELECT asset, ts, list_reduce(xs, lambda a, x : a + (2.0 / 11) * (x - a)) AS ewma FROM (SELECT asset, ts, list(range) OVER {win(-60, -1)} AS xs FROM r) WHERE len(xs) > 0", v.BARS_1H, v.RANGES, floats="ewma")
+@query("ewma_forecast", f"SELECT asset, ts, list_reduce(xs, lambda a, x : a + (2.0 / 23) * (x - a)) AS ewma FROM (SELECT asset, ts, list(range) OVER {win(-512, -1)} AS xs FROM r) WHERE len(xs) > 0", v.BARS_1H, v.RANGES, floats="ewma")
 def _(spark, d):
     return fc.baselines(fc.ranges(v.bars_1h(spark, d))).filter("ewma IS NOT NULL")
 
@@ -325,7 +325,7 @@ def _(spark, d):
     return fc.bias_correction(reports.completed(v.predictions(spark, d)), "error")
 
 
-@query("stop_distance", "SELECT asset, ts, CASE WHEN close = 0 OR predicted_range IS NULL THEN 0.05 ELSE greatest(0.01, least(0.2, 1.5 * predicted_range / close)) END AS stop FROM p JOIN b USING (asset, ts)", v.BARS_1H, v.RANGES, v.PREDICTIONS, floats="stop")
+@query("stop_distance", "SELECT asset, ts, CASE WHEN close = 0 OR predicted_range IS NULL THEN 0.05 ELSE greatest(0.005, least(0.2, 1.5 * predicted_range / close)) END AS stop FROM p JOIN b USING (asset, ts)", v.BARS_1H, v.RANGES, v.PREDICTIONS, floats="stop")
 def _(spark, d):
     rows = v.predictions(spark, d).join(v.bars_1h(spark, d).select("asset", "ts", "close"), ["asset", "ts"])
     return rows.withColumn("stop", fc.stop_distance(F.col("predicted_range"), F.col("close"), 1.5))
@@ -339,7 +339,7 @@ def quant(c: str, q: float, width: int, shift: int, least: int) -> str:
     return f"CASE WHEN count({c}) OVER {w} >= {least} THEN quantile_cont({c}, {q}) OVER {w} END"
 
 
-@query("regime_terciles", f"SELECT asset, ts, CASE WHEN m IS NULL OR lo IS NULL THEN 'unknown' WHEN m < lo THEN 'low' WHEN m > hi THEN 'high' ELSE 'medium' END AS regime FROM (SELECT asset, ts, m, {quant('m', 1 / 3, 200, 0, 30)} AS lo, {quant('m', 2 / 3, 200, 0, 30)} AS hi FROM (SELECT asset, ts, {roll(MEAN, 'range', 22, 1)} AS m FROM r))", v.BARS_1H, v.RANGES, others="regime")
+@query("regime_terciles", f"SELECT asset, ts, CASE WHEN m IS NULL OR lo IS NULL THEN 'undefined' WHEN m < lo THEN 'low' WHEN m > hi THEN 'high' ELSE 'medium' END AS regime FROM (SELECT asset, ts, m, {quant('m', 1 / 3, 491, 0, 2)} AS lo, {quant('m', 2 / 3, 491, 0, 2)} AS hi FROM (SELECT asset, ts, {roll(MEAN, 'range', 22, 1)} AS m FROM r))", v.BARS_1H, v.RANGES, others="regime")
 def _(spark, d):
     return fc.regime_of_means(fc.ranges(v.bars_1h(spark, d)))
 
@@ -394,14 +394,15 @@ def _(spark, d):
     return fc.daily_realized(v.bars_1h(spark, d))
 
 
-_NR = "nr AS (SELECT *, greatest(high - low, 0) / nullif(close, 0) AS nr FROM d)"
-_FEATURES = f"""SELECT asset, ts, {lag('x')} AS ret_1, CASE WHEN {lag('close')} > 0 AND {lag('close', 6)} > 0 THEN ln({lag('close')} / {lag('close', 6)}) END AS ret_5, {lag('nr', 2)} AS nr_lag_2,
-{roll(MEAN, 'nr', 5, 1, 2)} AS nr_mean_5, {roll(SD, 'nr', 22, 1, 2)} AS nr_std_22, {roll(SD, 'x', 22, 1, 2)} AS rv_22, {lag('close')} / nullif({roll(MEAN, 'close', 22, 1, 2)}, 0) - 1 AS ma_dist_22,
-({lag('lv')} - {roll(MEAN, 'lv', 22, 1, 2)}) / nullif({roll(SD, 'lv', 22, 1, 2)}, 0) AS vol_z_22,
-({lag('close')} - {roll('min({})', 'low', 22, 1, 1)}) / nullif({roll('max({})', 'high', 22, 1, 1)} - {roll('min({})', 'low', 22, 1, 1)}, 0) AS range_pos_22, (isodow(make_timestamp(ts * 1000)) - 1)::BIGINT AS dow FROM (SELECT *, {LOGRET} AS x, ln(1 + volume) AS lv FROM nr)"""
+_NR = f"nr AS (SELECT *, high - low AS range, (high - low) / nullif({lag('close')}, 0) AS nr, close / nullif({lag('close')}, 0) - 1 AS x, volume / nullif({lag('volume')}, 0) - 1 AS dv, CASE WHEN high > 0 AND low > 0 THEN ln(high / low) ** 2 / (4 * ln(2.0)) END AS pk FROM d)"
+_LC = lag("close")
+_FEATURES = f"""SELECT asset, ts, {_LC} / nullif({lag('close', 2)}, 0) - 1 AS ret_1, {_LC} / nullif({lag('close', 6)}, 0) - 1 AS ret_5, ({_LC} / nullif({lag('close', 23)}, 0) - 1) ** 2 AS sq_ret_22, {lag('nr')} AS nr_1,
+{roll(MEAN, 'nr', 5, 1, 1)} AS nr_mean_5, {roll(SD, 'nr', 22, 1, 2)} AS nr_std_22, {roll(MEAN, 'range', 22, 1, 1)} AS range_mean_22, {roll(SD, 'x', 22, 1, 2)} AS rv_22, sqrt({roll(MEAN, 'pk', 22, 1, 1)}) AS park_22, {lag('dv')} AS vol_ret,
+({lag('volume')} - {roll(MEAN, 'volume', 22, 1, 2)}) / nullif({roll(SD, 'volume', 22, 1, 2)}, 0) AS vol_z22, ln(1 + {roll(MEAN, 'volume', 22, 1, 2)}) AS logvol_mean22, {_LC} / nullif({roll(MEAN, 'close', 22, 1, 1)}, 0) - 1 AS dist_ma22,
+({_LC} - {roll('min({})', 'close', 22, 1, 1)}) / nullif({roll('max({})', 'close', 22, 1, 1)} - {roll('min({})', 'close', 22, 1, 1)}, 0) AS pos_range22, (isodow(make_timestamp(ts * 1000)) - 1)::BIGINT AS dow FROM nr"""
 
 
-@query("feature_matrix", _FEATURES, v.BARS_1D, _NR, floats="ret_1 ret_5 nr_lag_2 nr_mean_5 nr_std_22 rv_22 ma_dist_22 vol_z_22 range_pos_22", others="dow")
+@query("feature_matrix", _FEATURES, v.BARS_1D, _NR, floats="ret_1 ret_5 sq_ret_22 nr_1 nr_mean_5 nr_std_22 range_mean_22 rv_22 park_22 vol_ret vol_z22 logvol_mean22 dist_ma22 pos_range22", others="dow")
 def _(spark, d):
     return ft.technical(v.bars_1d(spark, d))
 
@@ -420,7 +421,7 @@ def _(spark, d):
     return aj.asof_lagged(v.bars_1h(spark, d), v.funding_by_asset(spark, d), "rate")
 
 
-@query("funding_24h_interval", "SELECT b.asset, b.ts, CASE WHEN b.ts - max(f.ts) <= 28800000 THEN avg(f.rate) END AS funding_24h, count(f.rate) AS funding_24h_n FROM b LEFT JOIN f ON f.ts > b.ts - 86400000 AND f.ts <= b.ts GROUP BY b.asset, b.ts", v.BARS_1H, v.FUNDING, floats="funding_24h", others="funding_24h_n")
+@query("funding_24h_interval", "SELECT b.asset, b.ts, CASE WHEN b.ts - max(f.ts) <= 28800000 THEN avg(f.rate) END AS funding_24h, CASE WHEN b.ts - max(f.ts) <= 28800000 THEN avg(abs(f.rate)) END AS abs_funding_24h, count(f.rate) AS funding_24h_n FROM b LEFT JOIN f ON f.ts > b.ts - 86400000 AND f.ts <= b.ts GROUP BY b.asset, b.ts", v.BARS_1H, v.FUNDING, floats="funding_24h abs_funding_24h", others="funding_24h_n")
 def _(spark, d):
     return aj.interval_mean(v.bars_1h(spark, d), v.funding_by_asset(spark, d), "rate", 86_400_000, 8 * HOUR_MS, name="funding_24h")
 
@@ -456,7 +457,7 @@ def _(spark, d):
 # Reports --------------------------------------------------------------------------------------------
 
 
-@query("breakout_severity", "SELECT asset, ts, round(actual_range / predicted_range, 2) AS ratio, CASE WHEN actual_range / predicted_range >= 5 THEN 'extreme' WHEN actual_range / predicted_range >= 3 THEN 'high' ELSE 'moderate' END AS severity FROM c WHERE predicted_range > 0 AND actual_range >= 2 * predicted_range", v.BARS_1H, v.RANGES, v.PREDICTIONS, floats="ratio", others="severity")
+@query("breakout_severity", "SELECT asset, ts, round(actual_range / predicted_range, 2) AS ratio, CASE WHEN actual_range / predicted_range >= 5 THEN 'extreme' WHEN actual_range / predicted_range >= 3 THEN 'severe' ELSE 'moderate' END AS severity FROM c WHERE predicted_range > 0 AND actual_range >= 2 * predicted_range", v.BARS_1H, v.RANGES, v.PREDICTIONS, floats="ratio", others="severity")
 def _(spark, d):
     return reports.breakouts(v.predictions(spark, d))
 
@@ -471,17 +472,17 @@ def _(spark, d):
     return reports.newest(v.predictions(spark, d), 50)
 
 
-@query("calibration_summary", f"SELECT *, (persistence_mae - mae) / persistence_mae * 100 AS improvement_pct FROM (SELECT asset, count(*) AS n, avg(abs_error) AS mae, avg(error) AS bias, avg(abs(actual_range - prev)) AS persistence_mae, count(*) FILTER (actual_range > 2 * predicted_range) AS breakouts FROM (SELECT *, {lag('actual_range')} AS prev, row_number() OVER (PARTITION BY asset ORDER BY ts DESC) AS k FROM c) WHERE k <= 720 GROUP BY asset)", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset", floats="mae bias persistence_mae improvement_pct", others="n breakouts")
+@query("calibration_summary", f"SELECT asset, n, breakouts, CASE WHEN n >= 24 THEN mae END AS mae, CASE WHEN n >= 24 THEN bias END AS bias, CASE WHEN n >= 24 THEN persistence_mae END AS persistence_mae, CASE WHEN n >= 24 THEN (persistence_mae - mae) / persistence_mae * 100 END AS improvement_pct FROM (SELECT asset, count(*) AS n, avg(abs_error) AS mae, avg(error) AS bias, avg(abs(actual_range - prev)) AS persistence_mae, count(*) FILTER (actual_range > 2 * predicted_range) AS breakouts FROM (SELECT *, {lag('predicted_range')} AS prev FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts DESC) AS k FROM c) WHERE k <= 720)) GROUP BY asset)", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset", floats="mae bias persistence_mae improvement_pct", others="n breakouts")
 def _(spark, d):
     return reports.calibration(v.predictions(spark, d))
 
 
-@query("live_calibration", "SELECT *, mae_short > 1.2 * mae_long AS degrading FROM (SELECT asset, count(*) AS n, avg(abs_error) FILTER (k <= 168) AS mae_short, avg(abs_error) FILTER (k <= 720) AS mae_long, max(actual_range / nullif(predicted_range, 0)) AS worst_ratio FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts DESC) AS k FROM c) GROUP BY asset)", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset", floats="mae_short mae_long worst_ratio", others="n degrading")
+@query("live_calibration", "SELECT *, coalesce(mae_short > 1.5 * mae, false) AS degrading FROM (SELECT asset, count(*) AS n, avg(abs_error) AS mae, CASE WHEN count(*) >= 24 THEN avg(abs_error) FILTER (k <= 168) END AS mae_short, CASE WHEN count(*) >= 24 THEN avg(abs_error) FILTER (k <= 720) END AS mae_long, max(actual_range / predicted_range) FILTER (predicted_range > 0) AS worst_ratio FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts DESC) AS k FROM c) GROUP BY asset)", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset", floats="mae mae_short mae_long worst_ratio", others="n degrading")
 def _(spark, d):
     return reports.live_calibration(v.predictions(spark, d))
 
 
-DAILY = f"dm AS (SELECT asset, ts // 86400000 * 86400000 AS day, count(*) AS n, avg(abs_error) AS mae, avg(abs(actual_range - prev)) AS persistence_mae FROM (SELECT *, {lag('actual_range')} AS prev FROM c) GROUP BY 1, 2)"
+DAILY = f"dm AS (SELECT asset, ts // 86400000 * 86400000 AS day, count(*) AS n, avg(abs_error) AS mae, avg(abs(actual_range - prev)) AS persistence_mae FROM (SELECT *, {lag('predicted_range')} AS prev FROM c) GROUP BY 1, 2)"
 
 
 @query("daily_mae", "SELECT * FROM dm", v.BARS_1H, v.RANGES, v.PREDICTIONS, DAILY, keys="asset day", floats="mae persistence_mae", others="n")
@@ -499,19 +500,19 @@ def _(spark, d):
     return reports.day_extremes(v.predictions(spark, d))
 
 
-@query("weekly_stats", f"SELECT asset, count(*) AS n, avg(abs_error) AS mae, avg(error) AS bias, sum(error) FILTER (error > 0) / sum(-error) FILTER (error < 0) AS profit_factor, avg((abs_error < abs(actual_range - prev))::INT) AS win_share FROM (SELECT *, {lag('actual_range')} AS prev FROM c) WHERE ts >= {NOW} - 604800000 AND ts < {NOW} GROUP BY asset", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset", floats="mae bias profit_factor win_share", others="n")
+@query("weekly_stats", f"SELECT asset, count(*) AS n, avg(abs_error) AS mae, avg(error) AS bias, sum(error) FILTER (error > 0) / sum(-error) FILTER (error < 0) AS profit_factor, avg((abs_error < abs(actual_range - prev))::INT) AS win_share FROM (SELECT *, {lag('predicted_range')} AS prev FROM (SELECT * FROM c WHERE ts >= {NOW} - 604800000 AND ts < {NOW})) GROUP BY asset", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset", floats="mae bias profit_factor win_share", others="n")
 def _(spark, d):
     return reports.weekly(v.predictions(spark, d), NOW)
 
 
-@query("weeks_beating", "SELECT asset, chunk, count(*) AS n, avg(abs_error) AS mae, avg(abs(actual_range - prev)) AS persistence_mae, avg(abs_error) < avg(abs(actual_range - prev)) AS beats FROM (SELECT *, lag(actual_range) OVER (PARTITION BY asset, chunk ORDER BY ts) AS prev FROM (SELECT *, (row_number() OVER (PARTITION BY asset ORDER BY ts) - 1) // 168 AS chunk FROM c)) GROUP BY 1, 2 HAVING count(*) >= 24", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset chunk", floats="mae persistence_mae", others="n beats")
+@query("weeks_beating", "SELECT asset, chunk, count(*) AS n, avg(abs_error) AS mae, avg(abs(actual_range - prev)) AS persistence_mae, avg(abs_error) < avg(abs(actual_range - prev)) AS beats FROM (SELECT *, lag(predicted_range) OVER (PARTITION BY asset, chunk ORDER BY ts) AS prev FROM (SELECT *, (row_number() OVER (PARTITION BY asset ORDER BY ts) - 1) // 168 AS chunk FROM c)) GROUP BY 1, 2 HAVING count(*) >= 24", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset chunk", floats="mae persistence_mae", others="n beats")
 def _(spark, d):
     return reports.weeks_beating(v.predictions(spark, d))
 
 
-@query("accuracy_series", f"SELECT asset, ts // 86400000 * 86400000 AS day, avg(greatest(-1, least(1, 1 - abs_error / actual_range)) - CASE WHEN prev IS NOT NULL THEN greatest(-1, least(1, 1 - abs(actual_range - prev) / actual_range)) END) AS accuracy_gain FROM (SELECT *, {lag('actual_range')} AS prev FROM c) GROUP BY 1, 2", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset day", floats="accuracy_gain")
+@query("accuracy_series", f"SELECT asset, ts // 86400000 * 86400000 AS day, avg(greatest(-1, least(1, 1 - abs_error / actual_range)) - CASE WHEN prev IS NOT NULL THEN greatest(-1, least(1, 1 - abs(actual_range - prev) / actual_range)) END) AS accuracy_gain FROM (SELECT *, {lag('predicted_range')} AS prev FROM c) GROUP BY 1, 2", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset day", floats="accuracy_gain")
 def _(spark, d):
-    own = reports.completed(v.predictions(spark, d)).withColumn("prev", t.lag("actual_range"))
+    own = reports.completed(v.predictions(spark, d)).withColumn("prev", t.lag("predicted_range"))
     gain = s.accuracy(F.col("abs_error"), F.col("actual_range")) - F.when(F.col("prev").isNotNull(), s.accuracy(F.abs(F.col("actual_range") - F.col("prev")), F.col("actual_range")))
     return own.groupBy("asset", s.bar_open(F.col("ts"), 86_400_000).alias("day")).agg(F.avg(gain).alias("accuracy_gain"))
 
@@ -554,7 +555,7 @@ def _lags(n: int) -> str:
     return ", ".join(f"{lag(c, k)} AS {c[0]}{k}" for c in ("high", "low") for k in range(1, n + 1))
 
 
-MOM = f"mo AS (SELECT asset, ts, close, CASE WHEN high > h1 AND low > l1 AND h1 > h2 AND l1 > l2 THEN 1 WHEN high < h1 AND low < l1 AND h1 < h2 AND l1 < l2 THEN -1 ELSE 0 END AS raw FROM (SELECT *, {_lags(2)} FROM b)), ms AS (SELECT asset, ts, close, coalesce({lag('raw')}, 0) AS signal FROM mo)"
+MOM = f"mo AS (SELECT asset, ts, close, CASE WHEN high > h1 AND low > l1 AND h1 > h2 AND l1 > l2 AND h2 > h3 AND l2 > l3 THEN 1 WHEN high < h1 AND low < l1 AND h1 < h2 AND l1 < l2 AND h2 < h3 AND l2 < l3 THEN -1 ELSE 0 END AS raw FROM (SELECT *, {_lags(3)} FROM b)), ms AS (SELECT asset, ts, close, coalesce({lag('raw')}, 0) AS signal FROM mo)"
 
 
 def _momentum(spark: SparkSession, d: str) -> DataFrame:
@@ -571,17 +572,17 @@ def _(spark, d):
     return v.bars_1h(spark, d).withColumn("_m", sg.fade()).withColumn("signal", sg.shift(F.col("_m"))).filter("signal <> 0")
 
 
-@query("pattern_engulfing", f"SELECT asset, ts, CASE WHEN pc < po AND close > open AND open <= pc AND close >= po THEN 1 WHEN pc > po AND close < open AND open >= pc AND close <= po THEN -1 ELSE 0 END AS signal FROM (SELECT *, {lag('open')} AS po, {lag('close')} AS pc FROM b)", v.BARS_1H, others="signal")
+@query("pattern_engulfing", f"SELECT asset, ts, CASE WHEN pc < po AND close > open AND open <= pc AND close >= po AND (open < pc OR close > po) THEN 1 WHEN pc > po AND close < open AND open >= pc AND close <= po AND (open > pc OR close < po) THEN -1 ELSE 0 END AS signal FROM (SELECT *, {lag('open')} AS po, {lag('close')} AS pc FROM b)", v.BARS_1H, others="signal")
 def _(spark, d):
     return v.bars_1h(spark, d).withColumn("signal", sg.engulfing())
 
 
-@query("pattern_doji_hammer", "SELECT asset, ts, (high > low AND abs(close - open) <= 0.1 * (high - low))::BIGINT AS doji, (abs(close - open) > 0 AND least(open, close) - low >= 2 * abs(close - open) AND high - greatest(open, close) <= 0.5 * abs(close - open))::BIGINT AS hammer FROM b", v.BARS_1H, others="doji hammer")
+@query("pattern_doji_hammer", "SELECT asset, ts, coalesce(abs(close - open) / nullif(high - low, 0) < 0.1, false)::BIGINT AS doji, (abs(close - open) > 0 AND high > low AND least(open, close) - low > 2 * abs(close - open) AND high - greatest(open, close) < 0.5 * abs(close - open) AND least(open, close) >= low + 0.7 * (high - low))::BIGINT AS hammer FROM b", v.BARS_1H, others="doji hammer")
 def _(spark, d):
     return v.bars_1h(spark, d).withColumn("doji", sg.doji()).withColumn("hammer", sg.hammer())
 
 
-@query("volume_spike", f"SELECT asset, ts, volume / nullif(m, 0) AS ratio, CASE WHEN volume / nullif(m, 0) >= 1.5 THEN sign(close - open) ELSE 0 END::BIGINT AS signal FROM (SELECT *, {roll(MEAN, 'volume', 20)} AS m FROM b)", v.BARS_1H, floats="ratio", others="signal")
+@query("volume_spike", f"SELECT asset, ts, volume / nullif(m, 0) AS ratio, CASE WHEN volume / nullif(m, 0) > 1.5 THEN sign(close - open) ELSE 0 END::BIGINT AS signal FROM (SELECT *, {roll(MEAN, 'volume', 20)} AS m FROM b)", v.BARS_1H, floats="ratio", others="signal")
 def _(spark, d):
     return v.bars_1h(spark, d).withColumn("ratio", sg.volume_ratio()).withColumn("signal", sg.volume_spike(times=1.5))
 
@@ -599,12 +600,12 @@ def _(spark, d):
     return sg.hour_bias(v.bars_1d(spark, d), "weekday")
 
 
-@query("best_hours", f"SELECT * FROM (SELECT asset, slot, win_rate, n, row_number() OVER (PARTITION BY asset ORDER BY win_rate DESC, slot) AS place FROM (SELECT asset, slot, avg((ret > 0)::INT) AS win_rate, count(ret) AS n FROM (SELECT asset, hour(make_timestamp(ts * 1000)) AS slot, close / nullif({lag('close')}, 0) - 1 AS ret FROM (SELECT * FROM (SELECT *, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY asset) AS k FROM b) WHERE i <= floor(k * 0.6))) WHERE ret IS NOT NULL GROUP BY 1, 2)) WHERE place <= 3", v.BARS_1H, keys="asset slot", floats="win_rate", others="n place")
+@query("best_hours", f"SELECT * FROM (SELECT asset, slot, win_rate, n, row_number() OVER (PARTITION BY asset ORDER BY win_rate DESC, slot) AS place FROM (SELECT asset, slot, avg((ret > 0)::INT) AS win_rate, count(ret) AS n FROM (SELECT asset, hour(make_timestamp(ts * 1000)) AS slot, close / nullif({lag('close')}, 0) - 1 AS ret FROM (SELECT * FROM (SELECT *, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY asset) AS k FROM b) WHERE i <= floor(k * 0.6))) WHERE ret IS NOT NULL GROUP BY 1, 2) WHERE n > 5 AND win_rate > 0.5)", v.BARS_1H, keys="asset slot", floats="win_rate", others="n place")
 def _(spark, d):
-    return sg.best_hours(v.bars_1h(spark, d))
+    return sg.best_hours(v.bars_1h(spark, d), 0.5, 5)
 
 
-FWD = f"fw AS (SELECT asset, ts, signal, r AS forward_return, (sign(r) = signal)::BIGINT AS correct FROM (SELECT *, lead(close) OVER ({W}) / nullif(close, 0) - 1 AS r FROM ms) WHERE signal <> 0 AND r IS NOT NULL AND r <> 0)"
+FWD = f"fw AS (SELECT asset, ts, signal, r AS forward_return, (sign(r) = signal)::BIGINT AS correct FROM (SELECT *, lead(close) OVER ({W}) / nullif(close, 0) - 1 AS r FROM ms) WHERE signal <> 0 AND r IS NOT NULL)"
 
 
 @query("forward_returns", "SELECT * FROM fw", v.BARS_1H, MOM, FWD, floats="forward_return", others="signal correct")
@@ -622,7 +623,7 @@ def _(spark, d):
     return v.bars_1d(spark, d).withColumn("signal", sg.donchian())
 
 
-@query("breakout_entries", f"SELECT asset, ts, coalesce(high - low > 1.2 * m AND close > open, false) AS entry, coalesce(close < lo, false) AS exit FROM (SELECT *, avg(high - low) OVER {win(-19)} AS m0, CASE WHEN count(*) OVER {win(-19)} >= 20 THEN avg(high - low) OVER {win(-19)} END AS m, {roll('min({})', 'low', 10, 1)} AS lo FROM d)", v.BARS_1D, others="entry exit")
+@query("breakout_entries", f"SELECT asset, ts, coalesce(high - low > 1.2 * m, false) AS entry, coalesce(close < lo, false) AS exit FROM (SELECT *, avg(high - low) OVER {win(-19)} AS m0, CASE WHEN count(*) OVER {win(-19)} >= 20 THEN avg(high - low) OVER {win(-19)} END AS m, {roll('min({})', 'close', 10, 1)} AS lo FROM d)", v.BARS_1D, others="entry exit")
 def _(spark, d):
     return v.bars_1d(spark, d).withColumn("entry", sg.breakout_entry(times=1.2)).withColumn("exit", sg.channel_exit())
 
@@ -687,7 +688,7 @@ def _(spark, d):
     return sim.equity_metrics(sim.equity(_trend(spark, d)))
 
 
-TRADES = f"run AS (SELECT *, sum((position <> pp)::INT) OVER {win('UNBOUNDED PRECEDING')} AS trade FROM (SELECT *, coalesce({lag('position')}, 0) AS pp, lead(ts) OVER ({W}) AS nt, lead(close) OVER ({W}) AS nc FROM pos)), tr AS (SELECT * FROM (SELECT asset, trade, min(ts) AS entry_ts, arg_max(nt, ts) AS xt, arg_min(close, ts) AS entry_price, arg_max(nc, ts) AS exit_price, max(ts) AS last_ts, count(*) AS bars FROM run WHERE position <> 0 GROUP BY 1, 2) WHERE last_ts < (SELECT max(ts) FROM pos p WHERE p.asset = asset)), tp AS (SELECT *, exit_price / entry_price - 1 - 0.002 AS pnl FROM tr WHERE exit_price IS NOT NULL)"
+TRADES = f"run AS (SELECT *, sum((position <> pp)::INT) OVER {win('UNBOUNDED PRECEDING')} AS trade FROM (SELECT *, coalesce({lag('position')}, 0) AS pp, lead(ts) OVER ({W}) AS nt, lead(close) OVER ({W}) AS nc FROM pos)), tr AS (SELECT * FROM (SELECT asset, trade, min(ts) AS entry_ts, arg_max(nt, ts) AS xt, arg_min(close, ts) AS entry_price, arg_max(nc, ts) AS exit_price, max(ts) AS last_ts, count(*) AS bars FROM run WHERE position <> 0 GROUP BY 1, 2) q WHERE last_ts < (SELECT max(p.ts) FROM pos p WHERE p.asset = q.asset)), tp AS (SELECT *, exit_price / entry_price - 1 - 0.002 AS pnl FROM tr WHERE exit_price IS NOT NULL)"
 
 
 @query("trades", "SELECT asset, entry_ts, xt AS exit_ts, bars, entry_price, exit_price, pnl FROM tp", v.BARS_1D, EQUITY, TRADES, keys="asset entry_ts exit_ts", floats="entry_price exit_price pnl", others="bars")
@@ -822,7 +823,7 @@ def _(spark, d):
     return ev.tail_blocks(v.bars_1h(spark, d)).groupBy("asset", "block").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
 
 
-@query("evaluation_windows", f"SELECT asset, win AS window_name, count(*) AS n, min(ts) AS first_ts FROM (SELECT asset, ts, CASE WHEN i <= q THEN 'older' WHEN i > k - q THEN 'recent' WHEN i > (k - q) // 2 AND i <= (k - q) // 2 + q THEN 'middle' END AS win FROM (SELECT *, least(100, k // 3) AS q FROM (SELECT asset, ts, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY asset) AS k FROM b))) WHERE win IS NOT NULL GROUP BY 1, 2", v.BARS_1H, keys="asset window_name", others="n first_ts")
+@query("evaluation_windows", f"SELECT asset, win AS window_name, count(*) AS n, min(ts) AS first_ts FROM (SELECT asset, ts, CASE WHEN i <= q THEN 'older' WHEN i > k - q THEN 'recent' WHEN i > k // 2 - q // 2 AND i <= k // 2 - q // 2 + q THEN 'middle' END AS win FROM (SELECT *, least(100, k // 3) AS q FROM (SELECT asset, ts, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY asset) AS k FROM b))) WHERE win IS NOT NULL GROUP BY 1, 2", v.BARS_1H, keys="asset window_name", others="n first_ts")
 def _(spark, d):
     return ev.windows(v.bars_1h(spark, d), 100).filter("window IS NOT NULL").groupBy("asset", F.col("window").alias("window_name")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
 
@@ -845,12 +846,13 @@ def _(spark, d):
     return ev.trim_extremes(rows, "e", ["asset"]).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("total"))
 
 
-@query("direction_gates", keys="asset", floats="hit_rate", others="G1 G2 G3 G4 G5 G6 passed verdict")
+@query("direction_gates", keys="study", floats="hit_rate p_value", others="G1 G2 G3 G4 G5 G6 passed verdict")
 def _(spark, d):
-    events = sg.forward_returns(_momentum(spark, d), "signal")
-    test = stats.coin_flip(events, "correct", ["asset"])
-    per = ev.blocks(events, 3).groupBy("asset", "block").agg(F.avg("correct").alias("h")).groupBy("asset").agg(F.min("h").alias("worst_window"), F.count_if(F.col("h") > 0.5).alias("windows_over_half"))
-    return gates.direction_gates(test.join(per, "asset").withColumn("worst_asset", F.col("hit_rate")))
+    events = sg.forward_returns(_momentum(spark, d), "signal").withColumn("study", F.lit("momentum"))
+    test = stats.coin_flip(events, "correct", ["study"], F.struct("ts", "asset"))
+    thirds = ev.blocks(events, 3).groupBy("study", "block").agg(F.avg("correct").alias("h")).groupBy("study").agg(F.min("h").alias("worst_window"), F.max_by("h", -F.col("block")).alias("older"), F.max_by("h", "block").alias("recent"))
+    assets = events.groupBy("study", "asset").agg(F.avg("correct").alias("h"), F.count(F.lit(1)).alias("k")).groupBy("study").agg(F.min("h").alias("worst_asset"), F.min("k").alias("least_n"))
+    return gates.direction_gates(test.join(thirds, "study").join(assets, "study"))
 
 
 @query("forecast_gates", keys="model", others="c1 c2 c3 c4 c5 c6 verdict")

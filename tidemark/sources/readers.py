@@ -120,7 +120,7 @@ def trades_zip(spark: SparkSession, path: str) -> DataFrame:
 
 def log_metrics(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """file and one number for each pattern's first group, from whole text logs."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return rows.select("file", *(F.when(F.col("value").rlike(p), F.regexp_extract("value", p, 1)).try_cast("double").alias(k) for k, p in patterns.items()))
 
 
