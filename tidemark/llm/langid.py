@@ -21,13 +21,13 @@ columns pass through (those named like the added ones are replaced).
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ from tidemark.llm.common import made, map_batches, sampled, share, spans_of_rows
 from tidemark.llm.words import mix
 
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START, END = "\x02", "\x03"
 _FACTORS = np.random.default_rng(20240609).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A text is rejected if it has at least LEAST_EVENTS and its entropy is over SLACK times what 99.9 % of unseen labelled texts stay under.
