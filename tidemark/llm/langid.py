@@ -39,7 +39,9 @@ _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START, END = "\x02", "\x03"
 _FACTORS = np.random.default_rng(20240609).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A text is rejected if it has at least LEAST_EVENTS and its entropy is over SLACK times what 99.9 % of unseen labelled texts stay under.
-LEAST_EVENTS, SLACK = 40, 1.5
+LEAST_EVENTS, SLACK = 40, 2.0
+#: Signs among which the chance of one never seen is spread: letters of other scripts cost what they are worth.
+ALPHABET = 1 << 16
 #: Distinct tokens whose scores a task keeps.
 KEPT_TOKENS = 100_000
 
@@ -113,7 +115,7 @@ def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float)
 
 def kneser_ney(counts: dict[str, int], order: int, signs: int) -> tuple[list[dict[str, float]], list[dict[str, float]], float]:
     """Log-probabilities of all n-grams by order and log back-off weights of contexts by length, from the counts
-    of maximal n-grams: those of `order` signs, and shorter ones that begin a word. signs: of the alphabet."""
+    of maximal n-grams: those of `order` signs, and shorter ones that begin a word. signs: in the alphabet."""
     level: list[dict[str, int]] = [defaultdict(int) for _ in range(order + 1)]
     for gram, n in counts.items():
         level[len(gram)][gram] += n
@@ -148,8 +150,7 @@ def kneser_ney(counts: dict[str, int], order: int, signs: int) -> tuple[list[dic
 def build(counts: dict[str, dict[str, int]], order: int) -> Model:
     """Model from the counts of maximal n-grams of each language."""
     languages = sorted(counts)
-    signs = len({g[-1] for c in counts.values() for g in c}) + 1
-    made = [kneser_ney(counts[x], order, signs) for x in languages]
+    made = [kneser_ney(counts[x], order, ALPHABET) for x in languages]
 
     def table(parts: list[dict[str, float]], missing: float) -> tuple[np.ndarray, np.ndarray]:
         keys = sorted({g for p in parts for g in p})
