@@ -270,8 +270,8 @@ def test_lab_runs_and_ids_are_stable(spark):
     assert lab.sample(6, 1) == genomes and lab.genome_id(genomes[0]) == lab.genome_id(dict(reversed(genomes[0].items())))
     child = lab.crossover(lab.mutate(genomes[0], 2), genomes[1], 3)
     assert child["fast"] <= child["slow"] and len(lab.perturb(genomes[0])) == 6 and lab.complexity(genomes[0]) == 5
-    metrics, tr = lab.screen(frame(spark, walk(300)), lab.table(spark, genomes))
-    out = lab.funnel(metrics, tr, least_trades=1)
+    metrics, tr, pos = lab.screen(frame(spark, walk(300)), lab.table(spark, genomes))
+    out = lab.funnel(metrics, tr, pos, lab.stability(frame(spark, walk(300)), genomes, metrics), least_trades=1)
     assert out.count() == len({lab.genome_id(g) for g in genomes})
     assert lab.family_summary(out, lab.table(spark, genomes)).agg(F.sum("n")).first()[0] == out.count()
 
@@ -303,3 +303,30 @@ def test_reports(spark):
     assert reports.weeks_beating(p, 24).count() == 2 and reports.error_histogram(p).agg(F.sum("n")).first()[0] == 48
     assert reports.latest_each(p, BASE + 60 * HOUR_MS).first()["regime"] == "unknown"
     assert reports.markdown(reports.status(p)).count("\n") == 2
+
+
+def test_paper_broker_books_both_sides(spark):
+    rows = [("x", 0, 10.0, 1), ("x", 1, 12.0, 1), ("x", 2, 12.0, -1), ("x", 3, 9.0, -1), ("x", 4, 1e9, 1)]
+    df = spark.createDataFrame(rows, "asset string, ts long, close double, signal int").withColumn("quantity", F.lit(1.0))
+    got = pandas(sim.paper_broker(df, 100.0, 0.0, 0.0))
+    assert got["action"].tolist() == ["OPEN", "CLOSE", "OPEN", "CLOSE", "REJECTED"] and got["value"][1] == 102.0
+
+
+def test_roi_exits_and_risk(spark):
+    pdf = walk(8)
+    pdf["close"] = [100.0, 101, 103, 108, 109, 110, 111, 112]
+    pdf["open"], pdf["high"], pdf["low"] = pdf["close"], pdf["close"], pdf["close"]
+    df = frame(spark, pdf).withColumns({"entry": F.col("close") == 101, "exit": F.lit(False), "stop": F.lit(0.5)})
+    assert sim.stopped(df, 0.0, roi={0: 0.5, 2: 0.05}).first()["reason"] == "roi"
+    row = spark.createDataFrame([("LONG", 10, 1.0, 0.0, 0.0, 0.0, 0, 9)], "side string, ts long, equity double, exposure double, drawdown double, daily_pnl double, open_positions int, last_ts long")
+    assert gates.risk_checks(row).first()["reason"] == "COOLDOWN"
+    assert gates.lock({"a": 1, "b": 2}) == gates.lock({"b": 2, "a": 1})
+    assert len(gates.envelope(row, {}).first()["rows"]) == 1
+
+
+def test_targets_and_config(spark):
+    df = frame(spark, walk(30))
+    assert evaluate.targets(df, evaluate.Config(context=10, most=5)).count() == 5
+    assert evaluate.targets(df, evaluate.Config(context=10, end_ms=BASE + 12 * HOUR_MS)).count() == 3
+    with pytest.raises(ValueError):
+        evaluate.Config(horizon=0)

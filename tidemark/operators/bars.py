@@ -41,10 +41,13 @@ def drop_newest(bars: DataFrame) -> DataFrame:
     return bars.withColumn("_n", newest).filter("ts < _n").drop("_n")
 
 
-def latest(bars: DataFrame, n: int) -> DataFrame:
-    """The newest n bars of each asset."""
+def latest(bars: DataFrame, n: int, least: int = 0) -> DataFrame:
+    """The newest n bars of each asset; with `least`, of those assets that have so many."""
     at = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("ts")))
-    return bars.withColumn("_r", at).filter(F.col("_r") <= n).drop("_r")
+    rows = bars.withColumn("_r", at)
+    if least:
+        rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("asset"))).filter(F.col("_n") >= least).drop("_n")
+    return rows.filter(F.col("_r") <= n).drop("_r")
 
 
 def dense_grid(bars: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,65 @@ from tidemark.functions import ts as t
 from tidemark.operators.stats import pearson
 
 
+@dataclass(frozen=True)
+class Config:
+    """Settings of an evaluation; invalid ones raise."""
+
+    context: int = 512
+    horizon: int = 1
+    flat: float = 0.0005
+    window: int = 1000
+    most: int | None = None
+    start_ms: int | None = None
+    end_ms: int | None = None
+
+    def __post_init__(self) -> None:
+        for name in ("context", "horizon", "window"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be 1 or more")
+        if self.flat < 0 or (self.most is not None and self.most < 1):
+            raise ValueError("flat must not be negative, most must be 1 or more")
+
+
+def targets(df: DataFrame, config: Config, by: tuple[str, ...] = t.BY) -> DataFrame:
+    """Rows to predict: within the bounds of time, with a whole context before them, the newest `most` of each series."""
+    whole = Window.partitionBy(*by)
+    rows = df.withColumn("_p", F.row_number().over(whole.orderBy("ts"))).filter(F.col("_p") > config.context)
+    if config.start_ms is not None:
+        rows = rows.filter(F.col("ts") >= config.start_ms)
+    if config.end_ms is not None:
+        rows = rows.filter(F.col("ts") <= config.end_ms)
+    if config.most is not None:
+        rows = rows.withColumn("_q", F.row_number().over(whole.orderBy(F.desc("ts")))).filter(F.col("_q") <= config.most).drop("_q")
+    return rows.drop("_p")
+
+
+def predict_with(df: DataFrame, columns: list[str], context: int, predictor, by: tuple[str, ...] = t.BY) -> DataFrame:
+    """df with predicted: predictor(array of shape (rows, context, columns)) over each row's past `context` rows, in batches; NULL without a whole context."""
+    past = F.collect_list(F.array(*(F.col(c).cast("double") for c in columns))).over(t.frame(-context, -1, by))
+
+    @F.pandas_udf("double")
+    def run(contexts: pd.Series) -> pd.Series:
+        out = np.full(len(contexts), np.nan)
+        full = [i for i, c in enumerate(contexts) if len(c) == context]
+        if full:
+            out[full] = predictor(np.array([np.stack(contexts.iloc[i]) for i in full], float))
+        return pd.Series(out).where(~np.isnan(out), None)
+
+    return df.withColumn("predicted", run(past))
+
+
+def target_metrics(rows: DataFrame, actual: str, predicted: str, by: list[str], volatility: str | None = None, horizon: int = 1) -> DataFrame:
+    """n, mae, rmse and correlation of a target, in units of volatility * sqrt(horizon) if a volatility is named."""
+    own = rows.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
+    if volatility:
+        own = own.filter(F.col(volatility) > 1e-12)
+    scale = F.col(volatility) * float(horizon) ** 0.5 if volatility else F.lit(1.0)
+    own = own.withColumns({"_a": F.col(actual) / scale, "_p": F.col(predicted) / scale})
+    e = F.col("_p") - F.col("_a")
+    return own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), pearson("_p", "_a").alias("correlation"))
+
+
 def chrono_split(df: DataFrame, shares: tuple[float, ...] = (0.6, 0.2, 0.2), names: tuple[str, ...] = ("train", "validation", "test"), by: tuple[str, ...] = t.BY) -> DataFrame:
     """df with split, by place in time: each bound is the whole number of rows under the cumulated share."""
     whole = Window.partitionBy(*by)

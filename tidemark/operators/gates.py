@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,32 @@ def portfolio_gates(candidate: DataFrame, baseline: DataFrame, key: list[str]) -
     })
 
 
+def risk_checks(orders: DataFrame, max_drawdown: float = 0.2, max_daily_loss: float = 0.05, max_positions: int = 3, max_exposure: float = 1.0, cooldown_ms: int = 3_600_000) -> DataFrame:
+    """orders (side, ts, equity, exposure, drawdown, daily_pnl, open_positions, last_ts) with reason: the first rule that holds one back, or APPROVED."""
+    c = F.col
+    return orders.withColumn("reason", F.when(c("side") == "HOLD", "HOLD").when(c("equity") <= 0, "INSUFFICIENT_BALANCE").when(c("drawdown") >= max_drawdown, "MAX_DRAWDOWN").when(c("daily_pnl") <= -c("equity") * max_daily_loss, "MAX_DAILY_LOSS").when(c("open_positions") >= max_positions, "MAX_POSITIONS").when(c("exposure") >= max_exposure, "MAX_EXPOSURE").when(c("last_ts").isNotNull() & (c("ts") - c("last_ts") < cooldown_ms), "COOLDOWN").otherwise("APPROVED"))
+
+
+def sweep_gates(sweep: DataFrame, best: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """asset and gates of its best multiplier against multiplier 0: better Sharpe ratio, better mean, better win rate, enough trades, profit, significance."""
+    base = sweep.filter("multiplier = 0").select("asset", *(F.col(c).alias(f"base_{c}") for c in ("sharpe", "mean_pnl", "win_rate")))
+    rows = sweep.join(best, ["asset", "multiplier"]).join(base, "asset")
+    return gate(rows, {
+        "G1": F.col("sharpe") > F.col("base_sharpe"), "G2": F.col("mean_pnl") > F.col("base_mean_pnl"), "G3": F.col("win_rate") >= F.col("base_win_rate"),
+        "G4": F.col("n") >= 30, "G5": F.col("profit_factor") > 1, "G6": F.abs("t_stat") > 1.96 if alpha == 0.05 else F.lit(False),
+    })
+
+
+def lock(result: dict) -> str:
+    """SHA-256 of a result's JSON with sorted keys: stored beside a frozen result and compared before it is replaced."""
+    return hashlib.sha256(json.dumps(result, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
+def envelope(rows: DataFrame, config: dict) -> DataFrame:
+    """One row: the rows as a sorted array of JSON, and the hash of the settings they were made with. rows must be a short report."""
+    return rows.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*rows.columns)))).alias("rows")).withColumn("config_hash", F.lit(lock(config)))
+
+
 def progress(history: DataFrame, now_ms: int, days: int = 30) -> DataFrame:
     """asset, day (from 1, since the oldest row), progress_pct."""
     day = F.floor((F.lit(now_ms) - F.min("ts")) / 86_400_000.0) + 1

@@ -111,8 +111,8 @@ def signals(bars: DataFrame, genomes: DataFrame, widths: tuple[int, ...] = WIDTH
     return both.select("genome_id", "family", "hold", "asset", "ts", "close", t.true(long).alias("long_entry"), t.true(short).alias("short_entry"), F.lit(False).alias("long_exit"), F.lit(False).alias("short_exit"))
 
 
-def run_positions(signal_rows: DataFrame) -> DataFrame:
-    """signal rows with position; each (genome, asset) series holds for its own number of bars."""
+def run_positions(signal_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """signal rows with position; each series (of a genome and asset) holds for its own number of bars."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts").reset_index(drop=True)
@@ -120,28 +120,67 @@ def run_positions(signal_rows: DataFrame) -> DataFrame:
         return pdf.assign(position=sim.positions(*flags, int(pdf["hold"].iloc[0])).astype(np.int32))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in signal_rows.schema.fields)
-    return signal_rows.groupBy("genome_id", "asset").applyInPandas(run, f"{schema}, position int")
+    return signal_rows.groupBy(*(by or ["genome_id", "asset"])).applyInPandas(run, f"{schema}, position int")
 
 
-def screen(bars: DataFrame, genomes: DataFrame, cost: float = 0.001) -> tuple[DataFrame, DataFrame]:
-    """(metrics, trades) of each genome and asset."""
-    by = ["genome_id", "asset"]
-    pos = run_positions(signals(bars, genomes))
-    tr = sim.trades(pos, by, cost)
-    metrics = sim.equity_metrics(sim.equity(pos, cost, by), by)
-    return metrics.join(tr.groupBy(*by).agg(F.count(F.lit(1)).alias("n_trades")), by, "left").withColumn("n_trades", F.coalesce("n_trades", F.lit(0))), tr
+#: Thresholds of the five gates (fixed values). Costs are a share of the price for each side, fee and slippage together.
+GATES = {
+    "least_trades": 50, "least_profit_factor": 1.05, "deepest": -0.5, "cost": 0.0015, "oos_share": 0.4, "oos_blocks": 3, "oos_positive": 2, "oos_sharpe": 0.0,
+    "most_single": 0.2, "most_top5": 0.6, "stress": (0.0015, 0.003, 0.005), "levels": (0.1, 0.2), "runs": 5, "most_degradation": 0.3,
+}
 
 
-def funnel(metrics: DataFrame, trades: DataFrame, least_trades: int = 30, least_sharpe: float = 0.0, deepest: float = -0.5, most_top5: float = 0.6, stress: tuple[float, ...] = (0.0005, 0.001, 0.002)) -> DataFrame:
-    """metrics with failed_at: the first gate that a genome fails (screening, concentration, cost stress), NULL for survivors."""
+def screen(bars: DataFrame, genomes: DataFrame, cost: float = GATES["cost"]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(metrics, trades, positions) of each genome and asset. Positions are kept, since every gate reads them; unpersist() them when done."""
     by = ["genome_id", "asset"]
-    conc = sim.concentration(trades, by).select(*by, "top5_share")
-    costs = trades.groupBy(*by).agg(*(F.sum(F.col("pnl") - 2 * c).alias(f"net_{i}") for i, c in enumerate(stress)))
-    rows = metrics.join(conc, by, "left").join(costs, by, "left")
-    survive = sum((F.coalesce((F.col(f"net_{i}") > 0).cast("int"), F.lit(0)) for i in range(len(stress))), F.lit(0))
-    return rows.withColumn("cost_levels_survived", survive).withColumn("failed_at", s.first_failing([
-        ("trades", F.col("n_trades") >= least_trades), ("sharpe", F.col("sharpe") > least_sharpe), ("drawdown", F.col("max_drawdown") >= deepest),
-        ("concentration", F.coalesce(F.col("top5_share"), F.lit(1.0)) <= most_top5), ("cost_stress", F.col("cost_levels_survived") == len(stress)),
+    pos = run_positions(signals(bars, genomes)).persist()
+    tr = sim.trades(pos, by, cost)
+    of_trades = tr.groupBy(*by).agg(F.count(F.lit(1)).alias("n_trades"), F.try_divide(F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), F.sum(F.when(F.col("pnl") < 0, -F.col("pnl")))).alias("trade_profit_factor"))
+    metrics = sim.equity_metrics(sim.equity(pos, cost, by), by).join(of_trades, by, "left")
+    return metrics.withColumn("n_trades", F.coalesce("n_trades", F.lit(0))), tr, pos
+
+
+def out_of_sample(pos: DataFrame, share: float = GATES["oos_share"], n: int = GATES["oos_blocks"], cost: float = GATES["cost"]) -> DataFrame:
+    """genome_id, asset, oos_sharpe (mean over blocks of the last share of bars) and positive_blocks; each block starts flat."""
+    from tidemark.operators.evaluate import tail_blocks
+
+    by = ["genome_id", "asset", "block"]
+    cut = tail_blocks(pos.drop("position"), share, n, ("genome_id", "asset")).withColumn("block", F.col("block").cast("int"))
+    m = sim.equity_metrics(sim.equity(run_positions(cut, by), cost, by), by)
+    sharpe = F.coalesce("sharpe", F.lit(0.0))
+    return m.groupBy("genome_id", "asset").agg(F.avg(sharpe).alias("oos_sharpe"), F.count_if(sharpe > 0).alias("positive_blocks"))
+
+
+def cost_curve(pos: DataFrame, costs: tuple[float, ...] = GATES["stress"], by: tuple[str, ...] = ("genome_id", "asset")) -> DataFrame:
+    """by, cost, total_return: the same positions under each cost a side, in one pass."""
+    rows = pos.withColumn("cost", F.explode(F.array(*(F.lit(float(c)) for c in costs))))
+    keys = [*by, "cost"]
+    return sim.equity_metrics(sim.equity(rows, F.col("cost"), keys), keys).select(*keys, "total_return")
+
+
+def stability(bars: DataFrame, genomes: list[dict], metrics: DataFrame, seed: int = 0, cost: float = GATES["cost"]) -> DataFrame:
+    """genome_id, asset, stability_score: the share of perturbed variants whose Sharpe ratio falls by at most the allowed share."""
+    spark = bars.sparkSession
+    variants = [(genome_id(g), v) for g in genomes for v in perturb(g, GATES["levels"], GATES["runs"], seed)]
+    family = spark.createDataFrame([(parent, genome_id({k: x for k, x in v.items() if k not in ("level", "run")}), i) for i, (parent, v) in enumerate(variants)], "parent string, variant string, n int")
+    tried, _, _ = screen(bars, table(spark, [{k: x for k, x in v.items() if k not in ("level", "run")} for _, v in variants]), cost)
+    rows = family.join(tried.select(F.col("genome_id").alias("variant"), "asset", F.col("sharpe").alias("_s"), "n_trades"), "variant").join(metrics.select(F.col("genome_id").alias("parent"), "asset", F.coalesce("sharpe", F.lit(0.0)).alias("_b")), ["parent", "asset"])
+    ok = (F.col("n_trades") > 0) & F.when(F.col("_b") <= 0, F.col("_s") > F.col("_b")).otherwise((F.col("_b") - F.col("_s")) / F.abs("_b") <= GATES["most_degradation"])
+    return rows.groupBy(F.col("parent").alias("genome_id"), "asset").agg(F.avg(F.coalesce(ok, F.lit(False)).cast("double")).alias("stability_score"))
+
+
+def funnel(metrics: DataFrame, trades: DataFrame, pos: DataFrame, stable: DataFrame | None = None, **limits) -> DataFrame:
+    """metrics with failed_at: the first of the gates (screening, walk_forward, concentration, cost_stress, stability) that a genome fails, NULL for survivors."""
+    g, by = GATES | limits, ["genome_id", "asset"]
+    conc = sim.concentration(trades, by).select(*by, "total", "top1_share", "top5_share")
+    costs = cost_curve(pos, g["stress"]).groupBy(*by).agg(F.count_if(F.col("total_return") > 0).alias("costs_survived"))
+    rows = metrics.join(out_of_sample(pos, g["oos_share"], g["oos_blocks"], g["cost"]), by, "left").join(conc, by, "left").join(costs, by, "left")
+    rows = rows.join(stable, by, "left") if stable is not None else rows.withColumn("stability_score", F.lit(1.0))
+    return rows.withColumn("failed_at", s.first_failing([
+        ("screening", (F.col("n_trades") >= g["least_trades"]) & (F.col("trade_profit_factor") >= g["least_profit_factor"]) & (F.col("max_drawdown") >= g["deepest"])),
+        ("walk_forward", (F.col("oos_sharpe") > g["oos_sharpe"]) & (F.col("positive_blocks") >= g["oos_positive"])),
+        ("concentration", (F.col("total") > 0) & (F.col("top1_share") <= g["most_single"]) & (F.col("top5_share") <= g["most_top5"])),
+        ("cost_stress", F.col("costs_survived") > len(g["stress"]) // 2), ("stability", F.col("stability_score") > 0.5),
     ]))
 
 

@@ -93,6 +93,26 @@ def walk_exact(df: DataFrame, y: str, xs: list[str], window: int | None = None,
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
+def walk_model(df: DataFrame, features: list[str], y: str, fit, every: int = 100, least: int = 500, by: tuple[str, ...] = t.BY) -> DataFrame:
+    """df with forecast by any model: fit(x, y) returns a function of x; it is called anew after every `every` rows on the complete rows before.
+
+    fit is a plain Python callable (trees, neighbours and so on) and runs once a series and refit."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", forecast double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts").reset_index(drop=True)
+        x, v = pdf[features].to_numpy(float), pdf[y].to_numpy(float)
+        ok, out = ~np.isnan(x).any(1), np.full(len(pdf), np.nan)
+        for a in range(least, len(pdf), every):
+            past = np.flatnonzero(ok[:a] & ~np.isnan(v[:a]))
+            rows = np.flatnonzero(ok[a : a + every]) + a
+            if len(past) and len(rows):
+                out[rows] = fit(x[past], v[past])(x[rows])
+        return pdf.assign(forecast=pd.Series(out).where(~np.isnan(out), None))
+
+    return df.groupBy(*by).applyInPandas(run, schema)
+
+
 def hedge_ratio(df: DataFrame, y: str, x: str, window: int, shift: int = 1, by: tuple[str, ...] = t.BY) -> Column:
     """Covariance over variance of x, over a past window."""
     w = t.frame(-window - shift + 1, -shift, by)

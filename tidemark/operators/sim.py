@@ -75,11 +75,12 @@ def trades(df: DataFrame, by: list[str] | None = None, cost: float = 0.001) -> D
     return runs.filter(F.col("exit_ts").isNotNull()).withColumn("pnl", gross - 2 * cost)
 
 
-def equity(df: DataFrame, cost: float = 0.001, by: list[str] | None = None) -> DataFrame:
+def equity(df: DataFrame, cost: float | Column = 0.001, by: list[str] | None = None) -> DataFrame:
     """df (position, close) with ret (net return of each bar) and equity (its product), by windows alone."""
     w = Window.partitionBy(*(by or ["asset"])).orderBy("ts")
     held = F.coalesce(F.lag("position").over(w), F.lit(0))
     move = F.coalesce(F.try_divide("close", F.lag("close").over(w)) - 1, F.lit(0.0))
+    cost = cost if isinstance(cost, Column) else F.lit(cost)
     own = df.withColumn("ret", held * move - cost * F.abs(F.col("position") - held))
     growth = F.sum(F.log(F.greatest(1 + F.col("ret"), F.lit(1e-12)))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return own.withColumn("equity", F.exp(growth))
@@ -146,11 +147,12 @@ def all_in(df: DataFrame, cash: float = 10_000.0, fee: float = 0.001, slippage:
     return _grouped(df, by or ["asset"], run, "units double, cash double, value double")
 
 
-def stopped(df: DataFrame, fee: float = 0.001, by: list[str] | None = None) -> DataFrame:
+def stopped(df: DataFrame, fee: float = 0.001, by: list[str] | None = None, roi: dict[int, float] | None = None) -> DataFrame:
     """Trades of entry and exit signals with a stop of `stop` (share of the entry price) for each bar.
 
     Fills are at the close of the signal's bar; a low under the stop fills at the stop (or the open, if that is lower). An opposite
-    or repeated entry is ignored; the last open trade is closed at the last bar."""
+    or repeated entry is ignored; the last open trade is closed at the last bar. roi: the least profit at which a trade
+    is taken at the close, by the bars that it has been held (the latest entry that applies counts)."""
     by = by or ["asset"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +163,8 @@ def stopped(df: DataFrame, fee: float = 0.001, by: list[str] | None = None) -> D
         for i in range(len(pdf)):
             if at >= 0:
                 limit = c[at] * (1 - stop[at])
-                price, why = (min(limit, o[i]), "stop") if lo[i] <= limit else (c[i], "exit") if x[i] else (c[i], "end") if i == len(pdf) - 1 else (None, "")
+                enough = next((v for k, v in sorted((roi or {}).items(), reverse=True) if i - at >= k), None)
+                price, why = (min(limit, o[i]), "stop") if lo[i] <= limit else (c[i], "roi") if enough is not None and c[i] / c[at] - 1 >= enough else (c[i], "exit") if x[i] else (c[i], "end") if i == len(pdf) - 1 else (None, "")
                 if price is not None:
                     rows.append((int(ts[at]), int(ts[i]), float(c[at]), float(price), why, float(price * (1 - fee) / (c[at] * (1 + fee)) - 1)))
                     at = -1
@@ -176,6 +179,39 @@ def stopped(df: DataFrame, fee: float = 0.001, by: list[str] | None = None) -> D
     return df.groupBy(*by).applyInPandas(run, f"{keys}, entry_ts long, exit_ts long, entry_price double, exit_price double, reason string, pnl double")
 
 
+def paper_broker(df: DataFrame, capital: float = 100.0, fee: float = 0.001, slippage: float = 0.001, by: list[str] | None = None) -> DataFrame:
+    """df (close, signal: 1, -1 or 0, quantity) with action, pnl, cash and value of an account that needs the full notional for either side.
+
+    A signal opens a position where there is none and closes it where there is one, at the close and with slippage against the
+    side. Proceeds of a sale stay collateral. A position that the cash can't cover is rejected."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cash, held, rows = capital, None, []
+        for p, s, q in zip(pdf["close"].to_numpy(float), pdf["signal"].fillna(0).to_numpy(int), pdf["quantity"].to_numpy(float)):
+            action, pnl = "", None
+            if s:
+                fill = p * (1 + slippage * s)
+                if held is None:
+                    cost = fill * q
+                    if cost * (1 + fee) > cash:
+                        action = "REJECTED"
+                    else:
+                        cash -= cost * fee + (cost if s > 0 else 0)
+                        held, action = (s, q, fill, cost * fee, cost), "OPEN"
+                else:
+                    # the closing fill is that of the signal's own side
+                    side, size, entry, paid, collateral = held
+                    cost = fill * q
+                    pnl = (fill - entry) * size * side - cost * fee - paid
+                    cash += cost * (1 - fee) if side > 0 else collateral + pnl
+                    held, action = None, "CLOSE"
+            value = cash if held is None else cash + (held[1] * p if held[0] > 0 else held[4] + (held[2] - p) * held[1])
+            rows.append((action, pnl, cash, value))
+        return pdf.assign(**dict(zip(("action", "pnl", "cash", "value"), map(list, zip(*rows))))) if rows else pdf
+
+    return _grouped(df, by or ["asset"], run, "action string, pnl double, cash double, value double")
+
+
 def two_leg(df: DataFrame, cost: float = 0.0015, by: list[str] | None = None) -> DataFrame:
     """Trades of a spread (long a_close, short b_close): signals act one bar later; a trade pays cost on four legs."""
     by = by or ["asset"]

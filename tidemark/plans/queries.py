@@ -742,11 +742,77 @@ def _(spark, d):
     return lab.stop_sweep(rows, [0, 0.5, 1, 1.5, 2, 3], "m5")
 
 
-@query("lab_funnel", keys="genome_id asset", floats="sharpe total_return", others="failed_at n_trades")
+@query("lab_funnel", keys="genome_id asset", floats="sharpe total_return oos_sharpe", others="failed_at n_trades")
 def _(spark, d):
     genomes = lab.table(spark, lab.sample(24, 3))
-    metrics, tr = lab.screen(v.bars_1d(spark, d), genomes)
-    return lab.funnel(metrics, tr)
+    return lab.funnel(*lab.screen(v.bars_1d(spark, d), genomes))
+
+
+@query("lab_stability", keys="genome_id asset", floats="stability_score")
+def _(spark, d):
+    genomes, bars = lab.sample(4, 3), v.bars_1d(spark, d)
+    return lab.stability(bars, genomes, lab.screen(bars, lab.table(spark, genomes))[0])
+
+
+_HELD = "coalesce(lag(position) OVER (PARTITION BY asset ORDER BY ts), 0)"
+_CURVE = (
+    EQUITY.split(", eq AS (")[0]
+    + f", moves AS (SELECT asset, ts, {_HELD} * coalesce(close / nullif({lag('close')}, 0) - 1, 0) AS gross, abs(position - {_HELD}) AS traded FROM pos), "
+    + f"eq AS (SELECT asset, ts, cost, exp(sum(ln(greatest(1 + gross - cost * traded, 1e-12))) OVER {win('UNBOUNDED PRECEDING', by='asset, cost')}) AS equity FROM moves CROSS JOIN (VALUES (0.0005), (0.002), (0.01)) AS t(cost))"
+)
+
+
+@query("cost_curve", "SELECT asset, cost, arg_max(equity, ts) - 1 AS total_return FROM eq GROUP BY asset, cost", v.BARS_1D, _CURVE, keys="asset", floats="cost total_return")
+def _(spark, d):
+    return lab.cost_curve(_trend(spark, d), (0.0005, 0.002, 0.01), ("asset",))
+
+
+@query("paper_broker", floats="cash value pnl", others="action")
+def _(spark, d):
+    rows = v.bars_1d(spark, d).withColumn("signal", F.signum(sg.zscore("close", 20)).cast("int")).withColumn("quantity", F.lit(0.0005))
+    return sim.paper_broker(rows)
+
+
+@query("stop_with_roi", keys="asset entry_ts", floats="pnl", others="exit_ts reason")
+def _(spark, d):
+    rows = v.bars_1d(spark, d).withColumns({"entry": sg.breakout_entry(times=1.1), "exit": sg.channel_exit(), "stop": F.lit(0.2)})
+    return sim.stopped(rows, roi={0: 0.5, 3: 0.2, 10: 0.05})
+
+
+@query("target_metrics", f"SELECT asset, count(*) AS n, avg(abs(prev / sc - ret / sc)) AS mae, sqrt(avg((prev / sc - ret / sc) ** 2)) AS rmse, corr(prev / sc, ret / sc) AS correlation FROM (SELECT *, {roll(SDP, 'ret', 20, 1)} AS sc FROM rp) WHERE ret IS NOT NULL AND prev IS NOT NULL AND sc > 1e-12 GROUP BY asset", v.BARS_1D, RET, keys="asset", floats="mae rmse correlation", others="n")
+def _(spark, d):
+    rows = _daily_returns(spark, d).withColumn("vol", t.std_pop("ret", 20, 1))
+    return ev.target_metrics(rows, "ret", "prev", ["asset"], "vol")
+
+
+@query("context_predictor", f"SELECT asset, ts, {roll(MEAN, 'close', 8, 1)} AS predicted FROM d", v.BARS_1D, floats="predicted")
+def _(spark, d):
+    return ev.predict_with(v.bars_1d(spark, d), ["close"], 8, lambda x: x[:, :, 0].mean(1))
+
+
+@query("walk_model", floats="forecast")
+def _(spark, d):
+    import numpy as np
+
+    def nearest(x, y):
+        scale = x.std(0) + 1e-12
+        return lambda q: np.array([y[np.argsort((((x - r) / scale) ** 2).sum(1))[:25]].mean() for r in q])
+
+    own = fc.har_terms(fc.ranges(v.bars_1d(spark, d)))
+    return ols.walk_model(own, ["m1", "m5", "m22"], "range", nearest, 200, 500).filter("forecast IS NOT NULL")
+
+
+@query("risk_checks", "SELECT asset, ts, CASE WHEN side = 'HOLD' THEN 'HOLD' WHEN drawdown >= 0.2 THEN 'MAX_DRAWDOWN' WHEN ret <= -0.05 THEN 'MAX_DAILY_LOSS' ELSE 'APPROVED' END AS reason FROM (SELECT asset, ts, ret, CASE WHEN ret > 0 THEN 'LONG' ELSE 'HOLD' END AS side, 0.1 AS drawdown FROM ra WHERE ret IS NOT NULL)", v.BARS_1D, RET, others="reason")
+def _(spark, d):
+    rows = _daily_returns(spark, d).filter("ret IS NOT NULL").withColumns({"side": F.when(F.col("ret") > 0, "LONG").otherwise("HOLD"), "equity": F.lit(1.0), "exposure": F.lit(0.0), "drawdown": F.lit(0.1), "daily_pnl": F.col("ret"), "open_positions": F.lit(0), "last_ts": F.lit(None).cast("long")})
+    return gates.risk_checks(rows)
+
+
+@query("sweep_gates", keys="asset multiplier", others="G1 G2 G3 G4 G5 G6 passed verdict")
+def _(spark, d):
+    rows = fc.ranges(v.bars_1d(spark, d)).withColumns({"entry": sg.breakout_entry(times=1.1), "exit": sg.channel_exit(), "m5": t.mean("range", 5, 1)})
+    sweep = lab.stop_sweep(rows, [0, 0.5, 1, 1.5, 2, 3], "m5")
+    return gates.sweep_gates(sweep, sweep.filter("multiplier = 1").select("asset", "multiplier"))
 
 
 # Statistics ---------------------------------------------------------------------------------------------

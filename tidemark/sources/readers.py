@@ -86,6 +86,30 @@ def funding_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("asset", F.explode("events").alias("e")).select("asset", "e.ts", "e.rate").dropDuplicates(["asset", "ts"])
 
 
+def funding_csv(spark: SparkSession, path: str, asset: str) -> DataFrame:
+    """Settlement events of a CSV with ts (epoch ms) and rate; the last row of a time stays."""
+    rows = spark.read.schema("ts string, rate string").option("header", True).csv(path).select(F.lit(asset).alias("asset"), F.col("ts").try_cast("long").alias("ts"), F.col("rate").try_cast("double").alias("rate"), F.monotonically_increasing_id().alias("seq"))
+    return dedup(rows.dropna(subset=["ts", "rate"]), ["asset", "ts"], "seq").drop("seq")
+
+
+def basis(premium: DataFrame) -> DataFrame:
+    """Snapshots (mark, index) with basis: mark / index - 1."""
+    return premium.withColumn("basis", F.try_divide("mark", "index") - 1)
+
+
+def previous_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of a JSON-lines result, None where there is none yet."""
+    return spark.read.json(path) if first_existing(spark, [path]) else None
+
+
+def catalog(spark: SparkSession, table: str) -> dict | None:
+    """Columns, schema text and rows of a catalog table, None if it doesn't exist."""
+    if not spark.catalog.tableExists(table):
+        return None
+    df = spark.table(table)
+    return {"columns": df.columns, "schema": df.schema.simpleString(), "rows": df.count()}
+
+
 def forward_returns_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FORWARD_RETURNS).option("header", True).csv(path)
 
