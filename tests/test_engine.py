@@ -107,7 +107,7 @@ def test_interval_mean_is_open_at_the_left_and_goes_stale(spark):
 def test_moving_least_squares_equals_lstsq(spark):
     pdf = pd.concat([walk(150, "x"), walk(120, "y", 9)])
     own = forecast.har_terms(forecast.ranges(frame(spark, pdf)))
-    for window in (None, 60):
+    for window in (None, 60, 90):
         a = pandas(ols.walk(own, "range", ["m1", "m5", "m22"], window))
         b = pandas(ols.walk_exact(own, "range", ["m1", "m5", "m22"], window))
         close_to(a["forecast"], b["forecast"], 1e-6)

@@ -48,14 +48,22 @@ def asof_lagged(left: DataFrame, right: DataFrame, value: str, by: list[str] = B
 
 
 def interval_mean(left: DataFrame, right: DataFrame, value: str, window_ms: int, stale_ms: int | None = None, by: list[str] = BY, name: str | None = None) -> DataFrame:
-    """left with the mean, mean size and count of right values in (ts - window_ms, ts]; NULL if the newest is older than stale_ms."""
+    """left with the mean, mean size and count of right values in (ts - window_ms, ts]; NULL if the newest is older than stale_ms.
+
+    Running sums at both ends of each interval are subtracted, so the cost doesn't grow with what an interval holds."""
     name = name or f"{value}_mean"
-    rows = _united(left, right, by, [value])
-    w = Window.partitionBy(*by).orderBy("ts").rangeBetween(-window_ms + 1, 0)
-    newest = F.last("_right._ts", ignorenulls=True).over(Window.partitionBy(*by).orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    found = rows.withColumn("_mean", F.avg(F.col("_right")[value]).over(w)).withColumn("_abs", F.avg(F.abs(F.col("_right")[value])).over(w)).withColumn("_n", F.count(F.col("_right")[value]).over(w)).withColumn("_newest", newest).filter("_side = 1")
+    v = F.col("_right")[value]
+    begins = left.select(*by, "ts").distinct().select(*by, (F.col("ts") - window_ms).alias("ts"), F.lit(2).alias("_side"), F.col("ts").alias("_of"))
+    rows = _united(left, right, by, [value]).unionByName(begins, allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    run = rows.withColumns({"_s": zero(F.sum(v).over(w)), "_a": zero(F.sum(F.abs(v)).over(w)), "_n": F.count(v).over(w), "_newest": F.last("_right._ts", ignorenulls=True).over(w)})
+    starts = run.filter("_side = 2").select(*by, F.col("_of").alias("ts"), *(F.col(c).alias(f"{c}0") for c in ("_s", "_a", "_n")))
+    both = run.filter("_side = 1").join(starts, [*by, "ts"])
+    n = F.col("_n") - F.col("_n0")
     fresh = F.lit(True) if stale_ms is None else F.col("ts") - F.col("_newest") <= stale_ms
-    return found.select("_left.*", F.when(fresh, F.col("_mean")).alias(name), F.when(fresh, F.col("_abs")).alias(f"abs_{name}"), F.col("_n").alias(f"{name}_n"))
+    mean = lambda c: F.when(fresh & (n > 0), F.try_divide(F.col(c) - F.col(f"{c}0"), n))
+    return both.select("_left.*", mean("_s").alias(name), mean("_a").alias(f"abs_{name}"), n.alias(f"{name}_n"))
 
 
 def shifted(left: DataFrame, right: DataFrame, values: list[str], step_ms: int, by: list[str] | None = None, prefix: str = "other_") -> DataFrame:

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import ts as t
 
 
+#: Rows of a frame from which its sums are differences of running sums.
+LONG = 64
+
+
 def moments(df: DataFrame, y: str, xs: list[str], window: int | None, shift: int = 1, by: tuple[str, ...] = t.BY) -> DataFrame:
     """df with n_obs, `moments` (sums of products of y and the terms with a leading 1, over complete rows) and `centre`.
 
@@ -32,11 +36,20 @@ def moments(df: DataFrame, y: str, xs: list[str], window: int | None, shift: int
     first = {c: F.first(F.when(F.col("_ok"), F.col(c)), ignorenulls=True).over(whole.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in names}
     centred = centred.withColumns({f"_c_{c}": first[c] for c in names})
     centred = centred.withColumns({f"_z_{c}": F.when(F.col("_ok"), F.col(c) - F.col(f"_c_{c}")) for c in names})
-    w = t.past(by, last=-shift) if window is None else t.frame(-window - shift + 1, -shift, by)
+    upto, before = t.past(by, last=-shift), t.past(by, last=-shift - (window or 0))
+    whole_sum = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0.0))
+
+    def total(c: Column) -> Column:
+        if window is None:
+            return whole_sum(c, upto)
+        if window < LONG:
+            return whole_sum(c, t.frame(-window - shift + 1, -shift, by))
+        return whole_sum(c, upto) - whole_sum(c, before)  # linear in rows, whatever the width
+
     ok = F.col("_ok").cast("double")
     term = {"1": ok} | {c: F.col(f"_z_{c}") for c in names}
-    sums = [F.coalesce(F.sum(term[a] * term[b]).over(w), F.lit(0.0)) for a, b in combinations_with_replacement(["1", *names], 2)]
-    out = centred.withColumn("moments", F.array(*sums)).withColumn("n_obs", F.coalesce(F.sum(ok).over(w), F.lit(0.0)).cast("long"))
+    sums = [total(term[a] * term[b]) for a, b in combinations_with_replacement(["1", *names], 2)]
+    out = centred.withColumn("moments", F.array(*sums)).withColumn("n_obs", F.round(total(ok)).cast("long"))
     return out.withColumn("centre", F.array(*(F.coalesce(F.col(f"_c_{c}"), F.lit(0.0)) for c in names))).drop("_ok", *(f"_{k}_{c}" for k in "cz" for c in names))
 
 
