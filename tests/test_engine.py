@@ -330,3 +330,17 @@ def test_targets_and_config(spark):
     assert evaluate.targets(df, evaluate.Config(context=10, end_ms=BASE + 12 * HOUR_MS)).count() == 3
     with pytest.raises(ValueError):
         evaluate.Config(horizon=0)
+
+
+RECORD = "asset string, series string, window string, low_power boolean, beats_base boolean, beats_second boolean, beats_norm boolean, beats_norm_rmse boolean, tracks boolean, leaks int"
+
+
+@pytest.mark.parametrize(("lose", "p", "diff", "regimes", "breadth", "asset"), [(0, 0.001, -1.0, 2, "A", "PASS"), (0, 0.001, 1.0, 2, "B", "B"), (0, 0.001, -1.0, 1, "B", "B"), (6, 0.001, -1.0, 2, "C", "C"), (2, 0.03, -1.0, 2, "B", "B")])
+def test_study_gates(spark, lose, p, diff, regimes, breadth, asset):
+    rows = [(a, f"{a}/{f}", w, False, *[i >= lose] * 5, 0) for i, (a, f, w) in enumerate((a, f, w) for a in "xy" for f in ("1h",) for w in ("older", "middle", "recent"))]
+    rec = spark.createDataFrame(rows + [("x", "x/1d", "recent", True, *[False] * 5, 9)], RECORD)
+    dm = spark.createDataFrame([(p, diff)], "p_value double, mean_diff double")
+    reg = spark.createDataFrame([(i < regimes,) for i in range(3)], "beats_base boolean")
+    assert gates.breadth_gate(rec, dm, reg).first()["verdict"] == breadth
+    assert gates.asset_gate(rec, dm, reg).first()["verdict"] == asset
+    assert gates.breadth_gate(rec.limit(0), dm, reg).first()["verdict"] == "pending" == gates.asset_gate(rec.limit(0), dm, reg).first()["verdict"]

