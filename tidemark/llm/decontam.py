@@ -56,55 +56,67 @@ class Lookup:
 
 @dataclass
 class Index:
-    """Windows of a block of items."""
-
-    words: list[np.ndarray] = field(default_factory=list)  # of each window: its words' hashes
-    spelled: list[bytes] = field(default_factory=list)  # of each window: its words with a space between
-    items: list[list[str]] = field(default_factory=list)  # of each window: the items it is in
+    """Windows of a block of items, as arrays: about 60 bytes for each word of the items."""
+
+    items: list[str]
+    hash: np.ndarray  # of all items' words, in order
+    spelled: bytes  # the words, with a space between
+    at: np.ndarray  # where each word begins in spelled, and the end
+    start: np.ndarray  # of each window: its first word
+    size: np.ndarray  # of each window: its words
+    item: np.ndarray  # of each window: its item
     shingles: dict[int, np.ndarray] = field(default_factory=dict)  # by words a shingle: sorted hashes of all
     prefixes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by words a shingle: sorted hashes, first entry of each, window and offset of the entries
 
+    def spell(self, window: int) -> bytes:
+        a = self.start[window]
+        return self.spelled[self.at[a] : self.at[a + self.size[window]] - 1]
+
 
 def windows_of(items: list[tuple[str, str]], window: int) -> Index:
     """Index of (id, text) pairs, yet without prefixes."""
-    index, known = Index(), {}
-    if items:
-        data, offsets = texts(pa.array([t for _, t in items], pa.string()))
-        w = split(data, offsets, BY_SIGN)
-        for i, (name, _) in enumerate(items):
-            a, b = w.first[i], w.first[i + 1]
-            for s in range(a, max(b - window, a) + 1) if b > a else ():
-                e = min(b, s + window)
-                spelled = spell(w, s, e)
-                if spelled not in known:
-                    known[spelled] = len(index.words)
-                    index.words.append(w.hash[s:e].copy())
-                    index.spelled.append(spelled)
-                    index.items.append([])
-                index.items[known[spelled]].append(name)
-    for k in {min(SHINGLE, len(x)) for x in index.words}:
-        index.shingles[k] = np.unique(np.concatenate([join(x, k) for x in index.words if min(SHINGLE, len(x)) == k]))
+    data, offsets = texts(pa.array([t for _, t in items], pa.string()))
+    w = split(data, offsets, BY_SIGN)
+    words = w.counts()
+    n = np.where(words > 0, np.maximum(words - window, 0) + 1, 0)
+    item = np.repeat(np.arange(len(items)), n)
+    start = w.first[:-1][item] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
+    index = Index([name for name, _ in items], w.hash, spell(w, 0, len(w.hash)), at, start, np.minimum(window, words[item]), item)
+    for k in np.unique(np.minimum(SHINGLE, index.size)).tolist():
+        runs = join(w.hash, k)
+        index.shingles[k] = np.unique(np.concatenate([runs[places].ravel() for _, places in _places(index, k)]))
     return index
 
 
+def _places(index: Index, k: int):
+    """(windows, first words of their shingles) for each size of windows whose shingles have k words."""
+    for size in np.unique(index.size[np.minimum(SHINGLE, index.size) == k]).tolist():
+        own = np.flatnonzero(index.size == size)
+        yield own, index.start[own][:, None] + np.arange(size - k + 1)
+
+
 def spell(w, start: int, end: int) -> bytes:
     return b" ".join(w.data[a:b].tobytes() for a, b in zip(w.start[start:end], w.end[start:end]))
 
 
 def file_windows(index: Index, counts: dict[int, np.ndarray]) -> None:
     """File each window under its rarest shingle (ties: the lesser hash)."""
-    entries: dict[int, list[tuple[int, int, int]]] = {k: [] for k in index.shingles}
-    for i, x in enumerate(index.words):
-        k = min(SHINGLE, len(x))
-        own = join(x, k)
-        often = counts[k][np.searchsorted(index.shingles[k], own)]
-        at = min(range(len(own)), key=lambda j: (often[j], own[j]))
-        entries[k].append((int(own[at]), i, at))
-    for k, rows in entries.items():
-        rows.sort()
-        keys = np.array([r[0] for r in rows], np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        index.prefixes[k] = keys[first], np.append(first, len(keys)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    for k, known in index.shingles.items():
+        rank = np.empty(len(known), np.int64)
+        rank[np.lexsort((known, counts[k]))] = np.arange(len(known))
+        runs = join(index.hash, k)
+        keys, windows, shifts = [], [], []
+        for own, places in _places(index, k):
+            least = rank[np.searchsorted(known, runs[places])].argmin(1)
+            keys.append(runs[places[np.arange(len(own)), least]])
+            windows.append(own)
+            shifts.append(least)
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        index.prefixes[k] = key[first], np.append(first, len(key)), np.concatenate(windows)[order], np.concatenate(shifts)[order]
 
 
 def inside(w, at: np.ndarray, k: int) -> np.ndarray:
@@ -157,14 +169,14 @@ def find_windows(shared, column: pa.Array, state: pa.Array | None) -> pa.Array:
             n = first[which + 1] - first[which]
             entry = np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
             start, win, row = np.repeat(at, n) - shift[entry], window[entry], np.repeat(inside(w, at, k), n)
-            size = np.array([len(x) for x in index.words], np.int64)[win] if len(win) else np.zeros(0, np.int64)
+            size = index.size[win]
             fits = (row >= 0) & (start >= w.first[row]) & (start + size <= w.first[row + 1])
             for s, i, r in zip(start[fits].tolist(), win[fits].tolist(), row[fits].tolist()):
-                e = s + len(index.words[i])
-                if np.array_equal(w.hash[s:e], index.words[i]) and spell(w, s, e) == index.spelled[i]:
+                e, own = s + int(index.size[i]), int(index.start[i])
+                if np.array_equal(w.hash[s:e], index.hash[own : own + e - s]) and spell(w, s, e) == index.spell(i):
                     change[s] += 1
                     change[e] -= 1
-                    found.setdefault(r, set()).update(index.items[i])
+                    found.setdefault(r, set()).add(index.items[index.item[i]])
         hit = np.cumsum(change[:-1]) > 0
         for r in range(b - a):
             n_words.append(int(w.first[r + 1] - w.first[r]))
@@ -192,7 +204,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     for block in range(blocks):
         part = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("id", "body"), F.lit(blocks)) == block)
         index = windows_of([(r["id"], r["body"]) for r in part.collect()], window)  # about block_bytes of text
-        file_windows(index, count_shingles(docs, index, text) if index.words else {})
+        file_windows(index, count_shingles(docs, index, text) if index.shingles else {})
         shared = share(spark, index)
         if state is None:
             first = F.arrow_udf(lambda column, shared=shared: find_windows(shared, column, None), STATE)
