@@ -41,8 +41,8 @@ from tidemark.llm.words import BY_SPACE, join, mix, split
 SHINGLE, BANDS, ROWS = 5, 28, 6
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Classes of one block: the fewest, while a cluster has 16 blocks at most, and the most. Each row is copied once for each block of its cluster.
-LEAST_BLOCK, BLOCK = 256, 1024
+#: Classes of one block: the fewest, while a cluster has 32 blocks at most, and the most. Each row is copied once for each block of its cluster.
+LEAST_BLOCK, BLOCK = 64, 1024
 #: Candidate classes up to which their ids are broadcast (about 90 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -195,7 +195,7 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
     buckets, where = cut(members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("hub")).filter("m > 1").select("band", "hub"), "buckets")
     clusters, _ = cut(components(members.join(buckets, "band").filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()), "clusters")
     discard(spark, where)
-    sized = clusters.join(clusters.groupBy("component").agg(F.greatest(F.least(F.ceil(F.count(F.lit(1)) / min(LEAST_BLOCK, block)), F.lit(16)), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks")), "component")
+    sized = clusters.join(clusters.groupBy("component").agg(F.greatest(F.least(F.ceil(F.count(F.lit(1)) / min(LEAST_BLOCK, block)), F.lit(32)), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks")), "component")
     # equal ids with equal texts would repeat a class: distinct sets keep one row a node
     candidates, where = cut(classes.join(sized, "node").select("node", "component", "blocks", "key", "th", "n"), "candidates")
     bodies = _with_text(candidates, docs, "text", "key").dropDuplicates(["node"]) if _repeated(docs) else _with_text(candidates, docs, "text", "key")
