@@ -818,7 +818,7 @@ def _(spark, d):
 # Statistics ---------------------------------------------------------------------------------------------
 
 
-@query("dm_coin_flip", "SELECT asset, n, m + 0.5 AS hit_rate, m / sqrt((g0 + 2 * (0.75 * g1 + 0.5 * g2 + 0.25 * g3)) / n / n) AS dm FROM (SELECT asset, count(*) AS n, any_value(mu) AS m, sum(z * z) AS g0, sum(z * l1) AS g1, sum(z * l2) AS g2, sum(z * l3) AS g3 FROM (SELECT *, lag(z, 1) OVER w AS l1, lag(z, 2) OVER w AS l2, lag(z, 3) OVER w AS l3 FROM (SELECT *, x - mu AS z FROM (SELECT asset, ts, correct - 0.5 AS x, avg(correct - 0.5) OVER (PARTITION BY asset) AS mu FROM fw)) WINDOW w AS (PARTITION BY asset ORDER BY ts)) GROUP BY asset)", v.BARS_1H, MOM, FWD, keys="asset", floats="hit_rate dm", others="n")
+@query("dm_coin_flip", "SELECT asset, n, m + 0.5 AS hit_rate, CASE WHEN vr > 1e-18 THEN m / sqrt(vr) WHEN m > 0 THEN 'inf'::DOUBLE WHEN m < 0 THEN '-inf'::DOUBLE ELSE 0 END AS dm FROM (SELECT asset, n, m, (g0 + 2 * (0.75 * g1 + 0.5 * g2 + 0.25 * g3)) / n / n AS vr FROM (SELECT asset, count(*) AS n, any_value(mu) AS m, sum(z * z) AS g0, coalesce(sum(z * l1), 0) AS g1, coalesce(sum(z * l2), 0) AS g2, coalesce(sum(z * l3), 0) AS g3 FROM (SELECT *, lag(z, 1) OVER w AS l1, lag(z, 2) OVER w AS l2, lag(z, 3) OVER w AS l3 FROM (SELECT *, x - mu AS z FROM (SELECT asset, ts, correct - 0.5 AS x, avg(correct - 0.5) OVER (PARTITION BY asset) AS mu FROM fw)) WINDOW w AS (PARTITION BY asset ORDER BY ts)) GROUP BY asset))", v.BARS_1H, MOM, FWD, keys="asset", floats="hit_rate dm", others="n")
 def _(spark, d):
     return stats.coin_flip(sg.forward_returns(_momentum(spark, d), "signal"), "correct", ["asset"])
 
