@@ -276,6 +276,24 @@ def test_lab_runs_and_ids_are_stable(spark):
     assert lab.family_summary(out, lab.table(spark, genomes)).agg(F.sum("n")).first()[0] == out.count()
 
 
+def test_lab_reads_the_windows_of_a_genomes_own_widths(spark):
+    pdf = walk(200)
+    genomes = [{"family": f, "fast": fast, "slow": slow, "threshold": 1.1, "hold": 6} for f in lab.FAMILIES for fast, slow in ((4, 9), (6, 22), (6, 9), (18, 90))]
+    got = lab.signals(frame(spark, pdf), lab.table(spark, genomes)).toPandas()
+    c = pdf["close"]
+    for g in genomes:
+        fast, slow = g["fast"], g["slow"]
+        z = (c - c.rolling(slow).mean()) / c.rolling(slow).std()
+        long, short = {
+            "trend": (c.rolling(fast).mean() > c.rolling(slow).mean(), c.rolling(fast).mean() < c.rolling(slow).mean()),
+            "breakout": (c > pdf["high"].shift(1).rolling(slow).max(), c < pdf["low"].shift(1).rolling(slow).min()),
+            "reversion": (z < -1.1, z > 1.1),
+            "momentum": (c / c.shift(fast) - 1 > 0.011, c / c.shift(fast) - 1 < -0.011),
+        }[g["family"]]
+        own = got[got["genome_id"] == lab.genome_id(g)].sort_values("ts")
+        assert own["long_entry"].tolist() == long.tolist() and own["short_entry"].tolist() == short.tolist() and (long | short).any(), g
+
+
 def test_best_multiplier_has_a_default(spark):
     sweep = spark.createDataFrame([("x", 1.0, 40, 1.5), ("x", 2.0, 40, 1.5), ("y", 1.0, 3, 9.0)], "asset string, multiplier double, n long, sharpe double")
     assert {r["asset"]: r["multiplier"] for r in lab.best_multiplier(sweep).collect()} == {"x": 1.0, "y": 0.0}

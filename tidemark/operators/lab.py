@@ -93,15 +93,23 @@ def hypotheses(spark: SparkSession, directions: list[str], widths: list[int], re
     return out.withColumn("hypothesis_id", s.canonical_id(F.col("direction"), F.col("width"), F.col("regime"), F.col("confirmation")))
 
 
-def signals(bars: DataFrame, genomes: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """bars x genomes with long and short entries and exits. Window values are computed once a bar for each width, then picked by a genome."""
-    own = bars.withColumns({f"m{w}": t.mean("close", w) for w in widths} | {f"s{w}": t.std("close", w) for w in widths} | {f"h{w}": t.high("high", w, 1) for w in widths} | {f"l{w}": t.low("low", w, 1) for w in widths} | {f"r{w}": F.try_divide(F.col("close"), t.lag("close", w)) - 1 for w in widths})
+def signals(bars: DataFrame, genomes: DataFrame) -> DataFrame:
+    """bars x genomes with long and short entries and exits. Window values are computed once a bar for each width that the genomes read, then picked by a genome."""
+    used = genomes.select("family", "fast", "slow").distinct().collect()  # at most MOST_GENOMES rows
+    known = FAMILIES[:3]  # any other family reads what momentum does
+    slow = {f: {r["slow"] for r in used if r["family"] == f} for f in known}
+    widths = {
+        "m": slow["trend"] | slow["reversion"] | {r["fast"] for r in used if r["family"] == "trend"}, "s": slow["reversion"],
+        "h": slow["breakout"], "l": slow["breakout"], "r": {r["fast"] for r in used if r["family"] not in known},
+    }
+    value = {"m": lambda w: t.mean("close", w), "s": lambda w: t.std("close", w), "h": lambda w: t.high("high", w, 1), "l": lambda w: t.low("low", w, 1), "r": lambda w: F.try_divide(F.col("close"), t.lag("close", w)) - 1}
+    own = bars.withColumns({f"_{kind}{w}": value[kind](w) for kind in widths for w in sorted(widths[kind])})
     both = own.join(F.broadcast(genomes))  # at most MOST_GENOMES rows
 
     def pick(kind: str, width: str):
         out = F.lit(None).cast("double")
-        for w in widths:  # the nearest width that is not above the genome's
-            out = F.when(F.col(width) >= w, F.col(f"{kind}{w}")).otherwise(out)
+        for w in sorted(widths[kind], reverse=True):
+            out = F.when(F.col(width) == w, F.col(f"_{kind}{w}")).otherwise(out)
         return out
 
     c, z = F.col("close"), F.try_divide(F.col("close") - pick("m", "slow"), pick("s", "slow"))

@@ -750,7 +750,7 @@ def _(spark, d):
 
 @query("lab_stability", keys="genome_id asset", floats="stability_score")
 def _(spark, d):
-    genomes, bars = lab.sample(4, 3), v.bars_1d(spark, d)
+    genomes, bars = lab.sample(24, 3), v.bars_1d(spark, d)
     return lab.stability(bars, genomes, lab.screen(bars, lab.table(spark, genomes))[0])
 
 
