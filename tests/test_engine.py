@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,11 @@ from tests.helpers import BASE, frame, pandas, walk
 from tidemark.functions import scalars as s
 from tidemark.functions import ts as t
 from tidemark.operators import asof, bars, evaluate, features, forecast, gates, lab, ols, quality, reports, signals, sim, stats
+from tidemark.plans import queries as engine
 from tidemark.schema import HOUR_MS, nan_to_null, require_columns
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def close_to(a, b, tol=1e-9):
     a, b = np.array(a, float), np.array(b, float)
@@ -294,6 +298,31 @@ def test_lab_reads_the_windows_of_a_genomes_own_widths(spark):
         assert own["long_entry"].tolist() == long.tolist() and own["short_entry"].tolist() == short.tolist() and (long | short).any(), g
 
 
+def test_a_genome_without_a_stability_score_is_no_survivor(spark):
+    pdf = walk(300)
+    pdf["close"] = 100 * 1.01 ** np.arange(300)
+    genome = {"family": "trend", "fast": 5, "slow": 10, "threshold": 1.0, "hold": 6}
+    made = lab.screen(frame(spark, pdf), lab.table(spark, [genome]))
+    limits = {"least_trades": 1, "least_profit_factor": 0.0, "most_single": 1.0, "most_top5": 1.0}
+    made = (made[0].withColumn("trade_profit_factor", F.lit(2.0)), *made[1:])  # without a loss there is none
+
+    def failed(stable):
+        return lab.funnel(*made, stable, **limits).first()["failed_at"]
+
+    score = lambda x: spark.createDataFrame([(lab.genome_id(genome), "x", x)], "genome_id string, asset string, stability_score double")
+    assert [failed(None), failed(score(0.5)), failed(score(0.6))] == ["stability", "stability", None]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_registered_gates_get_stability_scores_and_best_multipliers(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(lab, "funnel", lambda metrics, tr, pos, stable=None: given.append(stable) or metrics.withColumns({"oos_sharpe": F.lit(0.0), "failed_at": F.lit("")}))
+    engine.QUERIES["lab_funnel"](spark, DATA)
+    assert {"genome_id", "asset", "stability_score"} <= set(given[0].columns)
+    monkeypatch.setattr(lab, "best_multiplier", lambda sweep: sweep.select("asset").distinct().withColumn("multiplier", F.lit(2.0)))
+    assert {r["multiplier"] for r in engine.QUERIES["sweep_gates"](spark, DATA).collect()} == {2.0}
+
+
 def test_best_multiplier_has_a_default(spark):
     sweep = spark.createDataFrame([("x", 1.0, 40, 1.5), ("x", 2.0, 40, 1.5), ("y", 1.0, 3, 9.0)], "asset string, multiplier double, n long, sharpe double")
     assert {r["asset"]: r["multiplier"] for r in lab.best_multiplier(sweep).collect()} == {"x": 1.0, "y": 0.0}

@@ -178,12 +178,14 @@ def stability(bars: DataFrame, genomes: list[dict], metrics: DataFrame, seed: in
 
 
 def funnel(metrics: DataFrame, trades: DataFrame, pos: DataFrame, stable: DataFrame | None = None, **limits) -> DataFrame:
-    """metrics with failed_at: the first of the gates (screening, walk_forward, concentration, cost_stress, stability) that a genome fails, NULL for survivors."""
+    """metrics with failed_at: the first of the gates (screening, walk_forward, concentration, cost_stress, stability) that a genome fails, NULL for survivors.
+
+    stable is what stability() gives; a genome without a score fails the last gate."""
     g, by = GATES | limits, ["genome_id", "asset"]
     conc = sim.concentration(trades, by).select(*by, "total", "top1_share", "top5_share")
     costs = cost_curve(pos, g["stress"]).groupBy(*by).agg(F.count_if(F.col("total_return") > 0).alias("costs_survived"))
     rows = metrics.join(out_of_sample(pos, g["oos_share"], g["oos_blocks"], g["cost"]), by, "left").join(conc, by, "left").join(costs, by, "left")
-    rows = rows.join(stable, by, "left") if stable is not None else rows.withColumn("stability_score", F.lit(1.0))
+    rows = rows.join(stable, by, "left") if stable is not None else rows.withColumn("stability_score", F.lit(None).cast("double"))
     return rows.withColumn("failed_at", s.first_failing([
         ("screening", (F.col("n_trades") >= g["least_trades"]) & (F.col("trade_profit_factor") >= g["least_profit_factor"]) & (F.col("max_drawdown") >= g["deepest"])),
         ("walk_forward", (F.col("oos_sharpe") > g["oos_sharpe"]) & (F.col("positive_blocks") >= g["oos_positive"])),

@@ -744,8 +744,9 @@ def _(spark, d):
 
 @query("lab_funnel", keys="genome_id asset", floats="sharpe total_return oos_sharpe", others="failed_at n_trades")
 def _(spark, d):
-    genomes = lab.table(spark, lab.sample(24, 3))
-    return lab.funnel(*lab.screen(v.bars_1d(spark, d), genomes))
+    genomes, bars = lab.sample(24, 3), v.bars_1d(spark, d)
+    metrics, tr, pos = lab.screen(bars, lab.table(spark, genomes))
+    return lab.funnel(metrics, tr, pos, lab.stability(bars, genomes, metrics))
 
 
 @query("lab_stability", keys="genome_id asset", floats="stability_score")
@@ -812,7 +813,7 @@ def _(spark, d):
 def _(spark, d):
     rows = fc.ranges(v.bars_1d(spark, d)).withColumns({"entry": sg.breakout_entry(times=1.1), "exit": sg.channel_exit(), "m5": t.mean("range", 5, 1)})
     sweep = lab.stop_sweep(rows, [0, 0.5, 1, 1.5, 2, 3], "m5")
-    return gates.sweep_gates(sweep, sweep.filter("multiplier = 1").select("asset", "multiplier"))
+    return gates.sweep_gates(sweep, lab.best_multiplier(sweep))
 
 
 # Statistics ---------------------------------------------------------------------------------------------
