@@ -73,6 +73,14 @@ def test_paged_sources(spark):
     assert rest.missing_ranges(got, BASE - 5, BASE + 30 * HOUR_MS, HOUR_MS) == [(BASE - 5, BASE), (BASE + 20 * HOUR_MS, BASE + 30 * HOUR_MS)]
 
 
+def few_events(symbol, timeframe, since, limit):
+    return events(symbol, timeframe, since, 2)
+
+
+def test_short_pages_do_not_end_the_events(spark):
+    assert rest.read_pages(spark, "funding", "tests.test_storage:few_events", "x", BASE, BASE + 40 * HOUR_MS, limit=1000).count() == 5
+
+
 def test_retries():
     tries = []
 

@@ -71,9 +71,10 @@ class PagedReader(DataSourceReader):
             rows = [r for r in rows if at <= r[0] < page.until]
             for r in rows:
                 yield (self.o["symbol"], int(r[0]), *(float(x) for x in r[1:]))
-            if not rows or len(rows) < self.limit or rows[-1][0] + 1 <= at:
+            # a server may cap a page of events below the limit: only an empty one ends them
+            if not rows or (not self.events and len(rows) < self.limit):
                 return
-            at = int(rows[-1][0]) + (1 if self.events else self.step)
+            at = int(max(r[0] for r in rows)) + (1 if self.events else self.step)
 
 
 class Candles(DataSource):
