@@ -235,6 +235,16 @@ def test_statistics_against_direct_formulas(spark):
     assert m["p_value"] == pytest.approx(2 * sum(math.comb(10, i) for i in range(3)) / 2**10)
 
 
+def test_newey_west_lags_of_a_long_series(spark):
+    n = 3_600_000
+    d = np.abs((np.arange(n) * 7919 % 1009) / 1009) - 0.5
+    z, lag = d - d.mean(), int(4 * (n / 100) ** (2 / 9))
+    var = ((z * z).sum() + 2 * sum((1 - k / (lag + 1)) * (z[k:] * z[:-k]).sum() for k in range(1, lag + 1))) / n / n
+    df = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("ts"), (F.col("id") * 7919 % 1009 / 1009).alias("a"), F.lit(0.5).alias("b"))
+    r = stats.diebold_mariano(df, "a", "b", ["g"]).first()
+    assert r["lags"] == lag == 41 and r["dm"] == pytest.approx(d.mean() / math.sqrt(var), rel=1e-6)
+
+
 def test_special_functions():
     assert stats.normal_sf(1.959963984540054) == pytest.approx(0.025)
     assert stats.student_two_sided(2.228138851964939, 10) == pytest.approx(0.05)

@@ -108,12 +108,14 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson("_a", "_b").alias("spearman"))
 
 
-def diebold_mariano(df: DataFrame, a: str, b: str, by: list[str], loss: str = "absolute", ts: str = "ts", max_lag: int = 40) -> DataFrame:
+def diebold_mariano(df: DataFrame, a: str, b: str, by: list[str], loss: str = "absolute", ts: str = "ts") -> DataFrame:
     """by, n, lags, mean_diff, dm, p_value: two-sided test of equal losses of two error columns.
 
-    The variance is of the Newey-West kind with Bartlett weights and max(1, int(4 (n / 100) ** (2 / 9))) lags (at most max_lag,
-    which a series of 3e6 rows would reach). All lagged products are window sums in one pass."""
+    The variance is of the Newey-West kind with Bartlett weights and max(1, int(4 (n / 100) ** (2 / 9))) lags.
+    All lagged products are window sums in one pass, as many as the largest group needs (counted first)."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    max_lag = int(4 * (most / 100) ** (2 / 9)) + 1  # one more, should the engines' powers differ
     own = (lambda c: F.abs(c)) if loss == "absolute" else (lambda c: F.col(c) * F.col(c))
     whole = Window.partitionBy(*by)
     d = rows.withColumn("_d", own(a) - own(b)).withColumn("_z", F.col("_d") - F.avg("_d").over(whole))
@@ -121,7 +123,7 @@ def diebold_mariano(df: DataFrame, a: str, b: str, by: list[str], loss: str = "a
     products = [F.sum(F.col("_z") * F.col(f"_l{k}")) for k in range(1, max_lag + 1)]
     lagged = d.withColumns({f"_l{k}": F.lag("_z", k).over(w) for k in range(1, max_lag + 1)})
     sums = lagged.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), F.sum(F.col("_z") * F.col("_z")).alias("_g0"), F.array(*(F.coalesce(p, F.lit(0.0)) for p in products)).alias("_g"))
-    lags = F.least(F.lit(max_lag), F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("n") / 100.0, 2.0 / 9)).cast("int")))
+    lags = F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("n") / 100.0, 2.0 / 9)).cast("int"))
     out = sums.withColumn("lags", lags.cast("int"))
     weighted = F.aggregate(F.sequence(F.lit(1), F.col("lags")), F.lit(0.0), lambda acc, k: acc + (1 - k / (F.col("lags") + 1.0)) * F.element_at("_g", k))
     variance = (F.col("_g0") + 2 * weighted) / F.col("n") / F.col("n")
