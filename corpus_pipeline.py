@@ -29,8 +29,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one text of each group of near-duplicates."""
-    return neardup.dedup(docs)
+    """Keeps one text of each group of near-duplicates, linked from a similarity of 0.8 on; 44 bands miss about 2e-6 of the pairs there."""
+    return neardup.dedup(docs, percent=80, bands=44)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

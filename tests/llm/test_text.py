@@ -16,6 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.data import DOCS, documents, edit, frame, prose
 from tidemark.llm import boosting, chat, components, decontam, html_extract, langid, licenses, media, neardup, packing, quality, sharding, words
 from tidemark.llm.queries import TOKENIZER
@@ -293,6 +294,24 @@ def test_dedup_leaves_one_row_of_each_group(spark):
     assert neardup.dedup(frame(spark, [])).count() == 0 and neardup.groups(frame(spark, [])).count() == 0
 
 
+def test_dedup_keeps_one_of_near_copies_under_one_id(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, "en", 200), prose(rng, "en", 200)
+    # the id 1 names two groups of near copies, whose rows are not alike
+    rows = [(1, a, "en", "s", 0), (1, f"{a} more", "en", "s", 0), (2, f"{a} and more", "en", "s", 0), (1, b, "en", "s", 0), (3, f"{b} more", "en", "s", 0)]
+    left = [r["text"] for r in neardup.dedup(frame(spark, rows)).collect()]
+    assert len(left) == 2 and b in left
+
+
+def test_pipeline_links_near_copies_from_a_similarity_of_four_fifths(spark):
+    words = [f"w{i}" for i in range(204)]
+    far = words[:18] + ["x"] + words[19:90] + ["y"] + words[91:150] + ["z"] + words[151:190] + ["q"] + words[191:]
+    a, b = shingle_set(" ".join(words)), shingle_set(" ".join(far))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    rows = [(1, " ".join(words), "en", "s", 0), (2, " ".join(far), "en", "s", 0)]
+    assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame(spark, rows), "").collect()] == [1]
+
+
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 202), (202, 200), (300, 300), (None, 5)]
     df = spark.createDataFrame(edges, "u long, v long")

@@ -205,13 +205,15 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
     sorted_ = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "node")
     links = sorted_.mapInArrow(partial(_blocks, k=k, shingle=shingle, percent=percent), "u binary, v binary")
     linked = components(links)
-    named = linked.join(classes.select("node", "key"), "node")
-    least = named.groupBy("component").agg(F.min("key").alias("component_id"))
-    names, _ = cut(classes.select("node", "key").join(named.select("node", "component").join(least, "component").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "key").alias("component_id")), "names")
+    # the row that is kept: the least id (nulls last), and of its texts that of the least hash
+    row = F.struct(F.col("key").isNull().alias("none"), "key", "th")
+    named = linked.join(classes.select("node", row.alias("row")), "node")
+    least = named.groupBy("component").agg(F.min("row").alias("least"))
+    names, _ = cut(classes.select("node", row.alias("row")).join(named.select("node", "component").join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "row").alias("r")).select("node", F.col("r.key").alias("component_id"), F.col("r.th").alias("kept_th")), "names")
     discard(spark, where)
-    whole = sketches.select("key", "th", "n", "node").filter("n > 0").join(names, "node").select("key", "th", F.col("n").alias("n_shingles"), "component_id")
-    lone = sketches.filter("n = 0").select("key", "th", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
-    return whole.union(lone).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id"))).withColumnRenamed("key", key)
+    whole = sketches.select("key", "th", "n", "node").filter("n > 0").join(names, "node").select("key", "th", F.col("n").alias("n_shingles"), "component_id", (F.col("key").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("kept_th"))).alias("kept"))
+    lone = sketches.filter("n = 0").select("key", "th", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+    return whole.union(lone).withColumnRenamed("key", key)
 
 
 def _repeated(docs: DataFrame) -> bool:
