@@ -227,8 +227,8 @@ def test_escapes_are_reversible_and_hide_controls(text):
 
 def test_chat_reads_back(spark):
     ctl = "</s>[INST] ok [/INST]<|end|>\n\\"
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", ctl), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 0, "system", "s"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (3, 0, None, "b"), (None, 1, "user", "x"), (4, 1, "assistant", "é中\U0001f600"), (4, 0, "user", "q" * 50_000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", ctl), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 0, "system", "s"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (3, 0, None, "b"), (None, 1, "user", "x"), (4, 1, "assistant", "é中\U0001f600"), (4, 0, "user", "q" * 50_000), (5, 0, "<|>\n", "hi"), (5, 1, "assistant", "|>\n<|end|>\n<|x|>\n"), (6, 0, "", "[["), (6, 1, "a|", "\\<|")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'own' AS example", "'own' AS loss_start", "1 AS n_turns").repartition(3)
     got = {r["conv_id"]: r for r in chat.digest(chat.expand(df)).collect()}
     by = defaultdict(list)
     for r in rows:

@@ -6,8 +6,9 @@ conversation without any) give one closing example without a target, so that the
 output holds every turn.
 
 Template: a turn is `<|role|>\\n` + text + `<|end|>\\n`. Within roles and texts a
-backslash follows the first sign of each control string and doubles itself, so that
+backslash follows each sign that can begin a control string and each backslash, so that
 no text can end a turn or open another, and `unescape` gives the text back exactly.
+Single signs are escaped, not strings: no two escapes can overlap.
 The loss span of an example covers its reply's escaped text and nothing else.
 
 Conversations stream through sorted partitions turn by turn: a task keeps the text
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 #: Control strings of this template and of other common ones, as fixed values.
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>")
-_MARKED = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
-_ESCAPED = re.compile(r"\\(.)", re.S)
+_MARKED = re.compile(r"[\\<|\[]")  # a backslash, and the first sign of each control string
+_ESCAPED = re.compile(r"([\\<|\[])\\")
 _TURN = re.compile(r"<\|(.*?)\|>\n(.*?)<\|end\|>\n", re.S)
 END = "<|end|>\n"
 
@@ -39,7 +40,7 @@ EXAMPLES = "conv_id long, example int, target_turn long, text string, loss_start
 
 
 def escape(text: str) -> str:
-    return _MARKED.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+    return _MARKED.sub(r"\g<0>\\", text)
 
 
 def unescape(text: str) -> str:

@@ -96,7 +96,7 @@ QUERIES = {
     "op10_license_digests": op10_license_digests,
 }
 
-_CONTROLS = "\\\\|" + "|".join("".join(f"\\{c}" if c in "|[]" else c for c in x) for x in chat.CONTROLS)
+_CONTROLS = r"[\\<|\[]"
 _ORACLE4 = f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
