@@ -273,17 +273,39 @@ def brute_groups(rows) -> list[int | None]:
     return [least.get(find(i)) if sets[i] else rows[i][0] for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_groups_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "block_bytes"), [(1024, 4 << 20), (3, 2000)])
+def test_groups_equal_brute_force(spark, block, block_bytes):
     rng, rows = random.Random(5), documents()
     base = prose(rng, "en", 80)
     for i in range(40):  # one large group of near copies of many degrees
         rows.append((1000 + i, edit(rng, base, i % 4), "en", "s", 0))
-    got = neardup.groups(frame(spark, rows, extra=True), block=block)
+    got = neardup.groups(frame(spark, rows, extra=True), block=block, block_bytes=block_bytes)
     want = sorted(((r[0], len(shingle_set(r[1])), g, r[0] == g) for r, g in zip(rows, brute_groups(rows))), key=str)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()), key=str) == want
 
 
+def test_words_of_one_structure_stay_apart(spark):
+    one = "a"
+    for _ in range(12):  # a Thue-Morse word and its complement: equal under every sum of powers mod 2**64
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    data, offsets = __import__("tidemark.llm.common", fromlist=["texts"]).texts(pa.array([one, other, one[:63], other[:63], "a\0", "a"], pa.string()))
+    assert len(set(words.split(data, offsets, words.BY_SPACE).hash.tolist())) == 6
+    rows = [(1, one, "en", "s", 0), (2, other, "en", "s", 0), (3, one, "en", "s", 0)]
+    assert {r["doc_id"]: r["component_id"] for r in neardup.groups(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_chain_of_near_copies(spark):
+    rng = random.Random(3)
+    now, rows = prose(rng, "en", 150).split(), []
+    for i in range(1500):
+        now[(i * 7) % 150] = f"z{i}"
+        rows.append((i, " ".join(now), "en", "s", 0))
+    found = neardup.groups(frame(spark, rows)).collect()
+    assert {r["component_id"] for r in found} == {0} and sum(r["kept"] for r in found) == 1
+    assert [neardup.linked(neardup.Text(rows[0][1], 5), neardup.Text(rows[i][1], 5), 85) for i in (1, 2, 3, 40)] == [True, True, False, False]
+
+
 def test_dedup_leaves_one_row_of_each_group(spark):
     rows = documents()
     left = neardup.dedup(frame(spark, rows, extra=True)).collect()
@@ -315,7 +337,7 @@ def test_pipeline_links_near_copies_from_a_similarity_of_four_fifths(spark):
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 202), (202, 200), (300, 300), (None, 5)]
     df = spark.createDataFrame(edges, "u long, v long")
-    got = {r["node"]: r["component"] for r in components.components(df).collect()}
+    got = {r["node"]: r["component"] for r in components.components(df)[0].collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, **{i: 200 for i in range(200, 203)}}
 
 

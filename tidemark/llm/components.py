@@ -35,8 +35,8 @@ def _small_star(edges: DataFrame) -> tuple[DataFrame, str]:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct(), path
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, component (its least node) for all nodes that have an edge. edges: u, v."""
+def components(edges: DataFrame, most_rounds: int = 60) -> tuple[DataFrame, str]:
+    """node, component (its least node) for all nodes that have an edge, and the path of the table it is read from. edges: u, v."""
     spark = edges.sparkSession
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, path = cut(now, "edges")
@@ -58,4 +58,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now, path = after, later
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct()), path

@@ -1,21 +1,25 @@
 """Near-duplicates: MinHash, banding, signature verification, exact confirmation,
 and connected components by alternating large-star and small-star.
 
-1. Each text's set of shingles (five consecutive words, A-Z lower-cased) gets a
-   digest and a signature of `bands * rows` minima under universal hash functions.
-   Texts with equal sets are one class from here on, however many there are.
-2. Classes that agree in a whole band share a bucket. A bucket only yields one edge
-   for each member (to its least member), and the components of these edges are
-   clusters: two classes that share any bucket are in the same cluster.
-3. Within a cluster pairs are compared in blocks of a bounded number of classes: first
-   sizes, then signatures, then the full sets. A block keeps track of what it has
-   joined already and returns a spanning forest of its links, not all pairs.
-4. The components of the confirmed links are the groups.
+1. Each text gets a digest of its words and a signature of `bands * rows` minima, under
+   universal hash functions, of its shingles (five consecutive words, A-Z lower-cased).
+   Texts of equal words are one class from here on, however many there are.
+2. Classes that agree in a whole band share a bucket. The least class of a bucket is its
+   hub. First every member is paired with its hubs only; these pairs are verified by
+   signature, then on the full sets, and what is linked is one component so far.
+3. Buckets that still hold several components are compared pair by pair across them, in
+   blocks of a bounded number of signatures; a pair counts in its first common band only.
+   Pairs that pass are verified on the full sets.
+4. The components of all confirmed links are the groups.
+
+Texts are fetched for pairs that passed the signature check only, and are verified in
+blocks of a bounded number of bytes: a text goes once to each pair of blocks in which it has
+such pairs. A block keeps track of what it has linked and skips pairs that are linked already.
+Links rest on words, not on hashes: shingles that agree by hash are compared byte by byte.
 
 A pair at the threshold is missed with probability (1 - 0.85 ** rows) ** bands, about
-2e-6, and by the signature check with about 3e-6. No bucket, cluster or candidate is
-capped. A cluster's work is quadratic in its number of classes (not of documents), spread
-over blocks.
+2e-6, and by the signature check with about 3e-6. No bucket or candidate is capped. The work
+is in proportion to the pairs within buckets that hubs don't link.
 
 Defined cases: null, empty and wordless texts have no shingles and are linked with
 nothing; fewer words than a shingle's are one shingle; repeated rows and equal texts
@@ -41,8 +45,10 @@ from tidemark.llm.words import BY_SPACE, join, mix, split
 SHINGLE, BANDS, ROWS = 5, 28, 6
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Classes of one block: the fewest, while a cluster has 32 blocks at most, and the most. Each row is copied once for each block of its cluster.
-LEAST_BLOCK, BLOCK = 64, 1024
+#: Signatures that are compared with each other at once; larger buckets are dealt over pairs of such blocks.
+BLOCK = 1024
+#: Bytes of text of one block that is verified; a task holds two blocks, or two texts that are longer.
+BLOCK_BYTES = 4 << 20
 #: Candidate classes up to which their ids are broadcast (about 90 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -78,23 +84,26 @@ def signature(shingles: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, th (hash of the text), n (shingles), node (digest of the set) and sig of each row."""
+    """key, th (hash of the text), n (shingles), size (bytes), node (digest of the words) and sig of each row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
         def step(batch: pa.RecordBatch):
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, node, sig = [], [], []
-                for s in shingle_sets(part.column(2), shingle):
+                n, size, node, sig = [], [], [], []
+                for s, body in zip(shingle_sets(part.column(2), shingle), part.column(2)):
+                    raw = body.as_py().encode() if body.is_valid else b""
                     n.append(len(s))
-                    node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    size.append(len(raw))
+                    node.append(hashlib.blake2b(b" ".join(raw.lower().split()), digest_size=16).digest())
                     sig.append(signature(s, k).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["key", "th", "n", "node", "sig"])
+                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "th", "n", "size", "node", "sig"])
 
         return step
 
-    return map_batches(docs.select(key, F.xxhash64(text).alias("th"), text), make, f"key {kind}, th long, n long, node binary, sig binary")
+    return map_batches(docs.select(key, F.xxhash64(text).alias("th"), text), make, f"key {kind}, th long, n long, size long, node binary, sig binary")
 
 
 def band_keys(bands: int, rows: int):
@@ -113,107 +122,242 @@ def band_keys(bands: int, rows: int):
     return of
 
 
-def _confirm(rows: list[tuple], blocks: tuple[int, int], k: int, shingle: int, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that span what is linked among rows (node, own block, n, sig, text)."""
-    m = len(rows)
-    node = [r[0] for r in rows]
-    block = np.array([r[1] for r in rows])
-    size = np.array([r[2] for r in rows], np.float64)
-    sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(m, k)
+# Signatures ------------------------------------------------------------------------------------
+
+
+def least_agreement(k: int, percent: int) -> float:
+    """Equal minima that a pair at the threshold falls short of with a probability of about 3e-6."""
     share = percent / 100
-    least = k * (share - 4.5 * (share * (1 - share) / k) ** 0.5)
-    own = np.arange(m)  # the group each is in so far
-    sets: dict[int, np.ndarray] = {}
-
-    def shingles(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = next(shingle_sets(pa.array([rows[i][4]], pa.string()), shingle))
-        return sets[i]
-
-    links = []
-    for i in range(m - 1):
-        fits = np.flatnonzero((own[i + 1 :] != own[i]) & (np.minimum(size[i + 1 :], size[i]) >= share * np.maximum(size[i + 1 :], size[i]) - 1e-9)) + i + 1
-        if blocks[0] != blocks[1]:
-            fits = fits[block[fits] != block[i]]
-        if not len(fits):
-            continue
-        agree = (sig[fits] == sig[i]).sum(1)
-        for j in fits[agree >= least][np.argsort(-agree[agree >= least], kind="stable")].tolist():
-            if own[j] == own[i]:
-                continue
-            a, b = shingles(i), shingles(j)
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            both = int((b[at] == a).sum())
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                links.append((node[i], node[j]))
-                own[own == own[j]] = own[i]
-    return links
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], k: int, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Columns cluster, lo, hi, node, block, n, sig, text, sorted by the first three."""
-    key, rows, out = None, [], []
-
-    def found():
-        if len(rows) > 1:
-            out.extend(_confirm(rows, (key[1], key[2]), k, shingle, percent))
+    return k * (share - 4.5 * (share * (1 - share) / k) ** 0.5)
 
-    for batch in batches:
-        for x in zip(*(c.to_pylist() for c in batch.columns)):
-            if x[:3] != key:
-                found()
-                key, rows = x[:3], []
-                if len(out) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], ["u", "v"])
-                    out = []
-            rows.append(x[3:])
-    found()
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], ["u", "v"])
 
+def _agree(k: int, percent: int):
+    """Arrow function: whether two signatures and sizes of sets may belong to a linked pair."""
+
+    @F.arrow_udf("boolean")
+    def of(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        if not len(a):
+            return pa.array([], pa.bool_())
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(len(c), k) for c in (a, b))
+        n, m = np.asarray(n), np.asarray(m)
+        return pa.array(((x == y).sum(1) >= least_agreement(k, percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
 
-def _with_text(candidates: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """candidates (key, th, ...) with the text of the row they stand for."""
-    body = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_t"), F.col(text).alias("body"))
+    return of
+
+
+_BUCKET = "band long, slot int, lo int, hi int, node binary, own binary, block int, n long, sig binary"
+
+
+def _across(rows: list[tuple], bands: int, percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of classes of different components that pass, of whole groups of rows (columns of _BUCKET, sorted)."""
+    m = len(rows)
+    group = np.cumsum([0, *(rows[i][:4] != rows[i - 1][:4] for i in range(1, m))])
+    own_names: dict[bytes, int] = {}
+    own = np.array([own_names.setdefault(r[5], len(own_names)) for r in rows])
+    slot, split_, block, n = (np.array([f(r) for r in rows]) for f in (lambda r: r[1], lambda r: r[2] != r[3], lambda r: r[6], lambda r: r[7]))
+    sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(m, -1)
+    k = sig.shape[1]
+    least = least_agreement(k, percent)
+    for d in range(1, m):
+        same = group[d:] == group[:-d]
+        if not same.any():
+            break
+        i = np.flatnonzero(same & (own[d:] != own[:-d]) & (~split_[d:] | (block[d:] != block[:-d])) & (100 * np.minimum(n[d:], n[:-d]) >= percent * np.maximum(n[d:], n[:-d])))
+        for at in range(0, len(i), 16_384):
+            a = i[at : at + 16_384]
+            equal = sig[a] == sig[a + d]
+            a, equal = a[pass_ := equal.sum(1) >= least], equal[pass_]
+            # a pair counts in the first band it shares: all others find the same pair
+            first = equal.reshape(len(a), bands, k // bands).all(2).argmax(1)
+            for j in a[first == slot[a]].tolist():
+                yield rows[j][4], rows[j + d][4]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], bands: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows sorted by (band, lo, hi)."""
+    held: list[tuple] = []
+
+    def out(pairs) -> Iterator[pa.RecordBatch]:
+        part: list[tuple[bytes, bytes]] = []
+        for p in pairs:
+            part.append(p if p[0] < p[1] else p[::-1])
+            if len(part) >= 10_000:
+                yield _pairs_batch(part)
+                part = []
+        if part:
+            yield _pairs_batch(part)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                if len(held) >= 2048 and row[:4] != held[-1][:4]:  # whole groups only: one has at most two blocks
+                    yield from out(_across(held, bands, percent))
+                    held = []
+                held.append(row)
+    if held:
+        yield from out(_across(held, bands, percent))
+
+
+def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
+
+
+# Full sets ------------------------------------------------------------------------------------------
+
+
+class Text:
+    """A text's shingles by hash, and its words as bytes."""
+
+    def __init__(self, body: str, k: int) -> None:
+        data, offsets = texts(pa.array([body], pa.string()))
+        w = split(data, offsets, BY_SPACE)
+        self.k = min(k, len(w.hash))
+        self.keys, self.at = np.unique(join(w.hash, self.k), return_index=True)
+        self.spelled = b" ".join(body.encode().lower().split())
+        size = w.end - w.start + 1
+        self.start = np.cumsum(size) - size
+        self.end = self.start + size - 1
+
+    def runs(self, at: np.ndarray) -> Iterator[bytes]:
+        for a, b in zip(self.start[at].tolist(), self.end[at + self.k - 1].tolist()):
+            yield self.spelled[a:b]
+
+
+def linked(a: Text, b: Text, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union; shingles that agree by hash are compared as bytes."""
+    if a.k != b.k:
+        return False
+    if len(a.keys) > len(b.keys):
+        a, b = b, a
+    near = np.minimum(np.searchsorted(b.keys, a.keys), len(b.keys) - 1)
+    same = b.keys[near] == a.keys
+    both, total = int(same.sum()), len(a.keys) + len(b.keys)
+    if 100 * both < percent * (total - both):
+        return False
+    both = sum(x == y for x, y in zip(a.runs(a.at[same]), b.runs(b.at[near[same]])))
+    return 100 * both >= percent * (total - both)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links that span what is linked: rows (block pair, node, body) and then (block pair, u, v), sorted by the block pair."""
+    now, bodies, sets, up, out = None, {}, {}, {}, []
+
+    def root(x: bytes) -> bytes:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    def text(x: bytes) -> Text:
+        if x not in sets:
+            sets[x] = Text(bodies[x], shingle)
+        return sets[x]
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for pair, kind, u, v, body in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                if pair != now:
+                    now, bodies, sets, up = pair, {}, {}, {}
+                if kind == 0:
+                    bodies[u] = body
+                elif root(u) != root(v) and linked(text(u), text(v), percent):
+                    up[root(u)] = root(v)
+                    out.append((u, v))
+        if len(out) > 5000:
+            yield _pairs_batch(out)
+            out = []
+    if out:
+        yield _pairs_batch(out)
+
+
+def verify(pairs: DataFrame, classes: DataFrame, placed: DataFrame, docs: DataFrame, repeated: bool, shingle: int, percent: int) -> tuple[DataFrame, str]:
+    """Links (u, v) among pairs, as a table in the shared folder. placed: node, block."""
+    spot = F.xxhash64(F.least("bu", "bv"), F.greatest("bu", "bv"))
+    blocks = {x: placed.select(F.col("node").alias(x), F.col("block").alias(f"b{x}")) for x in "uv"}
+    dealt, where = cut(pairs.join(blocks["u"], "u").join(blocks["v"], "v").select(spot.alias("pair"), "u", "v"), "dealt")
+    ends = dealt.select("pair", "u").union(dealt.select("pair", "v")).distinct()
+    wanted = classes.join(ends.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("node", "key", "th")
+    bodies = _with_text(wanted, docs).select(F.col("node").alias("u"), "body")
+    if repeated:  # equal ids with equal texts would repeat a class
+        bodies = bodies.dropDuplicates(["u"])
+    none = F.lit(None)
+    rows = ends.join(bodies, "u").select("pair", F.lit(0).alias("kind"), "u", none.cast("binary").alias("v"), "body")
+    rows = rows.union(dealt.select("pair", F.lit(1), "u", "v", none.cast("string")))
+    found = rows.repartition("pair").sortWithinPartitions("pair", "kind").mapInArrow(partial(_verified, shingle=shingle, percent=percent), "u binary, v binary")
+    links, path = cut(found, "links")
+    discard(docs.sparkSession, where)
+    return links, path
+
+
+def _with_text(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """candidates (node, key, th) with the text of the row they stand for."""
+    body = docs.select(F.col("key").alias("_k"), F.xxhash64("text").alias("_t"), F.col("text").alias("body"))
     if candidates.count() <= BROADCAST_ROWS:  # else a shuffled join
         candidates = F.broadcast(candidates)
-    return body.join(candidates, F.col("_k").eqNullSafe(F.col(key)) & (F.col("_t") == F.col("th")))
+    return body.join(candidates, F.col("_k").eqNullSafe(F.col("key")) & (F.col("_t") == F.col("th")))
+
 
+def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, th, n_shingles, component_id (least key of the group) and kept of every row, as a table in the shared folder."""
+    spark, gone = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = cut(df, name)
+        gone.append(path)
+        return out
 
-def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, th, n_shingles, component_id (least key of the group) and kept of every row."""
-    spark = docs.sparkSession
     k = bands * rows
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sketches, _ = cut(sketch(docs, k, shingle, "text", "key"), "sketches")
-    # one row for each distinct set; the least id (nulls last) stands for it
-    first = F.struct(F.col("key").isNull().alias("none"), "key", "th", "n", "sig")
-    classes, _ = cut(sketches.filter("n > 0").groupBy("node").agg(F.min(first).alias("r")).select("node", "r.key", "r.th", "r.n", "r.sig"), "classes")
-    members = classes.select("node", F.explode(band_keys(bands, rows)(F.col("sig"))).alias("band"))
-    buckets, where = cut(members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("hub")).filter("m > 1").select("band", "hub"), "buckets")
-    clusters, _ = cut(components(members.join(buckets, "band").filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()), "clusters")
-    discard(spark, where)
-    sized = clusters.join(clusters.groupBy("component").agg(F.greatest(F.least(F.ceil(F.count(F.lit(1)) / min(LEAST_BLOCK, block)), F.lit(32)), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks")), "component")
-    # equal ids with equal texts would repeat a class: distinct sets keep one row a node
-    candidates, where = cut(classes.join(sized, "node").select("node", "component", "blocks", "key", "th", "n"), "candidates")
-    bodies = _with_text(candidates, docs, "text", "key").dropDuplicates(["node"]) if _repeated(docs) else _with_text(candidates, docs, "text", "key")
-    with_sig = bodies.select("node", "component", "blocks", "n", "body").withColumn("sig", _signatures(k, shingle)(F.col("body")))
-    own = with_sig.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "n", "sig", "body")
-    sorted_ = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "node")
-    links = sorted_.mapInArrow(partial(_blocks, k=k, shingle=shingle, percent=percent), "u binary, v binary")
-    linked = components(links)
+    repeated = _repeated(docs)
+    sketches = kept(sketch(docs, k, shingle, "text", "key"), "sketches")
+    # one row for each distinct text; the least id (nulls last) stands for it
+    first = F.struct(F.col("key").isNull().alias("none"), "key", "th", "n", "size", "sig")
+    classes = kept(sketches.filter("n > 0").groupBy("node").agg(F.min(first).alias("r")).select("node", "r.key", "r.th", "r.n", "r.size", "r.sig"), "classes")
+    members = classes.select("node", F.posexplode(band_keys(bands, rows)(F.col("sig"))).alias("slot", "band"))
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("hub")).filter("m > 1")
+    buckets = kept(members.join(shared, "band"), "buckets")
+    # where texts are verified: with the least hub's other members, in blocks of bounded size
+    home = buckets.groupBy("node").agg(F.min("hub").alias("home")).join(classes.select("node", "size"), "node")
+    parts = home.groupBy("home").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("parts"))
+    placed = kept(home.join(parts, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1)))).alias("block")), "placed")
+    # pairs with hubs
+    sides = {x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in "uv"}
+    hubs = buckets.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    near = hubs.join(sides["u"], "u").join(sides["v"], "v").filter(_agree(k, percent)("sig_u", "sig_v", "n_u", "n_v")).select("u", "v")
+    links, path = verify(near, classes, placed, docs, repeated, shingle, percent)
+    gone.append(path)
+    own, path = components(links)
+    gone.append(path)
+    # pairs across what hubs linked, in buckets that hold more than one component
+    of = buckets.join(own, "node", "left").withColumn("own", F.coalesce("component", "node"))
+    mixed = of.groupBy("band").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select("band")
+    dealt = of.join(mixed, "band", "left_semi").withColumn("parts", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    rows_ = dealt.join(classes.select("node", "n", "sig"), "node").select("band", "slot", "lo", "hi", "node", "own", "block", "n", "sig")
+    rows_ = rows_.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
+    rest = kept(rows_.mapInArrow(partial(_buckets, bands=bands, percent=percent), "u binary, v binary"), "pairs")
+    if not rest.isEmpty():
+        links, path = verify(rest, classes, placed, docs, repeated, shingle, percent)
+        gone.append(path)
+        for x in "uv":
+            links = links.join(own.select(F.col("node").alias(x), F.col("component").alias(f"own_{x}")), x, "left").withColumn(x, F.coalesce(f"own_{x}", x)).select("u", "v")
+        over, path = components(links)
+        gone.append(path)
+        over = over.select(F.col("component").alias("over"), F.col("node").alias("component"))
+        alone = over.join(own, over.component == own.node, "left_anti").select(F.col("component").alias("node"), F.col("over").alias("component"))
+        own = own.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")).union(alone)
     # the row that is kept: the least id (nulls last), and of its texts that of the least hash
-    row = F.struct(F.col("key").isNull().alias("none"), "key", "th")
-    named = linked.join(classes.select("node", row.alias("row")), "node")
-    least = named.groupBy("component").agg(F.min("row").alias("least"))
-    names, _ = cut(classes.select("node", row.alias("row")).join(named.select("node", "component").join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "row").alias("r")).select("node", F.col("r.key").alias("component_id"), F.col("r.th").alias("kept_th")), "names")
-    discard(spark, where)
-    whole = sketches.select("key", "th", "n", "node").filter("n > 0").join(names, "node").select("key", "th", F.col("n").alias("n_shingles"), "component_id", (F.col("key").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("kept_th"))).alias("kept"))
+    row = F.struct(F.col("key").isNull().alias("none"), "key", "th").alias("row")
+    named = classes.select("node", row).join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("row").alias("r"))
+    names = named.join(least, "component").select("node", F.col("r.key").alias("component_id"), F.col("r.th").alias("kept_th"))
+    whole = sketches.select("key", "th", "n", "node").filter("n > 0").join(names, "node")
+    whole = whole.select("key", "th", F.col("n").alias("n_shingles"), "component_id", (F.col("key").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("kept_th"))).alias("kept"))
     lone = sketches.filter("n = 0").select("key", "th", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    return whole.union(lone).withColumnRenamed("key", key)
+    result, _ = cut(whole.union(lone).withColumnRenamed("key", key), "groups")
+    for path in gone:
+        discard(spark, path)
+    return result
 
 
 def _repeated(docs: DataFrame) -> bool:
@@ -221,17 +365,9 @@ def _repeated(docs: DataFrame) -> bool:
     return not docs.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
 
-def _signatures(k: int, shingle: int):
-    @F.arrow_udf("binary")
-    def of(column: pa.Array) -> pa.Array:
-        return pa.array([signature(s, k).tobytes() for s in shingle_sets(column, shingle)], pa.binary())
-
-    return of
-
-
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
     """docs with one row of each group."""
-    found, _ = cut(groups(docs, text=text, key=key, **settings), "groups")
+    found = groups(docs, text=text, key=key, **settings)
     mark = F.xxhash64(text)
     gone = found.filter("NOT kept").select(F.col(key).alias("_k"), F.col("th").alias("_t")).distinct()
     if gone.count() <= BROADCAST_ROWS:

@@ -1,21 +1,22 @@
 """Words of many texts at once, by byte classes in numpy.
 
 A separator class that only holds ASCII bytes splits UTF-8 correctly byte by
-byte, so no text is decoded. Each word gets a 64-bit polynomial hash taken from
-prefix sums; callers whose results must not rest on a hash compare the bytes.
+byte, so no text is decoded. A word's 64-bit hash mixes its bytes eight at a time, each
+step after the one before (no sum of bytes, which structured words can make equal);
+long words take BLAKE2b. Callers whose results must not rest on a hash compare the bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 _FACTORS = np.random.default_rng(20240608).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes from which a word is hashed by BLAKE2b.
+LONG = 64
 
 #: Lower-cases A-Z and leaves every other byte.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -29,18 +30,6 @@ BY_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 BY_SIGN = np.ones(256, bool)
 BY_SIGN[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        grown = np.full(max(n, 1 << 16), base, np.uint64)
-        grown[0] = 1
-        _powers[base] = have = np.multiply.accumulate(grown)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -60,7 +49,7 @@ class Words:
         return np.diff(self.first)
 
 
-def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, seed: int = 0) -> Words:
     """Words of the rows data[offsets[i]:offsets[i+1]] after lower-casing A-Z."""
     data = LOWER[data]
     n = len(data)
@@ -73,10 +62,35 @@ def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
     last = offsets[1:][offsets[1:] > 0] - 1
     end[last] = word[last]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODES[data] * _power(_MULTIPLIER, n), out=sums[1:])
-    found = mix((sums[e] - sums[s]) * _power(_INVERSE, n + 1)[s])
-    return Words(data, s, e, np.searchsorted(s, offsets), found)
+    return Words(data, s, e, np.searchsorted(s, offsets), hash_words(data, s, e, seed))
+
+
+def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(indices of the words that reach so far, their next eight bytes as integers), eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+    which, size, step = np.arange(len(start)), end - start, 0
+    while len(which):
+        left = size[which] - 8 * step
+        found = eights[start[which] + 8 * step]
+        cut = np.flatnonzero(left < 8)
+        found[cut] &= (np.uint64(1) << (left[cut].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        yield which, found
+        which, step = which[left > 8], step + 1
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    size = end - start
+    out = np.full(len(start), mix(np.array([seed + 1], np.uint64))[0], np.uint64)
+    short = np.flatnonzero(size < LONG)
+    own = out[short]
+    for which, found in lanes(data, start[short], end[short]):
+        own[which] = mix(own[which] ^ found) * _STEP
+    out[short] = own
+    out = mix(out + size.astype(np.uint64))
+    for i in np.flatnonzero(size >= LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
 
 
 def join(hashes: np.ndarray, k: int) -> np.ndarray:
