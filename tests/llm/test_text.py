@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -437,8 +438,8 @@ def brute_hits(docs, items, window):
 @pytest.mark.parametrize("block_bytes", [1 << 22, 300])
 def test_contamination_equals_brute_force(spark, block_bytes):
     rng = random.Random(8)
-    items = [(i, prose(rng, "en", n)) for i, n in enumerate((40, 13, 12, 5, 2, 1, 0))] + [(7, None), (8, ""), (10, "Same words, twice"), (9, "same WORDS twice"), (None, "an item without id")]
-    docs = []
+    items = [(i, prose(rng, "en", n)) for i, n in enumerate((40, 13, 12, 5, 2, 1, 0))] + [(7, None), (8, ""), (10, "Same words, twice"), (9, "same WORDS twice"), (None, "an item without id"), (11, "no " * 30), (12, "No " * 30), (13, "yes no " * 14), (14, "no yes no"), (14, "\U0001f600é no")]
+    docs = [(100, "no " * 200, "en", "s", 0), (101, "yes " + "no " * 13 + "yes no yes no " * 6, "en", "s", 0), (102, "no " * 12 + "é " + "no " * 12, "en", "s", 0)]
     for i in range(40):
         text = prose(rng, "de", rng.choice((5, 60, 300)))
         body = items[i % 6][1].split()
@@ -448,11 +449,35 @@ def test_contamination_equals_brute_force(spark, block_bytes):
     got = decontam.scan(frame(spark, docs, extra=True), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect()
     want = sorted(zip([str(d[0]) for d in docs], brute_hits(docs, items, 13)))
     assert sorted((str(r["doc_id"]), (r["n_words"], r["n_hit"], r["items"], r["contaminated"])) for r in got) == want
+    if block_bytes > 300:  # words of equal hashes are told apart by their bytes
+        hashing, words.hash_words = words.hash_words, lambda data, start, end, seed=0: hashing(data, start, end, seed) % np.uint64(50 if seed == 0 else 1 << 62)
+        try:
+            index = decontam.windows_of([("a", "one two three four"), *((str(i), f"word{i} and {i * i}") for i in range(60))], 3)
+        finally:
+            words.hash_words = hashing
+        assert index.seed == 1
     none = decontam.scan(frame(spark), spark.createDataFrame([], "item_id long, text string"))
     assert none.filter("contaminated OR n_hit > 0").count() == 0
     assert decontam.scan(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_contamination_of_repetitive_texts():
+    rng = random.Random(4)
+    index = decontam.windows_of([(str(i), "no " * 400) for i in range(50)] + [("x", " ".join(rng.choice("ab") for _ in range(20_000)))], 13)
+    decontam.file_windows(index, {k: np.ones(len(v), np.int64) for k, v in index.shingles.items()})
+    assert sum(index.items[h] == [str(i) for i in range(50)] for h in index.holders.tolist()) == 1  # equal windows and items are kept once
+
+    class Shared:
+        value = ("repetitive", index)
+
+    texts = ["no " * 1_000_000, " ".join(rng.choice("ab") for _ in range(100_000))]
+    took = time.process_time()
+    found = decontam.find_windows(Shared, pa.array(texts, pa.string())).to_pylist()
+    assert time.process_time() - took < 30
+    assert [f["n_words"] for f in found] == [1_000_000, 100_000] and found[0]["n_hit"] == 1_000_000 and len(found[0]["items"]) == 50
+    assert 95_000 < found[1]["n_hit"] and found[1]["items"] == ["x"]
+
+
 # Quality --------------------------------------------------------------------------------------------------------------------
 
 

@@ -93,12 +93,33 @@ def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return out
 
 
+def same_words(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether the i-th words of both (data, starts, ends) have the same bytes."""
+    size = a[2] - a[1]
+    out = size == b[2] - b[1]
+    for i in np.flatnonzero(out & (size >= LONG)).tolist():
+        out[i] = a[0][a[1][i] : a[2][i]].tobytes() == b[0][b[1][i] : b[2][i]].tobytes()
+    short = np.flatnonzero(out & (size < LONG))
+    for (which, x), (_, y) in zip(*(lanes(data, start[short], end[short]) for data, start, end in (a, b))):
+        out[short[which[x != y]]] = False
+    return out
+
+
 def join(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k consecutive words, by the position of the first; runs that cross rows are the caller's to leave out."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = hashes[:n] * _FACTORS[0]
+    return join_at(hashes, np.arange(n), k) if n < 1024 else _join(lambda i: hashes[i : i + n], k)
+
+
+def join_at(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words that begin at the given places."""
+    return _join(lambda i: hashes[at + i], k)
+
+
+def _join(step, k: int) -> np.ndarray:
+    out = step(0) * _FACTORS[0]
     for i in range(1, k):
-        out += hashes[i : i + n] * _FACTORS[i]
+        out += step(i) * _FACTORS[i]
     return mix(out)
