@@ -9,7 +9,8 @@ above or below it.
 
 No table holds labelled pages, so the trees are trained on pages that `sample_page`
 writes: many layouts (with and without semantic tags and telling class names) whose main
-text is known. Training takes `pages` such pages from a fixed seed, on the driver.
+text is known. `python -m tidemark.llm.html_extract` trains them from a fixed seed and stores
+them in `html_trees.json`, which holds the seed and the number of pages too.
 
 Defined cases: null, empty and wordless pages give an empty text; unclosed, stray and
 wrongly nested tags are closed like browsers do for paragraphs, list items and cells;
@@ -19,7 +20,9 @@ table gives no rows; other columns pass through (text and n_chars are replaced).
 
 from __future__ import annotations
 
+import json
 import math
+import pkgutil
 import random
 import re
 from functools import lru_cache
@@ -33,12 +36,19 @@ from pyspark.sql import functions as F
 from tidemark.llm import boosting
 from tidemark.llm.common import made, share
 
-# Fixed values of HTML: elements without content, with raw content that is never text, inline ones, and those a sibling ends.
+# Fixed values of HTML: elements without content, with raw content that is never text, with content that is never main text, inline ones, and those a sibling ends.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title noscript template textarea iframe svg math select button object canvas audio video".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
+RAW = set("script style title textarea iframe noembed noframes xmp".split())
+HIDDEN = set("noscript template svg select button object canvas audio video datalist".split())
+MATH = set("math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mfenced mtable mtr mtd".split())
+INLINE = MATH | set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+#: Names whose open elements a scope's element hides from their siblings.
+HIDES: dict[str, set[str]] = {}
+for _name, _scopes in SCOPES.items():
+    for _scope in _scopes:
+        HIDES.setdefault(_scope, set()).add(_name)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SIGNS = re.compile(r"[.,;:!?]")
@@ -84,7 +94,7 @@ def meanings(attributes: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "bits", "parent", "depth", "items", "index", "up_bits", "up_tags")
+    __slots__ = ("tag", "bits", "parent", "depth", "items", "index", "up_bits", "up_tags", "ends")
 
     def __init__(self, tag: str, bits: int, parent: "Node | None", index: int) -> None:
         self.tag, self.bits, self.parent, self.index = tag, bits, parent, index
@@ -92,74 +102,92 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
         self.up_bits = parent.up_bits | parent.bits if parent else 0
         self.up_tags = parent.up_tags | (1 << _ABOVE_AT[parent.tag] if parent.tag in _ABOVE_AT else 0) if parent else 0
+        # by name: the outermost open element that a start tag of this name ends
+        self.ends: dict[str, Node] = parent.ends if parent else {}
+        if tag in HIDES:
+            self.ends = {k: v for k, v in self.ends.items() if k not in HIDES[tag]}
+        if tag in ENDED_BY:
+            self.ends = {k: self for k in ENDED_BY[tag] if k in SCOPES} | self.ends
 
 
 def parse(html: str) -> list[Node]:
-    """Block elements of a page, parents first; the first is the page."""
+    """Block elements of a page, parents first; the first is the page. Linear in the page's length."""
     root = Node("body", 0, None, 0)
-    nodes, at, links = [root], root, 0
-    inline: list[str] = []  # open inline elements of the node at hand
-    pos, n = 0, len(html)
+    nodes, at = [root], root
+    inline: dict[str, int] = {}  # open inline elements of the node at hand
+    opened: dict[str, int] = {}  # open block elements
+    hidden: list[tuple[str, int]] = []  # open elements whose text is left out, and their node's depth
+    pos, last = 0, html.rfind(">") + 1
 
     def say(text: str) -> None:
-        if text:
-            at.items.append((unescape(text) if "&" in text else text, links > 0))
+        if text and not hidden:
+            at.items.append((unescape(text) if "&" in text else text, inline.get("a", 0) > 0))
+
+    def close_to(node: Node) -> None:
+        """Makes node the innermost open one."""
+        nonlocal at
+        inline.clear()
+        while at is not node:
+            opened[at.tag] -= 1
+            at = at.parent
+        while hidden and hidden[-1][1] > at.depth:
+            hidden.pop()
 
-    while pos < n:
-        m = TOKEN.search(html, pos)
+    while pos < last:
+        m = TOKEN.search(html, pos, last)
         if not m:
-            say(html[pos:])
             break
         if m.start() > pos:
             say(html[pos : m.start()])
         pos = m.end()
         name = m[2] or m[5]
         if not name:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                return nodes
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
         if closing:
             if name in INLINE:
-                if name in inline:
-                    inline.remove(name)
-                    links -= name == "a"
-                continue
-            up = at
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up is not root:
-                at, inline, links = up.parent, [], 0
+                inline[name] = max(0, inline.get(name, 0) - 1)
+            elif name in HIDDEN:
+                at_hand = next((i for i in range(len(hidden) - 1, max(-1, len(hidden) - 9), -1) if hidden[i][0] == name), None)
+                if at_hand is not None:
+                    del hidden[at_hand:]
+            elif opened.get(name):
+                up = at
+                while up.tag != name:
+                    up = up.parent
+                close_to(up.parent)
             elif name == "p":
                 at.items.append(None)
             continue
-        if name in RAW:
-            if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, pos)
-                pos = end.end() if end else n
+        if name in RAW:  # nothing but its end tag ends it
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, pos)
+            if not end:
+                return nodes
+            pos = end.end()
             at.items.append((" ", False))
-            continue
-        if name in VOID:
+        elif name in HIDDEN:
+            at.items.append((" ", False))
+            if name != "svg" or not attributes.endswith("/"):
+                hidden.append((name, at.depth))
+        elif name in VOID:
             at.items.append((" ", False) if name != "hr" else None)
-            continue
-        if name in INLINE:
-            inline.append(name)
-            links += name == "a"
-            continue
-        if name in ("html", "body", "head"):
+        elif name in INLINE:
+            inline[name] = inline.get(name, 0) + 1
+        elif name in ("html", "body", "head"):
             root.bits |= meanings(attributes) if attributes and name == "body" else 0
-            continue
-        if at.tag == "p":  # a block ends an open paragraph
-            at = at.parent
-        if name in SCOPES:
-            up = at
-            while up is not root and up.tag not in SCOPES[name]:
-                if up.tag in ENDED_BY and name in ENDED_BY[up.tag]:
-                    at = up.parent
-                up = up.parent
-        inline, links = [], 0
-        node = Node(name, meanings(attributes) if attributes else 0, at, len(nodes))
-        nodes.append(node)
-        at.items.append(node)
-        at = node
+        else:
+            inline.clear()
+            if at.tag == "p":  # a block ends an open paragraph
+                close_to(at.parent)
+            if name in at.ends:
+                close_to(at.ends[name].parent)
+            at = Node(name, meanings(attributes) if attributes else 0, at, len(nodes))
+            opened[name] = opened.get(name, 0) + 1
+            nodes.append(at)
+            at.parent.items.append(at)
+    say(html[pos:].partition("<!--")[0])
     return nodes
 
 
@@ -304,8 +332,8 @@ def blocks_of(nodes: list[Node], kept: list[bool]) -> list[str]:
 MARK = ""  # stands before each word of main text
 
 
-def sample_page(rng: random.Random) -> str:
-    """A page in a random layout; the words of its main text carry MARK."""
+def sample_page(rng: random.Random, half: int | None = None) -> str:
+    """A page in a random layout; the words of its main text carry MARK. half: only use the first (0) or second (1) half of the names and frames."""
 
     def words(n: int) -> list[str]:
         return ["".join(rng.choice(("an", "er", "lo", "mi", "sta", "te", "ro", "que", "ü", "den", "ou", "ci")) for _ in range(rng.randint(1, 4))) for _ in range(n)]
@@ -323,7 +351,7 @@ def sample_page(rng: random.Random) -> str:
         return f'<a href="/{rng.randint(0, 9999)}">{text}</a>'
 
     def named(tag: str, names: str, text: str) -> str:
-        name = rng.choice(names.split())
+        name = rng.choice(names.split() if half is None else names.split()[half::2])
         extra = rng.choice(("", "", f"-{rng.choice(('wrap', 'box', 'inner', '1'))}"))
         return f'<{tag} {rng.choice(("class", "id"))}="{name}{extra}">{text}</{tag}>'
 
@@ -397,7 +425,7 @@ def sample_page(rng: random.Random) -> str:
         return "".join(parts)
 
     text = body()
-    shape = rng.random()
+    shape = rng.random() if half is None else 0.8 * rng.random() ** 2 if half == 0 else 0.45 + 0.5 * rng.random()
     if shape < 0.45:
         text = f"<article>{text}</article>"
     elif shape < 0.6:
@@ -416,12 +444,14 @@ def sample_page(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{prose(1)}</title><style>p{{}}</style></head><body>{''.join(above)}{text}{''.join(below)}</body></html>"
 
 
-@lru_cache(2)
-def train(pages: int = 1000, seed: int = 20240611, trees: int = 60, depth: int = 4) -> boosting.Trees:
+PAGES, SEED = 1000, 20240611
+
+
+def train(pages: int = PAGES, seed: int = SEED, trees: int = 60, depth: int = 4, half: int | None = None) -> boosting.Trees:
     rng = random.Random(seed)
     x, y, weight = [], [], []
     for _ in range(pages):
-        nodes = parse(sample_page(rng))
+        nodes = parse(sample_page(rng, half))
         true, all_ = [0] * len(nodes), [0] * len(nodes)
         for i in range(len(nodes) - 1, -1, -1):
             for k, item in enumerate(nodes[i].items):
@@ -440,6 +470,23 @@ def train(pages: int = 1000, seed: int = 20240611, trees: int = 60, depth: int =
     return boosting.fit(np.array(x), np.array(y), np.array(weight), trees, depth)
 
 
+STORED = "html_trees.json"
+
+
+@lru_cache(1)
+def stored() -> boosting.Trees:
+    """The trees that come with the package."""
+    raw = json.loads(pkgutil.get_data(__package__, STORED))
+    return boosting.Trees(raw["depth"], np.array(raw["features"]), np.array([[np.inf if x is None else x for x in row] for row in raw["limits"]]), np.array(raw["leaves"]), raw["base"])
+
+
+def store(path: str, trees: boosting.Trees, pages: int = PAGES, seed: int = SEED) -> None:
+    limits = [[None if np.isinf(x) else x for x in row] for row in trees.limits.tolist()]
+    with open(path, "w") as f:
+        json.dump({"pages": pages, "seed": seed, "depth": trees.depth, "base": trees.base, "features": trees.features.tolist(), "limits": limits, "leaves": trees.leaves.tolist()}, f)
+        f.write("\n")
+
+
 def main_texts(pages: list[str | None], trees: boosting.Trees) -> list[str]:
     """Main text of each page."""
     parsed = [parse(p) if p else [] for p in pages]
@@ -453,8 +500,8 @@ def main_texts(pages: list[str | None], trees: boosting.Trees) -> list[str]:
 
 
 def extract(pages: DataFrame, html: str = "html", trees: boosting.Trees | None = None) -> DataFrame:
-    """pages with text (its main text) and n_chars."""
-    shared = share(pages.sparkSession, trees or train())
+    """pages with text (its main text) and n_chars. trees: others than the stored ones."""
+    shared = share(pages.sparkSession, trees or stored())
 
     @F.arrow_udf("string")
     def of(column: pa.Array) -> pa.Array:
@@ -464,3 +511,9 @@ def extract(pages: DataFrame, html: str = "html", trees: boosting.Trees | None =
         return pa.array(found, pa.string())
 
     return pages.withColumn("text", of(F.col(html))).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+if __name__ == "__main__":
+    from pathlib import Path
+
+    store(str(Path(__file__).with_name(STORED)), train())
