@@ -74,7 +74,7 @@ def test_main_text_of_unseen_pages(trees):
 
 def test_main_text_of_unseen_layouts():
     """Trees that saw half of the names and frames, on pages of the other half."""
-    equal, wrong = read_pages(html_extract.train(pages=600, half=0), 80, half=1)
+    equal, wrong = read_pages(html_extract.train(half=0), 80, half=1)
     assert equal >= 0.6 and wrong < 0.15
 
 
