@@ -8,11 +8,12 @@ and connected components by alternating large-star and small-star.
    hub. First every member is paired with its hubs only; these pairs are verified by
    signature, then on the full sets, and what is linked is one component so far.
 3. Buckets that still hold several components are compared pair by pair across them, in
-   blocks of a bounded number of signatures; a pair counts in its first common band only.
-   Pairs that pass are verified on the full sets.
+   blocks of a bounded number of signatures. What comes out isn't pairs (a group of m near
+   copies has m * m) but classes: those with a pair that passes, for each pair of blocks of texts
+   it stands in. These block pairs are verified on the full sets.
 4. The components of all confirmed links are the groups.
 
-Texts are fetched for pairs that passed the signature check only, and are verified in
+Texts are fetched for classes of pairs that passed the signature check only, and are verified in
 blocks of a bounded number of bytes: a text goes once to each pair of blocks in which it has
 such pairs. A block keeps track of what it has linked and skips pairs that are linked already.
 Links rest on words, not on hashes: shingles that agree by hash are compared byte by byte.
@@ -32,6 +33,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -145,19 +147,19 @@ def _agree(k: int, percent: int):
     return of
 
 
-_BUCKET = "band long, slot int, lo int, hi int, node binary, own binary, block int, n long, sig binary"
+#: Columns of a row of a bucket, sorted by the first three. spot: the block its text is verified in.
+_BUCKET = ("band", "lo", "hi", "node", "own", "block", "spot", "n", "sig")
 
 
-def _across(rows: list[tuple], bands: int, percent: int) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of classes of different components that pass, of whole groups of rows (columns of _BUCKET, sorted)."""
-    m = len(rows)
-    group = np.cumsum([0, *(rows[i][:4] != rows[i - 1][:4] for i in range(1, m))])
-    own_names: dict[bytes, int] = {}
-    own = np.array([own_names.setdefault(r[5], len(own_names)) for r in rows])
-    slot, split_, block, n = (np.array([f(r) for r in rows]) for f in (lambda r: r[1], lambda r: r[2] != r[3], lambda r: r[6], lambda r: r[7]))
+def _across(rows: list[tuple], percent: int) -> set[tuple[int, bytes, bytes]]:
+    """(pair of text blocks, node, own) of the classes that have a pair with another component that passes. rows: whole buckets."""
+    m, out = len(rows), set()
+    group = np.cumsum([0, *(rows[i][:3] != rows[i - 1][:3] for i in range(1, m))])
+    names: dict[bytes, int] = {}
+    own = np.array([names.setdefault(r[4], len(names)) for r in rows])
+    split_, block, spot, n = np.array([r[1] != r[2] for r in rows]), np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
     sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(m, -1)
-    k = sig.shape[1]
-    least = least_agreement(k, percent)
+    least = least_agreement(sig.shape[1], percent)
     for d in range(1, m):
         same = group[d:] == group[:-d]
         if not same.any():
@@ -165,37 +167,25 @@ def _across(rows: list[tuple], bands: int, percent: int) -> Iterator[tuple[bytes
         i = np.flatnonzero(same & (own[d:] != own[:-d]) & (~split_[d:] | (block[d:] != block[:-d])) & (100 * np.minimum(n[d:], n[:-d]) >= percent * np.maximum(n[d:], n[:-d])))
         for at in range(0, len(i), 16_384):
             a = i[at : at + 16_384]
-            equal = sig[a] == sig[a + d]
-            a, equal = a[pass_ := equal.sum(1) >= least], equal[pass_]
-            # a pair counts in the first band it shares: all others find the same pair
-            first = equal.reshape(len(a), bands, k // bands).all(2).argmax(1)
-            for j in a[first == slot[a]].tolist():
-                yield rows[j][4], rows[j + d][4]
+            a = a[(sig[a] == sig[a + d]).sum(1) >= least]
+            pair = mix(mix(np.minimum(spot[a], spot[a + d]).view(np.uint64)) ^ np.maximum(spot[a], spot[a + d]).view(np.uint64)).view(np.int64)
+            for x, j in zip(pair.tolist(), a.tolist()):
+                out.add((x, rows[j][3], rows[j][4]))
+                out.add((x, rows[j + d][3], rows[j + d][4]))
+    return out
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], bands: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows sorted by (band, lo, hi)."""
+def _buckets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
-
-    def out(pairs) -> Iterator[pa.RecordBatch]:
-        part: list[tuple[bytes, bytes]] = []
-        for p in pairs:
-            part.append(p if p[0] < p[1] else p[::-1])
-            if len(part) >= 10_000:
-                yield _pairs_batch(part)
-                part = []
-        if part:
-            yield _pairs_batch(part)
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            for row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
-                if len(held) >= 2048 and row[:4] != held[-1][:4]:  # whole groups only: one has at most two blocks
-                    yield from out(_across(held, bands, percent))
+    for batch in chain(batches, [None]):
+        for at in range(0, batch.num_rows, 1024) if batch else [None]:
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)) if batch else [None]:
+                if row is None or (len(held) >= 2048 and row[:3] != held[-1][:3]):  # whole buckets only: one has at most two blocks
+                    found = _across(held, percent) if held else ()
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary(), pa.binary()))], ["pair", "node", "own"])
                     held = []
                 held.append(row)
-    if held:
-        yield from out(_across(held, bands, percent))
 
 
 def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -238,30 +228,41 @@ def linked(a: Text, b: Text, percent: int) -> bool:
     return 100 * both >= percent * (total - both)
 
 
-def _verified(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links that span what is linked: rows (block pair, node, body) and then (block pair, u, v), sorted by the block pair."""
-    now, bodies, sets, up, out = None, {}, {}, {}, []
+class Joined:
+    """Which of some nodes are linked so far, the texts of a pair of blocks, and the links found."""
 
-    def root(x: bytes) -> bytes:
-        while up.get(x, x) != x:
-            up[x] = up.get(up[x], up[x])
-            x = up[x]
+    def __init__(self, shingle: int, percent: int) -> None:
+        self.shingle, self.percent, self.bodies, self.sets, self.up = shingle, percent, {}, {}, {}
+
+    def root(self, x: bytes) -> bytes:
+        while (up := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(up, up)
         return x
 
-    def text(x: bytes) -> Text:
-        if x not in sets:
-            sets[x] = Text(bodies[x], shingle)
-        return sets[x]
+    def text(self, x: bytes) -> Text:
+        if x not in self.sets:
+            self.sets[x] = Text(self.bodies[x], self.shingle)
+        return self.sets[x]
+
+    def link(self, u: bytes, v: bytes) -> bool:
+        """Whether u and v are newly linked."""
+        if self.root(u) == self.root(v) or not linked(self.text(u), self.text(v), self.percent):
+            return False
+        self.up[self.root(u)] = self.root(v)
+        return True
+
 
+def _verified(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links that span what is linked: rows (block pair, 0, node, -, body) and then (block pair, 1, u, v, -), sorted by the block pair."""
+    now, state, out = None, Joined(shingle, percent), []
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             for pair, kind, u, v, body in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
                 if pair != now:
-                    now, bodies, sets, up = pair, {}, {}, {}
+                    now, state = pair, Joined(shingle, percent)
                 if kind == 0:
-                    bodies[u] = body
-                elif root(u) != root(v) and linked(text(u), text(v), percent):
-                    up[root(u)] = root(v)
+                    state.bodies[u] = body
+                elif state.link(u, v):
                     out.append((u, v))
         if len(out) > 5000:
             yield _pairs_batch(out)
@@ -270,16 +271,50 @@ def _verified(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) ->
         yield _pairs_batch(out)
 
 
+def _compare(rows: list[tuple], shingle: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that span what is linked among rows (node, own, n, sig, body) of different components."""
+    if len(rows) < 2:
+        return []
+    state = Joined(shingle, percent)
+    state.bodies = {r[0]: r[4] for r in rows}
+    rows = list({r[0]: r for r in rows}.values())
+    names: dict[bytes, int] = {}
+    own = np.array([names.setdefault(r[1], len(names)) for r in rows])
+    n = np.array([r[2] for r in rows])
+    sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
+    least, out = least_agreement(sig.shape[1], percent), []
+    for i in range(len(rows) - 1):
+        fits = np.flatnonzero((own[i + 1 :] != own[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
+        agree = np.concatenate([np.zeros(0, int), *((sig[fits[at : at + 4096]] == sig[i]).sum(1) for at in range(0, len(fits), 4096))])
+        order = np.argsort(-agree, kind="stable")
+        for j in fits[order[: int((agree >= least).sum())]].tolist():
+            if own[j] != own[i] and state.link(rows[i][0], rows[j][0]):
+                out.append((rows[i][0], rows[j][0]))
+                own[own == own[j]] = own[i]
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links among rows (block pair, node, own, n, sig, body), sorted by the block pair."""
+    now, rows = None, []
+    for batch in chain(batches, [None]):
+        for at in range(0, batch.num_rows, 256) if batch else [0]:
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)) if batch else [(None,)]:
+                if row[0] != now:
+                    out = _compare(rows, shingle, percent)
+                    if out:
+                        yield _pairs_batch(out)
+                    now, rows = row[0], []
+                rows.append(row[1:])
+
+
 def verify(pairs: DataFrame, classes: DataFrame, placed: DataFrame, docs: DataFrame, repeated: bool, shingle: int, percent: int) -> tuple[DataFrame, str]:
     """Links (u, v) among pairs, as a table in the shared folder. placed: node, block."""
     spot = F.xxhash64(F.least("bu", "bv"), F.greatest("bu", "bv"))
     blocks = {x: placed.select(F.col("node").alias(x), F.col("block").alias(f"b{x}")) for x in "uv"}
     dealt, where = cut(pairs.join(blocks["u"], "u").join(blocks["v"], "v").select(spot.alias("pair"), "u", "v"), "dealt")
     ends = dealt.select("pair", "u").union(dealt.select("pair", "v")).distinct()
-    wanted = classes.join(ends.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("node", "key", "th")
-    bodies = _with_text(wanted, docs).select(F.col("node").alias("u"), "body")
-    if repeated:  # equal ids with equal texts would repeat a class
-        bodies = bodies.dropDuplicates(["u"])
+    bodies = texts_of(ends.select(F.col("u").alias("node")), classes, docs, repeated).withColumnRenamed("node", "u")
     none = F.lit(None)
     rows = ends.join(bodies, "u").select("pair", F.lit(0).alias("kind"), "u", none.cast("binary").alias("v"), "body")
     rows = rows.union(dealt.select("pair", F.lit(1), "u", "v", none.cast("string")))
@@ -289,6 +324,13 @@ def verify(pairs: DataFrame, classes: DataFrame, placed: DataFrame, docs: DataFr
     return links, path
 
 
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """node and body of some classes."""
+    wanted = classes.join(nodes.distinct(), "node", "left_semi").select("node", "key", "th")
+    bodies = _with_text(wanted, docs).select("node", "body")
+    return bodies.dropDuplicates(["node"]) if repeated else bodies  # equal ids with equal texts would repeat a class
+
+
 def _with_text(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """candidates (node, key, th) with the text of the row they stand for."""
     body = docs.select(F.col("key").alias("_k"), F.xxhash64("text").alias("_t"), F.col("text").alias("body"))
@@ -313,7 +355,7 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
     # one row for each distinct text; the least id (nulls last) stands for it
     first = F.struct(F.col("key").isNull().alias("none"), "key", "th", "n", "size", "sig")
     classes = kept(sketches.filter("n > 0").groupBy("node").agg(F.min(first).alias("r")).select("node", "r.key", "r.th", "r.n", "r.size", "r.sig"), "classes")
-    members = classes.select("node", F.posexplode(band_keys(bands, rows)(F.col("sig"))).alias("slot", "band"))
+    members = classes.select("node", F.explode(band_keys(bands, rows)(F.col("sig"))).alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("hub")).filter("m > 1")
     buckets = kept(members.join(shared, "band"), "buckets")
     # where texts are verified: with the least hub's other members, in blocks of bounded size
@@ -333,12 +375,13 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
     mixed = of.groupBy("band").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select("band")
     dealt = of.join(mixed, "band", "left_semi").withColumn("parts", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    rows_ = dealt.join(classes.select("node", "n", "sig"), "node").select("band", "slot", "lo", "hi", "node", "own", "block", "n", "sig")
+    rows_ = dealt.join(classes.select("node", "n", "sig"), "node").join(placed.withColumnRenamed("block", "spot"), "node").select(*_BUCKET)
     rows_ = rows_.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
-    rest = kept(rows_.mapInArrow(partial(_buckets, bands=bands, percent=percent), "u binary, v binary"), "pairs")
+    rest = kept(rows_.mapInArrow(partial(_buckets, percent=percent), "pair long, node binary, own binary").distinct(), "passing")
     if not rest.isEmpty():
-        links, path = verify(rest, classes, placed, docs, repeated, shingle, percent)
-        gone.append(path)
+        full = rest.join(classes.select("node", "n", "sig"), "node").join(texts_of(rest.select("node"), classes, docs, repeated), "node")
+        full = full.select("pair", "node", "own", "n", "sig", "body").repartition("pair").sortWithinPartitions("pair", "node")
+        links = kept(full.mapInArrow(partial(_compared, shingle=shingle, percent=percent), "u binary, v binary"), "links")
         for x in "uv":
             links = links.join(own.select(F.col("node").alias(x), F.col("component").alias(f"own_{x}")), x, "left").withColumn(x, F.coalesce(f"own_{x}", x)).select("u", "v")
         over, path = components(links)
