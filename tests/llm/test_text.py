@@ -537,13 +537,28 @@ def test_quality_of_unseen_texts(spark):
 
 
 def test_licence_spellings_and_copyright_lines(spark):
-    mit = next(b for a, b in licenses.KNOWN if len(b) > 500 and a == "MIT")
-    texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("NONINFRINGEMENT", "NON-INFRINGEMENT"), mit.replace("software", "hardware"), "words\n  licensed under the apache LICENCE, version 2.0\nmore", None, "", "!!!", "© 2021 X"]
+    known = dict(licenses.known_texts())
+    mit = known["MIT"]
+    texts = [mit, "Copyright (c) 2020 J. Someone\n\n" + mit.upper().replace("NONINFRINGEMENT", "NON-INFRINGEMENT"), mit.replace("software", "hardware"), "words\n  licensed under the apache LICENCE, version 2.0\nmore", None, "", "!!!", "© 2021 X"]
+    texts += ["Copyright 2024 Acme Inc. All rights reserved.", "Copyright (c) 2024 X. Released under the MIT Licence.", "a\n\nCopyright 2024 Acme. All rights reserved.\r\n"]
+    texts += [known["GPL-3.0"].replace("\n", "\n\t "), " ".join(known["Apache-2.0"].split()).lower(), known["Zlib"] + "one word more"]
     df = frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)], extra=True)
     got = {r["doc_id"]: (r["license_id"], r["paragraph_license_ids"]) for r in licenses.scan(df).collect()}
     assert [got[i][0] for i in range(8)] == ["MIT", "MIT"] + [None] * 6 and got[3][1] == ["Apache-2.0"] and got[4][1] == []
+    assert got[8] == ("LicenseRef-all-rights-reserved", ["LicenseRef-all-rights-reserved"]) and got[9] == ("MIT", ["MIT"]) and got[10] == (None, ["LicenseRef-all-rights-reserved"])
+    assert [got[i][0] for i in (11, 12, 13)] == ["GPL-3.0", "Apache-2.0", None]
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_every_known_text_is_found(spark):
+    texts = licenses.known_texts()
+    rows = [(i, "Copyright 1999 Some One\n" + body.upper(), None, None, 0) for i, (_, body) in enumerate(texts)]
+    assert len(texts) > 25 and {r["doc_id"]: r["license_id"] for r in licenses.scan(frame(spark, rows)).collect()} == {i: name for i, (name, _) in enumerate(texts)}
+    forms = [r.form for r in licenses.known(spark).collect()]
+    words = licenses.anchors(forms)
+    assert len(words) < 8 and all(any(w in form for w in words) for form in forms)
+    assert licenses.scan(frame(spark, rows + [(-1, "a, b!", None, None, 0)]), licenses.known(spark, [("x", "A B")])).filter("license_id = 'x'").count() == 1
+
+
 def test_documents_schema_is_that_of_the_tables():
     assert [f.split()[0] for f in DOCS.split(", ")] == ["doc_id", "text", "lang", "source", "n_chars"] and json

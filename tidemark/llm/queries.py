@@ -119,24 +119,25 @@ def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _sql_form(column: str) -> str:
+def _sql_lines(column: str) -> str:
     form = f"lower({column})"
     for old, new in licenses.SPELLINGS:
         form = f"replace({form}, {_sql_text(old)}, {_sql_text(new)})"
-    return f"trim(regexp_replace(regexp_replace({form}, {_sql_text(licenses.COPYRIGHT)}, ' ', 'g'), {_sql_text(licenses.SIGNS)}, ' ', 'g'))"
+    form = f"regexp_replace(regexp_replace({form}, {_sql_text('(?m)' + licenses.COPYRIGHT)}, '\\1', 'g'), {_sql_text(licenses.SIGNS)}, ' ', 'g')"
+    return f"list_transform(string_split({form}, chr(10)), lambda x: trim(x))"
 
 
 _ORACLE10 = f"""
 WITH known AS (
-  SELECT sha256({_sql_form("body")}) AS digest, min(license_id) AS license_id
-  FROM (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in licenses.KNOWN)}) AS t(license_id, body) GROUP BY 1),
-forms AS (SELECT doc_id, text, {_sql_form("text")} AS form FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+  SELECT sha256(array_to_string(list_filter({_sql_lines("body")}, lambda x: x <> ''), ' ')) AS digest, min(license_id) AS license_id
+  FROM (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in licenses.known_texts())}) AS t(license_id, body) GROUP BY 1),
+forms AS (SELECT doc_id, {_sql_lines("text")} AS lines FROM documents),
+texts AS (SELECT doc_id, lines, array_to_string(list_filter(lines, lambda x: x <> ''), ' ') AS form FROM forms),
 found AS (
   SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids
-  FROM lines JOIN known ON known.digest = sha256({_sql_form("line")}) GROUP BY doc_id)
-SELECT f.doc_id, CASE WHEN form <> '' THEN sha256(form) END AS text_digest, k.license_id, coalesce(ids, '') AS paragraph_licenses
-FROM forms f LEFT JOIN known k ON k.digest = CASE WHEN form <> '' THEN sha256(form) END LEFT JOIN found USING (doc_id)
+  FROM (SELECT doc_id, unnest(lines) AS line FROM forms) JOIN known ON known.digest = sha256(line) GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN form <> '' THEN sha256(form) END AS text_digest, k.license_id, coalesce(ids, '') AS paragraph_licenses
+FROM texts t LEFT JOIN known k ON k.digest = CASE WHEN form <> '' THEN sha256(form) END LEFT JOIN found USING (doc_id)
 """
 
 ORACLE_SQL = {"op4_chat_prefix_targets": _ORACLE4, "op10_license_digests": _ORACLE10}
