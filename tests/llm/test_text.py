@@ -231,6 +231,34 @@ def test_vector_scores_equal_dictionary_scores():
             assert got[0, k] == pytest.approx(total, rel=1e-4) and n[0] == len(word) + 1
 
 
+def test_false_rejections_stay_under_their_share():
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b"], 1, [], [], np.zeros(2))
+
+    def pieces(n):
+        events = 2.0 ** rng.uniform(1, 12, n)
+        low = 1.5 + rng.gamma(2, 1 / np.sqrt(events))  # shorter pieces vary more
+        return np.stack([low, low + rng.exponential(1, n)], 1), events
+
+    entropy, events = pieces(20_000)
+    langid.calibrate(model, entropy, events, np.zeros(len(events), int))
+    entropy, events = pieces(200_000)
+    _, rejected = model.scores(entropy, events)
+    for low, high in ((2, 32), (32, 512), (512, 5000)):
+        own = rejected[(events >= low) & (events < high)]
+        assert own.mean() < 5 * langid.FALSE_REJECTIONS
+    scores, rejected = model.scores(np.array([[1.6, 3.0], [1.6, 1.6], [9.0, 12.0], [9.0, 12.0]]), np.array([500, 500, 3, 500]))
+    assert scores[0] > 0.9 and scores[1] <= 0.5 and max(scores[2:]) < 0.01 and rejected.tolist() == [False, False, True, True]
+
+
+def test_languages_of_few_rows_are_learned(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, "en", 80), "en", "s", 0) for i in range(60)] + [(100, prose(rng, "de", 80), "de", "s", 0)]
+    assert langid.fit(frame(spark, rows)).languages == ["de", "en"]
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        langid.fit(frame(spark, rows), most_languages=1)
+
+
 def test_language_of_unseen_texts(spark):
     df = frame(spark, extra=True)
     model = langid.fit(df.filter("doc_id % 4 <> 1 OR doc_id IS NULL"), rows_a_language=100)
@@ -243,6 +271,9 @@ def test_language_of_unseen_texts(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in tried) >= 0.95 * len(tried) and not any(r["rejected"] for r in tried)
     strange = spark.createDataFrame([(1, "зщ жъы юэ щзж фъх цчш " * 20)], "doc_id long, text string")
     assert langid.identify(strange, model).first()["rejected"]
+    short = spark.createDataFrame([(1, "да нет"), (2, "人人生而自由"), (3, "xqzv kjwq zzxv qqpt vvkx wjzq"), (4, "thing"), (5, "ander keit")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in langid.identify(short, model).collect()}
+    assert [found[i]["rejected"] for i in range(1, 6)] == [True, True, True, False, False] and max(found[i]["score"] for i in (1, 2, 3)) < 0.01
     assert langid.identify(frame(spark, []), None).count() == 0
     assert langid.fit(frame(spark, [])) is None and langid.identify(frame(spark), None, into="x").filter("NOT x.rejected").count() == 0
 

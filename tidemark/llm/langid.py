@@ -4,17 +4,24 @@ Each language gets a character model over words: an event is a letter (or a word
 end) after up to `order - 1` signs of the same word and its start mark. All
 languages share sorted arrays of 64-bit n-gram hashes, one pair for each order, with
 a column of log-probabilities (and one of back-off weights) for each language.
-A text's language has the lowest cross-entropy an event. The text is rejected if
-that entropy lies above a limit calibrated on texts the models did not see.
+A text's language has the lowest cross-entropy an event. It is rejected if that entropy
+lies above a limit for its length. Limits, and what the score makes of margins between
+languages and of high entropies, are calibrated on labelled texts the models did not see, whole
+and in pieces of 2 to 256 events: beyond the quantile of 99 %, excesses are taken to fall off
+exponentially, and the limit lets one in 10,000 unseen texts (FALSE_REJECTIONS) of
+a learned language be rejected at any length.
 
 Only letters count: words are runs of letters, lower-cased. A word's score doesn't
 depend on its neighbours, so each distinct word of a batch is scored once.
 
-The fit takes a bounded sample (`rows_a_language` rows, chosen by a hash of the id)
-of the labelled rows. n-grams are counted where the texts are, and summed by a shuffle.
+The fit takes a bounded sample of the labelled rows: about `rows_a_language` rows and
+`bytes_a_language` bytes (a share chosen by a hash of the id), and of a long text `words_a_text`
+words spread evenly. n-grams are counted where the texts are, and summed by a shuffle. The driver
+holds the n-grams of that sample, some 100 bytes for each of its bytes at most.
 
 Defined cases: null texts and texts without a letter have no language (`und`, score
-0) and are rejected; without labelled rows every text is `und`; ties go to the first language in
+0) and are rejected; without labelled rows every text is `und`; a language of few rows is learned
+from all of them; more than `most_languages` languages are an error; ties go to the first language in
 alphabetical order; repeated rows are alike; an empty table gives no rows; other
 columns pass through (those named like the added ones are replaced).
 """
@@ -22,7 +29,7 @@ columns pass through (those named like the added ones are replaced).
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +45,12 @@ UNDETERMINED = "und"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START, END = "\x02", "\x03"
 _FACTORS = np.random.default_rng(20240609).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A text is rejected if it has at least LEAST_EVENTS and its entropy is over SLACK times what 99.9 % of unseen labelled texts stay under.
-LEAST_EVENTS, SLACK = 40, 2.0
+#: Share of unseen texts of a learned language that may be rejected.
+FALSE_REJECTIONS = 1e-4
+#: Events of the pieces that limits are calibrated on, beside whole texts.
+LENGTHS = (2, 4, 8, 16, 32, 64, 128, 256)
+#: Chosen rows from which a language spares a fifth of them for calibration.
+SPARED_FROM = 25
 #: Signs among which the chance of one never seen is spread: letters of other scripts cost what they are worth.
 ALPHABET = 1 << 16
 #: Distinct tokens whose scores a task keeps.
@@ -75,8 +86,21 @@ class Model:
     grams: list[tuple[np.ndarray, np.ndarray]]  # by order from 1: sorted hashes, log-probabilities a language (NaN: not seen)
     contexts: list[tuple[np.ndarray, np.ndarray]]  # by length from 0: sorted hashes, log back-off weights (0: not seen)
     unknown: np.ndarray  # log-probability of a sign never seen
-    limit: float = np.inf  # entropies above it are rejected
-    sharpness: float = 1.0  # of the score
+    usual: np.ndarray = field(default_factory=lambda: np.full(len(LENGTHS), np.inf))  # by length: entropy that 99 % of unseen pieces stay under
+    excess: np.ndarray = field(default_factory=lambda: np.ones(len(LENGTHS)))  # by length: mean of what goes over it
+    sharpness: tuple[float, float] = (1.0, 0.5)  # of the score: factor, and power of the events
+
+    def excesses(self, entropy: np.ndarray, events: np.ndarray) -> np.ndarray:
+        """How far entropies lie over the usual, in mean excesses at their length."""
+        at = np.log(np.clip(events, LENGTHS[0], LENGTHS[-1]))
+        with np.errstate(invalid="ignore"):
+            over = (entropy - np.interp(at, np.log(LENGTHS), self.usual)) / np.interp(at, np.log(LENGTHS), self.excess)
+        return np.nan_to_num(np.maximum(over, 0), nan=0.0)
+
+    def scores(self, entropy: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and rejection of texts by their entropies in each language."""
+        over = self.excesses(entropy.min(1), events)
+        return posterior(entropy, events, self.sharpness).max(1) * np.exp(-over), over > np.log(0.01 / FALSE_REJECTIONS)
 
     def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each word in each language, and its events."""
@@ -210,21 +234,45 @@ class Scorer:
         return -all_[:, :-1] / np.maximum(n, 1)[:, None], n
 
 
-def posterior(entropy: np.ndarray, sharpness: float) -> np.ndarray:
-    x = -sharpness * (entropy - entropy.min(1, keepdims=True))
-    p = np.exp(x)
+def posterior(entropy: np.ndarray, events: np.ndarray, sharpness: tuple[float, float]) -> np.ndarray:
+    x = -(sharpness[0] * np.maximum(events, 1) ** sharpness[1])[:, None] * (entropy - entropy.min(1, keepdims=True))
+    p = np.exp(np.maximum(x, -700))
     return p / p.sum(1, keepdims=True)
 
 
-def count_grams(docs: DataFrame, order: int, text: str, lang: str) -> DataFrame:
-    """lang, gram, n: maximal n-grams of all words."""
+def calibrate(model: Model, entropy: np.ndarray, events: np.ndarray, truth: np.ndarray) -> None:
+    """Set the model's limits and sharpness by unseen pieces: entropies in each language, events and true languages."""
+    low = entropy.min(1)
+    for i, length in enumerate(LENGTHS):
+        last = i == len(LENGTHS) - 1
+        own = low[(events >= length) & ((events < 2 * length) | last)]
+        if len(own):
+            model.usual[i] = np.quantile(own, 0.99)
+            beyond = own[own > model.usual[i]] - model.usual[i]
+            # few pieces say little about their tail: it is at least as wide as the bulk
+            model.excess[i] = max(float(beyond.mean()) if len(beyond) else 0.0, float(own.std()), 0.05)
+    seen = np.isfinite(model.usual)
+    if seen.any():
+        at = np.arange(len(LENGTHS))
+        model.usual, model.excess = (np.interp(at, at[seen], x[seen]) for x in (model.usual, model.excess))
+        # what is usual at a length is usual at shorter ones
+        model.usual = np.maximum.accumulate(model.usual[::-1])[::-1]
+        model.excess = np.maximum.accumulate(model.excess[::-1])[::-1]
+    grid = [(float(a), b) for b in (0.0, 0.5, 1.0) for a in 2.0 ** np.arange(-4, 9, 0.5)]
+    fits = [np.log(np.maximum(posterior(entropy, events, x)[np.arange(len(truth)), truth], 1e-6)).sum() for x in grid]
+    model.sharpness = grid[int(np.argmax(fits))]
+
+
+def count_grams(docs: DataFrame, order: int, text: str, lang: str, words_a_text: int) -> DataFrame:
+    """lang, gram, n: maximal n-grams of the words, at most words_a_text of a text."""
 
     def make():
         def step(batch: pa.RecordBatch):
             sums: Counter[tuple[str, str]] = Counter()
             words: Counter[tuple[str, str]] = Counter()
             for body, name in zip(batch.column(0), batch.column(1).to_pylist()):
-                for token, n in Counter((body.as_py() or "").split()).items():
+                tokens = (body.as_py() or "").split()
+                for token, n in Counter(tokens[:: -(-len(tokens) // words_a_text) or 1]).items():
                     for w in words_of(token):
                         words[name, w] += n
             for (name, w), n in words.items():
@@ -238,41 +286,51 @@ def count_grams(docs: DataFrame, order: int, text: str, lang: str) -> DataFrame:
     return map_batches(docs.select(text, lang), make, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, order: int = 4, rows_a_language: int = 2000, most_languages: int = 300, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
+def fit(docs: DataFrame, order: int = 4, rows_a_language: int = 2000, bytes_a_language: int = 8 << 20, words_a_text: int = 20_000, most_languages: int = 300, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
     """Model from the rows of docs that have a language; None without any."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count(F.lit(1))).orderBy(F.desc("count(1)"), lang).limit(most_languages + 1).collect()}
+    grouped = known.groupBy(lang).agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.octet_length(text), F.lit(8 * words_a_text))).alias("bytes"))
+    sizes = {r[0]: (r["n"], r["bytes"]) for r in grouped.orderBy(F.desc("n"), lang).limit(most_languages + 1).collect()}
     if not sizes:
         return None
     if len(sizes) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    part = F.element_at(F.create_map(*(x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, rows_a_language / n))))), F.col(lang))
-    chosen = known.filter(sampled(key, part, 3)).withColumn("_part", F.pmod(F.xxhash64(F.col(key), F.lit(31)), F.lit(5)))
-    rows = count_grams(chosen.filter("_part > 0"), order, text, lang).toArrow()  # the sample's size is bounded
+    shares = {name: min(1.0, rows_a_language / n, bytes_a_language / max(1, size)) for name, (n, size) in sizes.items()}
+    part = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col(lang))
+    few = F.col(lang).isin([name for name, (n, _) in sizes.items() if n * shares[name] < SPARED_FROM])
+    chosen = known.filter(sampled(key, part, 3)).withColumn("_part", F.when(few, 1).otherwise(F.pmod(F.xxhash64(F.col(key), F.lit(31)), F.lit(5))))
+    rows = count_grams(chosen.filter("_part > 0"), order, text, lang, words_a_text).toArrow()
     counts: dict[str, dict[str, int]] = {name: {} for name in sizes}
     for name, gram, n in zip(*(c.to_pylist() for c in rows.columns)):
         counts[name][gram] = n
     model = build({k: v for k, v in counts.items() if v} or counts, order)
     shared = share(docs.sparkSession, model)
-    tried = chosen.filter("_part = 0").select(lang, _entropies(shared)(F.col(text)).alias("e")).collect()
-    tried = [(r[0], r.e) for r in tried if r.e[-1] > 0 and r[0] in model.languages]
-    if tried:
-        entropy = np.array([e[:-1] for _, e in tried])
-        truth = np.array([model.languages.index(name) for name, _ in tried])
-        best = entropy.min(1)
-        model.limit = float(np.quantile(best, 0.999)) * SLACK
-        steps = 2.0 ** np.arange(-2, 9, 0.5)
-        fits = [np.log(np.maximum(posterior(entropy, s)[np.arange(len(truth)), truth], 1e-6)).sum() for s in steps]
-        model.sharpness = float(steps[int(np.argmax(fits))])
+    tried = chosen.filter("_part = 0").select(lang, _pieces(shared)(F.col(text)).alias("p")).collect()
+    pieces = [(model.languages.index(r[0]), *p) for r in tried if r[0] in model.languages for p in r.p]
+    if pieces:
+        found = np.array(pieces)
+        calibrate(model, found[:, 2:], found[:, 1], found[:, 0].astype(int))
     return model
 
 
-def _entropies(shared):
-    @F.arrow_udf("array<double>")
+def _pieces(shared):
+    """Arrow function: events and entropies of a text and of up to four of its pieces of each length."""
+
+    @F.arrow_udf("array<array<double>>")
     def of(column: pa.Array) -> pa.Array:
-        entropy, n = made(shared, Scorer).entropies(column)
+        scorer, out = made(shared, Scorer), []
+        for text in column.to_pylist():
+            each = scorer.tokens((text or "").split())
+            upto = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0)])
+            ends = [(0, len(each))]
+            for length in LENGTHS:
+                cuts = np.searchsorted(upto[:, -1], np.arange(5) * length)
+                ends += [(a, b) for a, b in zip(cuts, cuts[1:]) if b < len(upto)]
+            spans = np.array([upto[b] - upto[a] for a, b in ends])
+            spans = spans[spans[:, -1] > 0]
+            out.append(np.concatenate([spans[:, -1:], -spans[:, :-1] / spans[:, -1:]], axis=1).tolist())
         trim()
-        return pa.array(list(np.concatenate([entropy, n[:, None]], 1)), pa.list_(pa.float64()))
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
 
     return of
 
@@ -293,12 +351,12 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", into: str
         model = scorer.model
         entropy, n = scorer.entropies(column)
         trim()
+        if not len(n):
+            return pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())]))
         none = n == 0
-        best = entropy.argmin(1) if len(n) else np.zeros(0, int)
-        low = entropy.min(1) if len(n) else np.zeros(0)
-        names = np.array([*model.languages, UNDETERMINED], dtype=object)[np.where(none, len(model.languages), best)]
-        score = np.where(none, 0.0, posterior(entropy, model.sharpness).max(1) if len(n) else low)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(low, mask=none), pa.array(none | ((low > model.limit) & (n >= LEAST_EVENTS)))], ["lang_pred", "score", "entropy", "rejected"])
+        names = np.array([*model.languages, UNDETERMINED], dtype=object)[np.where(none, len(model.languages), entropy.argmin(1))]
+        score, over = model.scores(entropy, n)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(entropy.min(1), mask=none), pa.array(none | over)], ["lang_pred", "score", "entropy", "rejected"])
 
     if into:
         return docs.withColumn(into, of(F.col(text)))
