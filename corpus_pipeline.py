@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, neardup, packing, quality
-from tidemark.llm.common import cut, doc_hash, read_table
+from tidemark.llm.common import cut, discard, doc_hash, read_table
 from tidemark.llm.queries import TOKENIZER
 
 
@@ -48,10 +48,13 @@ STAGES: list[tuple[str, Stage]] = [("language", language), ("quality", good), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over the documents; each result is written and read again, and goes once the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = cut(stage(spark, docs, sf_dir), name)
+        docs, path = cut(stage(spark, docs, sf_dir), name)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
 
 
