@@ -401,3 +401,45 @@ def test_study_gates(spark, lose, p, diff, regimes, breadth, asset):
     assert gates.breadth_gate(rec, dm, reg).first()["verdict"] == breadth
     assert gates.asset_gate(rec, dm, reg).first()["verdict"] == asset
     assert gates.breadth_gate(rec.limit(0), dm, reg).first()["verdict"] == "pending" == gates.asset_gate(rec.limit(0), dm, reg).first()["verdict"]
+
+
+# Missing values, ties and bookkeeping ---------------------------------------------------------------
+
+
+def test_one_nan_rate_stays_in_its_interval(spark):
+    rates = pd.DataFrame({"asset": "x", "ts": BASE + np.arange(40) * 8 * HOUR_MS, "rate": np.arange(40) / 100.0})
+    rates.loc[5, "rate"] = np.nan
+    rates.loc[9, "rate"] = np.inf
+    left = frame(spark, walk(320)).select("asset", "ts")
+    got = pandas(asof.interval_mean(left, spark.createDataFrame(rates), "rate", 24 * HOUR_MS))
+    for ts, value, n in zip(got["ts"], got["rate_mean"], got["rate_mean_n"]):
+        own = rates["rate"][(rates["ts"] > ts - 24 * HOUR_MS) & (rates["ts"] <= ts) & np.isfinite(rates["rate"])]
+        assert n == len(own) and (value == pytest.approx(own.mean()) if len(own) else pd.isna(value))
+
+
+@pytest.mark.parametrize("window", [30, 80, None])
+def test_walk_with_nan_equals_the_exact_one(spark, window):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"asset": "x", "ts": BASE + np.arange(400) * HOUR_MS, "a": rng.normal(size=400), "b": rng.normal(size=400)})
+    pdf["y"] = pdf["a"] - 2 * pdf["b"] + rng.normal(size=400) / 10
+    pdf.loc[[50, 210], "y"] = np.nan
+    pdf.loc[[60, 300], "a"] = np.nan
+    df = spark.createDataFrame(pdf)
+    got, want = pandas(ols.walk(df, "y", ["a", "b"], window)), pandas(ols.walk_exact(df, "y", ["a", "b"], window))
+    assert got["forecast"].notna().sum() > 300
+    np.testing.assert_allclose(got["forecast"].astype(float), want["forecast"].astype(float), rtol=1e-6, equal_nan=True)
+
+
+def test_paper_broker_closes_what_it_holds(spark):
+    rows = [("x", 0, 10.0, 1, 1.0), ("x", 1, 10.0, -1, 5.0), ("x", 2, 10.0, -1, 2.0), ("x", 3, 8.0, 1, 9.0)]
+    got = pandas(sim.paper_broker(spark.createDataFrame(rows, "asset string, ts long, close double, signal int, quantity double"), 100.0, 0.0, 0.0))
+    assert got["action"].tolist() == ["OPEN", "CLOSE", "OPEN", "CLOSE"] and got["cash"].tolist() == [90.0, 100.0, 100.0, 124.0]  # a sale's proceeds of 20 come in with its profit of 4
+    assert got["pnl"].tolist()[1::2] == [0.0, 4.0]
+
+
+def test_significance_of_sweeps_has_a_sign(spark):
+    rows = [("x", 0.0, 1.0, 0.1, 0.5, 50, 1.0, 0.0), ("x", 1.0, 2.0, 0.2, 0.6, 50, 1.5, 2.2), ("y", 0.0, 1.0, 0.1, 0.5, 50, 1.0, 0.0), ("y", 1.0, 2.0, 0.2, 0.6, 50, 1.5, -9.0)]
+    sweep = spark.createDataFrame(rows, "asset string, multiplier double, sharpe double, mean_pnl double, win_rate double, n long, profit_factor double, t_stat double")
+    best = spark.createDataFrame([("x", 1.0), ("y", 1.0)], "asset string, multiplier double")
+    six = lambda alpha: {r["asset"]: r["G6"] for r in gates.sweep_gates(sweep, best, alpha).collect()}
+    assert six(0.05) == {"x": True, "y": False} and six(0.01) == {"x": False, "y": False} and six(0.1)["x"]

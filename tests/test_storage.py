@@ -31,6 +31,26 @@ def test_csv_gzip_and_cascade(spark, tmp_path):
         readers.bars_csv(spark, str(tmp_path / "y.csv"), "x")
 
 
+def test_last_row_of_a_time_over_several_files(spark, tmp_path):
+    head = "timestamp,open,high,low,close,volume\n"
+    rest = "".join(f"{BASE // 1000 + 3600 * i},1,1,1,1,1\n" for i in range(1, 3000))
+    (tmp_path / "a.csv").write_text(head + f"{BASE // 1000},1,1,1,1,1\n" + rest)  # the larger file is read first
+    (tmp_path / "b.csv").write_text(head + f"{BASE // 1000},2,2,2,2,2\n")
+    got = readers.bars_csv(spark, str(tmp_path), "x")
+    assert got.count() == 3000 and got.orderBy("ts").first()["close"] == 2.0
+    (tmp_path / "f").mkdir()
+    for name, rate in (("a", 0.1), ("b", 0.2)):
+        (tmp_path / "f" / f"{name}.csv").write_text(f"ts,rate\n5,{rate}\n" + "".join(f"{i},0.3\n" for i in range(10, 500 if name == "a" else 11)))
+    assert readers.funding_csv(spark, str(tmp_path / "f"), "x").filter("ts = 5").first()["rate"] == 0.2
+
+
+def test_of_repeated_incoming_keys_the_last_stays(spark):
+    have = spark.createDataFrame([("a", 1.0, "x"), ("b", 1.0, "y")], "k string, v double, w string")
+    new = spark.createDataFrame([("a", 5.0, "p", 2), ("a", 9.0, "q", 1), ("c", 3.0, "r", 1)], "k string, v double, w string, at int")
+    assert sorted(map(tuple, sinks.upserted(have, new, ["k"], "at").collect())) == [("a", 5.0, "p"), ("b", 1.0, "y"), ("c", 3.0, "r")]
+    assert sinks.upserted(have, new.drop("at"), ["k"]).filter("k = 'a'").first()["v"] == 9.0
+
+
 def test_feather_json_zip_and_logs(spark, tmp_path):
     import pandas as pd
     import pyarrow.feather as feather

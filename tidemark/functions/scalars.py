@@ -85,6 +85,11 @@ def parkinson(high: Column, low: Column) -> Column:
     return F.when((high > 0) & (low > 0), F.pow(F.log(F.try_divide(high, low)), 2) / (4 * F.log(F.lit(2.0))))
 
 
+def finite(c: Column) -> Column:
+    """Whether a number is neither NULL, NaN nor infinite."""
+    return c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 

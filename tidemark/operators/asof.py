@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import finite
+
 BY = ["asset"]
 
 
@@ -48,11 +50,12 @@ def asof_lagged(left: DataFrame, right: DataFrame, value: str, by: list[str] = B
 
 
 def interval_mean(left: DataFrame, right: DataFrame, value: str, window_ms: int, stale_ms: int | None = None, by: list[str] = BY, name: str | None = None) -> DataFrame:
-    """left with the mean, mean size and count of right values in (ts - window_ms, ts]; NULL if the newest is older than stale_ms.
+    """left with the mean, mean size and count of finite right values in (ts - window_ms, ts]; NULL if the newest is older than stale_ms.
 
     Running sums at both ends of each interval are subtracted, so the cost doesn't grow with what an interval holds."""
     name = name or f"{value}_mean"
     v = F.col("_right")[value]
+    v = F.when(finite(v), v)  # one NaN would stay in all running sums after it
     begins = left.select(*by, "ts").distinct().select(*by, (F.col("ts") - window_ms).alias("ts"), F.lit(2).alias("_side"), F.col("ts").alias("_of"))
     rows = _united(left, right, by, [value]).unionByName(begins, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)

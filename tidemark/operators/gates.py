@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,12 +94,13 @@ def risk_checks(orders: DataFrame, max_drawdown: float = 0.2, max_daily_loss: fl
 
 
 def sweep_gates(sweep: DataFrame, best: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """asset and gates of its best multiplier against multiplier 0: better Sharpe ratio, better mean, better win rate, enough trades, profit, significance."""
+    """asset and gates of its best multiplier against multiplier 0: better Sharpe ratio, better mean, better win rate, enough trades, profit, and a
+    mean above 0 that is significant at alpha (two-sided, by the normal distribution)."""
     base = sweep.filter("multiplier = 0").select("asset", *(F.col(c).alias(f"base_{c}") for c in ("sharpe", "mean_pnl", "win_rate")))
     rows = sweep.join(best, ["asset", "multiplier"]).join(base, "asset")
     return gate(rows, {
         "G1": F.col("sharpe") > F.col("base_sharpe"), "G2": F.col("mean_pnl") > F.col("base_mean_pnl"), "G3": F.col("win_rate") >= F.col("base_win_rate"),
-        "G4": F.col("n") >= 30, "G5": F.col("profit_factor") > 1, "G6": F.abs("t_stat") > 1.96 if alpha == 0.05 else F.lit(False),
+        "G4": F.col("n") >= 30, "G5": F.col("profit_factor") > 1, "G6": F.col("t_stat") > NormalDist().inv_cdf(1 - alpha / 2),
     })
 
 

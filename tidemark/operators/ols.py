@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ts as t
+from tidemark.functions.scalars import finite
 
 
 #: Rows of a frame from which its sums are differences of running sums.
@@ -23,14 +24,14 @@ LONG = 64
 
 
 def moments(df: DataFrame, y: str, xs: list[str], window: int | None, shift: int = 1, by: tuple[str, ...] = t.BY) -> DataFrame:
-    """df with n_obs, `moments` (sums of products of y and the terms with a leading 1, over complete rows) and `centre`.
+    """df with n_obs, `moments` (sums of products of y and the terms with a leading 1, over complete rows: all finite) and `centre`.
 
     window: rows of the frame that ends `shift` rows before each (None: all of them)."""
     whole = Window.partitionBy(*by)
     names = [*xs, y]
     complete = F.lit(True)
     for c in names:
-        complete = complete & F.col(c).isNotNull()
+        complete = complete & finite(F.col(c))
     centred = df.withColumn("_ok", complete)
     # of the first complete row, so that no later row has a say
     first = {c: F.first(F.when(F.col("_ok"), F.col(c)), ignorenulls=True).over(whole.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in names}
@@ -81,7 +82,7 @@ def walk(df: DataFrame, y: str, xs: list[str], window: int | None = None, least:
     forecast = F.element_at("beta", 1)
     for i, x in enumerate(xs):
         forecast = forecast + F.element_at("beta", i + 2) * F.col(x)
-    return out.withColumn("forecast", forecast).drop("moments", "centre")
+    return out.withColumn("forecast", F.when(finite(forecast), forecast)).drop("moments", "centre")
 
 
 def walk_exact(df: DataFrame, y: str, xs: list[str], window: int | None = None, least: int = 24, by: tuple[str, ...] = t.BY) -> DataFrame:

@@ -183,7 +183,8 @@ def paper_broker(df: DataFrame, capital: float = 100.0, fee: float = 0.001, slip
     """df (close, signal: 1, -1 or 0, quantity) with action, pnl, cash and value of an account that needs the full notional for either side.
 
     A signal opens a position where there is none and closes it where there is one, at the close and with slippage against the
-    side. Proceeds of a sale stay collateral. A position that the cash can't cover is rejected."""
+    side; what is closed is the held quantity, whatever the closing row says. Proceeds of a sale stay collateral, count in the value and are
+    paid out on closing, as the rule has it that this follows. A position that the cash can't cover is rejected."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cash, held, rows = capital, None, []
@@ -199,9 +200,9 @@ def paper_broker(df: DataFrame, capital: float = 100.0, fee: float = 0.001, slip
                         cash -= cost * fee + (cost if s > 0 else 0)
                         held, action = (s, q, fill, cost * fee, cost), "OPEN"
                 else:
-                    # the closing fill is that of the signal's own side
+                    # what is closed is what is held, whatever quantity the closing row has
                     side, size, entry, paid, collateral = held
-                    cost = fill * q
+                    cost = fill * size
                     pnl = (fill - entry) * size * side - cost * fee - paid
                     cash += cost * (1 - fee) if side > 0 else collateral + pnl
                     held, action = None, "CLOSE"

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.bars import canonical, dedup, time_range
 from tidemark.schema import FORWARD_RETURNS, HOUR_MS, require_columns
 
+
+
+def place() -> Column:
+    """Where a row of a file stands: the file's name, its block's start, and the order within that (ids grow within a task)."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 RAW_CSV = T.StructType([T.StructField(c, T.StringType()) for c in ("timestamp", "open", "high", "low", "close", "volume")])
 
 
 def bars_csv(spark: SparkSession, path: str, asset: str) -> DataFrame:
-    """Bars of a CSV with a header (gzip included): `timestamp` as ISO text, epoch s or ms. The last row of a time stays."""
+    """Bars of a CSV with a header (gzip included): `timestamp` as ISO text, epoch s or ms. The last row of a time stays (of several files, by their names)."""
     header = spark.read.option("header", True).csv(path).columns  # reads the first line only
     require_columns(spark.createDataFrame([], T.StructType([T.StructField(c.strip().lower(), T.StringType()) for c in header])), RAW_CSV.fieldNames())
     schema = T.StructType([T.StructField(c.strip().lower(), T.StringType()) for c in header])
     raw = spark.read.schema(schema).option("header", True).csv(path)
     number = F.col("timestamp").try_cast("double")
     ms = F.when(number.isNotNull(), F.when(F.abs(number) >= 1e12, number).otherwise(number * 1000).cast("long")).otherwise(F.unix_millis(F.try_to_timestamp("timestamp")))
-    rows = raw.withColumns({"asset": F.lit(asset), "ts": ms, "seq": F.monotonically_increasing_id()})
+    rows = raw.withColumns({"asset": F.lit(asset), "ts": ms, "seq": place()})
     return canonical(rows.select("asset", "ts", "open", "high", "low", "close", "volume", "seq"))
 
 
@@ -88,7 +95,7 @@ def funding_json(spark: SparkSession, path: str) -> DataFrame:
 
 def funding_csv(spark: SparkSession, path: str, asset: str) -> DataFrame:
     """Settlement events of a CSV with ts (epoch ms) and rate; the last row of a time stays."""
-    rows = spark.read.schema("ts string, rate string").option("header", True).csv(path).select(F.lit(asset).alias("asset"), F.col("ts").try_cast("long").alias("ts"), F.col("rate").try_cast("double").alias("rate"), F.monotonically_increasing_id().alias("seq"))
+    rows = spark.read.schema("ts string, rate string").option("header", True).csv(path).select(F.lit(asset).alias("asset"), F.col("ts").try_cast("long").alias("ts"), F.col("rate").try_cast("double").alias("rate"), place().alias("seq"))
     return dedup(rows.dropna(subset=["ts", "rate"]), ["asset", "ts"], "seq").drop("seq")
 
 
@@ -144,7 +151,7 @@ def trades_zip(spark: SparkSession, path: str) -> DataFrame:
 
 def log_metrics(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """file and one number for each pattern's first group, from whole text logs."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return rows.select("file", *(F.when(F.col("value").rlike(p), F.regexp_extract("value", p, 1)).try_cast("double").alias(k) for k, p in patterns.items()))
 
 

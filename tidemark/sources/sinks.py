@@ -89,8 +89,12 @@ def quarantine(incoming: DataFrame) -> DataFrame:
     return incoming.withColumn("issues", issues()).filter(F.size("issues") > 0)
 
 
-def upserted(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Existing rows, replaced by and completed with the incoming ones."""
+def upserted(existing: DataFrame, incoming: DataFrame, key: list[str], arrival: str | None = None) -> DataFrame:
+    """Existing rows, replaced by and completed with the incoming ones. Of incoming rows with one key the last by `arrival` (a column
+    of incoming only) stays, or without it the greatest by their other columns."""
+    rest = [c for c in existing.columns if c not in key]
+    last = F.max_by(F.struct(*rest), F.struct(*([arrival] if arrival else []), *rest)).alias("_v")
+    incoming = incoming.groupBy(*key).agg(last).select(*key, "_v.*").select(existing.columns)
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
     return both.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_new")))).filter("_r = 1").drop("_r", "_new")
 
