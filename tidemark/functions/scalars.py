@@ -21,6 +21,12 @@ def epoch_ms(value: Column) -> Column:
     return F.when(F.abs(value) >= 1e12, value).otherwise(value * 1000).cast("long")
 
 
+def parse_time(text: Column) -> Column:
+    """Epoch ms of text: a whole number (s or ms, by its size), a date, or ISO-8601 (UTC unless it has an offset); NULL for others."""
+    number = F.when(text.rlike(r"^\s*-?\d+\s*$"), text.try_cast("long"))
+    return F.coalesce(epoch_ms(number), F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), parse_iso(text)))
+
+
 def bar_open(ms: Column, tf_ms: int) -> Column:
     return (F.floor(ms / F.lit(tf_ms)) * tf_ms).cast("long")
 
@@ -98,6 +104,11 @@ def vol_target_weight(vol: Column, target: float, low: float, high: float, inver
     return clip(F.try_divide(vol, F.lit(target)) if inverse else F.try_divide(F.lit(target), vol), low, high)
 
 
+def normalised(weight: Column, total: Column) -> Column:
+    """A weight as its share of the total weight (a window or group sum); NULL for a total of 0."""
+    return F.try_divide(weight, total)
+
+
 def position_usd(account: Column, vol: Column, target: float = 0.01, most: float = 0.1, least_usd: float = 10.0) -> Column:
     """Size of a position: by target volatility, at most a share of the account, 0 if too small."""
     size = F.least(account * F.try_divide(F.lit(target), vol), account * most)
@@ -144,6 +155,16 @@ def short_number(value: Column) -> Column:
     return F.when(F.abs(value) >= 1e6, F.format_string("%.1fM", value / 1e6)).when(F.abs(value) >= 1e3, F.format_string("%.1fK", value / 1e3)).otherwise(F.format_string("%.2f", value))
 
 
+def money(value: Column, digits: int = 2) -> Column:
+    """$1,234.50, with the sign in front."""
+    return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(value), digits)))
+
+
+def percent(share: Column, digits: int = 2) -> Column:
+    """A share as 12.34%, with a + for gains."""
+    return F.when(share.isNotNull(), F.concat(F.when(share > 0, "+").otherwise(""), F.format_string(f"%.{digits}f%%", F.round(share * 100, digits))))
+
+
 def regex_field(text: Column, pattern: str) -> Column:
     """The first group of a pattern, NULL where it doesn't match."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
