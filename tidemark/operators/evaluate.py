@@ -136,6 +136,27 @@ def direction_metrics(rows: DataFrame, actual: str, predicted: str, by: list[str
     )
 
 
+def forecast_metrics(rows: DataFrame, by: list[str], flat: float = 0.0005) -> DataFrame:
+    """by and the 22 figures of a forecast of whole bars: errors of each price and the volume, directions, returns.
+
+    rows: predicted_ and actual_ open, high, low, close, volume and return. Errors count finite pairs; flat actual returns are in no
+    denominator of a direction; what is undefined is NULL (counts are 0)."""
+    pair = lambda c: s.finite(F.col(f"predicted_{c}")) & s.finite(F.col(f"actual_{c}"))
+    off = lambda c: F.when(pair(c), F.col(f"predicted_{c}") - F.col(f"actual_{c}"))
+    up, hit = s.direction(F.col("actual_return"), flat), F.col("_hit")
+    own = rows.withColumns({"_up": up, "_hit": F.coalesce((up == s.direction(F.col("predicted_return"), flat)).cast("double"), F.lit(0.0))})
+    on = lambda cond: F.avg(F.when(cond, hit))
+    share = F.when(F.abs("actual_close") > 1e-12, F.abs(off("close")) / F.abs("actual_close"))
+    return own.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("predictions"), *(F.avg(F.abs(off(c))).alias(f"mae_{c}") for c in ("open", "high", "low", "close", "volume")), F.sqrt(F.avg(F.pow(off("close"), 2))).alias("rmse_close"),
+        F.avg(share).alias("mape_close"), F.count(share).alias("mape_close_valid_count"), on(F.col("_up") != 0).alias("directional_accuracy"), on(F.col("_up") == 1).alias("bullish_accuracy"), on(F.col("_up") == -1).alias("bearish_accuracy"),
+        F.count_if(F.col("_up") == 1).alias("n_positive_actual"), F.count_if(F.col("_up") == -1).alias("n_negative_actual"), F.count_if(F.col("_up") == 0).alias("n_near_zero_actual"),
+        F.count_if((F.col("_up") != 0) & (hit == 1)).alias("n_directional_correct"), F.count_if((F.col("_up") != 0) & (hit == 0)).alias("n_directional_incorrect"),
+        F.avg("predicted_return").alias("mean_predicted_return"), F.avg("actual_return").alias("mean_actual_return"), F.avg(F.abs(off("return"))).alias("return_mae"),
+        F.sqrt(F.avg(F.pow(off("return"), 2))).alias("return_rmse"), pearson("predicted_return", "actual_return").alias("return_correlation"),
+    )
+
+
 def mape(actual: str, forecast: str) -> Column:
     """Mean absolute error in percent of actuals that aren't about 0."""
     return F.avg(F.when(F.abs(actual) > 1e-12, F.abs((F.col(forecast) - F.col(actual)) / F.col(actual)))) * 100

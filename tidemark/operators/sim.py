@@ -93,14 +93,17 @@ def drawdown(df: DataFrame, c: str = "equity", by: list[str] | None = None) -> D
 
 
 def equity_metrics(df: DataFrame, by: list[str] | None = None, periods: float | None = None) -> DataFrame:
-    """Total return, deepest drawdown, win rate, profit factor and Sharpe ratio (population deviation; annualised if periods is given) of ret and equity."""
+    """Total return, deepest drawdown, win rate, profit factor, Sharpe ratio (population deviation) and Sortino ratio (root of the mean squared
+    loss; both annualised if periods is given) of ret and equity."""
     by = by or ["asset"]
     rows = drawdown(df, by=by)
     gain, loss = F.sum(F.when(F.col("ret") > 0, F.col("ret"))), F.sum(F.when(F.col("ret") < 0, -F.col("ret")))
-    sharpe = F.try_divide(F.avg("ret"), F.stddev_pop("ret")) * (math.sqrt(periods) if periods else 1.0)
+    year = math.sqrt(periods) if periods else 1.0
+    sharpe = F.try_divide(F.avg("ret"), F.stddev_pop("ret")) * year
+    sortino = F.try_divide(F.avg("ret"), F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), 2)))) * year
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), (F.max_by("equity", "ts") - 1).alias("total_return"), F.min("drawdown").alias("max_drawdown"),
-        F.try_divide(F.count_if(F.col("ret") > 0).cast("double"), F.count_if(F.col("ret") != 0)).alias("win_rate"), F.try_divide(gain, loss).alias("profit_factor"), sharpe.alias("sharpe"),
+        F.try_divide(F.count_if(F.col("ret") > 0).cast("double"), F.count_if(F.col("ret") != 0)).alias("win_rate"), F.try_divide(gain, loss).alias("profit_factor"), sharpe.alias("sharpe"), sortino.alias("sortino"),
     )
 
 
@@ -112,15 +115,16 @@ def trade_metrics(tr: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def concentration(tr: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Shares of the total profit that the best 1, 5 and 10 trades make, and the best month's."""
+    """Shares of the total profit that the best 1, 5 and 10 trades make, and the best month's and quarter's."""
     by = by or ["asset"]
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("pnl"), "entry_ts"))
-    month = F.date_trunc("month", F.timestamp_millis("entry_ts"))
     ranked = tr.withColumn("_p", place)
     best = ranked.groupBy(*by).agg(F.sum("pnl").alias("total"), *(F.sum(F.when(F.col("_p") <= k, F.col("pnl"))).alias(f"top{k}") for k in (1, 5, 10)), F.count(F.lit(1)).alias("n"))
-    months = tr.groupBy(*by, month.alias("_m")).agg(F.sum("pnl").alias("_s")).groupBy(*by).agg(F.max("_s").alias("best_month"))
-    share = {f"{c}_share": F.when(F.col("total") > 0, F.try_divide(c, "total")) for c in ("top1", "top5", "top10", "best_month")}
-    return best.join(months, by).withColumns(share)
+    spans = best
+    for span in ("month", "quarter"):
+        start = F.date_trunc(span, F.timestamp_millis("entry_ts"))
+        spans = spans.join(tr.groupBy(*by, start.alias("_m")).agg(F.sum("pnl").alias("_s")).groupBy(*by).agg(F.max("_s").alias(f"best_{span}")), by)
+    return spans.withColumns({f"{c}_share": F.when(F.col("total") > 0, F.try_divide(c, "total")) for c in ("top1", "top5", "top10", "best_month", "best_quarter")})
 
 
 def regime_returns(df: DataFrame, regimes: list[str], periods: float = 8760.0, by: list[str] | None = None) -> DataFrame:
