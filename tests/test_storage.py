@@ -126,6 +126,42 @@ def test_inserts_are_idempotent(spark, tmp_path):
     assert sinks.upserted(table.read(), frame(spark, pdf.assign(close=1.0)), ["asset", "ts"]).filter("close = 1").count() == 10
 
 
+def test_appends_leave_other_files_alone(spark, tmp_path):
+    table = sinks.Table(spark, str(tmp_path / "bars"), BARS, span_ms=24 * HOUR_MS, most_folders=3)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "bars" / "data").rglob("*.parquet")}
+    table.append(frame(spark, walk(48)))
+    before = files()
+    sinks.insert_new(table, frame(spark, walk(60)), ["asset", "ts"])  # two days are known, the third is new
+    after = files()
+    assert before.items() <= after.items() and table.read().count() == 60
+    third = BASE // (24 * HOUR_MS) + 2
+    assert table.parts_of(frame(spark, walk(60))) == [third - 2, third - 1, third] and table.read([third]).count() == 12
+    sinks.update(table, frame(spark, walk(60)).filter(F.col("ts") >= BASE + 48 * HOUR_MS), lambda old: old.withColumn("close", F.lit(1.0)))
+    assert table.read().filter("close = 1").count() == 12 and before.items() <= files().items()
+    for n in (61, 62, 63, 64):
+        sinks.insert_new(table, frame(spark, walk(n)), ["asset", "ts"])
+    assert table.read().count() == 64 and len(table._state()[third]) <= 3
+    with pytest.raises(Exception, match="already exists"):
+        stale = sinks.Table(spark, str(tmp_path / "bars"), BARS)
+        stale._versions = lambda: [table.version() - 1]
+        stale.append(frame(spark, walk(1)))
+    assert table.read().count() == 64
+
+
+def test_cycle_with_bias_and_daily_report(spark, tmp_path):
+    s = live.state(spark, str(tmp_path / "live"))
+    pdf = walk(60)
+    at = int(pdf["ts"][59]) + HOUR_MS
+    past = spark.createDataFrame([("x", "1h", int(t), 1.0, 3.0, 2.0, 2.0, 1, "low") for t in pdf["ts"][20:58]], s.predictions.schema)
+    s.predictions.append(past)
+    live.cycle(s, frame(spark, pdf), at, bias=True)
+    plain = live.predict(frame(spark, pdf)).first()["predicted_range"]
+    assert s.predictions.read().filter(F.col("ts") == at).first()["predicted_range"] == pytest.approx(plain + 2.0)
+    daily = sinks.Table(spark, str(tmp_path / "reports"), sinks.EVENTS)
+    daily.create()
+    assert [live.calibration(s, daily, at + k * HOUR_MS) for k in (0, 1, 23, 24)] == [True, False, False, True] and daily.read().count() == 2
+
+
 def test_positions_exports_and_reports(spark, tmp_path):
     empty = spark.createDataFrame([], POSITIONS)
     orders = spark.createDataFrame([("x", -1, 100.0, 2.0)], "asset string, direction int, entry_price double, size double")

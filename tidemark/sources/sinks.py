@@ -1,64 +1,132 @@
-"""Idempotent writes over immutable tables.
+"""Idempotent writes over tables of immutable files.
 
-A table is a folder of Parquet versions (`v-<n>`), each with its own commit marker;
-readers take the highest complete one. A write makes the next version from the last
-by DataFrame operations, so a failed or repeated job leaves the table as it was. One writer
-at a time is assumed.
+A table is a folder of Parquet data and a log: each version of the log names the folders that hold each
+partition (a span of time). An append writes new files only; an update rewrites the partitions that
+it touches and no others; readers follow the newest log, so that a failed or repeated job leaves the table
+as it was. Log files are never overwritten: of two writers at once, one fails.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.quality import issues
-from tidemark.schema import evolve
+from tidemark.schema import DAY_MS, evolve
+
+#: Columns whose time deals a table's rows over partitions: the first that a table has.
+TIMES = ("ts", "breakout_ts", "timestamp_ms")
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    """keep: versions whose files stay. most_folders: appends to one partition until compact() joins them."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, span_ms: int = 30 * DAY_MS, keep: int = 2, most_folders: int = 32) -> None:
+        self.spark, self.path, self.schema, self.span_ms, self.keep, self.most_folders = spark, path.rstrip("/"), schema, span_ms, keep, most_folders
+        self.time = next((c for c in TIMES if c in schema.fieldNames()), None)
 
-    def _fs(self):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    # The log: {partition: [folders]} of each version, as JSON.
+
+    def _hadoop(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[int]:
+        where, fs = self._hadoop("_log")
+        return sorted(int(x.getPath().getName().removesuffix(".json")) for x in fs.listStatus(where)) if fs.exists(where) else []
+
     def version(self) -> int:
-        """The highest complete version, 0 without any."""
-        where, fs = self._fs()
-        if not fs.exists(where):
-            return 0
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        found = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("v-")]
-        return max((int(p.getName()[2:]) for p in found if fs.exists(path(p, "_SUCCESS"))), default=0)
-
-    def read(self) -> DataFrame:
-        """The rows, with columns added since as NULL."""
-        v = self.version()
-        rows = self.spark.read.parquet(f"{self.path}/v-{v}") if v else self.spark.createDataFrame([], self.schema)
-        return evolve(rows, self.schema)
+        """The newest version, 0 without any."""
+        return max(self._versions(), default=0)
+
+    def _state(self, version: int | None = None) -> dict[int, list[str]]:
+        version = self.version() if version is None else version
+        if not version:
+            return {}
+        where, fs = self._hadoop(f"_log/{version:010d}.json")
+        stream = fs.open(where)
+        try:
+            return {int(k): v for k, v in json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).items()}
+        finally:
+            stream.close()
+
+    def _commit(self, state: dict[int, list[str]]) -> int:
+        versions = self._versions()
+        version = max(versions, default=0) + 1
+        where, fs = self._hadoop(f"_log/{version:010d}.json")
+        stream = fs.create(where, False)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        old = versions[: len(versions) + 1 - self.keep] if self.keep <= len(versions) else []
+        used = {x for v in [*versions[len(old) :], version] for x in chain(*self._state(v).values())}
+        for v in old:
+            for folder in {x for x in chain(*self._state(v).values())} - used:
+                gone, fs = self._hadoop(folder)
+                fs.delete(gone, True)
+            gone, fs = self._hadoop(f"_log/{v:010d}.json")
+            fs.delete(gone, False)
+        return version
+
+    # Data
+
+    def part(self) -> Column:
+        """The partition of a row."""
+        return (F.floor(F.coalesce(F.col(self.time), F.lit(0)) / F.lit(self.span_ms)) if self.time else F.lit(0)).cast("long")
+
+    def _put(self, rows: DataFrame) -> dict[int, str]:
+        """Writes rows as new files; the folder of each partition."""
+        name = f"data/{uuid.uuid4().hex}"
+        own = evolve(rows, self.schema).select(self.schema.fieldNames()).withColumn("_part", self.part())
+        own.hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.path}/{name}")
+        where, fs = self._hadoop(name)
+        found = [x.getPath().getName() for x in fs.listStatus(where) if x.isDirectory() and "=" in x.getPath().getName()]
+        return {int(x.split("=")[1]): f"{name}/{x}" for x in found}
+
+    def read(self, parts: list[int] | None = None) -> DataFrame:
+        """The rows (of some partitions), with columns added since as NULL."""
+        folders = [f"{self.path}/{x}" for k, v in self._state().items() if parts is None or k in set(parts) for x in v]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def count_of(self, folders: list[str]) -> int:
+        """Rows of some folders, from their files' footers."""
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{x}" for x in folders)).count() if folders else 0
 
     def create(self) -> None:
         """An empty first version, if there is none."""
         if not self.version():
-            self.write(self.spark.createDataFrame([], self.schema))
-
-    def write(self, rows: DataFrame, keep: int = 2) -> int:
-        """The next version; versions before the last `keep` go."""
-        v = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v-{v}")
-        _, fs = self._fs()
-        for old in range(max(1, v - keep - 2), v - keep + 1):
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v-{old}")
-            if fs.exists(where):
-                fs.delete(where, True)
-        return v
+            self._commit({})
+
+    def write(self, rows: DataFrame) -> int:
+        """A version of these rows alone."""
+        return self._commit({k: [x] for k, x in self._put(rows).items()})
 
     def append(self, rows: DataFrame) -> int:
-        return self.write(self.read().unionByName(evolve(rows, self.schema).select(self.schema.fieldNames())))
+        """A version with these rows added: their files are new, no other is touched."""
+        state, added = self._state(), self._put(rows)
+        for k, x in added.items():
+            state[k] = [*state.get(k, []), x]
+        return self._commit(state)
+
+    def compact(self) -> int:
+        """Joins the folders of each partition that has more than most_folders."""
+        many = [k for k, v in self._state().items() if len(v) > self.most_folders]
+        return self.replace(self.read(many), many) if many else self.version()
+
+    def replace(self, rows: DataFrame, parts: list[int]) -> int:
+        """A version in which rows stand for all that some partitions held."""
+        state = {k: v for k, v in self._state().items() if k not in set(parts)}
+        for k, x in self._put(rows).items():
+            state[k] = [*state.get(k, []), x]
+        return self._commit(state)
+
+    def parts_of(self, rows: DataFrame) -> list[int]:
+        """Partitions that rows fall in (one narrow aggregate)."""
+        return sorted(r[0] for r in rows.select(self.part().alias("_part")).distinct().collect())
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame, key: list[str], arrival: str | None = None) -> DataFrame:
@@ -70,14 +138,25 @@ def new_rows(existing: DataFrame, incoming: DataFrame, key: list[str], arrival:
 
 
 def insert_new(table: Table, incoming: DataFrame, key: list[str], arrival: str | None = None, checks: Column | None = None) -> dict[str, int]:
-    """Insert rows whose key is new and which pass the checks; counts of inserted, skipped and quarantined rows."""
-    ok = incoming if checks is None else incoming.filter(F.coalesce(checks, F.lit(False)))
-    before = table.read()
-    fresh = new_rows(before, ok, key, arrival).select(table.schema.fieldNames())
-    n_before, n_in, n_ok = before.count(), incoming.count(), ok.count()
-    table.write(before.unionByName(fresh))
-    inserted = table.read().count() - n_before
-    return {"inserted": inserted, "skipped": n_ok - inserted, "quarantined": n_in - n_ok}
+    """Insert rows whose key is new and which pass the checks (of equal keys the first to arrive, or the least by all columns); counts of
+    inserted, skipped and quarantined rows. Only partitions that incoming rows fall in are read; what was inserted is counted from the new files' footers."""
+    rest = [c for c in incoming.columns if c not in key]
+    have = table.read(table.parts_of(incoming)).select(*key).distinct().withColumn("_have", F.lit(True))
+    rows = incoming.withColumn("_ok", F.lit(True) if checks is None else F.coalesce(checks, F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(*key, "_ok").orderBy(*([arrival] if arrival else []), *rest))
+    rows = rows.withColumn("_r", place).join(have, key, "left").withColumn("_new", F.col("_ok") & (F.col("_r") == 1) & F.col("_have").isNull())
+    n = incoming.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lit(True) if checks is None else F.coalesce(checks, F.lit(False))).alias("ok")).first()
+    before = {x for v in table._state().values() for x in v}
+    table.append(rows.filter("_new").drop("_ok", "_r", "_have", "_new"))
+    inserted = table.count_of([x for v in table._state().values() for x in v if x not in before])
+    table.compact()
+    return {"inserted": inserted, "skipped": n["ok"] - inserted, "quarantined": n["n"] - n["ok"]}
+
+
+def update(table: Table, incoming: DataFrame, change) -> int:
+    """A version in which change(rows of the partitions that incoming falls in) stands for those rows."""
+    parts = table.parts_of(incoming)
+    return table.replace(change(table.read(parts)), parts) if parts else table.version()
 
 
 def valid_bar() -> Column:
@@ -142,16 +221,15 @@ def closed(positions: DataFrame, exits: DataFrame) -> DataFrame:
 
 
 def export_csv(bars: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """One sorted CSV with a header for each asset (a header alone where there are no rows)."""
+    """CSV files with a header, in the order of asset and time over all files (range partitioned; as many as the rows need)."""
     columns = columns or ["asset", "ts", "open", "high", "low", "close", "volume"]
-    # a series of bars is small by nature; wider exports should take Parquet
-    bars.select(columns).repartition(1).sortWithinPartitions("asset", "ts").write.mode("overwrite").option("header", True).csv(path)
+    bars.select(columns).orderBy("asset", "ts").write.mode("overwrite").option("header", True).csv(path)
 
 
 def append_report(table: Table, kind: str, payload: DataFrame, ts: int) -> int:
     """A row (id, kind, ts, payload) with a one-row DataFrame as JSON; the same report is stored once."""
     row = payload.select(F.to_json(F.struct(*payload.columns)).alias("payload")).withColumns({"kind": F.lit(kind), "ts": F.lit(ts)}).withColumn("id", F.sha2(F.concat_ws("|", "kind", F.col("ts").cast("string"), "payload"), 256))
-    return table.write(table.read().unionByName(new_rows(table.read(), row, ["id"]).select(table.schema.fieldNames())))
+    return table.append(new_rows(table.read(table.parts_of(row)), row, ["id"]))
 
 
 EVENTS = T.StructType([T.StructField("id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("payload", T.StringType())])

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bars as b
 from tidemark.operators import forecast as fc
-from tidemark.schema import BARS, FORWARD_RETURNS, HOUR_MS, PREDICTIONS
+from tidemark.operators import reports
+from tidemark.schema import BARS, DAY_MS, FORWARD_RETURNS, HOUR_MS, PREDICTIONS
 from tidemark.sources import sinks
 
 
@@ -49,31 +50,61 @@ def predict(bars: DataFrame, timeframe: str = "1h", width_ms: int = HOUR_MS, win
     return rows.withColumns({"timeframe": F.lit(timeframe), **nothing, "breakout_flag": F.lit(None).cast("int"), "regime": fc.tercile_regime(F.col("predicted_range"), F.col("_a"), F.col("_b"))}).select(PREDICTIONS.fieldNames())
 
 
-def cycle(s: State, incoming: DataFrame, now_ms: int, horizons: tuple[int, ...] = (1, 2, 3), width_ms: int = HOUR_MS) -> dict[str, int]:
-    """One cycle over incoming bars, as of now_ms."""
+def recent(table: sinks.Table, now_ms: int, back_ms: int) -> list[int]:
+    """Partitions of a table that hold the last back_ms."""
+    return list(range((now_ms - back_ms) // table.span_ms, now_ms // table.span_ms + 1))
+
+
+def with_bias(forecasts: DataFrame, predictions: DataFrame, now_ms: int) -> DataFrame:
+    """Forecasts plus the mean error of the completed ones of the week before (past rows only; none under 24 of them); never below 0."""
+    past = predictions.filter((F.col("ts") < now_ms) & F.col("actual_range").isNotNull()).withColumn("_e", F.col("actual_range") - F.col("predicted_range"))
+    found = fc.bias_correction(past, "_e").select("asset", F.col("bias").alias("_b"))
+    moved = F.greatest(F.col("predicted_range") + F.coalesce("_b", F.lit(0.0)), F.lit(0.0))
+    return forecasts.join(found, "asset", "left").withColumn("predicted_range", moved).select(forecasts.columns)
+
+
+def calibration(s: State, reports_: sinks.Table, now_ms: int, every_ms: int = DAY_MS) -> bool:
+    """The daily report: a row of live calibration of each asset, unless there is one since every_ms. Whether it was written."""
+    newest = reports_.read(recent(reports_, now_ms, every_ms)).filter("kind = 'calibration'").agg(F.max("ts")).first()[0]
+    if newest is not None and now_ms - newest < every_ms:
+        return False
+    rows = reports.live_calibration(s.predictions.read(recent(s.predictions, now_ms, 31 * DAY_MS)))
+    sinks.append_report(reports_, "calibration", rows.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*rows.columns)))).alias("assets")), now_ms)
+    return True
+
+
+def cycle(s: State, incoming: DataFrame, now_ms: int, horizons: tuple[int, ...] = (1, 2, 3), width_ms: int = HOUR_MS, bias: bool = False, context: int = 2000) -> dict[str, int]:
+    """One cycle over incoming bars, as of now_ms. Partitions of the last `context` bars are read, and those of rows that are pending or new
+    are rewritten. bias: correct forecasts by last week's mean error."""
     fresh = b.closed(incoming, now_ms, width_ms)
     counts = sinks.insert_new(s.bars, fresh.select(BARS.fieldNames()), ["asset", "ts"], checks=sinks.valid_bar())
-    have = b.closed(s.bars.read(), now_ms, width_ms)
-    old = s.predictions.read()
-    done = complete(old, have)
-    new = sinks.new_rows(done, predict(have, width_ms=width_ms), ["asset", "ts"])
-    s.predictions.write(done.unionByName(new))
-    hits = s.predictions.read().filter("breakout_flag = 1").join(have.select("asset", "ts", "open", "close"), ["asset", "ts"])
+    # forecasts read the newest bars only: partitions before the context are never opened
+    have = b.closed(s.bars.read(recent(s.bars, now_ms, context * width_ms)), now_ms, width_ms)
+    pending = s.predictions.read().filter("actual_range IS NULL")
+    biased = with_bias(predict(have, width_ms=width_ms), s.predictions.read(recent(s.predictions, now_ms, 8 * DAY_MS)), now_ms) if bias else predict(have, width_ms=width_ms)
+    made = biased.unionByName(pending.select(biased.columns))
+    actual = b.closed(s.bars.read(s.bars.parts_of(pending)), now_ms, width_ms)
+    sinks.update(s.predictions, made, lambda old: (done := complete(old, actual)).unionByName(sinks.new_rows(done, biased, ["asset", "ts"])))
+    hits = s.predictions.read(recent(s.predictions, now_ms, context * width_ms)).filter("breakout_flag = 1").join(have.select("asset", "ts", "open", "close"), ["asset", "ts"])
     breakouts = hits.select(F.col("ts").alias("breakout_ts"), "asset", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1).alias("direction"), F.col("close").alias("base_close"))
-    known = s.returns.read()
-    pending = known.unionByName(sinks.new_rows(known, sinks.fan_out(breakouts, list(horizons), width_ms).select(FORWARD_RETURNS.fieldNames()), ["asset", "breakout_ts", "horizon"]))
-    s.returns.write(sinks.fill_forward_returns(pending, have, now_ms))
+    fanned = sinks.fan_out(breakouts, list(horizons), width_ms).select(FORWARD_RETURNS.fieldNames())
+    open_ = s.returns.read().filter("forward_return IS NULL").select(FORWARD_RETURNS.fieldNames())
+    key = ["asset", "breakout_ts", "horizon"]
+    sinks.update(s.returns, fanned.unionByName(open_), lambda old: sinks.fill_forward_returns(old.unionByName(sinks.new_rows(old, fanned, key)), have, now_ms))
     return counts
 
 
-def start(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, now=None, width_ms: int = HOUR_MS):
+def start(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, now=None, width_ms: int = HOUR_MS, bias: bool = False):
     """A query that runs a cycle for each micro-batch of a streaming DataFrame of bars; now: a function of the batch (its newest bar's end, if not given)."""
-    s = state(spark, path)
+    s, daily = state(spark, path), sinks.Table(spark, f"{path}/reports", sinks.EVENTS)
+    daily.create()
 
     def each(batch: DataFrame, _: int) -> None:
         newest = batch.agg(F.max("ts")).first()[0]
         if newest is not None:
-            cycle(s, batch, now(batch) if now else newest + width_ms, width_ms=width_ms)
+            at = now(batch) if now else newest + width_ms
+            cycle(s, batch, at, width_ms=width_ms, bias=bias)
+            calibration(s, daily, at)
 
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
