@@ -140,4 +140,39 @@ SELECT t.doc_id, CASE WHEN form <> '' THEN sha256(form) END AS text_digest, k.li
 FROM texts t LEFT JOIN known k ON k.digest = CASE WHEN form <> '' THEN sha256(form) END LEFT JOIN found USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_chat_prefix_targets": _ORACLE4, "op10_license_digests": _ORACLE10}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ORACLE5 = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS id FROM sets WHERE len(s) > 0 GROUP BY 1),
+shingles AS (SELECT id, len(s) AS n, unnest(s) AS x FROM classes),
+pairs AS (
+  SELECT a.id AS a, b.id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT id AS a, id AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+least AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY 1),
+named AS (SELECT c.s, l.c FROM classes c JOIN least l USING (id))
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(named.c, sets.doc_id) AS component_id, sets.doc_id = coalesce(named.c, sets.doc_id) AS kept
+FROM sets LEFT JOIN named ON named.s = list_sort(sets.s)
+"""
+
+_ORACLE8 = rf"""
+WITH rows AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+spans AS (SELECT item_id, w, least({decontam.WINDOW}, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM spans, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) t),
+places AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x
+  FROM rows, (SELECT DISTINCT n FROM windows) s, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) t),
+found AS (SELECT p.doc_id, p.i, p.n, v.item_id FROM places p JOIN windows v ON v.n = p.n AND v.x = p.x),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM found) f, LATERAL (SELECT unnest(range(i, i + n)) AS k) t GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT r.doc_id, len(r.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(r.w) AS contaminated
+FROM rows r LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE_SQL = {"op5_near_duplicates": _ORACLE5, "op8_decontamination": _ORACLE8, "op4_chat_prefix_targets": _ORACLE4, "op10_license_digests": _ORACLE10}
