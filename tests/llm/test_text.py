@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import struct
 import time
 import zlib
 from collections import defaultdict
@@ -437,6 +438,35 @@ def test_media_rejects_cut_files_and_reads_other_layouts():
     assert (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"stsz") in paths
 
 
+def track_boxes(who: int, kind: bytes, codec: bytes, mdhd: bytes, stsz: bytes, offset: int, n: int) -> bytes:
+    entry = media.box(codec, bytes(24), struct.pack(">HH", 320, 240), bytes(50))
+    tables = (media.full(b"stsd", 0, struct.pack(">I", 1), entry), media.full(b"stts", 0, struct.pack(">III", 1, n, 10)), media.full(b"stsc", 0, struct.pack(">IIII", 1, 1, n, 1)), stsz, media.full(b"stco", 0, struct.pack(">II", 1, offset)))
+    mdia = media.box(b"mdia", mdhd, media.full(b"hdlr", 0, bytes(4), kind, bytes(12), b"x\0"), media.box(b"minf", media.box(b"stbl", *tables)))
+    return media.box(b"trak", media.full(b"tkhd", 7, struct.pack(">IIIII", 0, 0, who, 0, 0), bytes(60)), mdia)
+
+
+def test_media_of_several_tracks_and_fragments():
+    long = media.box(b"mdhd", struct.pack(">IQQIQHH", 1 << 24, 0, 0, 90_000, 1 << 33, 0, 0))
+    short = media.full(b"mdhd", 0, struct.pack(">IIIIHH", 0, 0, 1000, 30, 0, 0))
+    sound = track_boxes(1, b"soun", b"mp4a", short, media.full(b"stz2", 0, struct.pack(">II", 4, 3), bytes([0x12, 0x30])), 5000, 3)
+    video = track_boxes(2, b"vide", b"avc1", long, media.full(b"stsz", 0, struct.pack(">IIII", 0, 2, 100, 50)), 6000, 2)
+    trex = media.box(b"mvex", media.full(b"trex", 0, struct.pack(">IIIII", 2, 1, 40, 7, 0x10000)))
+    moov = media.box(b"moov", sound, video, trex)
+    run = media.full(b"trun", 0x1 | 0x4 | 0x200, struct.pack(">IiI", 3, 64, 0), struct.pack(">III", 11, 12, 13))
+    moof = media.box(b"moof", media.full(b"mfhd", 0, struct.pack(">I", 1)), media.box(b"traf", media.full(b"tfhd", 0x20000 | 0x8, struct.pack(">II", 2, 33)), run))
+    own = media.box(b"moof", media.box(b"traf", media.full(b"tfhd", 0x1, struct.pack(">IQ", 1, 9000)), media.full(b"trun", 0x1 | 0x100, struct.pack(">Iiii", 2, 4, 5, 6))))
+    file = moov + moof + own
+    first, second = media.tracks(file)
+    assert (first.kind, first.codec, first.sizes[:3], first.offsets[:3]) == ("soun", "mp4a", [1, 2, 3], [5000, 5001, 5003]) and (first.timescale, first.width) == (1000, 0)
+    assert first.offsets[3:] == [9004, 9004] and first.duration == 30 + 11
+    assert (second.kind, second.timescale, second.width, second.sizes) == ("vide", 90_000, 320, [100, 50, 11, 12, 13])
+    at = len(moov) + 64
+    assert second.offsets == [6000, 6100, at, at + 11, at + 23] and second.keys == [0, 1, 2] and second.duration == 20 + 3 * 33
+    assert media.demux(file).kind == "vide" and media.demux(media.box(b"moov", sound)).codec == "mp4a"
+    with pytest.raises(ValueError):
+        media.tracks(file[:-3])
+
+
 def test_media_of_all_texts(spark):
     got = {(r["doc_id"], r["n_bytes"]): r["media"] for r in media.store(frame(spark, extra=True)).collect()}
     for i, t, *_ in documents():

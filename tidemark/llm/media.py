@@ -2,12 +2,14 @@
 
 The writer stores a payload losslessly as uncompressed 8-bit grey frames of
 24 x 24 samples (576 bytes) in a file of nested boxes: ftyp, moov with one video
-track and its sample tables, mdat. The reader walks the boxes, decodes the sample
-tables and derives codec, duration and the byte ranges of the key frames from
-them alone; only `payload()` touches sample bytes.
+track and its sample tables, mdat. The reader is general: it walks the boxes, decodes each
+track's sample tables (32 and 64 bit, compact sizes, both versions of the header) and the runs
+of movie fragments, and derives codec, duration and the byte ranges of the key frames
+from them alone; only `payload()` touches sample bytes.
 
 Defined cases: null and empty texts become one frame of padding; equal texts give
-equal files (no clock, no ids inside); a file whose boxes are cut short raises
+equal files (no clock, no ids inside); of several tracks the first video track is
+described, without one the first; a file whose boxes or tables are cut short raises
 ValueError. An empty table gives no rows; other columns pass through unread.
 """
 
@@ -104,6 +106,7 @@ class Track:
     offsets: list[int]
     sizes: list[int]
     keys: list[int]  # indices of key frames
+    kind: str = "vide"
 
     @property
     def seconds(self) -> float:
@@ -118,43 +121,151 @@ class Track:
         return f"codec={self.codec.strip()};size={self.width}x{self.height};duration_ms={1000 * self.duration // max(1, self.timescale)};samples={len(self.sizes)};keyframes={len(self.keys)};ranges={ranges}"
 
 
-def demux(data: bytes) -> Track:
-    """The video track's columns, from the sample tables."""
-    found = {path[-1]: (a, b) for path, a, b in walk(data)}
-
-    def numbers(kind: bytes, layout: str, each: int = 1) -> list:
-        a, b = found[kind]
-        (n,) = struct.unpack_from(">I", data, a + 4)
-        width = struct.calcsize(f">{layout}") * each
-        if a + 8 + n * width > b:
+class Reader:
+    """The fields of one box, in order."""
+
+    def __init__(self, data: bytes, start: int, end: int) -> None:
+        self.data, self.at, self.end = data, start, end
+
+    def take(self, layout: str) -> tuple:
+        size = struct.calcsize(f">{layout}")
+        if self.at + size > self.end:
+            raise ValueError("a box is cut short")
+        out = struct.unpack_from(f">{layout}", self.data, self.at)
+        self.at += size
+        return out
+
+    def table(self, layout: str) -> list[tuple]:
+        """Entries behind their count, in a box with version and flags."""
+        _, n = self.take("II")
+        return self.many(layout, n)
+
+    def many(self, layout: str, n: int) -> list[tuple]:
+        size = n * struct.calcsize(f">{layout}")
+        if self.at + size > self.end:
             raise ValueError("a sample table is cut short")
-        flat = struct.unpack_from(f">{n * each}{layout}", data, a + 8)
-        return list(flat) if each == 1 else [flat[i : i + each] for i in range(0, len(flat), each)]
-
-    for need in (b"stsd", b"stts", b"stsc", b"stsz", b"mdhd"):
-        if need not in found:
-            raise ValueError(f"no {need.decode()} box")
-    at = found[b"stsd"][0] + 8
-    codec = data[at + 4 : at + 8].decode("latin-1")
-    width, height = struct.unpack_from(">HH", data, at + 32)
-    timescale, stated = struct.unpack_from(">II", data, found[b"mdhd"][0] + 12)
-    uniform, n = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-    sizes = [uniform] * n if uniform else list(struct.unpack_from(f">{n}I", data, found[b"stsz"][0] + 12))
-    chunks = numbers(b"co64", "Q") if b"co64" in found else numbers(b"stco", "I")
-    runs = numbers(b"stsc", "I", 3)
+        self.at += size
+        return list(struct.iter_unpack(f">{layout}", self.data[self.at - size : self.at]))
+
+
+def _sizes(boxes: dict[bytes, tuple[int, int]], data: bytes) -> list[int]:
+    if b"stsz" in boxes:
+        r = Reader(data, *boxes[b"stsz"])
+        _, uniform, n = r.take("III")
+        return [uniform] * n if uniform else [x for (x,) in r.many("I", n)]
+    r = Reader(data, *boxes[b"stz2"])
+    _, bits, n = r.take("III")
+    if bits == 4:  # two in a byte, the first in its upper half
+        return [x for (byte,) in r.many("B", -(-n // 2)) for x in (byte >> 4, byte & 15)][:n]
+    return [x for (x,) in r.many("B" if bits == 8 else "H", n)]
+
+
+def _header(boxes: dict[bytes, tuple[int, int]], data: bytes) -> tuple[int, int]:
+    """Ticks a second and the stated duration."""
+    r = Reader(data, *boxes[b"mdhd"])
+    version = r.take("I")[0] >> 24
+    return r.take("QQIQ")[2:] if version == 1 else r.take("IIII")[2:]
+
+
+def _described(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
+    """A track from the boxes of its trak box."""
+    for need in ((b"stsd",), (b"stts",), (b"stsc",), (b"stsz", b"stz2"), (b"stco", b"co64"), (b"mdhd",)):
+        if not any(x in boxes for x in need):
+            raise ValueError(f"no {need[0].decode()} box")
+    kind = data[boxes[b"hdlr"][0] + 8 : boxes[b"hdlr"][0] + 12].decode("latin-1") if b"hdlr" in boxes else ""
+    entry = Reader(data, *boxes[b"stsd"])
+    _, _, _, codec = entry.take("III4s")
+    width = height = 0
+    if kind in ("vide", ""):
+        entry.take("24s")
+        width, height = entry.take("HH")
+    timescale, stated = _header(boxes, data)
+    sizes = _sizes(boxes, data)
+    chunks = [x[0] for x in Reader(data, *boxes[b"co64"]).table("Q")] if b"co64" in boxes else [x[0] for x in Reader(data, *boxes[b"stco"]).table("I")]
+    runs = Reader(data, *boxes[b"stsc"]).table("III")
     offsets: list[int] = []
     for i, (first, per, _) in enumerate(runs):
         until = runs[i + 1][0] if i + 1 < len(runs) else len(chunks) + 1
-        for chunk in range(first - 1, until - 1):
-            where = chunks[chunk]
+        for where in chunks[first - 1 : until - 1]:
             for size in sizes[len(offsets) : len(offsets) + per]:
                 offsets.append(where)
                 where += size
-    if len(offsets) != n:
+    if len(offsets) != len(sizes):
         raise ValueError("the chunks don't hold all samples")
-    keys = [k - 1 for k in numbers(b"stss", "I")] if b"stss" in found else list(range(n))
-    duration = sum(count * delta for count, delta in numbers(b"stts", "I", 2)) or stated
-    return Track(codec, width, height, timescale, duration, offsets, sizes, keys)
+    keys = [k[0] - 1 for k in Reader(data, *boxes[b"stss"]).table("I")] if b"stss" in boxes else list(range(len(sizes)))
+    duration = sum(count * delta for count, delta in Reader(data, *boxes[b"stts"]).table("II"))
+    return Track(codec.decode("latin-1"), width, height, timescale, duration or (stated if sizes else 0), offsets, sizes, keys, kind)
+
+
+def _fragment(data: bytes, base: int, inside: list[tuple[bytes, int, int]], tracks: dict[int, Track], defaults: dict[int, tuple[int, int, int]]) -> None:
+    """Adds the samples of one traf box (its boxes) to its track. base: where the moof box begins."""
+    header = next((x for x in inside if x[0] == b"tfhd"), None)
+    if not header:
+        raise ValueError("no tfhd box")
+    r = Reader(data, *header[1:])
+    flags, who = r.take("II")
+    track, usual = tracks.get(who), list(defaults.get(who, (0, 0, 0)))
+    if track is None:
+        return
+    if flags & 0x1:
+        (base,) = r.take("Q")
+    if flags & 0x2:
+        r.take("I")
+    for i, bit in enumerate((0x8, 0x10, 0x20)):  # duration, size, flags of samples
+        if flags & bit:
+            (usual[i],) = r.take("I")
+    where = base
+    for kind, a, b in inside:
+        if kind != b"trun":
+            continue
+        r = Reader(data, a, b)
+        own, n = r.take("II")
+        if own & 0x1:
+            where = base + r.take("i")[0]
+        first = r.take("I")[0] if own & 0x4 else None
+        for i in range(n):
+            duration, size, mark = (r.take("I")[0] if own & bit else usual[j] for j, bit in enumerate((0x100, 0x200, 0x400)))
+            if own & 0x800:
+                r.take("I")
+            mark = first if i == 0 and first is not None else mark
+            if not mark & 0x10000:  # not a sample that needs others
+                track.keys.append(len(track.sizes))
+            track.offsets.append(where)
+            track.sizes.append(size)
+            track.duration += duration
+            where += size
+
+
+def tracks(data: bytes) -> list[Track]:
+    """All tracks, in the order of the file, with the samples of movie fragments."""
+    top = list(walk(data))
+    found: dict[int, Track] = {}
+    for path, a, b in top:
+        if path == (b"moov", b"trak"):
+            boxes = {p[-1]: (x, y) for p, x, y in walk(data, a, b)}
+            version = data[boxes[b"tkhd"][0]] if b"tkhd" in boxes else 0
+            who = Reader(data, boxes[b"tkhd"][0] + (20 if version else 12), boxes[b"tkhd"][1]).take("I")[0] if b"tkhd" in boxes else len(found) + 1
+            found[who] = _described(data, boxes)
+    usual = {}
+    for path, a, b in top:
+        if path == (b"moov", b"mvex", b"trex"):
+            _, who, _, *rest = Reader(data, a, b).take("IIIIII")
+            usual[who] = tuple(rest)
+    base = 0
+    for path, a, b in top:
+        if path == (b"moof",):
+            base = a - 8
+        elif path == (b"moof", b"traf"):
+            _fragment(data, base, [(p[-1], x, y) for p, x, y in walk(data, a, b)], found, usual)
+    return list(found.values())
+
+
+def demux(data: bytes) -> Track:
+    """The first video track, or the first of any kind."""
+    all_ = tracks(data)
+    if not all_:
+        raise ValueError("no trak box")
+    return next((x for x in all_ if x.kind == "vide"), all_[0])
 
 
 def payload(data: bytes, track: Track) -> bytes:
@@ -176,9 +287,8 @@ def store(docs, key: str = "doc_id", text: str = "text"):
 
     def run(batches):
         for batch in batches:
-            raw = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            for i in range(0, len(raw), 256):
-                part = raw[i : i + 256]
+            for i in range(0, batch.num_rows, 64):
+                part = [(x or "").encode() for x in batch.column(1).slice(i, 64).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), pa.array(map(len, part), pa.int64()), pa.array([mux(pad(x)) for x in part], pa.binary())], ["key", "n_bytes", "media"])
 
     kind = docs.schema[key].dataType.simpleString()
