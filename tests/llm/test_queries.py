@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import zlib
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +67,85 @@ def test_near_duplicates_and_contamination_by_brute_force(spark):
     assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in found.collect()) == sorted((d[0], h[0], h[1], h[3]) for d, h in zip(short, brute_hits(short, items, 13)))
 
 
+def _documents(spark) -> dict[int, str]:
+    return {r["doc_id"]: r["text"] or "" for r in read_table(spark, DATA, "documents").select("doc_id", "text").collect()}
+
+
+def test_packing_query_by_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(str(queries.TOKENIZER)).encode
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in queries.op2_packing_first_fit(spark, DATA).collect():
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    docs = _documents(spark)
+    assert pieces.keys() == docs.keys()
+    total = 0
+    for key, text in docs.items():
+        ids = [*encode(text, add_special_tokens=False).ids, 0]
+        total += len(ids)
+        at = 0
+        for r in sorted(pieces[key], key=lambda r: r["start"]):
+            own = ids[at : at + r["length"]]
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(own, "<u4").tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+    padded = 0
+    for rows in sequences.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+        padded += at if at & (at - 1) == 0 else 1024
+    assert padded <= 1.02 * total + 1024
+
+
+def test_media_query_by_brute_force(spark):
+    from tidemark.llm import media
+
+    docs, rows = _documents(spark), queries.op6_media_columns(spark, DATA).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        raw = docs[r["doc_id"]].encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        file, n = media.mux(payload), len(payload) // 576
+        at = len(file) - len(payload)
+        keys = ",".join(f"{at + k * 576}-{at + k * 576 + 576}" for k in range(0, n, 12))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest()) and file.endswith(payload)
+        assert r["feature"] == f"codec=raw;size=24x24;duration_ms={n * 40};samples={n};keyframes={-(-n // 12)};ranges={keys}"
+
+
+def test_sharding_query_by_brute_force(spark):
+    def jump(key: int, shards: int) -> int:
+        at, to = -1, 0
+        while to < shards:
+            at = to
+            key = (key * 2862933555777941757 + 1) % 2**64
+            to = int((at + 1) * (2.0**31 / ((key >> 33) + 1)))
+        return at
+
+    docs, slots = _documents(spark), defaultdict(list)
+    for r in queries.op7_jump_sharding(spark, DATA).collect():
+        raw = docs[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 1, zlib.crc32(raw), "key")
+        assert (r["shard"], r["grown_shard"]) == (jump(r["doc_id"], 8), jump(r["doc_id"], 9)) and r["grown_shard"] in (r["shard"], 8)
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == len(docs) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_language_and_quality_of_held_out_rows(spark):
+    """Held-out accuracy of the queries as registered; every row has one result."""
+    rows = queries.op3_language_kneser_ney(spark, DATA).join(read_table(spark, DATA, "documents").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"] and r["lang"] and r["lang_pred"] != "und"]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held) and sum(r["rejected"] for r in held) <= 0.02 * len(held)
+    scored = queries.op9_quality_compression(spark, DATA).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for r in scored)
+
+
 def test_pipeline_stages(spark):
     docs = read_table(spark, DATA, "documents").withColumn("score", F.lit("own"))
     columns, before = docs.columns, docs.count()

@@ -5,8 +5,10 @@ A row's key and the number of shards alone decide its shard (Lamping and Veach,
 more only the rows that move into it move at all.
 
 Slots number the rows of a shard without gaps. Rows of a shard are dealt into
-ranges by a second hash, numbered within a range, and shifted by the sizes of the
-ranges before: one shuffle, and no task ever holds a whole shard.
+ranges by a second hash (of all that they are ordered by, so that rows of one key part
+where anything else differs), numbered within a range, and shifted by the sizes of the
+ranges before: one shuffle, and no task ever holds a whole shard. Rows alike in everything share a
+range, which is sorted with spills.
 
 Defined cases: a null key is the key 0; repeated keys share a shard and
 get slots of their own; null text is empty; an empty table gives no rows;
@@ -60,7 +62,7 @@ def assign(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "t
 def number(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with slot: 0, 1, 2 ... within each shard."""
     ranges = max(1, -(-rows.count() // RANGE_ROWS))
-    rows = rows.withColumn("_range", F.pmod(F.xxhash64(*order[:1]), F.lit(ranges)).cast("int"))
+    rows = rows.withColumn("_range", F.pmod(F.xxhash64(*order), F.lit(ranges)).cast("int"))
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy("shard", "_range").orderBy(*order)
