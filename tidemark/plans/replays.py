@@ -168,3 +168,60 @@ oracle(
   {true('s.profit_factor > 1')} AS G5, {true('s.t_stat > 1.959963984540054')} AS G6 FROM sweep s JOIN best USING (asset, multiplier) JOIN sweep b ON b.asset = s.asset AND b.multiplier = 0)""",
     keys="asset multiplier", others="G1 G2 G3 G4 G5 G6 passed verdict",
 )
+
+# Regimes and neighbours -------------------------------------------------------------------------------
+
+oracle(
+    "regime_tracking",
+    """SELECT asset, count(*) AS regimes, bool_and(coalesce(up, true)) AS monotone, (max(f) - min(f)) / nullif(avg(f), 0) AS spread,
+  count(*) >= 2 AND bool_and(coalesce(up, true)) AND (max(f) - min(f)) / nullif(avg(f), 0) >= 0.1 AS tracks
+FROM (SELECT *, (f >= lag(f) OVER w) = (a >= lag(a) OVER w) AS up FROM (
+  SELECT asset, CASE regime WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS r, count(*) AS n, avg(predicted_range) AS f, avg(actual_range) AS a FROM c GROUP BY 1, 2)
+  WHERE n >= 5 WINDOW w AS (PARTITION BY asset ORDER BY r)) GROUP BY asset""",
+    v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset", floats="spread", others="regimes monotone tracks",
+)
+
+_TERMS = f"""hr AS (SELECT asset, ts, range AS y, {lag('range')} AS m1, {roll(MEAN, 'range', 5, 1)} AS m5, {roll(MEAN, 'range', 22, 1)} AS m22, row_number() OVER ({W}) - 1 AS i
+  FROM (SELECT *, greatest(high - low, 0) AS range FROM d)),
+asked AS (SELECT *, 500 + (i - 500) // 200 * 200 AS a FROM hr WHERE i >= 500 AND m22 IS NOT NULL AND m5 IS NOT NULL AND m1 IS NOT NULL),
+past AS (SELECT * FROM hr WHERE m22 IS NOT NULL AND m5 IS NOT NULL AND m1 IS NOT NULL),
+scale AS (SELECT k.asset, k.a, stddev_pop(p.m1) + 1e-12 AS s1, stddev_pop(p.m5) + 1e-12 AS s5, stddev_pop(p.m22) + 1e-12 AS s22
+  FROM (SELECT DISTINCT asset, a FROM asked) k JOIN past p ON p.asset = k.asset AND p.i < k.a GROUP BY 1, 2),
+near AS (SELECT q.asset, q.ts, p.y, row_number() OVER (PARTITION BY q.asset, q.ts ORDER BY ((p.m1 - q.m1) / s1) ** 2 + ((p.m5 - q.m5) / s5) ** 2 + ((p.m22 - q.m22) / s22) ** 2) AS k
+  FROM asked q JOIN scale USING (asset, a) JOIN past p ON p.asset = q.asset AND p.i < q.a)"""
+oracle("walk_model", "SELECT asset, ts, avg(y) AS forecast FROM near WHERE k <= 25 GROUP BY asset, ts", v.BARS_1D, _TERMS, floats="forecast")
+
+# Autoregressions, by Cramer's rule on moving covariances ----------------------------------------------
+
+#: Terms by their names in the sums below; 4 is what is forecast.
+_NAMES = {1: "m1", 2: "m5", 3: "m22", 4: "y"}
+
+
+def _fits(source: str, value: str, window: int | None, by: str = "asset") -> str:
+    """CTEs: `fit` with n_obs and coefficients b0 to b3 of each row of a source, on the rows before it."""
+    frame = f"(PARTITION BY {by} ORDER BY ts ROWS BETWEEN {'UNBOUNDED' if window is None else window} PRECEDING AND 1 PRECEDING)"
+    mean = lambda w: f"CASE WHEN count({value}) OVER (PARTITION BY {by} ORDER BY ts ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) >= {w} THEN avg({value}) OVER (PARTITION BY {by} ORDER BY ts ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) END"
+    sums = ", ".join(f"covar_pop(c{a}, c{z}) OVER f AS s{a}{z}" for a in range(1, 5) for z in range(a, 5) if a < 4)
+    means = ", ".join(f"avg(c{k}) OVER f AS a{k}" for k in range(1, 5))
+    whole = " AND ".join(f"{x} IS NOT NULL" for x in _NAMES.values())
+    kept = ", ".join(f"CASE WHEN {whole} THEN {x} END AS c{k}" for k, x in _NAMES.items())
+    det = lambda p, q, r, t, u, x: f"({p} * ({t} * {x} - {u} * {u}) - {q} * ({q} * {x} - {u} * {r}) + {r} * ({q} * {u} - {t} * {r}))"
+    b1 = "(s14 * (s22 * s33 - s23 * s23) - s12 * (s24 * s33 - s23 * s34) + s13 * (s24 * s23 - s22 * s34))"
+    b2 = "(s11 * (s24 * s33 - s34 * s23) - s14 * (s12 * s33 - s23 * s13) + s13 * (s12 * s34 - s24 * s13))"
+    b3 = "(s11 * (s22 * s34 - s23 * s24) - s12 * (s12 * s34 - s24 * s13) + s14 * (s12 * s23 - s22 * s13))"
+    return f"""terms AS (SELECT {by}, ts, {value} AS y, {mean(1)} AS m1, {mean(5)} AS m5, {mean(22)} AS m22 FROM {source}),
+used AS (SELECT *, {kept} FROM terms),
+cov AS (SELECT {by}, ts, y, m1, m5, m22, count(c4) OVER f AS n_obs, {sums}, {means} FROM used WINDOW f AS {frame}),
+slopes AS (SELECT *, {b1} / d AS b1, {b2} / d AS b2, {b3} / d AS b3 FROM (SELECT *, {det('s11', 's12', 's13', 's22', 's23', 's33')} AS d FROM cov WHERE n_obs >= 24)),
+fit AS (SELECT *, a4 - b1 * a1 - b2 * a2 - b3 * a3 AS b0 FROM slopes),
+forecasts AS (SELECT *, b0 + b1 * m1 + b2 * m5 + b3 * m22 AS har FROM fit)"""
+
+
+_DAILY = [v.BARS_1D, "ranges AS (SELECT *, greatest(high - low, 0) AS range FROM d)"]
+oracle("har_coefficients", "SELECT asset, coefficient, avg(x) AS mean, stddev_pop(x) AS deviation FROM (UNPIVOT (SELECT asset, b0, b1, b2, b3 FROM fit) ON b0, b1, b2, b3 INTO NAME coefficient VALUE x) GROUP BY 1, 2", *_DAILY, _fits("ranges", "range", 512), keys="asset coefficient", floats="mean deviation")
+oracle("har_forecast", "SELECT asset, ts, round(har, 4) AS har, n_obs FROM forecasts", *_DAILY, _fits("ranges", "range", 512), floats="har", others="n_obs")
+oracle("har_walk_expanding", "SELECT asset, ts, round(har, 4) AS har, n_obs FROM forecasts WHERE har > 0", *_DAILY, _fits("ranges", "range", None), floats="har", others="n_obs")
+
+_VARIANCE = f"""moves AS (SELECT asset, ts // 86400000 * 86400000 AS ts, CASE WHEN close > 0 AND {lag('close')} > 0 THEN ln(close / {lag('close')}) END AS x FROM (SELECT * FROM b WHERE close > 0)),
+variance AS (SELECT asset, ts, sum(x * x) AS rv FROM moves GROUP BY 1, 2)"""
+oracle("har_rv_daily", "SELECT asset, ts, sqrt(greatest(har, 1e-12)) AS vol, n_obs FROM forecasts", v.BARS_1H, _VARIANCE, _fits("variance", "rv", 20).replace(">= 24", ">= 5"), floats="vol", others="n_obs")
