@@ -7,7 +7,7 @@ Spark side runs the same rule as one function for each series; nothing is shared
 from __future__ import annotations
 
 from tidemark.plans import views as v
-from tidemark.plans.queries import MEAN, ORACLE_SQL, SD, SDP, W, lag, roll, win
+from tidemark.plans.queries import FWD, MEAN, MOM, ORACLE_SQL, QUERIES, SD, SDP, W, lag, roll, win
 
 
 def oracle(name: str, body: str, *ctes: str, keys: str = "asset ts", floats: str = "", others: str = "") -> None:
@@ -225,3 +225,88 @@ oracle("har_walk_expanding", "SELECT asset, ts, round(har, 4) AS har, n_obs FROM
 _VARIANCE = f"""moves AS (SELECT asset, ts // 86400000 * 86400000 AS ts, CASE WHEN close > 0 AND {lag('close')} > 0 THEN ln(close / {lag('close')}) END AS x FROM (SELECT * FROM b WHERE close > 0)),
 variance AS (SELECT asset, ts, sum(x * x) AS rv FROM moves GROUP BY 1, 2)"""
 oracle("har_rv_daily", "SELECT asset, ts, sqrt(greatest(har, 1e-12)) AS vol, n_obs FROM forecasts", v.BARS_1H, _VARIANCE, _fits("variance", "rv", 20).replace(">= 24", ">= 5"), floats="vol", others="n_obs")
+
+# Studies and their gates --------------------------------------------------------------------------------
+
+_TERCILE = lambda q: f"CASE WHEN count(m) OVER {win(-199)} >= 2 THEN quantile_cont(m, {q}) OVER {win(-199)} END"
+_STUDY = [
+    *_DAILY, _fits("ranges", "range", 512),
+    f"""states AS (SELECT asset, ts, range, prev, scale, xs, CASE WHEN m IS NULL OR lo IS NULL THEN 'undefined' WHEN m < lo THEN 'low' WHEN m > hi THEN 'high' ELSE 'medium' END AS regime
+  FROM (SELECT *, {_TERCILE('1 / 3.0::DOUBLE')} AS lo, {_TERCILE('2 / 3.0::DOUBLE')} AS hi FROM (
+    SELECT *, {roll(MEAN, 'range', 22, 1)} AS m, {lag('range')} AS prev, {lag('close')} AS scale, list(range) OVER {win(-120, -1)} AS xs FROM ranges)))""",
+    """joined AS (SELECT s.asset, s.ts, s.range AS actual, f.har, s.prev, s.scale, s.regime, list_reduce(s.xs, lambda a, x: a + (2.0 / 23) * (x - a)) AS ewma
+  FROM states s JOIN forecasts f ON f.asset = s.asset AND f.ts = s.ts WHERE f.har IS NOT NULL)""",
+    """dealt AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) AS p, count(*) OVER (PARTITION BY asset) AS n FROM joined),
+framed AS (SELECT *, least(500, n // 3) AS k FROM dealt),
+study AS (SELECT * FROM (SELECT *, CASE WHEN p <= k THEN 'older' WHEN p > n - k THEN 'recent' WHEN p > n // 2 - k // 2 AND p <= n // 2 - k // 2 + k THEN 'middle' END AS win FROM framed) WHERE win IS NOT NULL),
+valid AS (SELECT * FROM study WHERE actual IS NOT NULL AND har IS NOT NULL AND prev IS NOT NULL AND ewma IS NOT NULL AND scale > 0)""",
+]
+
+
+def _records(by: str) -> str:
+    return f"""SELECT *, n < 100 AS low_power, mae_primary < mae_base AS beats_base, mae_primary < mae_second AS beats_second, nmae_primary < nmae_base AS beats_norm, nr_primary < nr_base AS beats_norm_rmse FROM (
+  SELECT {by}, count(*) AS n, avg(abs(har - actual)) AS mae_primary, avg(abs(prev - actual)) AS mae_base, avg(abs(ewma - actual)) AS mae_second, avg(abs(har - actual) / scale) AS nmae_primary, avg(abs(prev - actual) / scale) AS nmae_base,
+    sqrt(avg((abs(har - actual) / scale) ** 2)) AS nr_primary, sqrt(avg((abs(prev - actual) / scale) ** 2)) AS nr_base FROM valid GROUP BY {by})"""
+
+
+oracle(
+    "window_records", f"SELECT *, win AS window_name FROM ({_records('asset, win')})", *_STUDY,
+    keys="asset window_name", floats="mae_primary mae_base mae_second nmae_primary nmae_base", others="n low_power beats_base beats_second beats_norm",
+)
+
+#: Two-sided critical values of the normal distribution at 0.0125 and 0.05, one-sided at 0.05.
+_Z_0125, _Z_05, _Z_ONE = 2.497705474412477, 1.959963984540054, 1.6448536269514722
+_GATES = [
+    *_STUDY,
+    f"records AS ({_records('asset, win')}), regimes AS ({_records('regime')})",
+    """steps AS (SELECT *, (f >= lag(f) OVER w) = (a >= lag(a) OVER w) AS up FROM (
+  SELECT asset, win, CASE regime WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS r, count(*) AS n, avg(har) AS f, avg(actual) AS a FROM study WHERE regime <> 'undefined' AND har IS NOT NULL AND actual IS NOT NULL GROUP BY 1, 2, 3)
+  WHERE n >= 5 WINDOW w AS (PARTITION BY asset, win ORDER BY r)),
+tracking AS (SELECT asset, win, count(*) >= 2 AND bool_and(coalesce(up, true)) AND (max(f) - min(f)) / nullif(avg(f), 0) >= 0.1 AS tracks FROM steps GROUP BY 1, 2)""",
+    """diffs AS (SELECT x, x - avg(x) OVER () AS z, count(*) OVER () AS n, row_number() OVER (ORDER BY asset, ts) AS i FROM (SELECT asset, ts, abs((har - actual) / scale) - abs((prev - actual) / scale) AS x FROM study WHERE har IS NOT NULL AND prev IS NOT NULL AND scale <> 0)),
+lagged AS (SELECT *, greatest(1, floor(4 * (n / 100.0) ** (2.0 / 9)))::BIGINT AS lags FROM diffs),
+weighted AS (SELECT sum(a.z * b.z * (1 - (b.i - a.i) / (a.lags + 1.0))) AS w FROM lagged a JOIN lagged b ON b.i > a.i AND b.i <= a.i + a.lags),
+pooled AS (SELECT avg(x) AS mean_diff, avg(x) / sqrt((sum(z * z) + 2 * any_value(w)) / any_value(n) / any_value(n)) AS dm FROM lagged, weighted)""",
+    "counted AS (SELECT r.*, coalesce(t.tracks, false) AS tracks FROM records r LEFT JOIN tracking t USING (asset, win) WHERE NOT low_power)",
+    "better AS (SELECT count(*) FILTER (beats_base) AS regimes FROM regimes)",
+]
+
+
+def _verdict(checks: int, best: str) -> str:
+    names = [f"c{i}" for i in range(1, checks + 1)]
+    passed = " + ".join(f"{c}::INT" for c in names)
+    return f"SELECT *, ({passed})::BIGINT AS passed, CASE WHEN eligible = 0 THEN 'pending' WHEN {' AND '.join(names)} THEN '{best}' WHEN c1 THEN 'B' ELSE 'C' END AS verdict FROM judged"
+
+
+oracle(
+    "breadth_gate", _verdict(8, "A"), *_GATES,
+    f"""judged AS (SELECT count(*) AS eligible, count(*) FILTER (beats_base) * 2 > count(*) AS c1, count(*) FILTER (beats_second) * 2 > count(*) AS c2,
+  (SELECT count(*) FROM (SELECT 1 FROM counted GROUP BY asset HAVING count(*) FILTER (beats_base) >= 2)) >= 2 AS c3, (SELECT count(*) FROM (SELECT 1 FROM counted GROUP BY win HAVING count(*) FILTER (beats_base) >= 2)) >= 2 AS c4,
+  count(*) FILTER (beats_norm) * 2 > count(*) AS c5, (SELECT abs(dm) > {_Z_0125} AND mean_diff < 0 FROM pooled) AS c6, count(*) FILTER (tracks) * 2 > count(*) AS c7, (SELECT regimes >= 2 FROM better) AS c8 FROM counted)""",
+    keys="verdict", others="eligible c1 c2 c3 c4 c5 c6 c7 c8 passed",
+)
+oracle(
+    "asset_gate", _verdict(7, "PASS"), *_GATES,
+    f"""each AS (SELECT asset, count(*) >= 3 AND count(*) FILTER (beats_norm) >= 2 AS m, count(*) >= 3 AND count(*) FILTER (beats_norm_rmse) >= 2 AS r FROM counted GROUP BY asset),
+judged AS (SELECT count(*) AS eligible, (SELECT count(*) FILTER (m) >= 1 FROM each) AS c1, (SELECT count(*) FILTER (m) >= 3 FROM each) AS c2, (SELECT count(*) FILTER (r) >= 3 FROM each) AS c3,
+  count(*) FILTER (beats_base) * 2 > count(*) AS c4, (SELECT abs(dm) > {_Z_05} AND mean_diff < 0 FROM pooled) AS c5, (SELECT regimes >= 2 FROM better) AS c6, true AS c7 FROM counted)""",
+    keys="verdict", others="eligible c1 c2 c3 c4 c5 c6 c7 passed",
+)
+
+# Directions ---------------------------------------------------------------------------------------------
+
+_EVENTS = f"""ev AS (SELECT *, ntile(3) OVER (PARTITION BY asset ORDER BY ts) AS block FROM fw),
+zs AS (SELECT *, x - avg(x) OVER () AS z, avg(x) OVER () AS mu, count(*) OVER () AS n FROM (SELECT asset, ts, correct - 0.5 AS x FROM fw)),
+ls AS (SELECT *, lag(z, 1) OVER w AS l1, lag(z, 2) OVER w AS l2, lag(z, 3) OVER w AS l3 FROM zs WINDOW w AS (ORDER BY ts, asset)),
+flip AS (SELECT any_value(mu) + 0.5 AS hit_rate, any_value(mu) / sqrt((sum(z * z) + 2 * (0.75 * coalesce(sum(z * l1), 0) + 0.5 * coalesce(sum(z * l2), 0) + 0.25 * coalesce(sum(z * l3), 0))) / any_value(n) / any_value(n)) AS dm FROM ls),
+thirds AS (SELECT min(h) AS worst_window, arg_min(h, block) AS older, arg_max(h, block) AS recent FROM (SELECT block, avg(correct) AS h FROM ev GROUP BY block)),
+sides AS (SELECT min(h) AS worst_asset, min(k) AS least_n FROM (SELECT asset, avg(correct) AS h, count(*) AS k FROM fw GROUP BY asset)),
+judged AS (SELECT hit_rate, hit_rate > 0.55 AND worst_asset > 0.55 AS G1, dm > {_Z_ONE} AS G2, worst_asset > 0.5 AS G3, worst_window > 0.5 AS G4, recent >= older - 0.1 AS G5, least_n >= 30 AS G6 FROM flip, thirds, sides)"""
+
+# the gates alone: the p-value needs an error function, its comparison a critical value only
+QUERIES["direction_gates_verdict"] = lambda spark, d: QUERIES["direction_gates"](spark, d).drop("p_value")
+oracle(
+    "direction_gates_verdict",
+    "SELECT 'momentum' AS study, *, (G1::INT + G2::INT + G3::INT + G4::INT + G5::INT + G6::INT)::BIGINT AS passed, CASE WHEN G1 AND G2 AND G3 AND G4 AND G5 AND G6 THEN 'SIGNAL FOUND' ELSE 'CLOSED' END AS verdict FROM judged",
+    v.BARS_1H, MOM, FWD, _EVENTS, keys="study", floats="hit_rate", others="G1 G2 G3 G4 G5 G6 passed verdict",
+)
