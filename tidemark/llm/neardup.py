@@ -358,15 +358,17 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
     members = classes.select("node", F.explode(band_keys(bands, rows)(F.col("sig"))).alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("hub")).filter("m > 1")
     buckets = kept(members.join(shared, "band"), "buckets")
+    # only classes that share a bucket go on: what is joined below is this table, not that of all classes
+    near = kept(classes.join(buckets.select("node").distinct(), "node", "left_semi"), "near")
     # where texts are verified: with the least hub's other members, in blocks of bounded size
-    home = buckets.groupBy("node").agg(F.min("hub").alias("home")).join(classes.select("node", "size"), "node")
+    home = buckets.groupBy("node").agg(F.min("hub").alias("home")).join(near.select("node", "size"), "node")
     parts = home.groupBy("home").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("parts"))
     placed = kept(home.join(parts, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1)))).alias("block")), "placed")
     # pairs with hubs
-    sides = {x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in "uv"}
+    sides = {x: near.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in "uv"}
     hubs = buckets.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    near = hubs.join(sides["u"], "u").join(sides["v"], "v").filter(_agree(k, percent)("sig_u", "sig_v", "n_u", "n_v")).select("u", "v")
-    links, path = verify(near, classes, placed, docs, repeated, shingle, percent)
+    passing = hubs.join(sides["u"], "u").join(sides["v"], "v").filter(_agree(k, percent)("sig_u", "sig_v", "n_u", "n_v")).select("u", "v")
+    links, path = verify(passing, near, placed, docs, repeated, shingle, percent)
     gone.append(path)
     own, path = components(links)
     gone.append(path)
@@ -375,11 +377,11 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
     mixed = of.groupBy("band").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select("band")
     dealt = of.join(mixed, "band", "left_semi").withColumn("parts", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    rows_ = dealt.join(classes.select("node", "n", "sig"), "node").join(placed.withColumnRenamed("block", "spot"), "node").select(*_BUCKET)
+    rows_ = dealt.join(near.select("node", "n", "sig"), "node").join(placed.withColumnRenamed("block", "spot"), "node").select(*_BUCKET)
     rows_ = rows_.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
     rest = kept(rows_.mapInArrow(partial(_buckets, percent=percent), "pair long, node binary, own binary").distinct(), "passing")
     if not rest.isEmpty():
-        full = rest.join(classes.select("node", "n", "sig"), "node").join(texts_of(rest.select("node"), classes, docs, repeated), "node")
+        full = rest.join(near.select("node", "n", "sig"), "node").join(texts_of(rest.select("node"), near, docs, repeated), "node")
         full = full.select("pair", "node", "own", "n", "sig", "body").repartition("pair").sortWithinPartitions("pair", "node")
         links = kept(full.mapInArrow(partial(_compared, shingle=shingle, percent=percent), "u binary, v binary"), "links")
         for x in "uv":
