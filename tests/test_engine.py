@@ -443,3 +443,38 @@ def test_significance_of_sweeps_has_a_sign(spark):
     best = spark.createDataFrame([("x", 1.0), ("y", 1.0)], "asset string, multiplier double")
     six = lambda alpha: {r["asset"]: r["G6"] for r in gates.sweep_gates(sweep, best, alpha).collect()}
     assert six(0.05) == {"x": True, "y": False} and six(0.01) == {"x": False, "y": False} and six(0.1)["x"]
+
+
+def test_both_blocks_against_baselines(spark):
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=400)
+    pdf = pd.DataFrame({"asset": "x", "ts": np.arange(400), "y": y, "m": y + rng.normal(size=400) / 2, "a": y + rng.normal(size=400), "b": rng.normal(size=400)})
+    got = pandas(stats.both_blocks(spark.createDataFrame(pdf), "y", "m", ["a", "b"], ["asset"], draws=500), "baseline")
+    for name, r in zip(("a", "b"), got.itertuples()):
+        d = (pdf["m"] - y).abs() - (pdf[name] - y).abs()
+        assert r.mean_diff == pytest.approx(d.mean()) and r.low < d.mean() < r.high < 0 and r.p_value < 0.01 and r.winner == "a"
+        assert r.delta == pytest.approx(((pdf["m"] > 0) == (y > 0)).mean() - ((pdf[name] > 0) == (y > 0)).mean()) and r.delta_low <= r.delta <= r.delta_high
+
+
+def test_next_batches_are_new_and_have_parents():
+    first = lab.sample(6, 1)
+    tried = {lab.genome_id(g) for g in first}
+    batch = lab.next_batch(first, 20, 3, tried)
+    ids = [lab.genome_id({k: v for k, v in g.items() if k != "parents"}) for g in batch]
+    assert len(set(ids)) == 20 and not tried & set(ids) and batch == lab.next_batch(first, 20, 3, tried)
+    assert {len(g["parents"]) for g in batch} == {0, 1, 2} and len(lab.next_batch([], 5)) == 5
+    assert lab.twist(first[0], 1)["family"] != first[0]["family"] and {g["family"] for g in lab.focused(["trend"], 4)} == {"trend"}
+
+
+def test_one_parameter_at_a_time():
+    from tidemark.operators import robustness
+
+    runs = robustness.one_at_a_time({"fast": 2, "rate": 0.5, "name": "x"})
+    assert [r[0] for r in runs] == ["rate"] * 4 and all(p["fast"] == 2 for _, p in runs)
+
+
+def test_html_report(spark):
+    page = reports.html(spark.createDataFrame([("<a>", 1.5), (None, None)], "k string, v double"), "A & B")
+    assert "<td>&lt;a&gt;</td><td>1.5</td>" in page and "<title>A &amp; B</title>" in page
+    with pytest.raises(ValueError):
+        reports.html(spark.range(5), "x", most=3)

@@ -101,6 +101,21 @@ def test_short_pages_do_not_end_the_events(spark):
     assert rest.read_pages(spark, "funding", "tests.test_storage:few_events", "x", BASE, BASE + 40 * HOUR_MS, limit=1000).count() == 5
 
 
+def test_requests_are_bounded_and_upgrades_keep_rows(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    got = rest.read_pages(spark, "candles", "tests.test_storage:client", "x", BASE, BASE + 30 * HOUR_MS, limit=7, max_requests=2)
+    assert got.count() == 14
+    table = sinks.Table(spark, str(tmp_path / "t"), BARS)
+    table.write(frame(spark, walk(5)))
+    more = T.StructType([*BARS.fields, T.StructField("note", T.StringType())])
+    assert sinks.upgraded(table, more).read().filter("note IS NULL").count() == 5
+    with pytest.raises(ValueError):
+        sinks.upgraded(table, T.StructType(BARS.fields[:-1]))
+    holes = frame(spark, walk(5)).withColumn("close", F.when(F.col("ts") > BASE + HOUR_MS, F.col("close")))
+    assert sinks.fillable(holes, frame(spark, walk(3)), ["asset", "ts"], ["close"]).first()["close"] == 2
+
+
 def test_retries():
     tries = []
 

@@ -60,6 +60,42 @@ def crossover(a: dict, b: dict, seed: int) -> dict:
     return out
 
 
+def twist(genome: dict, seed: int) -> dict:
+    """The genome's numbers under another family."""
+    others = [f for f in FAMILIES if f != genome["family"]]
+    return genome | {"family": others[int(np.random.default_rng(seed).integers(len(others)))]}
+
+
+def focused(families: list[str], n: int, seed: int = 0) -> list[dict]:
+    """n random genomes of some families only."""
+    out, at = [], seed
+    while len(out) < n:
+        out += [g for g in sample(4 * n, at) if g["family"] in families][: n - len(out)]
+        at += 1
+    return out
+
+
+def next_batch(survivors: list[dict], n: int, seed: int = 0, tried: set[str] = frozenset()) -> list[dict]:
+    """n genomes not tried yet, in turn: children by mutation, by crossover (of one family), twists, and fresh ones of the survivors' families; each
+    with its parents' ids. Without survivors all are random."""
+    rng, out, seen, k = np.random.default_rng(seed), [], set(tried), 0
+    families = sorted({g["family"] for g in survivors})
+    while len(out) < n:
+        k += 1
+        own = int(rng.integers(1 << 30))
+        if not survivors:
+            child, parents = sample(1, own)[0], []
+        else:
+            a = survivors[int(rng.integers(len(survivors)))]
+            mates = [g for g in survivors if g["family"] == a["family"]]
+            b = mates[int(rng.integers(len(mates)))]
+            child, parents = ((mutate(a, own), [a]), (crossover(a, b, own), [a, b]), (twist(a, own), [a]), (focused(families, 1, own)[0], []))[k % 4]
+        if genome_id(child) not in seen:
+            seen.add(genome_id(child))
+            out.append(child | {"parents": [genome_id(p) for p in parents]})
+    return out
+
+
 def perturb(genome: dict, levels: tuple[float, ...] = (0.1, 0.2), runs: int = 3, seed: int = 0) -> list[dict]:
     """Variants with every number moved up or down by each level."""
     rng = np.random.default_rng(seed)

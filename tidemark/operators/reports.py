@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +158,17 @@ def paper_pnl(positions: DataFrame) -> DataFrame:
     return positions.groupBy("asset").agg(F.count_if(~closed).alias("open"), F.count_if(closed).alias("closed"), F.coalesce(F.sum(F.when(closed, F.col("pnl"))), F.lit(0.0)).alias("pnl"), F.avg(F.when(closed, (F.col("pnl") > 0).cast("double"))).alias("win_rate"))
 
 
+def html(df: DataFrame, title: str, most: int = 200) -> str:
+    """A small table as a page; raises if it has more than `most` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda x: "" if x is None else f"{x:.4g}" if isinstance(x, float) else escape(str(x))
+    head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+    body = "".join("<tr>" + "".join(f"<td>{cell(x)}</td>" for x in r) + "</tr>" for r in rows)
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr>{head}</tr>{body}</table></body></html>"
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
     """A small table as Markdown; raises if it has more than `most` rows."""
     rows = df.limit(most + 1).collect()

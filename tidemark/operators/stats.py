@@ -215,6 +215,34 @@ def paired_directions(df: DataFrame, actual: str, a: str, b: str, by: list[str])
     return mcnemar(rows, "_a", "_b", by).join(rates, by).withColumn("delta", F.col("accuracy_a") - F.col("accuracy_b"))
 
 
+def error_block(df: DataFrame, a: str, b: str, by: list[str], draws: int = 10_000, seed: int = 0, ts: str = "ts") -> DataFrame:
+    """paired_errors with the interval of the mean difference (low, high), and z and p_value of the signed-rank test."""
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_d", F.abs(a) - F.abs(b))
+    interval = bootstrap_ci(rows, "_d", by, draws, seed=seed, ts=ts).select(*by, "low", "high")
+    return paired_errors(df, a, b, by).join(interval, by).join(wilcoxon(rows, "_d", by).select(*by, "z", "p_value"), by, "left")
+
+
+def direction_block(df: DataFrame, actual: str, a: str, b: str, by: list[str], draws: int = 10_000, seed: int = 0, ts: str = "ts") -> DataFrame:
+    """paired_directions with the interval (low, high) of the difference of accuracies."""
+    rows = df.filter(F.col(actual).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    rows = rows.withColumn("_d", (F.col(a) == F.col(actual)).cast("double") - (F.col(b) == F.col(actual)).cast("double"))
+    return paired_directions(df, actual, a, b, by).join(bootstrap_ci(rows, "_d", by, draws, seed=seed, ts=ts).select(*by, "low", "high"), by)
+
+
+def both_blocks(df: DataFrame, actual: str, model: str, baselines: list[str], by: list[str], flat: float = 0.0, **settings) -> DataFrame:
+    """by, baseline and the columns of both blocks of a model against each baseline. Forecasts and actuals are signed values, whose sign is the
+    direction (at most `flat` in size: none)."""
+    out = None
+    side = lambda c: F.when(F.abs(c) <= flat, 0).otherwise(F.signum(c))
+    for name in baselines:
+        own = df.withColumns({"_ea": F.col(model) - F.col(actual), "_eb": F.col(name) - F.col(actual), "_sy": side(actual), "_sa": side(model), "_sb": side(name)})
+        directions = direction_block(own, "_sy", "_sa", "_sb", by, **settings)
+        directions = directions.select(*by, "accuracy_a", "accuracy_b", "delta", F.col("low").alias("delta_low"), F.col("high").alias("delta_high"), F.col("p_value").alias("p_directions"))
+        part = error_block(own, "_ea", "_eb", by, **settings).join(directions, by).withColumn("baseline", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def balanced_flips(n: int, seed: int = 0) -> np.ndarray:
     """n shuffled signs, half of each (a benchmark without skill)."""
     out = np.array([1, -1] * (n // 2) + [1] * (n % 2))

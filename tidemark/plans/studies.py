@@ -251,3 +251,17 @@ rp.oracle(
     "SELECT name, asset, avg(ret) / nullif(stddev_pop(ret), 0) AS sharpe, exp(sum(ln(greatest(1 + ret, 1e-12)))) - 1 AS total_return, any_value(n_trades) AS n_trades FROM rt JOIN tc USING (name, asset) GROUP BY name, asset",
     v.BARS_1D, f"flagged AS ({_FLAGGED})", rp.numbered("flagged", "name, asset"), _HELD, _HELD_RETURNS, keys="name asset", floats="sharpe total_return", others="n_trades",
 )
+
+
+@query(
+    "paired_blocks",
+    """SELECT asset, count(*) AS n, avg(e) AS mean_diff, median(e) AS median_diff, avg(e) / nullif(stddev_samp(e), 0) AS cohen_dz, avg((sign(a) = sign(y))::INT) - avg((sign(p) = sign(y))::INT) AS delta, true AS inside
+    FROM (SELECT asset, y, a, p, abs(a - y) - abs(p - y) AS e FROM (
+      SELECT asset, ret AS y, (r1 + r2) / 2 AS a, r1 AS p FROM (SELECT asset, ret, lag(ret) OVER w AS r1, lag(ret, 2) OVER w AS r2 FROM (
+        SELECT asset, ts, close / nullif(lag(close) OVER (PARTITION BY asset ORDER BY ts), 0) - 1 AS ret FROM d) WINDOW w AS (PARTITION BY asset ORDER BY ts))) WHERE y IS NOT NULL AND a IS NOT NULL) GROUP BY asset""",
+    v.BARS_1D, keys="asset", floats="mean_diff median_diff cohen_dz delta", others="n inside",
+)
+def _(spark, d):
+    rows = v.bars_1d(spark, d).withColumn("y", F.try_divide("close", t.lag("close")) - 1).withColumn("p", t.lag("y")).withColumn("a", (F.col("p") + t.lag("y", 2)) / 2).filter("y IS NOT NULL AND a IS NOT NULL")
+    out = stats.both_blocks(rows, "y", "a", ["p"], ["asset"], draws=1000)
+    return out.withColumn("inside", F.col("mean_diff").between(F.col("low"), F.col("high")) & F.col("delta").between(F.col("delta_low"), F.col("delta_high")))

@@ -61,7 +61,8 @@ class PagedReader(DataSourceReader):
             now = self.o.get("now")
             until = min(until, int(now) - self.step + 1) if now else until  # closed bars only
         width = self.step * self.limit
-        return [Page(a, min(a + width, until)) for a in range(since, until, width)]
+        pages = [Page(a, min(a + width, until)) for a in range(since, until, width)]
+        return pages[: int(self.o["max_requests"])] if "max_requests" in self.o else pages  # the caller's own bound on requests
 
     def read(self, page: Page) -> Iterator[tuple]:
         client = load(self.o["client"])

@@ -201,6 +201,22 @@ def fill_forward_returns(pending: DataFrame, bars: DataFrame, now_ms: int) -> Da
     return rows.withColumn("forward_direction", F.when(due, F.signum(r).cast("int")).otherwise(F.col("forward_direction"))).withColumn("forward_return", F.when(due, r).otherwise(F.col("forward_return"))).select(pending.columns)
 
 
+def fillable(rows: DataFrame, found: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """What backfilled() would fill, without doing so: one row with a count for each column."""
+    own = found.select(*key, *(F.col(c).alias(f"_{c}") for c in columns))
+    return rows.join(own, key).agg(*(F.count_if(F.col(c).isNull() & F.col(f"_{c}").isNotNull()).alias(c) for c in columns))
+
+
+def upgraded(table: Table, schema: T.StructType) -> Table:
+    """The table read by a schema with more columns (NULL in older rows); raises if a column went or changed, or the number of rows would."""
+    if [f for f in table.schema if f not in schema.fields]:
+        raise ValueError("only columns can be added")
+    new = Table(table.spark, table.path, schema, table.span_ms, table.keep, table.most_folders)
+    if new.time != table.time or new.read().count() != table.read().count():
+        raise ValueError("an upgrade keeps all rows and their partitions")
+    return new
+
+
 def backfilled(rows: DataFrame, found: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Rows with columns filled from found, only where they are NULL."""
     own = found.select(*key, *(F.col(c).alias(f"_{c}") for c in columns))
