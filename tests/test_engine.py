@@ -478,3 +478,17 @@ def test_html_report(spark):
     assert "<td>&lt;a&gt;</td><td>1.5</td>" in page and "<title>A &amp; B</title>" in page
     with pytest.raises(ValueError):
         reports.html(spark.range(5), "x", most=3)
+
+
+def test_trees_learn_steps_and_name_their_feature(spark):
+    from tidemark.operators import trees
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 3))
+    y = np.where(x[:, 1] > 0.4, 3.0, -1.0) * (1 + (x[:, 2] > 0)) + rng.normal(size=1500) / 20
+    model = trees.Trees(trees=120, rate=0.2).fit(x[:1000], y[:1000])
+    assert np.abs(model.predict(x[1000:]) - y[1000:]).mean() < 0.1 * y.std() and model.gains.argmax() == 1 and model.gains[0] < 0.01 * model.gains.sum()
+    assert np.allclose(trees.booster(trees=3)(x[:50], np.ones(50))(x), 1.0)
+    pdf = pd.DataFrame({"asset": "x", "ts": np.arange(1500), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})
+    got = pandas(trees.importances(spark.createDataFrame(pdf), ["a", "b", "c"], "y", 500, 500, trees=20), "feature")
+    assert got["importance"].argmax() == 1 and got["importance"].sum() == pytest.approx(1) and got["refits"].tolist() == [2, 2, 2]

@@ -9,7 +9,7 @@ from tidemark.functions import ts as t
 from tidemark.operators import evaluate as ev
 from tidemark.operators import families as fam
 from tidemark.operators import forecast as fc
-from tidemark.operators import lab, robustness, sim, stats
+from tidemark.operators import lab, ols, robustness, sim, stats, trees
 from tidemark.operators import signals as sg
 from tidemark.plans import replays as rp
 from tidemark.plans import views as v
@@ -265,3 +265,21 @@ def _(spark, d):
     rows = v.bars_1d(spark, d).withColumn("y", F.try_divide("close", t.lag("close")) - 1).withColumn("p", t.lag("y")).withColumn("a", (F.col("p") + t.lag("y", 2)) / 2).filter("y IS NOT NULL AND a IS NOT NULL")
     out = stats.both_blocks(rows, "y", "a", ["p"], ["asset"], draws=1000)
     return out.withColumn("inside", F.col("mean_diff").between(F.col("low"), F.col("high")) & F.col("delta").between(F.col("delta_low"), F.col("delta_high")))
+
+
+_FEATURES = ["m1", "m5", "m22"]
+
+
+@query("walk_trees", f"SELECT asset, ts, count(m22) OVER {win('UNBOUNDED PRECEDING')} > 0 AS ready, true AS sane FROM (SELECT *, {roll(MEAN, 'range', 22, 1)} AS m22, row_number() OVER ({W}) AS i FROM (SELECT *, greatest(high - low, 0) AS range FROM d)) WHERE i > 500", v.BARS_1D, others="ready sane")
+def _(spark, d):
+    """Forecasts of boosted trees, refitted every 400 rows: where they are, and that they lie within what was seen (trees can't leave it)."""
+    own = fc.har_terms(fc.ranges(v.bars_1d(spark, d)))
+    rows = ols.walk_model(own, _FEATURES, "range", trees.booster(trees=20), 400, 500)
+    seen = F.max("range").over(t.past(last=-1))
+    return rows.withColumn("_m", seen).filter("forecast IS NOT NULL").select("asset", "ts", F.lit(True).alias("ready"), (F.col("forecast").between(0, 1.5 * F.col("_m"))).alias("sane"))
+
+
+@query("tree_importances", "SELECT asset, count(*) > 0 AS found, 1.0::DOUBLE AS total, (max(i) - 500 + 399) // 400 AS refits FROM (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i FROM d) GROUP BY asset", v.BARS_1D, keys="asset", floats="total", others="found refits")
+def _(spark, d):
+    rows = trees.importances(fc.har_terms(fc.ranges(v.bars_1d(spark, d))), _FEATURES, "range", 400, 500, trees=20)
+    return rows.groupBy("asset").agg(F.sum("importance").alias("total"), F.max("refits").alias("refits"), (F.count(F.lit(1)) > 0).alias("found"))
