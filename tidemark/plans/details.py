@@ -129,7 +129,13 @@ def _(spark, d):
 NOW_MS = 1_705_000_000_000
 
 
-@query("out_of_order_rows", "SELECT * FROM (SELECT event_type AS asset, event_id, ms AS ts, max(ms) OVER (PARTITION BY event_type ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest_before FROM e) WHERE ts < latest_before", _E, keys="asset event_id", others="ts latest_before")
+@query(
+    "out_of_order_rows",
+    "SELECT * FROM (SELECT event_type AS asset, event_id, ms AS ts, max(ms) OVER (PARTITION BY event_type "
+    "ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest_before FROM e) WHERE ts < latest_before",
+    _E,
+    keys="asset event_id", others="ts latest_before",
+)
 def _(spark, d):
     rows = _events(spark, d).select(F.col("event_type").alias("asset"), "event_id", F.col("ms").alias("ts"), F.struct("value", "event_id").alias("seq"))
     return quality.out_of_order(rows)
@@ -142,26 +148,53 @@ def _(spark, d):
     return _events(spark, d).select("event_id", quality.utc_text_matches(ms, text).alias("same"))
 
 
-@query("leakage_check", f"SELECT (SELECT max(ts) FROM b WHERE ts <= {NOW_MS}) AS last_input, (SELECT min(ts) FROM b WHERE ts > {NOW_MS}) AS first_target, 0 AS shared, (SELECT max(ts) FROM b WHERE ts <= {NOW_MS}) <= {NOW_MS} AND (SELECT min(ts) FROM b WHERE ts > {NOW_MS}) > {NOW_MS} AS ok", v.BARS_1H, keys="last_input", others="first_target shared ok")
+@query(
+    "leakage_check",
+    f"SELECT (SELECT max(ts) FROM b WHERE ts <= {NOW_MS}) AS last_input, (SELECT min(ts) FROM b WHERE ts > {NOW_MS}) AS first_target, 0 AS shared, "
+    f"(SELECT max(ts) FROM b WHERE ts <= {NOW_MS}) <= {NOW_MS} AND (SELECT min(ts) FROM b WHERE ts > {NOW_MS}) > {NOW_MS} AS ok",
+    v.BARS_1H,
+    keys="last_input", others="first_target shared ok",
+)
 def _(spark, d):
     rows = v.bars_1h(spark, d)
     return quality.leakage(rows.filter(F.col("ts") <= NOW_MS), rows.filter(F.col("ts") > NOW_MS), NOW_MS)
 
 
-_RUNS = "rn AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) - row_number() OVER (PARTITION BY asset, bad ORDER BY ts) AS run FROM (SELECT asset, ts, ts % 172800000 AS off, ts % 172800000 <> 0 AS bad FROM d))"
+_RUNS = (
+    "rn AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) - row_number() OVER (PARTITION BY asset, bad ORDER BY ts) AS run FROM "
+    "(SELECT asset, ts, ts % 172800000 AS off, ts % 172800000 <> 0 AS bad FROM d))"
+)
 
 
-@query("misaligned_runs", "SELECT asset, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, array_to_string(list_sort(list(DISTINCT off)), ',') AS offsets FROM rn WHERE bad GROUP BY asset, run", v.BARS_1D, _RUNS, keys="asset first_ts", others="last_ts n offsets")
+@query(
+    "misaligned_runs",
+    "SELECT asset, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, array_to_string(list_sort(list(DISTINCT off)), ',') AS offsets FROM rn "
+    "WHERE bad GROUP BY asset, run",
+    v.BARS_1D,
+    _RUNS,
+    keys="asset first_ts", others="last_ts n offsets",
+)
 def _(spark, d):
     return quality.misaligned_runs(v.bars_1d(spark, d), 172_800_000).withColumn("offsets", F.array_join(F.col("offsets").cast("array<string>"), ","))
 
 
-@query("time_and_asset_filters", f"SELECT asset, ts, close FROM b WHERE ts >= {NOW_MS - 86_400_000 * 5} AND ts < {NOW_MS} AND asset IN ('click', 'view')", v.BARS_1H, floats="close")
+@query(
+    "time_and_asset_filters",
+    f"SELECT asset, ts, close FROM b WHERE ts >= {NOW_MS - 86_400_000 * 5} AND ts < {NOW_MS} AND asset IN ('click', 'view')",
+    v.BARS_1H,
+    floats="close",
+)
 def _(spark, d):
     return b.time_range(v.bars_1h(spark, d), NOW_MS - 86_400_000 * 5, NOW_MS).filter(F.col("asset").isin("click", "view"))
 
 
-@query("relative_units", "SELECT asset, ts, open / f AS open, high / f AS high, low / f AS low, close / f AS close, volume FROM (SELECT *, first_value(close) OVER (PARTITION BY asset ORDER BY ts) AS f FROM d)", v.BARS_1D, floats="open high low close volume")
+@query(
+    "relative_units",
+    "SELECT asset, ts, open / f AS open, high / f AS high, low / f AS low, close / f AS close, volume FROM "
+    "(SELECT *, first_value(close) OVER (PARTITION BY asset ORDER BY ts) AS f FROM d)",
+    v.BARS_1D,
+    floats="open high low close volume",
+)
 def _(spark, d):
     return b.relative(v.bars_1d(spark, d))
 
@@ -176,7 +209,13 @@ def _(spark, d):
     return fc.ranges(v.bars_1h(spark, d).withColumn("low", F.col("low") + 5))
 
 
-@query("stale_regimes", "SELECT asset, ts, CASE WHEN age IS NULL OR age > 2 THEN 'unknown' ELSE 'calm' END AS regime FROM (SELECT asset, ts, (ts - lag(ts) OVER (PARTITION BY asset ORDER BY ts)) / 3600000.0 AS age FROM b)", v.BARS_1H, others="regime")
+@query(
+    "stale_regimes",
+    "SELECT asset, ts, CASE WHEN age IS NULL OR age > 2 THEN 'unknown' ELSE 'calm' END AS regime FROM "
+    "(SELECT asset, ts, (ts - lag(ts) OVER (PARTITION BY asset ORDER BY ts)) / 3600000.0 AS age FROM b)",
+    v.BARS_1H,
+    others="regime",
+)
 def _(spark, d):
     age = (F.col("ts") - t.lag("ts")) / 3_600_000
     return v.bars_1h(spark, d).withColumn("regime", fc.stale_regime(F.lit("calm"), age))
@@ -199,7 +238,15 @@ def _(spark, d):
 # Aggregates, forecasts and signals ----------------------------------------------------------------------
 
 
-@query("forecast_quality", "SELECT asset, count(*) AS n, count(mean22) AS valid, count(*) FILTER (mean22 IS NULL) / count(*) AS null_rate, avg(mean22) AS mean, median(mean22) AS median, min(mean22) AS least, max(mean22) AS most, count(*) FILTER (mean22 < 0) AS negative FROM m GROUP BY asset", v.BARS_1H, v.RANGES, FORECASTS, keys="asset", floats="null_rate mean median least most", others="n valid negative")
+@query(
+    "forecast_quality",
+    "SELECT asset, count(*) AS n, count(mean22) AS valid, count(*) FILTER (mean22 IS NULL) / count(*) AS null_rate, avg(mean22) AS mean, median(mean22) AS "
+    "median, min(mean22) AS least, max(mean22) AS most, count(*) FILTER (mean22 < 0) AS negative FROM m GROUP BY asset",
+    v.BARS_1H,
+    v.RANGES,
+    FORECASTS,
+    keys="asset", floats="null_rate mean median least most", others="n valid negative",
+)
 def _(spark, d):
     return fc.forecast_quality(fc.ranges(v.bars_1h(spark, d)).withColumn("f", t.mean("range", 22, 1)), "f")
 
@@ -207,7 +254,14 @@ def _(spark, d):
 _CLOSED = "po AS (SELECT asset, 1 AS direction, open AS entry, CASE WHEN ts % 172800000 = 0 THEN close END AS leave FROM d)"
 
 
-@query("paper_positions", "SELECT asset, count(*) FILTER (leave IS NULL) AS open, count(leave) AS closed, coalesce(sum(2 * (leave - entry)), 0) AS pnl, avg((leave > entry)::INT) AS win_rate FROM po GROUP BY asset", v.BARS_1D, _CLOSED, keys="asset", floats="pnl win_rate", others="open closed")
+@query(
+    "paper_positions",
+    "SELECT asset, count(*) FILTER (leave IS NULL) AS open, count(leave) AS closed, coalesce(sum(2 * (leave - entry)), 0) AS pnl, avg((leave > "
+    "entry)::INT) AS win_rate FROM po GROUP BY asset",
+    v.BARS_1D,
+    _CLOSED,
+    keys="asset", floats="pnl win_rate", others="open closed",
+)
 def _(spark, d):
     from tidemark.sources import sinks
 
@@ -216,17 +270,35 @@ def _(spark, d):
     return reports.paper_pnl(sinks.closed(rows, exits))
 
 
-@query("close_baselines", f"SELECT asset, ts, {lag('close')} AS persistence_close, {lag('close')} / nullif({lag('close', 4)}, 0) - 1 AS previous_return, lead(close, 2) OVER ({W}) / nullif({lag('close')}, 0) - 1 AS actual_return, 2 * {lag('close')} - {lag('close', 2)} AS straight FROM d", v.BARS_1D, floats="persistence_close previous_return actual_return straight")
+@query(
+    "close_baselines",
+    f"SELECT asset, ts, {lag('close')} AS persistence_close, {lag('close')} / nullif({lag('close', 4)}, 0) - 1 AS previous_return, lead(close, 2) OVER "
+    f"({W}) / nullif({lag('close')}, 0) - 1 AS actual_return, 2 * {lag('close')} - {lag('close', 2)} AS straight FROM d",
+    v.BARS_1D,
+    floats="persistence_close previous_return actual_return straight",
+)
 def _(spark, d):
     return fc.close_baselines(v.bars_1d(spark, d), 3).withColumn("straight", fc.extrapolation())
 
 
-@query("context_volatility", f"SELECT asset, ts, CASE WHEN count(ret) OVER {win(-19, -1)} >= 19 THEN stddev_pop(ret) OVER {win(-19, -1)} END AS vol FROM (SELECT *, close / nullif({lag('close')}, 0) - 1 AS ret FROM d)", v.BARS_1D, floats="vol")
+@query(
+    "context_volatility",
+    f"SELECT asset, ts, CASE WHEN count(ret) OVER {win(-19, -1)} >= 19 THEN stddev_pop(ret) OVER {win(-19, -1)} END AS vol FROM "
+    f"(SELECT *, close / nullif({lag('close')}, 0) - 1 AS ret FROM d)",
+    v.BARS_1D,
+    floats="vol",
+)
 def _(spark, d):
     return v.bars_1d(spark, d).withColumn("ret", F.try_divide("close", t.lag("close")) - 1).withColumn("vol", ft.context_volatility(20))
 
 
-@query("funding_event_mean", f"SELECT asset, ts, avg(rate) OVER {win(-2)} AS rate_ma FROM (SELECT 'all' AS asset, ts, rate FROM f QUALIFY row_number() OVER (PARTITION BY ts ORDER BY rate) = 1)", v.FUNDING, floats="rate_ma")
+@query(
+    "funding_event_mean",
+    f"SELECT asset, ts, avg(rate) OVER {win(-2)} AS rate_ma FROM (SELECT 'all' AS asset, ts, rate FROM f QUALIFY row_number() OVER (PARTITION BY ts "
+    f"ORDER BY rate) = 1)",
+    v.FUNDING,
+    floats="rate_ma",
+)
 def _(spark, d):
     return ft.event_mean(v.funding(spark, d).groupBy("ts").agg(F.min("rate").alias("rate")).withColumn("asset", F.lit("all")), 3)
 
@@ -244,12 +316,25 @@ def _(spark, d):
     return sg.expansion_signals(v.bars_1d(spark, d), 1.5)
 
 
-@query("timed_exits", f"SELECT asset, ts, coalesce({lag('e', 5)}, false) AS exit FROM (SELECT asset, ts, coalesce(high - low > 1.2 * {roll(MEAN, 'high - low', 20)}, false) AS e FROM d)", v.BARS_1D, others="exit")
+@query(
+    "timed_exits",
+    f"SELECT asset, ts, coalesce({lag('e', 5)}, false) AS exit FROM (SELECT asset, ts, coalesce(high - low > 1.2 * {roll(MEAN, 'high - low', 20)}, false) "
+    f"AS e FROM d)",
+    v.BARS_1D,
+    others="exit",
+)
 def _(spark, d):
     return v.bars_1d(spark, d).withColumn("e", sg.breakout_entry(times=1.2)).withColumn("exit", sg.held("e", 5))
 
 
-@query("horizon_returns", f"SELECT asset, ts, h AS horizon, CASE h WHEN 1 THEN close WHEN 3 THEN c3 WHEN 5 THEN c5 END / nullif(p, 0) - 1 AS horizon_return FROM (SELECT asset, ts, close, lead(close, 2) OVER ({W}) AS c3, lead(close, 4) OVER ({W}) AS c5, {lag('close')} AS p FROM d), (VALUES (1), (3), (5)) AS x(h)", v.BARS_1D, keys="asset ts horizon", floats="horizon_return")
+@query(
+    "horizon_returns",
+    f"SELECT asset, ts, h AS horizon, CASE h WHEN 1 THEN close WHEN 3 THEN c3 WHEN 5 THEN c5 END / nullif(p, 0) - 1 AS horizon_return FROM "
+    f"(SELECT asset, ts, close, lead(close, 2) OVER ({W}) AS c3, lead(close, 4) OVER ({W}) AS c5, {lag('close')} AS p "
+    f"FROM d), (VALUES (1), (3), (5)) AS x(h)",
+    v.BARS_1D,
+    keys="asset ts horizon", floats="horizon_return",
+)
 def _(spark, d):
     return ev.horizon_returns(v.bars_1d(spark, d), [1, 3, 5])
 
@@ -269,6 +354,14 @@ def _(spark, d):
     return gates.portfolio_gates(both[0], both[1], ["asset"])
 
 
-@query("calibration_progress", f"SELECT asset, (floor(({NOW_MS} - min(ts)) / 86400000.0) + 1)::BIGINT AS day, least(100, (floor(({NOW_MS} - min(ts)) / 86400000.0) + 1) * 100.0 / 30) AS progress_pct FROM p GROUP BY asset", v.BARS_1H, v.RANGES, v.PREDICTIONS, keys="asset", floats="progress_pct", others="day")
+@query(
+    "calibration_progress",
+    f"SELECT asset, (floor(({NOW_MS} - min(ts)) / 86400000.0) + 1)::BIGINT AS day, least(100, (floor(({NOW_MS} - min(ts)) / 86400000.0) + 1) * 100.0 / 30) "
+    f"AS progress_pct FROM p GROUP BY asset",
+    v.BARS_1H,
+    v.RANGES,
+    v.PREDICTIONS,
+    keys="asset", floats="progress_pct", others="day",
+)
 def _(spark, d):
     return gates.progress(v.predictions(spark, d), NOW_MS)

@@ -47,14 +47,24 @@ def _(spark, d):
     return readers.bars_csv(spark, path, "A")
 
 
-@query("src_bars_parquet", f"SELECT * FROM b WHERE ts >= 1704500000000 AND ts < {1704500000000 + 10 * DAY_MS} AND asset IN ('click', 'view')", v.BARS_1H, floats=PRICES)
+@query(
+    "src_bars_parquet",
+    f"SELECT * FROM b WHERE ts >= 1704500000000 AND ts < {1704500000000 + 10 * DAY_MS} AND asset IN ('click', 'view')",
+    v.BARS_1H,
+    floats=PRICES,
+)
 def _(spark, d):
     path = scratch(spark)
     v.bars_1h(spark, d).write.parquet(path)
     return readers.bars_parquet(spark, path, 1704500000000, 1704500000000 + 10 * DAY_MS, ["click", "view"])
 
 
-@query("src_bars_cascade", "SELECT 'cache' AS source, asset, ts, close FROM b WHERE asset = 'click' UNION ALL SELECT 'fallback', asset, ts, close FROM b WHERE asset = 'view'", v.BARS_1H, keys="source asset ts", floats="close")
+@query(
+    "src_bars_cascade",
+    "SELECT 'cache' AS source, asset, ts, close FROM b WHERE asset = 'click' UNION ALL SELECT 'fallback', asset, ts, close FROM b WHERE asset = 'view'",
+    v.BARS_1H,
+    keys="source asset ts", floats="close",
+)
 def _(spark, d):
     path, rows = scratch(spark), v.bars_1h(spark, d)
     rows.write.parquet(path)
@@ -85,14 +95,27 @@ def _(spark, d):
     return readers.funding_json(spark, path)
 
 
-@query("src_forward_returns_csv", "SELECT * FROM fr", v.BARS_1H, v.RANGES, v.PREDICTIONS, BREAKS, keys="asset breakout_ts horizon", floats="forward_return", others="target_ts direction")
+@query(
+    "src_forward_returns_csv",
+    "SELECT * FROM fr",
+    v.BARS_1H,
+    v.RANGES,
+    v.PREDICTIONS,
+    BREAKS,
+    keys="asset breakout_ts horizon", floats="forward_return", others="target_ts direction",
+)
 def _(spark, d):
     path = scratch(spark)
     forward_returns(spark, d).select(FORWARD_RETURNS.fieldNames()).write.option("header", True).csv(path)
     return readers.forward_returns_csv(spark, path)
 
 
-@query("src_trades_json", "SELECT 's' AS strategy, asset AS pair, ts AS close_timestamp, close / open - 1 AS profit_ratio FROM d WHERE ts % 864000000 = 0", v.BARS_1D, keys="strategy pair close_timestamp", floats="profit_ratio")
+@query(
+    "src_trades_json",
+    "SELECT 's' AS strategy, asset AS pair, ts AS close_timestamp, close / open - 1 AS profit_ratio FROM d WHERE ts % 864000000 = 0",
+    v.BARS_1D,
+    keys="strategy pair close_timestamp", floats="profit_ratio",
+)
 def _(spark, d):
     path = scratch(spark)
     rows = v.bars_1d(spark, d).filter("ts % 864000000 = 0").select(F.col("asset").alias("pair"), (F.col("close") / F.col("open") - 1).alias("profit_ratio"), F.col("ts").alias("close_timestamp"))
@@ -109,7 +132,11 @@ def _(spark, d):
     return readers.log_metrics(spark, path, {"bars": r"Bars: (\d+)", "absent": r"None: (\d+)"})
 
 
-@query("src_event_store", "SELECT event_id, event_type AS kind, epoch_us(ts) // 1000 AS ts, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'click'", keys="event_id", others="kind ts k")
+@query(
+    "src_event_store",
+    "SELECT event_id, event_type AS kind, epoch_us(ts) // 1000 AS ts, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'click'",
+    keys="event_id", others="kind ts k",
+)
 def _(spark, d):
     path = scratch(spark)
     rows = v.table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"), v.ms("ts").alias("ts"), F.col("props").alias("payload"))
@@ -157,7 +184,12 @@ def funding_client(symbol: str, timeframe: str, since: int, limit: int) -> list[
     return [e for e in events if e[0] >= since - 8 * HOUR_MS][:limit]
 
 
-@query("src_rest_candles", f"SELECT 'x' AS asset, {FIRST} + i * 3600000 AS ts, 10.0 + i % 7 AS open, 12.0 + i % 7 AS high, 9.0 AS low, 11.0 + i % 5 AS close, i::DOUBLE AS volume FROM range(0, 480) AS r(i)", floats=PRICES)
+@query(
+    "src_rest_candles",
+    f"SELECT 'x' AS asset, {FIRST} + i * 3600000 AS ts, 10.0 + i % 7 AS open, 12.0 + i % 7 AS high, 9.0 AS low, 11.0 + i % 5 AS close, i::DOUBLE AS volume "
+    f"FROM range(0, 480) AS r(i)",
+    floats=PRICES,
+)
 def _(spark, d):
     return rest.read_pages(spark, "candles", "tidemark.plans.storage:hourly_client", "x", FIRST, FIRST + 1000 * HOUR_MS, limit=37, now=FIRST + 480 * HOUR_MS)
 
@@ -179,7 +211,12 @@ def _(spark, d):
     return table.read()
 
 
-@query("snk_update_partitions", "SELECT asset, ts, CASE WHEN asset = 'click' AND ts % 7200000 = 0 THEN close * 2 ELSE close END AS close FROM b", v.BARS_1H, floats="close")
+@query(
+    "snk_update_partitions",
+    "SELECT asset, ts, CASE WHEN asset = 'click' AND ts % 7200000 = 0 THEN close * 2 ELSE close END AS close FROM b",
+    v.BARS_1H,
+    floats="close",
+)
 def _(spark, d):
     table, rows = sinks.Table(spark, scratch(spark), BARS, span_ms=7 * DAY_MS), v.bars_1h(spark, d)
     table.write(rows)
@@ -195,7 +232,11 @@ def _(spark, d):
     return sinks.backfilled(holes, rows.select("asset", "ts", F.col("open").alias("close")), ["asset", "ts"], ["close"])
 
 
-@query("snk_reports_once", "SELECT kind, ts, count(*) AS n FROM (VALUES ('daily', 5), ('daily', 6), ('weekly', 5)) AS x(kind, ts) GROUP BY kind, ts", keys="kind ts", others="n")
+@query(
+    "snk_reports_once",
+    "SELECT kind, ts, count(*) AS n FROM (VALUES ('daily', 5), ('daily', 6), ('weekly', 5)) AS x(kind, ts) GROUP BY kind, ts",
+    keys="kind ts", others="n",
+)
 def _(spark, d):
     table, rows = sinks.Table(spark, scratch(spark), sinks.EVENTS), reports.status(v.predictions(spark, d)).agg(F.sum("completed").alias("completed"))
     table.create()
@@ -212,7 +253,13 @@ def _(spark, d):
     return spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("n")).join(files).withColumn("part", F.lit("all"))  # one row each
 
 
-@query("snk_schema_upgrade", "SELECT asset, ts, close, NULL::DOUBLE AS volume FROM d WHERE ts % 172800000 = 0 UNION ALL SELECT asset, ts, close, volume FROM d WHERE ts % 172800000 <> 0", v.BARS_1D, floats="close volume")
+@query(
+    "snk_schema_upgrade",
+    "SELECT asset, ts, close, NULL::DOUBLE AS volume FROM d WHERE ts % 172800000 = 0 UNION ALL SELECT asset, ts, close, volume FROM d "
+    "WHERE ts % 172800000 <> 0",
+    v.BARS_1D,
+    floats="close volume",
+)
 def _(spark, d):
     path, rows = scratch(spark), v.bars_1d(spark, d)
     sinks.Table(spark, path, rows.select("asset", "ts", "close").schema).write(rows.filter("ts % 172800000 = 0").select("asset", "ts", "close"))
@@ -236,7 +283,12 @@ def _(spark, d):
     return s.predictions.read().select("asset", "ts", F.col("actual_range").isNotNull().alias("completed"))
 
 
-@query("stream_bars", f"SELECT asset, ts, open, high, low, close, volume FROM b WHERE ts + {HOUR_MS} <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - {2 * HOUR_MS}", v.BARS_1H, floats=PRICES)
+@query(
+    "stream_bars",
+    f"SELECT asset, ts, open, high, low, close, volume FROM b WHERE ts + {HOUR_MS} <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - {2 * HOUR_MS}",
+    v.BARS_1H,
+    floats=PRICES,
+)
 def _(spark, d):
     path = scratch(spark)
     v.table(spark, d, "events").select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("price")).write.parquet(f"{path}/in")
@@ -246,7 +298,11 @@ def _(spark, d):
     return spark.read.schema(BARS).parquet(f"{path}/out")
 
 
-@query("stream_without_repeats", "SELECT event_id, event_type, min(value) AS value FROM events GROUP BY 1, 2", keys="event_id", floats="value", others="event_type")
+@query(
+    "stream_without_repeats",
+    "SELECT event_id, event_type, min(value) AS value FROM events GROUP BY 1, 2",
+    keys="event_id", floats="value", others="event_type",
+)
 def _(spark, d):
     path, rows = scratch(spark), v.table(spark, d, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("at"))
     rows.union(rows.filter("event_id % 3 = 0")).write.parquet(f"{path}/in")

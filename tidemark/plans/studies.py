@@ -31,12 +31,28 @@ def _hourly_funding(spark: SparkSession, d: str) -> DataFrame:
 _SEEN = f"max({{}}) OVER {win('UNBOUNDED PRECEDING')}"
 
 
-@query("funding_contrarian", f"SELECT asset, ts, lo AS long_entry, {ON('rate > 0 AND ' + _SEEN.format('lo'))} AS long_exit, hi AS short_entry, {ON('rate < 0 AND ' + _SEEN.format('hi'))} AS short_exit FROM (SELECT *, {ON('rate < 0.02')} AS lo, {ON('rate > 0.04')} AS hi FROM hf)", v.BARS_1H, v.FUNDING, _HF, others=SIDES)
+@query(
+    "funding_contrarian",
+    f"SELECT asset, ts, lo AS long_entry, {ON('rate > 0 AND ' + _SEEN.format('lo'))} AS long_exit, hi AS short_entry, "
+    f"{ON('rate < 0 AND ' + _SEEN.format('hi'))} AS short_exit FROM (SELECT *, {ON('rate < 0.02')} AS lo, {ON('rate > 0.04')} AS hi FROM hf)",
+    v.BARS_1H,
+    v.FUNDING,
+    _HF,
+    others=SIDES,
+)
 def _(spark, d):
     return fam.funding_contrarian(_hourly_funding(spark, d), "rate", 0.02, 0.04, flip=True)
 
 
-@query("funding_trend", f"SELECT asset, ts, {ON('m > 0.03 AND close > ma')} AS long_entry, {ON('m < -0.03 AND close < ma')} AS short_entry FROM (SELECT *, {roll(MEAN, 'rate', 6, 0, 1)} AS m, {roll(MEAN, 'close', 24, 0, 2)} AS ma FROM hf)", v.BARS_1H, v.FUNDING, _HF, others="long_entry short_entry")
+@query(
+    "funding_trend",
+    f"SELECT asset, ts, {ON('m > 0.03 AND close > ma')} AS long_entry, {ON('m < -0.03 AND close < ma')} AS short_entry FROM "
+    f"(SELECT *, {roll(MEAN, 'rate', 6, 0, 1)} AS m, {roll(MEAN, 'close', 24, 0, 2)} AS ma FROM hf)",
+    v.BARS_1H,
+    v.FUNDING,
+    _HF,
+    others="long_entry short_entry",
+)
 def _(spark, d):
     return fam.funding_trend(_hourly_funding(spark, d).withColumn("m", t.mean("rate", 6, 0, 1)), "m", 0.03, 24)
 
@@ -53,22 +69,47 @@ def _(spark, d):
 _PAIRS = "pr AS (SELECT 'A/R' AS asset, a.ts, a.close AS ac, r.close AS rc FROM d a JOIN d r ON a.asset = 'A' AND r.asset = 'R' AND a.ts = r.ts)"
 
 
-@query("paired_momentum", f"SELECT asset, ts, {ON('a > 0.1 AND r > 0')} AS long_entry, {ON('a < -0.1 AND r < 0')} AS short_entry FROM (SELECT asset, ts, ac / nullif({lag('ac', 5)}, 0) - 1 AS a, rc / nullif({lag('rc', 5)}, 0) - 1 AS r FROM pr)", v.BARS_1D, _PAIRS, others="long_entry short_entry")
+@query(
+    "paired_momentum",
+    f"SELECT asset, ts, {ON('a > 0.1 AND r > 0')} AS long_entry, {ON('a < -0.1 AND r < 0')} AS short_entry FROM "
+    f"(SELECT asset, ts, ac / nullif({lag('ac', 5)}, 0) - 1 AS a, rc / nullif({lag('rc', 5)}, 0) - 1 AS r FROM pr)",
+    v.BARS_1D,
+    _PAIRS,
+    others="long_entry short_entry",
+)
 def _(spark, d):
     return fam.paired_momentum(sg.pair(v.bars_1d(spark, d), "A", "R"), 5, 0.1)
 
 
-@query("volatility_regime_entries", f"SELECT asset, ts, {ON('q < s AND close < m * 0.9')} AS long_entry FROM (SELECT *, {roll(SD, 'r', 10)} AS q, {roll(SD, 'r', 40)} AS s, {roll(MEAN, 'close', 20)} AS m FROM (SELECT *, close / nullif({lag('close')}, 0) - 1 AS r FROM d))", v.BARS_1D, others="long_entry")
+@query(
+    "volatility_regime_entries",
+    f"SELECT asset, ts, {ON('q < s AND close < m * 0.9')} AS long_entry FROM (SELECT *, {roll(SD, 'r', 10)} AS q, {roll(SD, 'r', 40)} AS s, "
+    f"{roll(MEAN, 'close', 20)} AS m FROM (SELECT *, close / nullif({lag('close')}, 0) - 1 AS r FROM d))",
+    v.BARS_1D,
+    others="long_entry",
+)
 def _(spark, d):
     return fam.volatility_regime(v.bars_1d(spark, d), 10, 40, 20, 0.1)
 
 
-@query("interest_proxy", f"SELECT asset, ts, {ON('i / nullif(i6, 0) - 1 > 0.1 AND c > 0')} AS long_entry FROM (SELECT asset, ts, i, {lag('i', 6)} AS i6, close / nullif({lag('close', 6)}, 0) - 1 AS c FROM (SELECT *, {roll('sum({})', 'volume', 24)} AS i FROM b))", v.BARS_1H, others="long_entry")
+@query(
+    "interest_proxy",
+    f"SELECT asset, ts, {ON('i / nullif(i6, 0) - 1 > 0.1 AND c > 0')} AS long_entry FROM "
+    f"(SELECT asset, ts, i, {lag('i', 6)} AS i6, close / nullif({lag('close', 6)}, 0) - 1 AS c FROM (SELECT *, {roll('sum({})', 'volume', 24)} AS i FROM b))",
+    v.BARS_1H,
+    others="long_entry",
+)
 def _(spark, d):
     return fam.interest_proxy(v.bars_1h(spark, d), 24, 6, 0.1, 0.0)
 
 
-@query("liquidation_bounce", f"SELECT asset, ts, {ON(lag('f', 2))} AS long_entry FROM (SELECT asset, ts, {ON('r < -0.2 AND volume / nullif(m, 0) > 1.2')} AS f FROM (SELECT *, close / nullif({lag('close')}, 0) - 1 AS r, {roll(MEAN, 'volume', 24)} AS m FROM b))", v.BARS_1H, others="long_entry")
+@query(
+    "liquidation_bounce",
+    f"SELECT asset, ts, {ON(lag('f', 2))} AS long_entry FROM (SELECT asset, ts, {ON('r < -0.2 AND volume / nullif(m, 0) > 1.2')} AS f FROM "
+    f"(SELECT *, close / nullif({lag('close')}, 0) - 1 AS r, {roll(MEAN, 'volume', 24)} AS m FROM b))",
+    v.BARS_1H,
+    others="long_entry",
+)
 def _(spark, d):
     return fam.liquidation_bounce(v.bars_1h(spark, d), 24, 1.2, 0.2, 2)
 
@@ -110,11 +151,26 @@ def _(spark, d):
 
 
 _COSTS = ", ".join(f"({c})" for c in robustness.COSTS)
-_MOVES = f"mv AS (SELECT asset, ts, coalesce({lag('position')}, 0) * coalesce(close / nullif({lag('close')}, 0) - 1, 0) AS gross, abs(position - coalesce({lag('position')}, 0)) AS traded FROM pos)"
-_SURVIVES = f"cv AS (SELECT asset, k, exp(sum(ln(greatest(1 + gross - 0.002 * k * traded, 1e-12)))) - 1 AS total_return FROM mv CROSS JOIN (VALUES {_COSTS}) AS t(k) GROUP BY asset, k)"
+_MOVES = (
+    f"mv AS (SELECT asset, ts, coalesce({lag('position')}, 0) * coalesce(close / nullif({lag('close')}, 0) - 1, 0) AS gross, abs(position - "
+    f"coalesce({lag('position')}, 0)) AS traded FROM pos)"
+)
+_SURVIVES = (
+    f"cv AS (SELECT asset, k, exp(sum(ln(greatest(1 + gross - 0.002 * k * traded, 1e-12)))) - 1 AS total_return FROM mv CROSS "
+    f"JOIN (VALUES {_COSTS}) AS t(k) GROUP BY asset, k)"
+)
 
 
-@query("cost_survival", "SELECT asset, coalesce(max(k) FILTER (total_return > 0), 0) AS survival, coalesce(max(k) FILTER (total_return > 0), 0) >= 1.5 AS passed FROM cv GROUP BY asset", v.BARS_1D, EQUITY, _MOVES, _SURVIVES, keys="asset", floats="survival", others="passed")
+@query(
+    "cost_survival",
+    "SELECT asset, coalesce(max(k) FILTER (total_return > 0), 0) AS survival, coalesce(max(k) FILTER (total_return > 0), 0) >= 1.5 AS passed FROM cv "
+    "GROUP BY asset",
+    v.BARS_1D,
+    EQUITY,
+    _MOVES,
+    _SURVIVES,
+    keys="asset", floats="survival", others="passed",
+)
 def _(spark, d):
     rows = v.bars_1d(spark, d).withColumn("position", F.when(t.mean("close", 10) > t.mean("close", 30), 1).otherwise(0))
     curve = lab.cost_curve(rows, tuple(0.002 * k for k in robustness.COSTS), ("asset",)).withColumn("multiplier", F.round(F.col("cost") / 0.002, 6))
@@ -123,10 +179,23 @@ def _(spark, d):
 
 _VARIANTS = [(name, p["fast"], p["slow"]) for name, p in robustness.one_at_a_time({"fast": 10, "slow": 30})]
 _VARIED = "vp AS (" + " UNION ALL ".join(f"SELECT asset, ts, close, {i} AS run, CASE WHEN {roll(MEAN, 'close', a)} > {roll(MEAN, 'close', z)} THEN 1 ELSE 0 END AS position FROM d" for i, (_, a, z) in enumerate(_VARIANTS)) + ")"
-_RUN_RETURNS = "vr AS (SELECT *, coalesce(lag(position) OVER w, 0) * coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0) - 0.001 * abs(position - coalesce(lag(position) OVER w, 0)) AS ret FROM vp WINDOW w AS (PARTITION BY asset, run ORDER BY ts)), vs AS (SELECT asset, run, CASE WHEN max(position) > 0 THEN avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(365) END AS sharpe FROM vr GROUP BY asset, run)"
+_RUN_RETURNS = (
+    "vr AS (SELECT *, coalesce(lag(position) OVER w, 0) * coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0) - 0.001 * abs(position - "
+    "coalesce(lag(position) OVER w, 0)) AS ret FROM vp WINDOW w AS (PARTITION BY asset, run ORDER BY ts)), vs AS (SELECT asset, run, CASE "
+    "WHEN max(position) > 0 THEN avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(365) END AS sharpe FROM vr GROUP BY asset, run)"
+)
 
 
-@query("parameter_stability", "SELECT *, flag <> 'FRAGILE' AS passed FROM (SELECT *, CASE WHEN score < 4 OR mean_sharpe < 0 THEN 'FRAGILE' WHEN score < 7 THEN 'MODERATELY_STABLE' ELSE 'STABLE' END AS flag FROM (SELECT asset, count(*) AS runs, avg(sharpe) AS mean_sharpe, greatest(0, least(10, 10 - 5 * stddev_pop(sharpe))) AS score FROM vs WHERE sharpe IS NOT NULL GROUP BY asset))", v.BARS_1D, _VARIED, _RUN_RETURNS, keys="asset", floats="mean_sharpe score", others="runs flag passed")
+@query(
+    "parameter_stability",
+    "SELECT *, flag <> 'FRAGILE' AS passed FROM (SELECT *, CASE WHEN score < 4 OR mean_sharpe < 0 THEN 'FRAGILE' "
+    "WHEN score < 7 THEN 'MODERATELY_STABLE' ELSE 'STABLE' END AS flag FROM (SELECT asset, count(*) AS runs, avg(sharpe) AS mean_sharpe, greatest(0, "
+    "least(10, 10 - 5 * stddev_pop(sharpe))) AS score FROM vs WHERE sharpe IS NOT NULL GROUP BY asset))",
+    v.BARS_1D,
+    _VARIED,
+    _RUN_RETURNS,
+    keys="asset", floats="mean_sharpe score", others="runs flag passed",
+)
 def _(spark, d):
     cross = F.array(*(F.struct(F.lit(i).alias("run"), F.when(t.mean("close", a) > t.mean("close", z), 1).otherwise(0).alias("position")) for i, (_, a, z) in enumerate(_VARIANTS)))
     rows = v.bars_1d(spark, d).withColumn("x", cross).select("asset", "ts", "close", F.explode("x").alias("x")).select("asset", "ts", "close", "x.*")
@@ -149,7 +218,10 @@ def _(spark, d):
 
 rp.oracle("stop_sweep_full", "SELECT * FROM sweep", rp._SWEEP[0], rp._SWEEP[1], _ALL_STOPS, *rp._SWEEP[3:], keys="asset multiplier", floats="mean_pnl win_rate sharpe", others="n")
 
-_PERIODS = "parts AS (SELECT *, ntile(3) OVER (PARTITION BY asset ORDER BY ts) AS period FROM entries), stops AS (SELECT *, CASE WHEN m5 / nullif(close, 0) IS NULL THEN 0.05 ELSE greatest(0.005, least(0.2, m5 / nullif(close, 0))) END AS stop FROM parts)"
+_PERIODS = (
+    "parts AS (SELECT *, ntile(3) OVER (PARTITION BY asset ORDER BY ts) AS period FROM entries), stops AS (SELECT *, CASE "
+    "WHEN m5 / nullif(close, 0) IS NULL THEN 0.05 ELSE greatest(0.005, least(0.2, m5 / nullif(close, 0))) END AS stop FROM parts)"
+)
 
 
 @query("stop_periods", keys="asset period", floats="total_return", others="n")
@@ -166,7 +238,10 @@ rp.oracle("stop_periods", "SELECT asset, period, sum(pnl) AS total_return, count
 _NEXT = f"""fm AS (SELECT asset, ts, o1 AS po, h1 AS ph, l1 AS pl, c1 AS pc, v1 AS pv, open AS ao, high AS ah, low AS al, close AS ac, volume AS av, c1 / nullif(c2, 0) - 1 AS pr, close / nullif(c1, 0) - 1 AS ar FROM (
   SELECT *, {lag('open')} AS o1, {lag('high')} AS h1, {lag('low')} AS l1, {lag('close')} AS c1, {lag('close', 2)} AS c2, {lag('volume')} AS v1 FROM d) WHERE c2 IS NOT NULL),
 fd AS (SELECT *, CASE WHEN abs(ar) <= 0.0005 THEN 0 WHEN ar > 0 THEN 1 ELSE -1 END AS u, CASE WHEN abs(pr) <= 0.0005 THEN 0 WHEN pr > 0 THEN 1 ELSE -1 END AS g FROM fm)"""
-_FIGURES = "mae_open mae_high mae_low mae_close mae_volume rmse_close mape_close directional_accuracy bullish_accuracy bearish_accuracy mean_predicted_return mean_actual_return return_mae return_rmse return_correlation"
+_FIGURES = (
+    "mae_open mae_high mae_low mae_close mae_volume rmse_close mape_close directional_accuracy bullish_accuracy bearish_accuracy mean_predicted_return "
+    "mean_actual_return return_mae return_rmse return_correlation"
+)
 
 
 @query("forecast_metrics", """SELECT asset, count(*) AS predictions, avg(abs(po - ao)) AS mae_open, avg(abs(ph - ah)) AS mae_high, avg(abs(pl - al)) AS mae_low, avg(abs(pc - ac)) AS mae_close, avg(abs(pv - av)) AS mae_volume,
@@ -182,7 +257,14 @@ def _(spark, d):
     return ev.forecast_metrics(rows, ["asset"])
 
 
-@query("sortino_ratio", "SELECT asset, avg(ret) / nullif(sqrt(avg(least(ret, 0) ** 2)), 0) * sqrt(365) AS sortino, avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(365) AS sharpe FROM dd GROUP BY asset", v.BARS_1D, EQUITY, keys="asset", floats="sortino sharpe")
+@query(
+    "sortino_ratio",
+    "SELECT asset, avg(ret) / nullif(sqrt(avg(least(ret, 0) ** 2)), 0) * sqrt(365) AS sortino, avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(365) AS sharpe "
+    "FROM dd GROUP BY asset",
+    v.BARS_1D,
+    EQUITY,
+    keys="asset", floats="sortino sharpe",
+)
 def _(spark, d):
     return sim.equity_metrics(_trend(spark, d), periods=365.0)
 
@@ -197,7 +279,14 @@ def _trades_sql() -> str:
     return TRADES
 
 
-@query("concentration_spans", f"SELECT m.asset, m.best AS best_month, q.best AS best_quarter FROM ({_best('month')}) m JOIN ({_best('quarter')}) q USING (asset)", v.BARS_1D, EQUITY, _trades_sql(), keys="asset", floats="best_month best_quarter")
+@query(
+    "concentration_spans",
+    f"SELECT m.asset, m.best AS best_month, q.best AS best_quarter FROM ({_best('month')}) m JOIN ({_best('quarter')}) q USING (asset)",
+    v.BARS_1D,
+    EQUITY,
+    _trades_sql(),
+    keys="asset", floats="best_month best_quarter",
+)
 def _(spark, d):
     return sim.concentration(sim.trades(_trend(spark, d)))
 
@@ -207,7 +296,16 @@ dn AS (SELECT *, greatest(1, floor(4 * (n / 100.0) ** (2.0 / 9)))::BIGINT AS lag
 dg AS (SELECT a.asset, b.i - a.i AS k, sum(a.z * b.z * (1 - (b.i - a.i) / (a.lags + 1.0))) AS g FROM dn a JOIN dn b ON a.asset = b.asset AND b.i > a.i AND b.i <= a.i + a.lags GROUP BY 1, 2)"""
 
 
-@query("dm_statistic", "SELECT asset, any_value(n) AS n, any_value(lags) AS lags, avg(x) AS mean_diff, avg(x) / sqrt((sum(z * z) + 2 * any_value(w)) / any_value(n) / any_value(n)) AS dm FROM dn JOIN (SELECT asset, sum(g) AS w FROM dg GROUP BY asset) USING (asset) GROUP BY asset", v.BARS_1H, v.RANGES, FORECASTS, _DM, keys="asset", floats="mean_diff dm", others="n lags")
+@query(
+    "dm_statistic",
+    "SELECT asset, any_value(n) AS n, any_value(lags) AS lags, avg(x) AS mean_diff, avg(x) / sqrt((sum(z * z) + 2 * any_value(w)) / any_value(n) / "
+    "any_value(n)) AS dm FROM dn JOIN (SELECT asset, sum(g) AS w FROM dg GROUP BY asset) USING (asset) GROUP BY asset",
+    v.BARS_1H,
+    v.RANGES,
+    FORECASTS,
+    _DM,
+    keys="asset", floats="mean_diff dm", others="n lags",
+)
 def _(spark, d):
     r = fc.ranges(v.bars_1h(spark, d)).select("asset", "ts", (t.mean("range", 5, 1) - F.col("range")).alias("a"), (fc.persistence() - F.col("range")).alias("b"))
     return stats.diebold_mariano(r, "a", "b", ["asset"])
@@ -270,7 +368,13 @@ def _(spark, d):
 _FEATURES = ["m1", "m5", "m22"]
 
 
-@query("walk_trees", f"SELECT asset, ts, count(m22) OVER {win('UNBOUNDED PRECEDING')} > 0 AS ready, true AS sane FROM (SELECT *, {roll(MEAN, 'range', 22, 1)} AS m22, row_number() OVER ({W}) AS i FROM (SELECT *, greatest(high - low, 0) AS range FROM d)) WHERE i > 500", v.BARS_1D, others="ready sane")
+@query(
+    "walk_trees",
+    f"SELECT asset, ts, count(m22) OVER {win('UNBOUNDED PRECEDING')} > 0 AS ready, true AS sane FROM "
+    f"(SELECT *, {roll(MEAN, 'range', 22, 1)} AS m22, row_number() OVER ({W}) AS i FROM (SELECT *, greatest(high - low, 0) AS range FROM d)) WHERE i > 500",
+    v.BARS_1D,
+    others="ready sane",
+)
 def _(spark, d):
     """Forecasts of boosted trees, refitted every 400 rows: where they are, and that they lie within what was seen (trees can't leave it)."""
     own = fc.har_terms(fc.ranges(v.bars_1d(spark, d)))
@@ -279,7 +383,13 @@ def _(spark, d):
     return rows.withColumn("_m", seen).filter("forecast IS NOT NULL").select("asset", "ts", F.lit(True).alias("ready"), (F.col("forecast").between(0, 1.5 * F.col("_m"))).alias("sane"))
 
 
-@query("tree_importances", "SELECT asset, count(*) > 0 AS found, 1.0::DOUBLE AS total, (max(i) - 500 + 399) // 400 AS refits FROM (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i FROM d) GROUP BY asset", v.BARS_1D, keys="asset", floats="total", others="found refits")
+@query(
+    "tree_importances",
+    "SELECT asset, count(*) > 0 AS found, 1.0::DOUBLE AS total, (max(i) - 500 + 399) // 400 AS refits FROM "
+    "(SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i FROM d) GROUP BY asset",
+    v.BARS_1D,
+    keys="asset", floats="total", others="found refits",
+)
 def _(spark, d):
     rows = trees.importances(fc.har_terms(fc.ranges(v.bars_1d(spark, d))), _FEATURES, "range", 400, 500, trees=20)
     return rows.groupBy("asset").agg(F.sum("importance").alias("total"), F.max("refits").alias("refits"), (F.count(F.lit(1)) > 0).alias("found"))

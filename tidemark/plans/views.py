@@ -49,8 +49,17 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The same views in SQL; names are given to WITH.
-BARS_1H = "bars_1h AS (SELECT event_type AS asset, epoch_ms(date_trunc('hour', ts)) AS bar, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2), b AS (SELECT asset, bar AS ts, open, high, low, close, volume FROM bars_1h)"
-BARS_1D = "bars_1d AS (SELECT l_returnflag AS asset, epoch_ms(date_trunc('day', l_shipdate)) AS ts, (list(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_extendedprice))[1] AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low, (list(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_extendedprice))[-1] AS close, count(*)::DOUBLE AS volume FROM lineitem GROUP BY 1, 2), d AS (SELECT * FROM bars_1d)"
+BARS_1H = (
+    "bars_1h AS (SELECT event_type AS asset, epoch_ms(date_trunc('hour', ts)) AS bar, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, "
+    "arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2), b AS (SELECT asset, bar AS ts, open, high, low, close, volume "
+    "FROM bars_1h)"
+)
+BARS_1D = (
+    "bars_1d AS (SELECT l_returnflag AS asset, epoch_ms(date_trunc('day', l_shipdate)) AS ts, (list(l_extendedprice "
+    "ORDER BY l_orderkey, l_linenumber, l_extendedprice))[1] AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low, (list(l_extendedprice "
+    "ORDER BY l_orderkey, l_linenumber, l_extendedprice))[-1] AS close, count(*)::DOUBLE AS volume FROM lineitem GROUP BY 1, 2), d AS (SELECT * "
+    "FROM bars_1d)"
+)
 FUNDING = "f AS (SELECT epoch_us(ts) // 1000 AS ts, ln(1 + value) / 100 AS rate FROM events WHERE event_type = 'signup')"
 RANGES = "r AS (SELECT *, greatest(high - low, 0) AS range FROM b)"
 PREDICTIONS = (
