@@ -1423,7 +1423,7 @@ def _(spark, d):
 
     def nearest(x, y):
         scale = x.std(0) + 1e-12
-        return lambda q: np.array([y[np.argsort((((x - r) / scale) ** 2).sum(1))[:25]].mean() for r in q])
+        return lambda q: np.array([y[np.argsort((((x - r) / scale) ** 2).sum(1), kind="stable")[:25]].mean() for r in q])
 
     own = fc.har_terms(fc.ranges(v.bars_1d(spark, d)))
     return ols.walk_model(own, ["m1", "m5", "m22"], "range", nearest, 200, 500).filter("forecast IS NOT NULL")

@@ -187,7 +187,7 @@ asked AS (SELECT *, 500 + (i - 500) // 200 * 200 AS a FROM hr WHERE i >= 500 AND
 past AS (SELECT * FROM hr WHERE m22 IS NOT NULL AND m5 IS NOT NULL AND m1 IS NOT NULL),
 scale AS (SELECT k.asset, k.a, stddev_pop(p.m1) + 1e-12 AS s1, stddev_pop(p.m5) + 1e-12 AS s5, stddev_pop(p.m22) + 1e-12 AS s22
   FROM (SELECT DISTINCT asset, a FROM asked) k JOIN past p ON p.asset = k.asset AND p.i < k.a GROUP BY 1, 2),
-near AS (SELECT q.asset, q.ts, p.y, row_number() OVER (PARTITION BY q.asset, q.ts ORDER BY ((p.m1 - q.m1) / s1) ** 2 + ((p.m5 - q.m5) / s5) ** 2 + ((p.m22 - q.m22) / s22) ** 2) AS k
+near AS (SELECT q.asset, q.ts, p.y, row_number() OVER (PARTITION BY q.asset, q.ts ORDER BY ((p.m1 - q.m1) / s1) ** 2 + ((p.m5 - q.m5) / s5) ** 2 + ((p.m22 - q.m22) / s22) ** 2, p.i) AS k
   FROM asked q JOIN scale USING (asset, a) JOIN past p ON p.asset = q.asset AND p.i < q.a)"""
 oracle("walk_model", "SELECT asset, ts, avg(y) AS forecast FROM near WHERE k <= 25 GROUP BY asset, ts", v.BARS_1D, _TERMS, floats="forecast")
 
