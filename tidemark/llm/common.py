@@ -101,6 +101,18 @@ def doc_hash(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def fresh(df: DataFrame, *hints: str) -> list[str]:
+    """Column names for passing use that df doesn't have (whatever the case of letters), one for each hint."""
+    own, out = {c.lower() for c in df.columns}, []
+    for hint in hints:
+        name, k = f"_{hint}", 0
+        while name.lower() in own:
+            name, k = f"_{hint}{k}", k + 1
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, bytes_a_row: int, limit: int) -> bool:
     """Whether df surely stays under a limit of bytes; counts it."""
     return df.count() * bytes_a_row <= limit
