@@ -1,4 +1,9 @@
-"""Gradient-boosted trees for two classes, in numpy: Newton steps on the logistic loss, complete trees over binned features."""
+"""Gradient-boosted trees for two classes, in numpy: Newton steps on the logistic loss, complete trees over binned features.
+
+The same rows give the same trees on every machine: the logistic function is built from additions, products and
+quotients alone (np.exp differs in its last bits with a CPU's vector instructions), and gradients are summed as
+fixed-point integers, so that no sum depends on its order and copies of a feature tie exactly (the first wins).
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,22 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Units of a gradient in sums; sums of 2^25 rows stay exact in a double.
+UNITS = float(1 << 26)
+_LN2 = (0.693147180369123816490, 1.90821492927058770002e-10)  # its high and low part
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), the same bits everywhere."""
+    x = -np.clip(x, -40.0, 40.0)
+    power = np.rint(x / _LN2[0])
+    rest = (x - power * _LN2[0]) - power * _LN2[1]
+    series = np.ones_like(rest)
+    for k in range(14, 0, -1):
+        series = 1.0 + rest / k * series
+    return 1.0 / (1.0 + np.ldexp(series, power.astype(np.int64)))
+
+
 @dataclass
 class Trees:
     depth: int
@@ -35,8 +56,8 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
     out = Trees(depth, np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, 1 << depth)), base)
     flat = codes + np.arange(f) * bins
     for t in range(trees):
-        p = 1 / (1 + np.exp(-odds))
-        g, h = (y - p) * weight, p * (1 - p) * weight
+        p = logistic(odds)
+        g, h = np.rint((y - p) * weight * UNITS), np.rint(p * (1 - p) * weight * UNITS)
         at = np.zeros(n, np.int64)
         for level in range(depth):
             first, width = (1 << level) - 1, 1 << level
@@ -44,7 +65,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
             cell = (local[:, None] * (f * bins) + flat).ravel()
             gs = np.bincount(cell, np.repeat(g, f), width * f * bins).reshape(width, f, bins)
             hs = np.bincount(cell, np.repeat(h, f), width * f * bins).reshape(width, f, bins)
-            gl, hl = gs.cumsum(2), hs.cumsum(2)
+            gl, hl = gs.cumsum(2) / UNITS, hs.cumsum(2) / UNITS
             gt, ht = gl[:, :, -1:], hl[:, :, -1:]
             gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge)
             gain[(hl < 1e-3) | (ht - hl < 1e-3)] = 0
@@ -56,6 +77,6 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
             feature, limit = out.features[t][at], out.limits[t][at]
             at = 2 * at + 1 + (x[np.arange(n), feature] > limit)
         leaf = at - inner
-        out.leaves[t] = rate * np.bincount(leaf, g, 1 << depth) / (np.bincount(leaf, h, 1 << depth) + ridge)
+        out.leaves[t] = rate * (np.bincount(leaf, g, 1 << depth) / UNITS) / (np.bincount(leaf, h, 1 << depth) / UNITS + ridge)
         odds += out.leaves[t][leaf]
     return out

@@ -117,12 +117,18 @@ def parse(html: str) -> list[Node]:
     inline: dict[str, int] = {}  # open inline elements of the node at hand
     opened: dict[str, int] = {}  # open block elements
     hidden: list[tuple[str, int]] = []  # open elements whose text is left out, and their node's depth
+    places: dict[str, list[int]] = {}  # by name: where in hidden they are
     pos, last = 0, html.rfind(">") + 1
 
     def say(text: str) -> None:
         if text and not hidden:
             at.items.append((unescape(text) if "&" in text else text, inline.get("a", 0) > 0))
 
+    def unhide(count: int) -> None:
+        """Leaves the outermost `count` hidden elements open."""
+        while len(hidden) > count:
+            places[hidden.pop()[0]].pop()
+
     def close_to(node: Node) -> None:
         """Makes node the innermost open one."""
         nonlocal at
@@ -131,7 +137,7 @@ def parse(html: str) -> list[Node]:
             opened[at.tag] -= 1
             at = at.parent
         while hidden and hidden[-1][1] > at.depth:
-            hidden.pop()
+            unhide(len(hidden) - 1)
 
     while pos < last:
         m = TOKEN.search(html, pos, last)
@@ -150,9 +156,8 @@ def parse(html: str) -> list[Node]:
             if name in INLINE:
                 inline[name] = max(0, inline.get(name, 0) - 1)
             elif name in HIDDEN:
-                at_hand = next((i for i in range(len(hidden) - 1, max(-1, len(hidden) - 9), -1) if hidden[i][0] == name), None)
-                if at_hand is not None:
-                    del hidden[at_hand:]
+                if places.get(name):
+                    unhide(places[name][-1])
             elif opened.get(name):
                 up = at
                 while up.tag != name:
@@ -170,6 +175,7 @@ def parse(html: str) -> list[Node]:
         elif name in HIDDEN:
             at.items.append((" ", False))
             if name != "svg" or not attributes.endswith("/"):
+                places.setdefault(name, []).append(len(hidden))
                 hidden.append((name, at.depth))
         elif name in VOID:
             at.items.append((" ", False) if name != "hr" else None)
