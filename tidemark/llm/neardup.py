@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, discard, map_batches, spans_of_rows, texts
+from tidemark.llm.common import cut, discard, fresh, map_batches, spans_of_rows, texts
 from tidemark.llm.components import components
 from tidemark.llm.words import BY_SPACE, join, mix, split
 
@@ -414,14 +414,15 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings)
     """docs with one row of each group."""
     found = groups(docs, text=text, key=key, **settings)
     mark = F.xxhash64(text)
-    gone = found.filter("NOT kept").select(F.col(key).alias("_k"), F.col("th").alias("_t")).distinct()
+    k, th, n = fresh(docs, "k", "t", "n")
+    gone = found.filter("NOT kept").select(F.col(key).alias(k), F.col("th").alias(th)).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    rest = docs.join(gone, F.col(key).eqNullSafe(F.col("_k")) & (mark == F.col("_t")), "left_anti")
-    twice = found.filter("kept AND n_shingles > 0").groupBy(key, "th").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_k"), F.col("th").alias("_t"))
+    rest = docs.join(gone, F.col(key).eqNullSafe(F.col(k)) & (mark == F.col(th)), "left_anti")
+    twice = found.filter("kept AND n_shingles > 0").groupBy(key, "th").agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).select(F.col(key).alias(k), F.col("th").alias(th))
     if twice.isEmpty():
         return rest
     # rows repeated with their id: all but one of each go
-    again = F.col(key).eqNullSafe(F.col("_k")) & (mark == F.col("_t"))
+    again = F.col(key).eqNullSafe(F.col(k)) & (mark == F.col(th))
     single = rest.join(twice, again, "left_anti")
     return single.unionByName(rest.join(twice, again, "left_semi").dropDuplicates([key, text]))
