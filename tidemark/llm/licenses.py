@@ -26,7 +26,7 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, fresh
 
 #: Known notices, by SPDX identifier.
 KNOWN = [
@@ -58,9 +58,9 @@ SPELLINGS = [
 #: Known texts up to which their digests are broadcast (about 100 bytes each), and hit texts likewise.
 BROADCAST_ROWS = 200_000
 #: A statement at the head of a line of who holds a copyright since when; what is granted after it stays. It has a
-#: year or the sign (lines that merely begin with the word, in wrapped prose or lists, are text).
+#: year, anywhere in the line, or the sign (lines that merely begin with the word, in wrapped prose or lists, are text).
 GRANTS = "all rights reserved|licensed under|released under|distributed under|this work is|permission is"
-COPYRIGHT = rf"^[ \t]*(?:copyright[ \t]+(?:\(c\)|[^\n]{{0,80}}?[0-9]{{4}})|\(c\)[ \t]*(?:copyright|[0-9]{{4}}))[^\n]*?({GRANTS}|$)"
+COPYRIGHT = rf"^[ \t]*(?:copyright[ \t]+(?:\(c\)|[^\n]*?[0-9]{{4}})|\(c\)[ \t]*(?:copyright|[0-9]{{4}}))[^\n]*?({GRANTS}|$)"
 #: All but line ends that isn't a letter, a digit or a sign beyond ASCII.
 #: (A single space is left alone: it needs no replacement.)
 SIGNS = r"[^a-z0-9\n\x{80}-\x{10FFFF}]{2,}|[^a-z0-9 \n\x{80}-\x{10FFFF}]"
@@ -126,10 +126,11 @@ def scan(docs: DataFrame, licences: DataFrame | None = None, text: str = "text")
     held = reduce(lambda a, b: a | b, [F.contains(held, F.lit(w)) for w in anchors([r.form for r in stats])], F.lit(False))
     lengths = F.array(*(F.lit(n) for n in sorted({r.n for r in stats}))).cast("array<int>")
     mark = F.sha2(F.col(text), 256)
-    lines = docs.filter(held).select(mark.alias("_of"), F.explode(F.array_distinct(F.filter(canonical_lines(F.col(text)), lambda x: F.array_contains(lengths, F.length(x))))).alias("form"))
-    hits = lines.withColumn("digest", F.sha2("form", 256)).join(names, "digest").groupBy("_of").agg(F.array_sort(F.collect_set("license_id")).alias("paragraph_license_ids"))
+    of, at = fresh(docs, "of", "mark")
+    lines = docs.filter(held).select(mark.alias(of), F.explode(F.array_distinct(F.filter(canonical_lines(F.col(text)), lambda x: F.array_contains(lengths, F.length(x))))).alias("form"))
+    hits = lines.withColumn("digest", F.sha2("form", 256)).join(names, "digest").groupBy(of).agg(F.array_sort(F.collect_set("license_id")).alias("paragraph_license_ids"))
     hits, _ = cut(hits, "licence-lines")
     hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
-    own = docs.drop("license_id", "paragraph_license_ids").withColumns({"text_digest": digest(joined(canonical_lines(F.col(text)))), "_mark": mark})
-    own = own.join(names.withColumnRenamed("digest", "text_digest"), "text_digest", "left").join(hits, F.col("_mark") == F.col("_of"), "left")
-    return own.withColumn("paragraph_license_ids", F.coalesce("paragraph_license_ids", F.array().cast("array<string>"))).drop("_mark", "_of")
+    own = docs.drop("license_id", "paragraph_license_ids").withColumns({"text_digest": digest(joined(canonical_lines(F.col(text)))), at: mark})
+    own = own.join(names.withColumnRenamed("digest", "text_digest"), "text_digest", "left").join(hits, F.col(at) == F.col(of), "left")
+    return own.withColumn("paragraph_license_ids", F.coalesce("paragraph_license_ids", F.array().cast("array<string>"))).drop(at, of)
