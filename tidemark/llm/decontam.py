@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, discard, made, share, spans_of_rows, texts, trim
+from tidemark.llm.common import cut, discard, fresh, made, share, spans_of_rows, texts, trim
 from tidemark.llm.words import BY_SIGN, Words, join, join_at, same_words, split
 
 WINDOW = 13
@@ -293,6 +293,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """docs with n_words, n_hit, items (sorted ids) and contaminated (one word in share_of_words, or more, is hit);
     into: the name of one struct column for them."""
     spark = docs.sparkSession
+    state_, at, named, own_ = fresh(docs, "state", "at", "digest", "own")
     own = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("body")).distinct()
     size = own.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -303,7 +304,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
         file_windows(index, count_shingles(docs, index, text) if index.shingles else {})
         shared = share(spark, index)
         if blocks == 1:
-            state = docs.withColumn("_state", F.arrow_udf(lambda column: find_windows(shared, column), FOUND)(F.col(text)))
+            state = docs.withColumn(state_, F.arrow_udf(lambda column: find_windows(shared, column), FOUND)(F.col(text)))
             break
         hit = docs.select(digest.alias("digest"), F.col(text).alias("text")).mapInArrow(partial(_hit_texts, shared=shared), "digest string, hits binary, items array<string>")
         parts.append(cut(hit.dropDuplicates(["digest"]), "decontam"))
@@ -314,13 +315,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
             discard(spark, path)
         if merged.count() <= BROADCAST_ROWS:  # else a shuffled join
             merged = F.broadcast(merged)
-        merged = merged.select(F.col("digest").alias("_digest"), F.struct("n_hit", "items").alias("_own"))
-        state = docs.withColumn("_at", digest).join(merged, F.col("_at") == F.col("_digest"), "left")
-        found = F.struct(F.arrow_udf(_n_words, "bigint")(F.col(text)).alias("n_words"), F.coalesce("_own.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_own.items", F.array().cast("array<string>")).alias("items"))
-        state = state.withColumn("_state", found).drop("_at", "_digest", "_own")
-    n_words, n_hit = F.col("_state.n_words"), F.col("_state.n_hit")
-    found = {"n_words": n_words, "n_hit": n_hit, "items": F.col("_state.items"), "contaminated": (n_hit > 0) & (n_hit * share_of_words >= n_words)}
+        merged = merged.select(F.col("digest").alias(named), F.struct("n_hit", "items").alias(own_))
+        state = docs.withColumn(at, digest).join(merged, F.col(at) == F.col(named), "left")
+        found = F.struct(F.arrow_udf(_n_words, "bigint")(F.col(text)).alias("n_words"), F.coalesce(f"{own_}.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(f"{own_}.items", F.array().cast("array<string>")).alias("items"))
+        state = state.withColumn(state_, found).drop(at, named, own_)
+    n_words, n_hit = F.col(f"{state_}.n_words"), F.col(f"{state_}.n_hit")
+    found = {"n_words": n_words, "n_hit": n_hit, "items": F.col(f"{state_}.items"), "contaminated": (n_hit > 0) & (n_hit * share_of_words >= n_words)}
     if into:
-        return state.withColumn(into, F.struct(*(c.alias(k) for k, c in found.items()))).drop("_state")
-    return state.withColumns(found).drop("_state")
+        return state.withColumn(into, F.struct(*(c.alias(k) for k, c in found.items()))).drop(state_)
+    return state.withColumns(found).drop(state_)
 

@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import made, map_batches, sampled, share, spans_of_rows, trim
+from tidemark.llm.common import fresh, made, map_batches, sampled, share, spans_of_rows, trim
 from tidemark.llm.words import mix
 
 UNDETERMINED = "und"
@@ -360,5 +360,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", into: str
 
     if into:
         return docs.withColumn(into, of(F.col(text)))
-    own = docs.withColumn("_found", of(F.col(text)))
-    return own.withColumns({k: F.col("_found")[k] for k in ("lang_pred", "score", "entropy", "rejected")}).drop("_found")
+    (found,) = fresh(docs, "found")
+    own = docs.withColumn(found, of(F.col(text)))
+    return own.withColumns({k: F.col(found)[k] for k in ("lang_pred", "score", "entropy", "rejected")}).drop(found)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh
+
 _STEP = np.uint64(2862933555777941757)
 
 #: Rows of one range of slots, about; bounds what one task sorts for a key.
@@ -62,9 +64,10 @@ def assign(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "t
 def number(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with slot: 0, 1, 2 ... within each shard."""
     ranges = max(1, -(-rows.count() // RANGE_ROWS))
-    rows = rows.withColumn("_range", F.pmod(F.xxhash64(*order), F.lit(ranges)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("shard", "_range").orderBy(*order)
-    numbered = rows.withColumn("_at", F.row_number().over(within) - 1)
-    return numbered.join(starts, ["shard", "_range"]).withColumn("slot", (F.col("_base") + F.col("_at")).cast("long")).drop("_range", "_base", "_at")
+    part, at, base, n = fresh(rows, "range", "at", "base", "n")
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(ranges)).cast("int"))
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("shard", part).agg(F.count(F.lit(1)).alias(n)).withColumn(base, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    within = Window.partitionBy("shard", part).orderBy(*order)
+    numbered = rows.withColumn(at, F.row_number().over(within) - 1)
+    return numbered.join(starts, ["shard", part]).withColumn("slot", (F.col(base) + F.col(at)).cast("long")).drop(part, base, at)
