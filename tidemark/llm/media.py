@@ -18,8 +18,12 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 
+from tidemark.llm.common import spans_of_rows, texts
+
 #: Fixed values of the format used: frame side, bytes a frame, ticks a second, ticks a frame, frames from one key frame to the next, samples a chunk.
 SIDE, FRAME, TIMESCALE, DELTA, KEY_EVERY, PER_CHUNK = 24, 576, 600, 24, 12, 16
+#: Levels of boxes; the deepest that the format needs is six.
+MOST_NESTED = 32
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"mvex", b"moof", b"traf"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -75,9 +79,12 @@ def mux(payload: bytes) -> bytes:
 
 
 def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, body start, body end) of every box, parents first."""
-    end = len(data) if end is None else end
-    while start < end:
+    """(path, body start, body end) of every box, parents first; boxes may be nested to MOST_NESTED."""
+    outer: list[tuple[int, int, tuple[bytes, ...]]] = [(start, len(data) if end is None else end, path)]
+    while outer:
+        start, end, path = outer.pop()
+        if start == end:
+            continue
         if end - start < 8:
             raise ValueError("a box header is cut short")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -91,9 +98,11 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         if size < body - start or start + size > end:
             raise ValueError("a box is longer than what holds it")
         yield (*path, kind), body, start + size
+        outer.append((start + size, end, path))
         if kind in NESTED:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+            if len(path) >= MOST_NESTED:
+                raise ValueError("boxes are nested too deeply")
+            outer.append((body, start + size, (*path, kind)))
 
 
 @dataclass
@@ -287,8 +296,9 @@ def store(docs, key: str = "doc_id", text: str = "text"):
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = [(x or "").encode() for x in batch.column(1).slice(i, 64).to_pylist()]
+            _, offsets = texts(batch.column(1))
+            for i, j in spans_of_rows(offsets):
+                part = [(x or "").encode() for x in batch.column(1).slice(i, j - i).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), pa.array(map(len, part), pa.int64()), pa.array([mux(pad(x)) for x in part], pa.binary())], ["key", "n_bytes", "media"])
 
     kind = docs.schema[key].dataType.simpleString()
