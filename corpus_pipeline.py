@@ -12,20 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, neardup, packing, quality
-from tidemark.llm.common import cut, discard, doc_hash, read_table
+from tidemark.llm.common import cut, discard, doc_hash, fresh, read_table
 from tidemark.llm.queries import TOKENIZER
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts in none of the languages that the labelled rows are in."""
     model = langid.fit(docs.filter(doc_hash() % 3 != 1))
-    return langid.identify(docs, model, into="_language").filter(~F.col("_language.rejected")).drop("_language")
+    (found,) = fresh(docs, "language")
+    return langid.identify(docs, model, into=found).filter(~F.col(found)["rejected"]).drop(found)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts whose score is under the threshold."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels").filter(doc_hash() % 5 != 0))
-    return quality.score(docs, model, names=("_score", "_good")).filter("_good = 1").drop("_score", "_good")
+    score, kept = fresh(docs, "score", "good")
+    return quality.score(docs, model, names=(score, kept)).filter(F.col(kept) == 1).drop(score, kept)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,8 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that hold passages of the benchmark."""
-    return decontam.scan(docs, read_table(spark, sf_dir, "benchmark"), into="_found").filter(~F.col("_found.contaminated")).drop("_found")
+    (found,) = fresh(docs, "found")
+    return decontam.scan(docs, read_table(spark, sf_dir, "benchmark"), into=found).filter(~F.col(found)["contaminated"]).drop(found)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
