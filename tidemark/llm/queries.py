@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, html_extract, langid, licenses, media, neardup, packing, quality, sharding
-from tidemark.llm.common import doc_hash, read_table
+from tidemark.llm import bpe, chat, decontam, html_extract, langid, licenses, media, neardup, packing, quality, search, sharding, trie
+from tidemark.llm.common import cut, discard, doc_hash, read_table
 
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,32 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text_digest", "license_id", F.array_join("paragraph_license_ids", ",").alias("paragraph_licenses"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), top=50)
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.load(spark, str(RANKS), public_tokenizers.PATTERN)
+    coded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    decoded = bpe.decode(coded.select("doc_id", "ids"), vocabulary)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, first = trie.turns_of(read_table(spark, sf_dir, "conversations"))
+    turns, members = trie.regrouped(placed)
+    turns, second = cut(turns, "trie-regrouped")
+    found = trie.build(turns, members)
+    for path in (first, second):
+        discard(spark, path)
+    own = found.nodes.join(trie.ends_digest(found.ends), ["conv_id", "depth"], "left")
+    none = F.sha2(F.lit(""), 256)
+    return own.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256"))
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_packing_first_fit": op2_packing_first_fit,
@@ -94,6 +120,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_compression": op9_quality_compression,
     "op10_license_digests": op10_license_digests,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_byte_level_bpe": op12_byte_level_bpe,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _CONTROLS = r"[\\<|\[]"
@@ -175,4 +204,44 @@ SELECT r.doc_id, len(r.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM rows r LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE_SQL = {"op5_near_duplicates": _ORACLE5, "op8_decontamination": _ORACLE8, "op4_chat_prefix_targets": _ORACLE4, "op10_license_digests": _ORACLE10}
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_ORACLE11 = f"""
+WITH own AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row, regexp_extract_all({_LOWER}, '{_TERMS}') AS w FROM documents),
+docs AS (SELECT row, doc_id, len(w)::BIGINT AS n FROM own WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) AS term FROM benchmark),
+tfs AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(w) AS term FROM own) JOIN (SELECT DISTINCT term FROM asked) USING (term) GROUP BY row, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, totals GROUP BY term, n_docs),
+impacts AS (
+  SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS impact
+  FROM tfs JOIN docs USING (row) JOIN weights USING (term), totals),
+scores AS (SELECT item_id, row, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, row, doc_id),
+places AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM places WHERE rank <= 50
+"""
+
+_BITS = "list_reduce(list_prepend({0}, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)), lambda c, b: {_BITS.format('xor(c, b)')}))"
+_ORACLE13 = rf"""
+WITH rows AS (SELECT conv_id, turn, length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '') AS said, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT conv_id, sha256(said) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(said)) AS i FROM rows),
+convs AS (SELECT conv_id, {_CRC} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM placed)),
+heads AS (SELECT c.conv_id, p.i AS depth, p.k, p.words FROM convs c JOIN placed p ON p.conv_id = c.base AND p.i <= c.h),
+got AS (SELECT c.conv_id, c.h, count(h.depth) AS got FROM convs c LEFT JOIN heads h USING (conv_id) GROUP BY c.conv_id, c.h),
+turns AS (SELECT * FROM heads UNION ALL SELECT p.conv_id, got + p.i - h, k, words FROM placed p JOIN got USING (conv_id) WHERE p.i > h),
+paths AS (
+  SELECT conv_id, depth, words, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS path, depth = count(*) OVER (PARTITION BY conv_id) AS last FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '', got = 0 AND NOT EXISTS (SELECT 1 FROM turns t WHERE t.conv_id = got.conv_id) FROM got),
+nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM paths GROUP BY depth, path),
+kids AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (path)),
+subtrees AS (
+  SELECT left(path, 64 * up) AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT path, n_children, n_convs, words, unnest(range(0, depth + 1)) AS up FROM whole) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM whole n JOIN subtrees USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 64)
+"""
+
+ORACLE_SQL = {"op13_conversation_trie": _ORACLE13, "op11_ranked_search": _ORACLE11, "op5_near_duplicates": _ORACLE5, "op8_decontamination": _ORACLE8, "op4_chat_prefix_targets": _ORACLE4, "op10_license_digests": _ORACLE10}
