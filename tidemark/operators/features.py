@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import blocks
 from tidemark.functions import scalars as s
 from tidemark.functions import ts as t
 from tidemark.operators.asof import interval_mean, shifted
@@ -29,10 +30,19 @@ TECHNICAL = (
 ).split()
 
 
-def technical(bars: DataFrame) -> DataFrame:
+#: Rows before a row that its technical features rest on: 22 values, shifted by one, of returns on the row before.
+REACH = 24
+
+
+def technical(bars: DataFrame, rows: int | None = None) -> DataFrame:
     """bars with the TECHNICAL features and target_norm; those of a row describe the bars before it (hour and weekday: the row's own time).
 
-    Returns are simple ones; ranges are normalised by the close before; means need one value, deviations two."""
+    Returns are simple ones; ranges are normalised by the close before; means need one value, deviations two. No feature reaches back further
+    than REACH rows, so long series are dealt over blocks."""
+    return blocks.bounded(bars, _technical, REACH, rows=rows)
+
+
+def _technical(bars: DataFrame) -> DataFrame:
     last = t.lag("close")
     own = ranges(bars).withColumns({"target_norm": F.try_divide(F.col("high") - F.col("low"), last), "_r": F.try_divide("close", last) - 1, "_pk": s.parkinson(F.col("high"), F.col("low")), "_dv": F.try_divide("volume", t.lag("volume")) - 1})
     mean = lambda c, w, least=1: t.mean(c, w, 1, least)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import blocks
 from tidemark.functions import ts as t
 from tidemark.operators import ols
 from tidemark.schema import DAY_MS
@@ -22,12 +23,13 @@ def persistence(c: str = "range") -> Column:
 
 def har_terms(df: DataFrame, c: str = "range", windows: tuple[int, int, int] = (1, 5, 22)) -> DataFrame:
     """df with the terms of a heterogeneous autoregression: means of the last 1, 5 and 22 past values."""
-    return df.withColumns({f"m{w}": t.mean(c, w, shift=1) for w in windows})
+    return blocks.bounded(df, lambda x: x.withColumns({f"m{w}": t.mean(c, w, shift=1) for w in windows}), max(windows) + 1)
 
 
 def har(df: DataFrame, c: str = "range", window: int | None = None, least: int = 24, windows: tuple[int, int, int] = (1, 5, 22), positive: bool = False) -> DataFrame:
     """df with n_obs, beta and har: one step ahead, fitted on past rows (all, or a rolling window of them)."""
-    out = ols.walk(har_terms(df, c, windows), c, [f"m{w}" for w in windows], window, least).withColumnRenamed("forecast", "har")
+    own = har_terms(blocks.placed(df), c, windows)
+    out = ols.walk(own, c, [f"m{w}" for w in windows], window, least).withColumnRenamed("forecast", "har").drop(blocks.AT)
     return out.withColumn("har", F.when(F.col("har") > 0, F.col("har"))) if positive else out
 
 
@@ -40,8 +42,18 @@ def har_next(df: DataFrame, c: str = "range", window: int | None = 800, least: i
 
 
 def baselines(df: DataFrame, c: str = "range", ewma_span: int = 22, ewma_context: int = 512) -> DataFrame:
-    """df with prev, mean5, mean22 and ewma forecasts of c."""
-    return df.withColumns({"prev": t.lag(c), "mean5": t.mean(c, 5, 1), "mean22": t.mean(c, 22, 1), "ewma": t.ewm(c, ewma_span, ewma_context, 1)})
+    """df with prev, mean5, mean22 and ewma forecasts of c; the last is seeded by the first of the `ewma_context` values before.
+
+    Such a mean is the one over the whole past, with the part of what lies before its context taken out: what the mean and the value
+    there differ by, times the weight that is left of it. The values that count are those that aren't NULL."""
+    whole = blocks.ema(df, c, ewma_span, "_e")
+    left = F.lit((1.0 - 2.0 / (ewma_span + 1)) ** (ewma_context - 1))
+
+    def near(x: DataFrame) -> DataFrame:
+        seed = F.coalesce(left * (t.lag(c, ewma_context) - t.lag("_e", ewma_context)), F.lit(0.0))
+        return x.withColumns({"prev": t.lag(c), "mean5": t.mean(c, 5, 1), "mean22": t.mean(c, 22, 1), "ewma": t.lag("_e") + seed})
+
+    return blocks.bounded(whole, near, max(ewma_context, 23)).drop("_e")
 
 
 def close_baselines(bars: DataFrame, horizon: int = 1) -> DataFrame:
@@ -63,14 +75,8 @@ def bias_correction(df: DataFrame, error: str, width_ms: int = 7 * DAY_MS, least
 
 
 def ema(df: DataFrame, c: str, span: int, name: str) -> DataFrame:
-    """df with the exponential mean over a series' whole past, seeded by its first value; sequential, one call a series."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` double"
-
-    def run(pdf):
-        pdf = pdf.sort_values("ts").reset_index(drop=True)
-        return pdf.assign(**{name: pdf[c].ewm(span=span, adjust=False).mean()})
-
-    return df.groupBy("asset").applyInPandas(run, schema)
+    """df with the exponential mean over a series' whole past, seeded by its first value."""
+    return blocks.ema(df, c, span, name)
 
 
 def tercile_regime(value: Column, low: Column, high: Column, unknown: str = "unknown") -> Column:
@@ -79,18 +85,21 @@ def tercile_regime(value: Column, low: Column, high: Column, unknown: str = "unk
 
 def regime_of_means(df: DataFrame, c: str = "range", measure: int = 22, context: int = 491, least: int = 2) -> DataFrame:
     """df with regime: the last mean of `measure` past values among the terciles of its own past (undefined under `least` means)."""
-    own = df.withColumn("_m", t.mean(c, measure, 1))
-    return own.withColumn("regime", tercile_regime(F.col("_m"), t.quantile("_m", 1 / 3, context, 0, least), t.quantile("_m", 2 / 3, context, 0, least), "undefined")).drop("_m")
+    own = blocks.bounded(blocks.placed(df), lambda x: x.withColumn("_m", t.mean(c, measure, 1)), measure + 1)
+    own = blocks.quantiles(own, "_m", {"_lo": 1 / 3, "_hi": 2 / 3}, context, 0, least)
+    return own.withColumn("regime", tercile_regime(F.col("_m"), F.col("_lo"), F.col("_hi"), "undefined")).drop("_m", "_lo", "_hi", blocks.AT)
 
 
 def regime_of_forecast(df: DataFrame, forecast: str, c: str = "range", context: int = 720, least: int = 100) -> DataFrame:
     """df with regime: the forecast among the terciles of the last `context` past values."""
-    return df.withColumn("regime", tercile_regime(F.col(forecast), t.quantile(c, 1 / 3, context, 1, least), t.quantile(c, 2 / 3, context, 1, least)))
+    own = blocks.quantiles(df, c, {"_lo": 1 / 3, "_hi": 2 / 3}, context, 1, least)
+    return own.withColumn("regime", tercile_regime(F.col(forecast), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def regime_rolling(df: DataFrame, c: str, width: int, least: int, low: float = 1 / 3, high: float = 2 / 3) -> DataFrame:
     """df with regime: each value among the quantiles of a window that it ends."""
-    return df.withColumn("regime", tercile_regime(F.col(c), t.quantile(c, low, width, 0, least), t.quantile(c, high, width, 0, least)))
+    own = blocks.quantiles(df, c, {"_lo": low, "_hi": high}, width, 0, least)
+    return own.withColumn("regime", tercile_regime(F.col(c), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def regime_zvol(bars: DataFrame, short: int = 168, long: int = 2160, fast: int = 480, slow: int = 1200, least_share: float = 1.0) -> DataFrame:

@@ -12,9 +12,10 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import blocks
 from tidemark.functions import ts as t
 from tidemark.functions.scalars import finite
 
@@ -26,32 +27,35 @@ LONG = 64
 def moments(df: DataFrame, y: str, xs: list[str], window: int | None, shift: int = 1, by: tuple[str, ...] = t.BY) -> DataFrame:
     """df with n_obs, `moments` (sums of products of y and the terms with a leading 1, over complete rows: all finite) and `centre`.
 
-    window: rows of the frame that ends `shift` rows before each (None: all of them)."""
-    whole = Window.partitionBy(*by)
+    window: rows of the frame that ends `shift` rows before each (None: all of them). Sums of long frames are differences of sums from the
+    series' start on, and those are scans over blocks, so that a series isn't held by one task."""
     names = [*xs, y]
     complete = F.lit(True)
     for c in names:
         complete = complete & finite(F.col(c))
-    centred = df.withColumn("_ok", complete)
-    # of the first complete row, so that no later row has a say
-    first = {c: F.first(F.when(F.col("_ok"), F.col(c)), ignorenulls=True).over(whole.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in names}
-    centred = centred.withColumns({f"_c_{c}": first[c] for c in names})
-    centred = centred.withColumns({f"_z_{c}": F.when(F.col("_ok"), F.col(c) - F.col(f"_c_{c}")) for c in names})
-    upto, before = t.past(by, last=-shift), t.past(by, last=-shift - (window or 0))
-    whole_sum = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0.0))
-
-    def total(c: Column) -> Column:
-        if window is None:
-            return whole_sum(c, upto)
-        if window < LONG:
-            return whole_sum(c, t.frame(-window - shift + 1, -shift, by))
-        return whole_sum(c, upto) - whole_sum(c, before)  # linear in rows, whatever the width
-
-    ok = F.col("_ok").cast("double")
-    term = {"1": ok} | {c: F.col(f"_z_{c}") for c in names}
-    sums = [total(term[a] * term[b]) for a, b in combinations_with_replacement(["1", *names], 2)]
-    out = centred.withColumn("moments", F.array(*sums)).withColumn("n_obs", F.round(total(ok)).cast("long"))
-    return out.withColumn("centre", F.array(*(F.coalesce(F.col(f"_c_{c}"), F.lit(0.0)) for c in names))).drop("_ok", *(f"_{k}_{c}" for k in "cz" for c in names))
+    had = blocks.AT in df.columns
+    own = blocks.placed(df, by).withColumns({"_ok": complete, blocks.KEY: blocks.key_of(by)})
+    # centred on the first complete row, so that no later row has a say
+    first = own.groupBy(blocks.KEY).agg(F.min_by(F.struct(*(F.col(c).cast("double").alias(f"_c_{c}") for c in names)), F.when(F.col("_ok"), F.col("ts"))).alias("_c"))
+    own = own.join(first, blocks.KEY).drop(blocks.KEY)
+    own = own.withColumns({f"_z_{c}": F.when(F.col("_ok"), F.col(c) - F.col(f"_c._c_{c}")) for c in names})
+    term = {"1": F.col("_ok").cast("double")} | {c: F.col(f"_z_{c}") for c in names}
+    products = {f"_s_{k}": term[a] * term[b] for k, (a, b) in enumerate(combinations_with_replacement(["1", *names], 2))}
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    if window is not None and window < LONG:
+        w = t.frame(-window - shift + 1, -shift, by)
+        summed = blocks.bounded(own, lambda x: x.withColumns({k: zero(F.sum(c).over(w)) for k, c in products.items()}), window + shift, by=by)
+    else:
+        upto = blocks.running(own, {k: ("sum", c) for k, c in products.items()}, by)
+
+        def between(x: DataFrame) -> DataFrame:
+            back = lambda k, n: zero(F.lag(k, n).over(t.order(by)))
+            return x.withColumns({k: back(k, shift) - (back(k, shift + window) if window else F.lit(0.0)) for k in products})
+
+        summed = blocks.bounded(upto, between, shift + (window or 0), by=by)  # linear in rows, whatever the width
+    out = summed.withColumn("moments", F.array(*products)).withColumn("n_obs", F.round("_s_0").cast("long"))
+    out = out.withColumn("centre", F.array(*(zero(F.col(f"_c._c_{c}")) for c in names))).drop("_ok", "_c", *products, *(f"_z_{c}" for c in names))
+    return out if had else out.drop(blocks.AT)
 
 
 def solve(k: int) -> "Column":

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import blocks
 from tidemark.functions import ts as t
 
 
@@ -77,19 +78,20 @@ def trades(df: DataFrame, by: list[str] | None = None, cost: float = 0.001) -> D
 
 def equity(df: DataFrame, cost: float | Column = 0.001, by: list[str] | None = None) -> DataFrame:
     """df (position, close) with ret (net return of each bar) and equity (its product), by windows alone."""
-    w = Window.partitionBy(*(by or ["asset"])).orderBy("ts")
+    by = tuple(by or ["asset"])
+    w = Window.partitionBy(*by).orderBy("ts")
     held = F.coalesce(F.lag("position").over(w), F.lit(0))
     move = F.coalesce(F.try_divide("close", F.lag("close").over(w)) - 1, F.lit(0.0))
     cost = cost if isinstance(cost, Column) else F.lit(cost)
-    own = df.withColumn("ret", held * move - cost * F.abs(F.col("position") - held))
-    growth = F.sum(F.log(F.greatest(1 + F.col("ret"), F.lit(1e-12)))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumn("equity", F.exp(growth))
+    own = blocks.bounded(df, lambda x: x.withColumn("ret", held * move - cost * F.abs(F.col("position") - held)), 1, by=by)
+    grown = blocks.running(own, {"equity": ("sum", F.log(F.greatest(1 + F.col("ret"), F.lit(1e-12))))}, by)
+    return grown.withColumn("equity", F.exp("equity"))
 
 
 def drawdown(df: DataFrame, c: str = "equity", by: list[str] | None = None) -> DataFrame:
     """df with drawdown: c over its running maximum less 1, never above 0."""
-    w = Window.partitionBy(*(by or ["asset"])).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("drawdown", F.try_divide(F.col(c), F.max(c).over(w)) - 1)
+    top = blocks.running(df, {"drawdown": ("max", F.col(c))}, tuple(by or ["asset"]))
+    return top.withColumn("drawdown", F.try_divide(F.col(c), "drawdown") - 1)
 
 
 def equity_metrics(df: DataFrame, by: list[str] | None = None, periods: float | None = None) -> DataFrame:
