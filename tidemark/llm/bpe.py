@@ -37,9 +37,9 @@ from tidemark.llm.words import hash_words, mix, same_words
 #: Strings in a bucket of the perfect hash, on average.
 BUCKET = 4
 #: Pre-tokens of a chunk, and misses that a worker remembers (some 200 bytes each).
-CHUNK, KEPT = 1 << 18, 1 << 20
-#: Bytes up to which a miss is remembered.
-KEPT_BYTES = 64
+CHUNK, KEPT = 1 << 19, 1 << 20
+#: Signs up to which a miss is remembered.
+KEPT_SIGNS = 32
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,62 +134,71 @@ class Coder:
         self.wide = max(self.strings) + 1
         # by a pair of ids: the rank of what it makes
         self.joins = {by[s[:i]] * self.wide + by[s[i:]]: r for r, s in self.strings.items() for i in range(1, len(s)) if s[:i] in by and s[i:] in by}
-        self.kept: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.kept: dict[str, bytes] = {}  # ids of misses as 32-bit integers
+        self.older: dict[str, bytes] = {}  # those of the generation before, which come back when they are met again
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of bytes that aren't in the vocabulary as a whole."""
-        n, wide, joins = len(raw), self.wide, self.joins.get
-        ids = [self.byte[x] for x in raw]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [joins(a * wide + b, -1) for a, b in zip(ids, ids[1:])] + [-1]  # by place: the rank that it and the next make
-        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+        n, joins, wide = len(raw), self.joins.get, self.wide
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        ids = [*map(self.byte.__getitem__, raw)]
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        pair = [joins(a * wide + b, -1) for a, b in zip(ids, ids[1:])]  # by place: the rank that it and the next make
+        pair.append(-1)
+        heap = [r << bits | i for i, r in enumerate(pair) if r >= 0]
         heapify(heap)
         while heap:
-            rank, i = divmod(heappop(heap), n)
+            entry = heappop(heap)
+            i, rank = entry & place, entry >> bits
             if pair[i] != rank:  # it was joined with another since
                 continue
             j = after[i]
-            k = after[j]
-            ids[i], ids[j], pair[j], after[i] = rank, -1, -1, k
+            ids[i] = rank
+            ids[j] = pair[j] = -1
+            after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 pair[i] = r = joins(rank * wide + ids[k], -1)
                 if r >= 0:
-                    heappush(heap, r * n + i)
+                    heappush(heap, r << bits | i)
             else:
                 pair[i] = -1
             h = before[i]
             if h >= 0:
                 pair[h] = r = joins(ids[h] * wide + rank, -1)
                 if r >= 0:
-                    heappush(heap, r * n + h)
+                    heappush(heap, r << bits | h)
         return [x for x in ids if x >= 0]
 
-    def _miss(self, token: str) -> bytes:
-        raw = token.encode()
-        ids = array("i", self.merge(raw)).tobytes()
-        if len(raw) <= KEPT_BYTES:
+    def _miss(self, token: str, raw: bytes) -> bytes:
+        ids = self.older.get(token)
+        if ids is None:
+            ids = array("i", self.merge(raw)).tobytes()
+        if len(token) <= KEPT_SIGNS:
             self.kept[token] = ids
         return ids
 
     def ids_of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pre-tokens one after another, and how many each has."""
-        coded = pa.array(tokens, pa.large_string()).dictionary_encode()
-        distinct = coded.dictionary
-        _, offsets, data = distinct.buffers()
-        at = np.frombuffer(offsets, np.int64)[: len(distinct) + 1]
-        data = np.frombuffer(data, np.uint8)[: at[-1]]
-        rank = self.vocabulary.ranks_of(data, at[:-1], at[1:])
+        index = dict.fromkeys(tokens)
+        for i, token in enumerate(index):
+            index[token] = i
+        codes = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+        distinct = list(index)
+        raw = [token.encode() for token in distinct]
+        end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        rank = self.vocabulary.ranks_of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], end[:-1]]), end)
         missed = np.flatnonzero(rank < 0)
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        found = [self.kept.get(token) or self._miss(token) for token in distinct.take(pa.array(missed)).to_pylist()]
+        if len(self.kept) > KEPT // 2:
+            self.kept, self.older = {}, self.kept
+        kept = self.kept.get
+        found = [kept(distinct[i]) or self._miss(distinct[i], raw[i]) for i in missed.tolist()]
         count = np.ones(len(distinct), np.int64)
         count[missed] = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ends = np.cumsum(count)
         flat = np.repeat(rank, count)
         flat[np.repeat(rank < 0, count)] = np.frombuffer(b"".join(found), np.int32)
-        codes = np.asarray(coded.indices).astype(np.int64)
         sizes = count[codes]
         total = np.cumsum(sizes)
         where = np.repeat((ends - count)[codes] - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)
