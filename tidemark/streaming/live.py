@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import bars as b
 from tidemark.operators import forecast as fc
@@ -20,20 +21,34 @@ from tidemark.schema import BARS, DAY_MS, FORWARD_RETURNS, HOUR_MS, PREDICTIONS
 from tidemark.sources import sinks
 
 
+#: What is open: a forecast's asset and time, or a return's asset, breakout time and target time.
+OPEN = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "asset")] + [T.StructField(c, T.LongType()) for c in ("ts", "target_ts")])
+
+
 @dataclass
 class State:
     bars: sinks.Table
     predictions: sinks.Table
     returns: sinks.Table
+    open: sinks.Table  # keys of pending rows alone, so that no cycle looks for them in all others
 
 
 def state(spark: SparkSession, path: str) -> State:
-    tables = State(sinks.Table(spark, f"{path}/bars", BARS), sinks.Table(spark, f"{path}/predictions", PREDICTIONS), sinks.Table(spark, f"{path}/returns", FORWARD_RETURNS))
+    tables = State(sinks.Table(spark, f"{path}/bars", BARS), sinks.Table(spark, f"{path}/predictions", PREDICTIONS), sinks.Table(spark, f"{path}/returns", FORWARD_RETURNS), sinks.Table(spark, f"{path}/open", OPEN))
     for t in (tables.bars, tables.predictions, tables.returns):
         t.create()
+    if not tables.open.version():  # also of a state that was made before: once
+        tables.open.write(still_open(tables.predictions.read(), tables.returns.read()))
     return tables
 
 
+def still_open(predictions: DataFrame, returns: DataFrame) -> DataFrame:
+    """Keys of the pending rows of both."""
+    a = predictions.filter("actual_range IS NULL").select(F.lit("forecast").alias("kind"), "asset", "ts", F.col("ts").alias("target_ts"))
+    b = returns.filter("forward_return IS NULL").select(F.lit("return").alias("kind"), "asset", F.col("breakout_ts").alias("ts"), "target_ts")
+    return a.unionByName(b)
+
+
 def complete(predictions: DataFrame, bars: DataFrame) -> DataFrame:
     actual = fc.ranges(bars).select("asset", "ts", F.col("range").alias("actual_range"))
     return sinks.completed_once(predictions, actual, ["asset", "ts"])
@@ -74,23 +89,38 @@ def calibration(s: State, reports_: sinks.Table, now_ms: int, every_ms: int = DA
 
 
 def cycle(s: State, incoming: DataFrame, now_ms: int, horizons: tuple[int, ...] = (1, 2, 3), width_ms: int = HOUR_MS, bias: bool = False, context: int = 2000) -> dict[str, int]:
-    """One cycle over incoming bars, as of now_ms. Partitions of the last `context` bars are read, and those of rows that are pending or new
-    are rewritten. bias: correct forecasts by last week's mean error."""
+    """One cycle over incoming bars, as of now_ms. Partitions of the last `context` bars are read, and those of rows that are pending or new, however old,
+    are rewritten. bias: correct forecasts by last week's mean error. The keys of pending rows are a table of their own: it names new rows before they
+    are written and forgets completed ones after, so that a cycle that breaks off loses none."""
     fresh = b.closed(incoming, now_ms, width_ms)
     counts = sinks.insert_new(s.bars, fresh.select(BARS.fieldNames()), ["asset", "ts"], checks=sinks.valid_bar())
     # forecasts read the newest bars only: partitions before the context are never opened
     have = b.closed(s.bars.read(recent(s.bars, now_ms, context * width_ms)), now_ms, width_ms)
-    pending = s.predictions.read().filter("actual_range IS NULL")
+    open_ = s.open.read()
+    pending = open_.filter("kind = 'forecast'").select("asset", "ts")
     biased = with_bias(predict(have, width_ms=width_ms), s.predictions.read(recent(s.predictions, now_ms, 8 * DAY_MS)), now_ms) if bias else predict(have, width_ms=width_ms)
-    made = biased.unionByName(pending.select(biased.columns))
+    named = biased.select(F.lit("forecast").alias("kind"), "asset", "ts", F.col("ts").alias("target_ts"))
+    s.open.write(open_.unionByName(named).distinct())
+    parts = s.predictions.parts_of(biased.select("ts").union(pending.select("ts")))
     actual = b.closed(s.bars.read(s.bars.parts_of(pending)), now_ms, width_ms)
-    sinks.update(s.predictions, made, lambda old: (done := complete(old, actual)).unionByName(sinks.new_rows(done, biased, ["asset", "ts"])))
-    hits = s.predictions.read(recent(s.predictions, now_ms, context * width_ms)).filter("breakout_flag = 1").join(have.select("asset", "ts", "open", "close"), ["asset", "ts"])
+    old = s.predictions.read(parts)
+    done = complete(old, actual)
+    s.predictions.replace(done.unionByName(sinks.new_rows(done, biased, ["asset", "ts"])), parts)
+    # only partitions in which rows were completed can have new breakouts
+    flagged = s.predictions.read(parts).filter("breakout_flag = 1")
+    hits = flagged.join(s.bars.read(s.bars.parts_of(flagged)).select("asset", "ts", "open", "close"), ["asset", "ts"])
     breakouts = hits.select(F.col("ts").alias("breakout_ts"), "asset", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1).alias("direction"), F.col("close").alias("base_close"))
     fanned = sinks.fan_out(breakouts, list(horizons), width_ms).select(FORWARD_RETURNS.fieldNames())
-    open_ = s.returns.read().filter("forward_return IS NULL").select(FORWARD_RETURNS.fieldNames())
-    key = ["asset", "breakout_ts", "horizon"]
-    sinks.update(s.returns, fanned.unionByName(open_), lambda old: sinks.fill_forward_returns(old.unionByName(sinks.new_rows(old, fanned, key)), have, now_ms))
+    waiting = s.open.read().filter("kind = 'return'")
+    asked = fanned.select("asset", F.col("breakout_ts").alias("ts"), "target_ts").unionByName(waiting.select("asset", "ts", "target_ts"))
+    rows = s.returns.parts_of(asked.select(F.col("ts").alias("breakout_ts")))
+    if rows:
+        s.open.write(s.open.read().unionByName(asked.select(F.lit("return").alias("kind"), "asset", "ts", "target_ts")).distinct())
+        # the bars that returns wait for, however long ago they were due
+        due = b.closed(s.bars.read(s.bars.parts_of(asked.select(F.col("target_ts").alias("ts")))), now_ms, width_ms)
+        before = s.returns.read(rows)
+        s.returns.replace(sinks.fill_forward_returns(before.unionByName(sinks.new_rows(before, fanned, ["asset", "breakout_ts", "horizon"])), due, now_ms), rows)
+    s.open.write(still_open(s.predictions.read(parts), s.returns.read(rows)))
     return counts
 
 
