@@ -3,20 +3,28 @@
 A scan is planned as page ranges, one input partition each, so pages are fetched in
 parallel and Spark repeats a page whose task is lost. A page is fetched by a
 `client` (an importable "module:function") called as client(symbol, timeframe, since_ms,
-limit) and retried with exponential backoff; tests give a client over files.
+limit) and retried with exponential backoff; tests give a client over files. A server may answer with fewer rows than
+asked for, so only an empty answer ends a range.
+
+The same pages are a stream, whose offsets are the next bar's time of each symbol: every micro-batch plans the page ranges from there
+to the last closed bar, and a restart goes on from the offset that was committed.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 import random
 import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tidemark.functions import blocks
+from tidemark.functions import ts as t
 from tidemark.schema import BARS, FUNDING
 
 TIMEFRAMES = {"1m": 60_000, "5m": 300_000, "15m": 900_000, "30m": 1_800_000, "1h": 3_600_000, "4h": 14_400_000, "1d": 86_400_000}
@@ -45,8 +53,33 @@ def with_retries(call, attempts: int = 5, base_s: float = 0.5, sleep=time.sleep)
 
 
 class Page(InputPartition):
-    def __init__(self, since: int, until: int) -> None:
-        self.since, self.until = since, until
+    def __init__(self, since: int, until: int, symbol: str | None = None) -> None:
+        self.since, self.until, self.symbol = since, until, symbol
+
+
+def page_ranges(since: int, until: int, step: int, limit: int, symbol: str | None = None) -> list[Page]:
+    """Pages of `limit` steps, from since to until."""
+    width = step * limit
+    return [Page(a, min(a + width, until), symbol) for a in range(since, until, width)]
+
+
+def budget(since: int, until: int, step: int, limit: int, max_requests: int) -> tuple[int, tuple[int, int] | None]:
+    """The end of what max_requests pages cover, and the range that is left after it (None if nothing is)."""
+    end = min(until, since + step * limit * max_requests)
+    return end, ((end, until) if end < until else None)
+
+
+def fetched(options: dict, page: Page, step: int, limit: int, events: bool) -> Iterator[tuple]:
+    """The rows of a page range, by as many requests as the server's answers need."""
+    client, symbol, at = load(options["client"]), page.symbol or options["symbol"], page.since
+    while at < page.until:
+        rows = with_retries(lambda at=at: client(symbol, options.get("timeframe", "1h"), at, limit), int(options.get("attempts", 5)), float(options.get("backoff", 0.5)))
+        rows = [r for r in rows if at <= r[0] < page.until]
+        for r in rows:
+            yield (symbol, int(r[0]), *(float(x) for x in r[1:]))
+        if not rows:
+            return
+        at = int(max(r[0] for r in rows)) + (1 if events else step)
 
 
 class PagedReader(DataSourceReader):
@@ -60,22 +93,47 @@ class PagedReader(DataSourceReader):
         if not self.events:
             now = self.o.get("now")
             until = min(until, int(now) - self.step + 1) if now else until  # closed bars only
-        width = self.step * self.limit
-        pages = [Page(a, min(a + width, until)) for a in range(since, until, width)]
-        return pages[: int(self.o["max_requests"])] if "max_requests" in self.o else pages  # the caller's own bound on requests
+        pages = page_ranges(since, until, self.step, self.limit)
+        if "max_requests" in self.o and len(pages) > int(self.o["max_requests"]):
+            # nothing is left out unseen: budget() says what a number of requests covers and what is left
+            raise Fatal(f"{len(pages)} page ranges are more than {self.o['max_requests']} requests")
+        return pages
 
     def read(self, page: Page) -> Iterator[tuple]:
-        client = load(self.o["client"])
-        at = page.since
-        while at < page.until:
-            rows = with_retries(lambda at=at: client(self.o["symbol"], self.o.get("timeframe", "1h"), at, self.limit), int(self.o.get("attempts", 5)), float(self.o.get("backoff", 0.5)))
-            rows = [r for r in rows if at <= r[0] < page.until]
-            for r in rows:
-                yield (self.o["symbol"], int(r[0]), *(float(x) for x in r[1:]))
-            # a server may cap a page of events below the limit: only an empty one ends them
-            if not rows or (not self.events and len(rows) < self.limit):
-                return
-            at = int(max(r[0] for r in rows)) + (1 if self.events else self.step)
+        yield from fetched(self.o, page, self.step, self.limit, self.events)
+
+
+class PagedStream(DataSourceStreamReader):
+    """Offsets: the next bar's time of each symbol. The time is the machine's, or `clock_ms`."""
+
+    def __init__(self, options: dict) -> None:
+        self.o, self.step, self.limit = options, TIMEFRAMES[options.get("timeframe", "1h")], int(options.get("limit", 1000))
+        self.symbols = sorted(s for s in options["symbols"].split(",") if s)
+
+    def initialOffset(self) -> dict:
+        return {s: int(self.o["since"]) for s in self.symbols}
+
+    def latestOffset(self) -> dict:
+        now = int(self.o["clock_ms"]) if "clock_ms" in self.o else int(time.time() * 1000)
+        since = int(self.o["since"])
+        closed = max(since, since + (now - since) // self.step * self.step)  # a bar is closed once the next one opens
+        return {s: closed for s in self.symbols}
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        return [p for s in sorted(end) for p in page_ranges(int(start.get(s, self.o["since"])), int(end[s]), self.step, self.limit, s)]
+
+    def read(self, page: Page) -> Iterator[tuple]:
+        seen = set()  # an answer may repeat rows
+        for row in fetched(self.o, page, self.step, self.limit, False):
+            if row[1] not in seen:
+                seen.add(row[1])
+                yield row
+
+    def commit(self, end: dict) -> None:
+        """Where `progress` is given, the committed offset is written there, for people to look at."""
+        if "progress" in self.o:
+            with open(self.o["progress"], "w") as f:
+                json.dump(end, f)
 
 
 class Candles(DataSource):
@@ -91,6 +149,9 @@ class Candles(DataSource):
     def reader(self, schema: StructType) -> PagedReader:
         return PagedReader(dict(self.options), False)
 
+    def streamReader(self, schema: StructType) -> PagedStream:
+        return PagedStream(dict(self.options))
+
 
 class Funding(DataSource):
     """Settlement events in [since, until)."""
@@ -113,9 +174,22 @@ def read_pages(spark: SparkSession, kind: str, client: str, symbol: str, since:
     return reader.load().dropDuplicates(["asset", "ts"])
 
 
+def stream_pages(spark: SparkSession, client: str, symbols: list[str], since: int, **options) -> DataFrame:
+    """A stream of the closed bars of symbols from a time on."""
+    spark.dataSource.register(Candles)
+    return spark.readStream.format("candles").options(client=client, symbols=",".join(symbols), since=str(since), **{k: str(v) for k, v in options.items()}).load()
+
+
+def missing(have: DataFrame, since: int, until: int, step: int) -> DataFrame:
+    """asset, first, end: every range of an asset's bars that isn't stored within [since, until): before its first bar, in holes and after its last."""
+    edges = have.select("asset").distinct().select("asset", F.explode(F.array(F.lit(since - step), F.lit(until))).alias("ts"))
+    rows = have.filter((F.col("ts") >= since) & (F.col("ts") < until)).select("asset", "ts").unionByName(edges).distinct()
+    own = blocks.bounded(rows, lambda x: x.withColumn("end", t.lead("ts")), 0, 1)
+    return own.filter(F.col("end") - F.col("ts") > step).select("asset", (F.col("ts") + step).alias("first"), "end")
+
+
 def missing_ranges(have: DataFrame, since: int, until: int, step: int) -> list[tuple[int, int]]:
-    """Ranges still to fetch around what is stored: before its first and after its last bar."""
-    r = have.agg({"ts": "min"}).first()[0], have.agg({"ts": "max"}).first()[0]
-    if r[0] is None:
-        return [(since, until)]
-    return [(a, b) for a, b in ((since, min(until, r[0])), (max(since, r[1] + step), until)) if a < b]
+    """Ranges still to fetch of one asset, in order (as many as there are holes)."""
+    if have.isEmpty():
+        return [(since, until)] if since < until else []
+    return sorted((r["first"], r["end"]) for r in missing(have.withColumn("asset", F.lit("")), since, until, step).collect())
