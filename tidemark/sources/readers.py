@@ -68,22 +68,41 @@ def bars_cascade(spark: SparkSession, asset: str, csv: str | None = None, cache:
     return fallback()
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Partitions for rows that stand for parts of files: a stated number, since adaptive plans would join rows that are this small."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _ipc(path: str):
+    """An Arrow IPC file, of which only the footer is read yet."""
+    import pyarrow as pa
+
+    return pa.ipc.open_file(pa.memory_map(path.removeprefix("file://"), "r"))
+
+
 def bars_feather(spark: SparkSession, paths: list[str], asset: str) -> DataFrame:
-    """Bars of Arrow IPC (feather) files on a shared file system, one task a file; the first column named like a date is the time."""
+    """Bars of Arrow IPC (feather) files on a shared file system; the first column named like a date is the time. Footers say which record
+    batches a file has; each batch is read by itself, so that one large file is many tasks."""
     import pandas as pd
 
-    def load(batches):
-        import pyarrow.feather as feather
+    def footers(frames):
+        for frame in frames:
+            for file, path in zip(frame["file"], frame["path"]):
+                n = _ipc(path).num_record_batches
+                yield pd.DataFrame({"file": file, "path": path, "batch": range(n)})
 
-        for batch in batches:
-            for path in batch["path"]:
-                pdf = feather.read_feather(path)
+    def load(frames):
+        for frame in frames:
+            for file, path, k in zip(frame["file"], frame["path"], frame["batch"]):
+                pdf = _ipc(path).get_batch(k).to_pandas()
                 pdf.columns = [c.lower() for c in pdf.columns]
                 at = pd.to_datetime(pdf[next(c for c in ("date", "timestamp", "ts") if c in pdf.columns)], utc=True)
-                yield pd.DataFrame({"asset": asset, "ts": at.astype("datetime64[ms, UTC]").astype("int64"), **{c: pdf[c].astype(float) for c in ("open", "high", "low", "close", "volume")}, "seq": range(len(pdf))})
+                yield pd.DataFrame({"asset": asset, "ts": at.astype("datetime64[ms, UTC]").astype("int64"), **{c: pdf[c].astype(float) for c in ("open", "high", "low", "close", "volume")}, "file": file, "batch": k, "row": range(len(pdf))})
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return dedup(files.mapInPandas(load, "asset string, ts long, open double, high double, low double, close double, volume double, seq long"), ["asset", "ts"], "seq").drop("seq")
+    files = spark.createDataFrame(list(enumerate(paths)), "file long, path string").repartition(max(1, len(paths)))
+    batches = files.mapInPandas(footers, "file long, path string, batch long").repartition(_tasks(spark), "file", "batch")
+    rows = batches.mapInPandas(load, "asset string, ts long, open double, high double, low double, close double, volume double, file long, batch long, row long")
+    return dedup(rows.withColumn("seq", F.struct("file", "batch", "row")), ["asset", "ts"], "seq").drop("seq", "file", "batch", "row")
 
 
 def funding_json(spark: SparkSession, path: str) -> DataFrame:
@@ -129,24 +148,32 @@ def trades_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def trades_zip(spark: SparkSession, path: str) -> DataFrame:
-    """As trades_json, of zipped result files (one file is one archive, read whole)."""
+    """As trades_json, of zipped result files on a shared file system. Central directories say which members an archive has; each member is read by
+    itself, at its place in the file."""
     import pandas as pd
 
-    def load(batches):
-        import io
+    def members(frames):
+        import zipfile
+
+        for frame in frames:
+            for file in frame["path"]:
+                with zipfile.ZipFile(file) as z:
+                    yield pd.DataFrame({"path": file, "member": [n for n in z.namelist() if n.endswith(".json")]}, dtype=object)
+
+    def load(frames):
         import json
         import zipfile
 
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.endswith(".json"):
-                            body = json.loads(z.read(name))
-                            rows = [(k, x.get("pair"), x.get("profit_ratio"), x.get("close_timestamp")) for k, v in (body.get("strategy") or {}).items() for x in v.get("trades", [])]
-                            yield pd.DataFrame(rows, columns=["strategy", "pair", "profit_ratio", "close_timestamp"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(load, "strategy string, pair string, profit_ratio double, close_timestamp long")
+        for frame in frames:
+            for file, member in zip(frame["path"], frame["member"]):
+                with zipfile.ZipFile(file) as z, z.open(member) as f:
+                    body = json.load(f)
+                rows = [(k, x.get("pair"), x.get("profit_ratio"), x.get("close_timestamp")) for k, v in (body.get("strategy") or {}).items() for x in v.get("trades", [])]
+                yield pd.DataFrame(rows, columns=["strategy", "pair", "profit_ratio", "close_timestamp"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"))
+    parts = files.mapInPandas(members, "path string, member string").repartition(_tasks(spark), "path", "member")
+    return parts.mapInPandas(load, "strategy string, pair string, profit_ratio double, close_timestamp long")
 
 
 def log_metrics(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
