@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import blocks
 from tidemark.functions import ts as t
+from tidemark.operators import ordered
 from tidemark.schema import HOUR_MS, require_columns
 
 PRICES = ("open", "high", "low", "close")
@@ -73,8 +75,8 @@ def on_grid(bars: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
 
 def infer_width(bars: DataFrame) -> DataFrame:
     """asset, median_ms, width_ms: the usual frame within 1 % of the median spacing, NULL if none is."""
-    gaps = bars.select("asset", (F.col("ts") - t.lag("ts")).alias("d"))
-    median = gaps.groupBy("asset").agg(F.median("d").alias("median_ms"))
+    gaps = blocks.bounded(bars.select("asset", "ts"), lambda x: x.withColumn("d", F.col("ts") - t.lag("ts")), 1)
+    median = ordered.with_quantiles(bars.select("asset").distinct(), ordered.quantiles(gaps, F.col("d"), ["asset"], {"median_ms": 0.5}), ["asset"])
     known = F.array(*(F.lit(m * 60_000) for m in (1, 5, 15, 30, 60, 240, 1440)))
     fit = F.filter(known, lambda w: F.abs(F.col("median_ms") - w) <= w * 0.01)
     return median.withColumn("width_ms", F.try_element_at(fit, F.lit(1)).cast("long"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
 from tidemark.functions import ts as t
+from tidemark.operators import ordered
 from tidemark.operators.stats import pearson
 
 
@@ -190,7 +191,7 @@ def regime_tracking(rows: DataFrame, forecast: str, actual: str, by: list[str],
 
 def trim_extremes(rows: DataFrame, value: str, by: list[str], q: float = 0.99) -> DataFrame:
     """Rows whose size is within the q-quantile of their group."""
-    limit = rows.groupBy(*by).agg(F.percentile(F.abs(value), q).alias("_q"))
+    limit = ordered.quantiles(rows, F.abs(value), by, {"_q": q})
     return rows.join(limit, by).filter(F.abs(value) <= F.col("_q")).drop("_q")
 
 

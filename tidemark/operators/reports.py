@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
 from tidemark.functions import ts as t
+from tidemark.operators import ordered
 from tidemark.schema import DAY_MS, HOUR_MS
 
 
@@ -149,7 +150,8 @@ def coefficient_drift(fitted: DataFrame, names: list[str]) -> DataFrame:
 
 def funding_stats(events: DataFrame) -> DataFrame:
     """Rows, span, 5th, 50th and 95th percentile and settlement hours of rates."""
-    return events.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *(F.percentile("rate", q).alias(f"p{int(q * 100)}") for q in (0.05, 0.5, 0.95)), F.array_sort(F.collect_set(F.hour(F.timestamp_millis("ts")))).alias("hours"))
+    own = events.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_set(F.hour(F.timestamp_millis("ts")))).alias("hours"))
+    return ordered.with_quantiles(own, ordered.quantiles(events, F.col("rate"), ["asset"], {f"p{int(q * 100)}": q for q in (0.05, 0.5, 0.95)}), ["asset"])
 
 
 def paper_pnl(positions: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import ts as t
+from tidemark.operators import ordered
 
 
 def _scalar(fn):
@@ -104,7 +104,7 @@ def pearson(x: str, y: str, least: float = 0.0) -> Column:
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, n, spearman: correlation of average ranks."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.withColumn("_a", t.average_rank(x, tuple(by))).withColumn("_b", t.average_rank(y, tuple(by)))
+    ranked = ordered.average_ranks(ordered.average_ranks(rows, x, by, "_a"), y, by, "_b")
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson("_a", "_b").alias("spearman"))
 
 
@@ -151,7 +151,7 @@ def coin_flip(df: DataFrame, correct: str, by: list[str], ts: str | Column = "ts
 def wilcoxon(df: DataFrame, diff: str, by: list[str]) -> DataFrame:
     """by, n, w_plus, w_minus, z, p_value: signed ranks without zeros, normal approximation corrected for ties."""
     rows = df.filter(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("_a", F.abs(diff))
-    ranked = rows.withColumn("_r", t.average_rank("_a", tuple(by))).withColumn("_g", F.count(F.lit(1)).over(Window.partitionBy(*by, "_a")))
+    ranked = ordered.average_ranks(rows, "_a", by, "_r", "_g")
     sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col(diff) > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col(diff) < 0, F.col("_r"))), F.lit(0.0)).alias("w_minus"), F.sum((F.col("_g") * F.col("_g") - 1.0)).alias("_ties"))
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
@@ -204,7 +204,8 @@ def bootstrap_ci(df: DataFrame, value: str, by: list[str], draws: int = 10_000,
 def paired_errors(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """by, n, mean_diff, median_diff, sd_diff, cohen_dz, mae_a, mae_b, winner of two error columns on rows with both."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_d", F.abs(a) - F.abs(b))
-    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), F.median("_d").alias("median_diff"), F.stddev_samp("_d").alias("sd_diff"), F.avg(F.abs(a)).alias("mae_a"), F.avg(F.abs(b)).alias("mae_b"))
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), F.stddev_samp("_d").alias("sd_diff"), F.avg(F.abs(a)).alias("mae_a"), F.avg(F.abs(b)).alias("mae_b"))
+    out = ordered.with_quantiles(out, ordered.quantiles(rows, F.col("_d"), by, {"median_diff": 0.5}), by)
     return out.withColumn("cohen_dz", F.try_divide("mean_diff", "sd_diff")).withColumn("winner", F.when(F.col("mean_diff") < 0, "a").when(F.col("mean_diff") > 0, "b").otherwise("tie"))
 
 
