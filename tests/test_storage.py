@@ -104,8 +104,11 @@ def test_short_pages_do_not_end_the_events(spark):
 def test_requests_are_bounded_and_upgrades_keep_rows(spark, tmp_path):
     from pyspark.sql import types as T
 
-    got = rest.read_pages(spark, "candles", "tests.test_storage:client", "x", BASE, BASE + 30 * HOUR_MS, limit=7, max_requests=2)
-    assert got.count() == 14
+    until, left = rest.budget(BASE, BASE + 30 * HOUR_MS, HOUR_MS, 7, 2)
+    got = rest.read_pages(spark, "candles", "tests.test_storage:client", "x", BASE, until, limit=7, max_requests=2)
+    assert got.count() == 14 and left == (BASE + 14 * HOUR_MS, BASE + 30 * HOUR_MS)
+    with pytest.raises(Exception, match="more than 2 requests"):
+        rest.read_pages(spark, "candles", "tests.test_storage:client", "x", BASE, BASE + 30 * HOUR_MS, limit=7, max_requests=2).count()
     table = sinks.Table(spark, str(tmp_path / "t"), BARS)
     table.write(frame(spark, walk(5)))
     more = T.StructType([*BARS.fields, T.StructField("note", T.StringType())])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +40,15 @@ def _raw(rows: DataFrame) -> DataFrame:
 # Sources ----------------------------------------------------------------------------------------------
 
 
-@query("src_bars_csv_gzip", "SELECT * FROM d WHERE asset = 'A'", v.BARS_1D, floats=PRICES)
+@query("src_bars_csv_gzip", "SELECT * FROM d", v.BARS_1D, floats=PRICES)
 def _(spark, d):
-    path, rows = scratch(spark), v.bars_1d(spark, d).filter("asset = 'A'")
-    bad = rows.limit(1).select(F.lit("no time").alias("timestamp"), *(F.lit("1").alias(c) for c in PRICES.split()))
-    _raw(rows).unionByName(bad).write.option("header", True).option("compression", "gzip").csv(path)
-    return readers.bars_csv(spark, path, "A")
+    path, rows = scratch(spark), v.bars_1d(spark, d)
+    assets = [r[0] for r in rows.select("asset").distinct().collect()]
+    for asset in assets:  # a folder of files for each asset, as sources have them
+        own = rows.filter(F.col("asset") == asset)
+        bad = own.limit(1).select(F.lit("no time").alias("timestamp"), *(F.lit("1").alias(c) for c in PRICES.split()))
+        _raw(own).unionByName(bad).write.option("header", True).option("compression", "gzip").csv(f"{path}/{asset}")
+    return reduce(DataFrame.unionByName, [readers.bars_csv(spark, f"{path}/{asset}", asset) for asset in assets])
 
 
 @query(
@@ -112,15 +116,17 @@ def _(spark, d):
 
 @query(
     "src_trades_json",
-    "SELECT 's' AS strategy, asset AS pair, ts AS close_timestamp, close / open - 1 AS profit_ratio FROM d WHERE ts % 864000000 = 0",
+    "SELECT 's' AS strategy, asset AS pair, ts AS close_timestamp, close / open - 1 AS profit_ratio FROM d",
     v.BARS_1D,
     keys="strategy pair close_timestamp", floats="profit_ratio",
 )
 def _(spark, d):
     path = scratch(spark)
-    rows = v.bars_1d(spark, d).filter("ts % 864000000 = 0").select(F.col("asset").alias("pair"), (F.col("close") / F.col("open") - 1).alias("profit_ratio"), F.col("ts").alias("close_timestamp"))
-    one = rows.agg(F.collect_list(F.struct("*")).alias("trades"))  # a result file is one object
-    one.select(F.create_map(F.lit("s"), F.struct("trades")).alias("strategy")).write.json(path)
+    rows = v.bars_1d(spark, d).select(F.col("asset").alias("pair"), (F.col("close") / F.col("open") - 1).alias("profit_ratio"), F.col("ts").alias("close_timestamp"))
+    # a result file is one object: one of each pair's trades of a year
+    year = F.year(F.timestamp_millis("close_timestamp"))
+    runs = rows.groupBy(F.concat_ws("-", "pair", year.cast("string")).alias("run")).agg(F.collect_list(F.struct("pair", "profit_ratio", "close_timestamp")).alias("trades"))
+    runs.select("run", F.create_map(F.lit("s"), F.struct("trades")).alias("strategy")).write.partitionBy("run").json(path)
     return readers.trades_json(spark, path)
 
 
@@ -169,34 +175,44 @@ def _(spark, d):
     return b.canonical(text.unionByName(later).unionByName(broken))
 
 
-FIRST = 1_704_067_200_000
+def stored_client(symbol: str, timeframe: str, since: int, limit: int) -> list[list]:
+    """An exchange over stored bars: symbol is `asset@folder` (partitioned by asset); a page never holds more than 50 rows, whatever is asked for."""
+    return _page(symbol, PRICES.split(), since, min(limit, 50))
 
 
-def hourly_client(symbol: str, timeframe: str, since: int, limit: int) -> list[list]:
-    """An exchange of 500 hourly bars."""
-    first = max(0, -(-(since - FIRST) // HOUR_MS))
-    return [[FIRST + i * HOUR_MS, 10.0 + i % 7, 12.0 + i % 7, 9.0, 11.0 + i % 5, float(i)] for i in range(first, min(500, first + limit))]
+def funding_client(symbol: str, timeframe: str, since: int, limit: int) -> list[list]:
+    """Stored settlements; pages overlap by an hour."""
+    return _page(symbol, ["rate"], since - HOUR_MS, limit)
 
 
-def funding_client(symbol: str, timeframe: str, since: int, limit: int) -> list[list]:
-    """Settlements every eight hours; pages overlap by one event."""
-    events = [[FIRST + i * 8 * HOUR_MS, (i % 9 - 4) / 1e4] for i in range(60)]
-    return [e for e in events if e[0] >= since - 8 * HOUR_MS][:limit]
+def _page(symbol: str, values: list[str], since: int, limit: int) -> list[list]:
+    import pyarrow.compute as pc
+    import pyarrow.dataset as ds
 
+    asset, _, folder = symbol.partition("@")
+    rows = ds.dataset(f"{folder}/asset={asset}", format="parquet").to_table(columns=["ts", *values], filter=pc.field("ts") >= since).sort_by("ts").slice(0, limit)
+    return [list(r.values()) for r in rows.to_pylist()]
 
-@query(
-    "src_rest_candles",
-    f"SELECT 'x' AS asset, {FIRST} + i * 3600000 AS ts, 10.0 + i % 7 AS open, 12.0 + i % 7 AS high, 9.0 AS low, 11.0 + i % 5 AS close, i::DOUBLE AS volume "
-    f"FROM range(0, 480) AS r(i)",
-    floats=PRICES,
-)
+
+def stored(spark: SparkSession, rows: DataFrame) -> tuple[str, list[str], int, int]:
+    """Folder, assets, first time and end of rows stored for the clients (a folder that executors mount)."""
+    folder = scratch(spark)
+    rows.write.partitionBy("asset").parquet(folder)
+    lim = rows.agg(F.min("ts"), F.max("ts")).first()
+    return folder.replace("file://", ""), sorted(r[0] for r in rows.select("asset").distinct().collect()), lim[0], lim[1] + HOUR_MS
+
+
+@query("src_rest_candles", f"SELECT * FROM b WHERE asset = 'click' AND ts + {HOUR_MS} <= (SELECT max(ts) FROM b) - 50 * {HOUR_MS} // 1", v.BARS_1H, floats=PRICES)
 def _(spark, d):
-    return rest.read_pages(spark, "candles", "tidemark.plans.storage:hourly_client", "x", FIRST, FIRST + 1000 * HOUR_MS, limit=37, now=FIRST + 480 * HOUR_MS)
+    folder, _, since, until = stored(spark, v.bars_1h(spark, d))
+    got = rest.read_pages(spark, "candles", f"{__name__}:stored_client", f"click@{folder}", since, until, limit=37, now=until - 51 * HOUR_MS)  # closed bars only
+    return got.withColumn("asset", F.lit("click"))
 
 
-@query("src_rest_funding", f"SELECT 'x' AS asset, {FIRST} + i * 28800000 AS ts, (i % 9 - 4) / 1e4 AS rate FROM range(3, 50) AS r(i)", floats="rate")
+@query("src_rest_funding", "SELECT 'click' AS asset, ts, min(rate) AS rate FROM f GROUP BY ts", v.FUNDING, floats="rate")
 def _(spark, d):
-    return rest.read_pages(spark, "funding", "tidemark.plans.storage:funding_client", "x", FIRST + 20 * HOUR_MS, FIRST + 399 * HOUR_MS, limit=11)
+    folder, _, since, until = stored(spark, _events(spark, d).select(F.lit("click").alias("asset"), "ts", "rate"))
+    return rest.read_pages(spark, "funding", f"{__name__}:funding_client", f"click@{folder}", since, until, limit=110).withColumn("asset", F.lit("click"))
 
 
 # Sinks ------------------------------------------------------------------------------------------------
