@@ -259,4 +259,5 @@ def decode(coded: DataFrame, vocabulary, ids: str = "ids", into: str = "decoded"
         flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n.as_py() or 0 for n in column.value_lengths())])
         return pa.array([coder.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.binary())
 
-    return coded.withColumn(into, of(F.col(ids)))
+    # not the bare column: a call on what encode() made would be run as one with it, and encode() twice
+    return coded.withColumn(into, of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
