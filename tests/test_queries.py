@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from tidemark.plans import details, pending, replays, storage, studies  # noqa: F401  (they add queries and SQL)
+from tidemark.plans import details, further, pending, replays, storage, studies  # noqa: F401  (they add queries and SQL)
 from tidemark.plans import queries as engine
 
 ROOT = Path(__file__).resolve().parents[1]

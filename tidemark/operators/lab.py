@@ -22,6 +22,8 @@ from tidemark.operators import sim
 #: Genomes of one batch at most: what the parameter table may hold when it is joined with bars.
 MOST_GENOMES = 10_000
 FAMILIES = ("trend", "breakout", "reversion", "momentum")
+#: A family that stated genomes may have, but no random one: entries by the relative strength index of `slow` bars under `threshold`, or over 100 less it.
+STRENGTH = "rsi"
 WIDTHS = (5, 10, 20, 50, 100)
 
 
@@ -129,17 +131,35 @@ def hypotheses(spark: SparkSession, directions: list[str], widths: list[int], re
     return out.withColumn("hypothesis_id", s.canonical_id(F.col("direction"), F.col("width"), F.col("regime"), F.col("confirmation")))
 
 
+def testable(made: DataFrame, bars: DataFrame) -> DataFrame:
+    """Hypotheses for every asset that has as many bars as their width, with n, the number of bars. Hypotheses are short lists' combinations
+    and travel as an array with each asset's row."""
+    every = made.agg(F.collect_list(F.struct(*made.columns)).alias("_h")).first()["_h"]
+    if len(every) > MOST_GENOMES:
+        raise ValueError(f"more than {MOST_GENOMES} hypotheses")
+    rows = made.sparkSession.createDataFrame(every, made.schema).withColumn("_one", F.lit(1))
+    counts = bars.groupBy("asset").agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
+    return counts.join(F.broadcast(rows), "_one").filter(F.col("n") >= F.col("width")).drop("_one")
+
+
+def _strength(width: int):
+    """Relative strength index of the changes _d, by plain means (100 without losses)."""
+    up, down = t.mean(F.greatest(F.col("_d"), F.lit(0.0)), width), t.mean(F.greatest(-F.col("_d"), F.lit(0.0)), width)
+    return F.when(t.rolling(F.count, "_d", width).isNotNull(), F.when(down == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.try_divide(up, down))))
+
+
 def signals(bars: DataFrame, genomes: DataFrame) -> DataFrame:
     """bars x genomes with long and short entries and exits. Window values are computed once a bar for each width that the genomes read, then picked by a genome."""
     used = genomes.select("family", "fast", "slow").distinct().collect()  # at most MOST_GENOMES rows
-    known = FAMILIES[:3]  # any other family reads what momentum does
+    known = (*FAMILIES[:3], STRENGTH)  # any other family reads what momentum does
     slow = {f: {r["slow"] for r in used if r["family"] == f} for f in known}
     widths = {
         "m": slow["trend"] | slow["reversion"] | {r["fast"] for r in used if r["family"] == "trend"}, "s": slow["reversion"],
-        "h": slow["breakout"], "l": slow["breakout"], "r": {r["fast"] for r in used if r["family"] not in known},
+        "h": slow["breakout"], "l": slow["breakout"], "r": {r["fast"] for r in used if r["family"] not in known}, "i": slow[STRENGTH],
     }
-    value = {"m": lambda w: t.mean("close", w), "s": lambda w: t.std("close", w), "h": lambda w: t.high("high", w, 1), "l": lambda w: t.low("low", w, 1), "r": lambda w: F.try_divide(F.col("close"), t.lag("close", w)) - 1}
-    own = bars.withColumns({f"_{kind}{w}": value[kind](w) for kind in widths for w in sorted(widths[kind])})
+    value = {"m": lambda w: t.mean("close", w), "s": lambda w: t.std("close", w), "h": lambda w: t.high("high", w, 1), "l": lambda w: t.low("low", w, 1), "r": lambda w: F.try_divide(F.col("close"), t.lag("close", w)) - 1, "i": _strength}
+    own = bars.withColumn("_d", F.col("close") - t.lag("close")) if slow[STRENGTH] else bars
+    own = own.withColumns({f"_{kind}{w}": value[kind](w) for kind in widths for w in sorted(widths[kind])})
     both = own.join(F.broadcast(genomes))  # at most MOST_GENOMES rows
 
     def pick(kind: str, width: str):
@@ -150,8 +170,8 @@ def signals(bars: DataFrame, genomes: DataFrame) -> DataFrame:
 
     c, z = F.col("close"), F.try_divide(F.col("close") - pick("m", "slow"), pick("s", "slow"))
     family = F.col("family")
-    long = F.when(family == "trend", pick("m", "fast") > pick("m", "slow")).when(family == "breakout", c > pick("h", "slow")).when(family == "reversion", z < -F.col("threshold")).otherwise(pick("r", "fast") > F.col("threshold") / 100)
-    short = F.when(family == "trend", pick("m", "fast") < pick("m", "slow")).when(family == "breakout", c < pick("l", "slow")).when(family == "reversion", z > F.col("threshold")).otherwise(pick("r", "fast") < -F.col("threshold") / 100)
+    long = F.when(family == "trend", pick("m", "fast") > pick("m", "slow")).when(family == "breakout", c > pick("h", "slow")).when(family == "reversion", z < -F.col("threshold")).when(family == STRENGTH, pick("i", "slow") < F.col("threshold")).otherwise(pick("r", "fast") > F.col("threshold") / 100)
+    short = F.when(family == "trend", pick("m", "fast") < pick("m", "slow")).when(family == "breakout", c < pick("l", "slow")).when(family == "reversion", z > F.col("threshold")).when(family == STRENGTH, pick("i", "slow") > 100 - F.col("threshold")).otherwise(pick("r", "fast") < -F.col("threshold") / 100)
     return both.select("genome_id", "family", "hold", "asset", "ts", "close", t.true(long).alias("long_entry"), t.true(short).alias("short_entry"), F.lit(False).alias("long_exit"), F.lit(False).alias("short_exit"))
 
 
@@ -232,7 +252,12 @@ def funnel(metrics: DataFrame, trades: DataFrame, pos: DataFrame, stable: DataFr
 
 def family_summary(funnelled: DataFrame, genomes: DataFrame) -> DataFrame:
     """Genomes, survivors, best Sharpe ratio and most frequent reason of each family."""
-    return funnelled.join(genomes.select("genome_id", "family"), "genome_id").groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("failed_at").isNull()).alias("survivors"), F.max("sharpe").alias("best_sharpe"), F.mode(F.coalesce("failed_at", F.lit("none")), True).alias("top_reason"))
+    return summary(funnelled.join(genomes.select("genome_id", "family"), "genome_id"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """The same of rows with family, failed_at (NULL: survived) and sharpe."""
+    return rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("failed_at").isNull()).alias("survivors"), F.max("sharpe").alias("best_sharpe"), F.mode(F.coalesce("failed_at", F.lit("none")), True).alias("top_reason"))
 
 
 def stop_sweep(signal_rows: DataFrame, multipliers: list[float], prediction: str, fee: float = 0.001) -> DataFrame:

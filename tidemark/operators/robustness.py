@@ -10,7 +10,7 @@ COSTS = (1.0, 1.1, 1.25, 1.5, 1.75, 2.0, 2.5)
 MOVES = (-0.2, -0.1, 0.1, 0.2)
 STOPS = (0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 2.75, 3.0)
 
-#: Plain strategies that a funnel is diagnosed with (reversion by z-scores).
+#: Plain strategies that a funnel is diagnosed with (crossing means, channels, relative strength, rates of change).
 BASELINES = [
     {"name": "trend_10_50", "family": "trend", "fast": 10, "slow": 50, "threshold": 1.0, "hold": 24},
     {"name": "trend_20_100", "family": "trend", "fast": 20, "slow": 100, "threshold": 1.0, "hold": 24},
@@ -18,9 +18,9 @@ BASELINES = [
     {"name": "breakout_20", "family": "breakout", "fast": 10, "slow": 20, "threshold": 1.0, "hold": 24},
     {"name": "breakout_48", "family": "breakout", "fast": 10, "slow": 48, "threshold": 1.0, "hold": 24},
     {"name": "breakout_96", "family": "breakout", "fast": 10, "slow": 96, "threshold": 1.0, "hold": 24},
-    {"name": "reversion_14", "family": "reversion", "fast": 7, "slow": 14, "threshold": 1.5, "hold": 24},
-    {"name": "reversion_7", "family": "reversion", "fast": 5, "slow": 7, "threshold": 2.0, "hold": 24},
-    {"name": "reversion_21", "family": "reversion", "fast": 10, "slow": 21, "threshold": 1.0, "hold": 24},
+    {"name": "strength_14_30", "family": "rsi", "fast": 7, "slow": 14, "threshold": 30.0, "hold": 24},
+    {"name": "strength_7_20", "family": "rsi", "fast": 5, "slow": 7, "threshold": 20.0, "hold": 24},
+    {"name": "strength_21_40", "family": "rsi", "fast": 10, "slow": 21, "threshold": 40.0, "hold": 24},
     {"name": "momentum_14", "family": "momentum", "fast": 14, "slow": 50, "threshold": 0.0, "hold": 24},
     {"name": "momentum_48", "family": "momentum", "fast": 48, "slow": 100, "threshold": 2.0, "hold": 24},
 ]

@@ -175,30 +175,49 @@ def t_test(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return out.withColumn("p_greater", F.when(F.col("t_stat") > 0, F.col("p_two_sided") / 2).otherwise(1 - F.col("p_two_sided") / 2))
 
 
-def bootstrap_ci(df: DataFrame, value: str, by: list[str], draws: int = 10_000, level: float = 0.95, seed: int = 0, block: bool = False, ts: str = "ts") -> DataFrame:
+#: Modulus of the numbers that choose what a draw takes: they follow from draw, place and seed alone, so that any task can make any of them.
+PRIME = 2_147_483_647
+
+
+def drawn(draw: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """A number under PRIME for each draw and place (64-bit products only, so that SQL can do the same)."""
+    x = (draw * 1_000_003 + place * 7919 + seed + 1) % PRIME
+    x = x * 48_271 % PRIME
+    x = (x * x + draw) % PRIME
+    x = (x * x + place) % PRIME
+    return x * 69_621 % PRIME
+
+
+def bootstrap_ci(df: DataFrame, value: str, by: list[str], draws: int = 10_000, level: float = 0.95, seed: int = 0, block: bool = False, ts: str = "ts", chunk: int = 500) -> DataFrame:
     """by, n, mean, low, high: percentile interval of the mean; block: circular blocks of n ** (1/3) rows.
 
-    Resampling needs a series' values in order, so it is one function call for each group of (already aggregated) rows; draws go in chunks, to bound memory."""
-    keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    Draws are dealt over tasks in chunks. A task gets the values of one group (8 bytes each) and makes its draws' means: of single rows by looking them up, of blocks
+    by differences of prefix sums, a step for each block."""
+    rows = df.filter(F.col(value).isNotNull())
+    values = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts), F.col(value).cast("double").alias("_v")))), lambda x: x["_v"]).alias("_x"))
+    parts = values.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk))))
+    parts = parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_from")
+
+    def run(frames):
+        for frame in frames:
+            for at in range(len(frame)):
+                x, first = np.asarray(frame["_x"].iloc[at], float), int(frame["_from"].iloc[at])
+                n, own = len(x), np.arange(first, min(first + chunk, draws), dtype=np.int64)
+                size = max(1, int(round(n ** (1 / 3)))) if block else 1
+                k = -(-n // size)
+                sums, step = np.zeros(len(own)), max(1, 2_000_000 // len(own))
+                upto = np.concatenate([[0.0], np.cumsum(np.concatenate([x, x[: size - 1]]))])
+                for a in range(0, k, step):
+                    place = np.arange(a, min(a + step, k), dtype=np.int64)
+                    start = drawn(own[:, None], place[None, :], seed) % n
+                    taken = np.minimum(size, n - place * size)[None, :]  # the last block ends with the n-th value
+                    sums += (x[start] if size == 1 else upto[start + taken] - upto[start]).sum(1)
+                out = {c: frame[c].iloc[at] for c in by}
+                yield pd.DataFrame({**{c: [v] * len(own) for c, v in out.items()}, "_m": sums / n})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(ts)[value].to_numpy(float)
-        n, rng = len(x), np.random.default_rng(seed)
-        size = max(1, int(round(n ** (1 / 3)))) if block else 1
-        k = -(-n // size)
-        means = []
-        for at in range(0, draws, max(1, 2_000_000 // n)):
-            m = min(draws - at, max(1, 2_000_000 // n))
-            if block:
-                start = rng.integers(0, n, (m, k))
-                index = ((start[:, :, None] + np.arange(size)) % n).reshape(m, -1)[:, :n]
-            else:
-                index = rng.integers(0, n, (m, n))
-            means.append(x[index].mean(1))
-        low, high = np.quantile(np.concatenate(means), [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), n, x.mean(), low, high]], columns=[*by, "n", "mean", "low", "high"])
-
-    return df.filter(F.col(value).isNotNull()).select(*by, ts, value).groupBy(*by).applyInPandas(run, f"{keys}, n long, mean double, low double, high double")
+    keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    means = parts.mapInPandas(run, f"{keys}, _m double").groupBy(*by).agg(*(F.percentile("_m", q).alias(name) for name, q in (("low", (1 - level) / 2), ("high", (1 + level) / 2))))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).join(means, by)
 
 
 def paired_errors(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:

@@ -1561,7 +1561,24 @@ def _(spark, d):
     return stats.t_test(_daily_returns(spark, d), "ret", ["asset"])
 
 
-@query("bootstrap_ci", keys="asset", floats="mean low high", others="n")
+_MIX = "((({0} * 48271 % 2147483647) * ({0} * 48271 % 2147483647) + d) % 2147483647)"
+_STARTS = f"(({_MIX.format('((d * 1000003 + k * 7919 + 1) % 2147483647)')} * {_MIX.format('((d * 1000003 + k * 7919 + 1) % 2147483647)')} + k) % 2147483647) * 69621 % 2147483647"
+
+
+@query(
+    "bootstrap_ci",
+    "SELECT asset, any_value(n) AS n, any_value(mean) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY asset",
+    v.BARS_1D,
+    "xs AS (SELECT asset, ret AS x, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM "
+    f"(SELECT asset, ts, close / nullif({lag('close')}, 0) - 1 AS ret FROM d) WHERE ret IS NOT NULL)",
+    "sizes AS (SELECT asset, any_value(n) AS n, avg(x) AS mean, greatest(1, round_even(any_value(n) ** (1.0 / 3), 0))::BIGINT AS size FROM xs GROUP BY asset)",
+    "twice AS (SELECT asset, i, x FROM xs UNION ALL SELECT asset, i + n, x FROM xs)",
+    "upto AS (SELECT asset, i, sum(x) OVER (PARTITION BY asset ORDER BY i) AS s FROM twice UNION ALL SELECT asset, -1, 0 FROM sizes)",
+    "picks AS (SELECT asset, n, mean, size, d, k FROM sizes, (SELECT unnest(range(0, 2000)) AS d) dd, LATERAL (SELECT unnest(range(0, (n + size - 1) // size)) AS k) kk)",
+    f"starts AS (SELECT asset, n, mean, d, ({_STARTS}) % n AS a, least(size, n - k * size) AS taken FROM picks)",
+    "means AS (SELECT s.asset, s.d, any_value(n) AS n, any_value(mean) AS mean, sum(z.s - y.s) / any_value(n) AS m FROM starts s JOIN upto y ON y.asset = s.asset AND y.i = s.a - 1 JOIN upto z ON z.asset = s.asset AND z.i = s.a + s.taken - 1 GROUP BY s.asset, s.d)",
+    keys="asset", floats="mean low high", others="n",
+)
 def _(spark, d):
     return stats.bootstrap_ci(_daily_returns(spark, d), "ret", ["asset"], 2000, block=True)
 
@@ -1691,12 +1708,14 @@ def _(spark, d):
 
 @query(
     "lab_hypotheses",
-    "SELECT x.d AS direction, w.w AS width, r.r AS regime, c.c AS confirmation FROM (VALUES ('long'), ('short')) x(d), (VALUES (10), (20), (50)) w(w), "
-    "(VALUES ('low'), ('high')) r(r), (VALUES ('none'), ('trend')) c(c)",
-    keys="direction width regime confirmation",
+    "SELECT asset, x.d AS direction, w.w AS width, r.r AS regime, c.c AS confirmation, n FROM (VALUES ('long'), ('short')) x(d), (VALUES (10), (20), (50)) w(w), "
+    "(VALUES ('low'), ('high')) r(r), (VALUES ('none'), ('trend')) c(c), (SELECT asset, count(*) AS n FROM b GROUP BY asset) a WHERE n >= w.w",
+    v.BARS_1H,
+    keys="asset direction width regime confirmation", others="n",
 )
 def _(spark, d):
-    return lab.hypotheses(spark, ["long", "short"], [10, 20, 50], ["low", "high"], ["none", "trend"])
+    made = lab.hypotheses(spark, ["long", "short"], [10, 20, 50], ["low", "high"], ["none", "trend"])
+    return lab.testable(made, v.bars_1h(spark, d))
 
 
 # Streaming, as a replay -----------------------------------------------------------------------------------

@@ -329,11 +329,15 @@ def _entries_sql(g: dict) -> tuple[str, str]:
     if g["family"] == "reversion":
         z = f"(close - {roll(MEAN, 'close', slow)}) / nullif({roll(SD, 'close', slow)}, 0)"
         return f"{z} < -{limit}", f"{z} > {limit}"
+    if g["family"] == "rsi":
+        gain, loss = (f"avg(greatest({sign}chg, 0)) OVER {win(-slow + 1)}" for sign in ("", "-"))
+        strength = f"CASE WHEN count(chg) OVER {win(-slow + 1)} < {slow} THEN NULL WHEN {loss} = 0 THEN 100 ELSE 100 - 100 / (1 + {gain} / {loss}) END"
+        return f"{strength} < {limit}", f"{strength} > {100 - limit}"
     rate = f"close / nullif({lag('close', fast)}, 0) - 1"
     return f"{rate} > {limit / 100}", f"{rate} < -{limit / 100}"
 
 
-_FLAGGED = " UNION ALL ".join(f"SELECT '{g['name']}' AS name, asset, ts, close, {ON(a)} AS le, {ON(z)} AS se FROM d" for g in robustness.BASELINES for a, z in [_entries_sql(g)])
+_FLAGGED = " UNION ALL ".join(f"SELECT '{g['name']}' AS name, asset, ts, close, {ON(a)} AS le, {ON(z)} AS se FROM (SELECT *, close - {lag('close')} AS chg FROM d)" for g in robustness.BASELINES for a, z in [_entries_sql(g)])
 _OPENED = "CASE WHEN x.le <> x.se THEN CASE WHEN x.le THEN 1 ELSE -1 END ELSE 0 END"
 _HELD = f"""s AS (
   SELECT name, asset, i, {_OPENED} AS now, i AS since FROM x WHERE i = 1

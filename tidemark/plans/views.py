@@ -11,6 +11,10 @@ from tidemark.operators import forecast as fc
 from tidemark.schema import DAY_MS, HOUR_MS
 
 
+#: Event types up to which settlements are repeated for each.
+MOST_ASSETS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,8 +41,10 @@ def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def funding_by_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rates for each of the other assets."""
-    assets = table(spark, sf_dir, "events").select(F.col("event_type").alias("asset")).distinct()
-    return funding(spark, sf_dir).join(F.broadcast(assets))  # one row for each event type, of which there are few
+    assets = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().limit(MOST_ASSETS + 1).collect()]
+    if len(assets) > MOST_ASSETS:
+        raise ValueError(f"more than {MOST_ASSETS} assets")
+    return funding(spark, sf_dir).withColumn("asset", F.explode(F.array(*(F.lit(a) for a in sorted(assets)))))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,11 @@ def basis(premium: DataFrame) -> DataFrame:
     return premium.withColumn("basis", F.try_divide("mark", "index") - 1)
 
 
+def premium_json(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots (asset, ts, mark, index) of JSON lines, with basis."""
+    return basis(spark.read.schema("asset string, ts long, mark double, index double").json(path))
+
+
 def previous_results(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of a JSON-lines result, None where there is none yet."""
     return spark.read.json(path) if first_existing(spark, [path]) else None

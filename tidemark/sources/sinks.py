@@ -58,10 +58,16 @@ class Table:
     def _commit(self, state: dict[int, list[str]]) -> int:
         versions = self._versions()
         version = max(versions, default=0) + 1
+        # written under another name first: a reader sees a whole log file or none, and a file that is there is never replaced
         where, fs = self._hadoop(f"_log/{version:010d}.json")
-        stream = fs.create(where, False)
+        draft, _ = self._hadoop(f"_draft/{uuid.uuid4().hex}.json")
+        fs.mkdirs(where.getParent())
+        stream = fs.create(draft, False)
         stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
+        jvm = self.spark._jvm
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, where, none)
         old = versions[: len(versions) + 1 - self.keep] if self.keep <= len(versions) else []
         used = {x for v in [*versions[len(old) :], version] for x in chain(*self._state(v).values())}
         for v in old:
@@ -140,6 +146,10 @@ def new_rows(existing: DataFrame, incoming: DataFrame, key: list[str], arrival:
 def insert_new(table: Table, incoming: DataFrame, key: list[str], arrival: str | None = None, checks: Column | None = None) -> dict[str, int]:
     """Insert rows whose key is new and which pass the checks (of equal keys the first to arrive, or the least by all columns); counts of
     inserted, skipped and quarantined rows. Only partitions that incoming rows fall in are read; what was inserted is counted from the new files' footers."""
+    # read once: what is counted is what is written
+    staged = f"{table.path}/incoming/{uuid.uuid4().hex}"
+    incoming.write.parquet(staged)
+    incoming = table.spark.read.schema(incoming.schema).parquet(staged)
     rest = [c for c in incoming.columns if c not in key]
     have = table.read(table.parts_of(incoming)).select(*key).distinct().withColumn("_have", F.lit(True))
     rows = incoming.withColumn("_ok", F.lit(True) if checks is None else F.coalesce(checks, F.lit(False)))
@@ -150,6 +160,8 @@ def insert_new(table: Table, incoming: DataFrame, key: list[str], arrival: str |
     table.append(rows.filter("_new").drop("_ok", "_r", "_have", "_new"))
     inserted = table.count_of([x for v in table._state().values() for x in v if x not in before])
     table.compact()
+    gone, fs = table._hadoop(staged.removeprefix(f"{table.path}/"))
+    fs.delete(gone, True)
     return {"inserted": inserted, "skipped": n["ok"] - inserted, "quarantined": n["n"] - n["ok"]}
 
 
