@@ -22,6 +22,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -37,7 +38,7 @@ from tidemark.llm.words import hash_words, mix, same_words
 #: Strings in a bucket of the perfect hash, on average.
 BUCKET = 4
 #: Pre-tokens of a chunk, and misses that a worker remembers (some 200 bytes each).
-CHUNK, KEPT = 1 << 19, 1 << 20
+CHUNK, KEPT = 1 << 18, 1 << 19
 #: Signs up to which a miss is remembered.
 KEPT_SIGNS = 32
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -127,16 +128,24 @@ class Coder:
         self.find = regex.compile(vocabulary.pattern)
         raw = vocabulary.data.tobytes()
         self.strings = {int(r): raw[a:b] for a, b, r in zip(vocabulary.start.tolist(), vocabulary.end.tolist(), vocabulary.rank.tolist())}
-        by = {s: r for r, s in self.strings.items()}
-        self.byte = [by.get(bytes([i])) for i in range(256)]
-        if None in self.byte:
-            raise ValueError("the vocabulary lacks single bytes")
         self.wide = max(self.strings) + 1
-        # by a pair of ids: the rank of what it makes
-        self.joins = {by[s[:i]] * self.wide + by[s[i:]]: r for r, s in self.strings.items() for i in range(1, len(s)) if s[:i] in by and s[i:] in by}
         self.kept: dict[str, bytes] = {}  # ids of misses as 32-bit integers
         self.older: dict[str, bytes] = {}  # those of the generation before, which come back when they are met again
 
+    @cached_property
+    def byte(self) -> list[int]:
+        """The ids of single bytes."""
+        by = {s: r for r, s in self.strings.items() if len(s) == 1}
+        if len(by) < 256:
+            raise ValueError("the vocabulary lacks single bytes")
+        return [by[bytes([i])] for i in range(256)]
+
+    @cached_property
+    def joins(self) -> dict[int, int]:
+        """By a pair of ids: the rank of what it makes. (Decoding needs none.)"""
+        by = {s: r for r, s in self.strings.items()}
+        return {by[s[:i]] * self.wide + by[s[i:]]: r for r, s in self.strings.items() for i in range(1, len(s)) if s[:i] in by and s[i:] in by}
+
     def merge(self, raw: bytes) -> list[int]:
         """Ids of bytes that aren't in the vocabulary as a whole."""
         n, joins, wide = len(raw), self.joins.get, self.wide
