@@ -10,7 +10,8 @@ A window keyed by series alone puts each series into one task. Here a series is
 * `quantiles`: order statistics of a moving window by a wavelet matrix of each block, in logarithmic time whatever the width.
 * `ema`: exponential means over a whole past, as a scan of affine maps: each span is one map, and the maps of a series are composed.
 
-What is scanned over a whole series is one row for each span. Rows of a series are told apart by their time;
+What is scanned over a whole series is one row for each span. A scan reads its input twice (rows and totals), so steps one after another
+multiply what they stand on: write a costly or shared input to a table first. Rows of a series are told apart by their time;
 of rows of equal time, any order is right. Series with NULL in their key are series.
 """
 

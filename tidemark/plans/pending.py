@@ -141,6 +141,9 @@ def _(spark, d):
     return database.replayed(spark, source, target, "bars", BARS, ["asset", "ts"], "asset")
 
 
+CLIENT = "tidemark.plans.storage:stored_client"
+
+
 @query("src_paged_bars", "SELECT * FROM b WHERE asset = 'click'", v.BARS_1H, floats=PRICES)
 def _(spark, d):
     folder, _, since, until = stored(spark, v.bars_1h(spark, d))

@@ -1674,9 +1674,9 @@ def _(spark, d):
 
 def _study(spark: SparkSession, d: str) -> DataFrame:
     """Daily range forecasts of three models with windows, a scale (the close before) and regimes."""
-    r = fc.regime_of_means(fc.ranges(v.bars_1d(spark, d)), context=200)
+    r = v.kept(fc.regime_of_means(fc.ranges(v.bars_1d(spark, d)), context=200))
     own = fc.har(r, window=512).withColumns({"actual": F.col("range"), "prev": t.lag("range"), "ewma": t.ewm("range", 22, 120, 1), "scale": t.lag("close")})
-    return ev.windows(own.filter("har IS NOT NULL"), 500).filter("window IS NOT NULL").withColumn("study", F.lit("har"))
+    return v.kept(ev.windows(own.filter("har IS NOT NULL"), 500).filter("window IS NOT NULL").withColumn("study", F.lit("har")))
 
 
 def _study_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from tidemark.operators import bars as b
 from tidemark.operators import reports
 from tidemark.plans import views as v
 from tidemark.plans.queries import BREAKS, query
+from tidemark.plans.views import scratch
 from tidemark.plans.queries import _forward as forward_returns
 from tidemark.schema import BARS, DAY_MS, FORWARD_RETURNS, HOUR_MS
 from tidemark.sources import readers, rest, sinks
@@ -21,16 +20,6 @@ from tidemark.streaming import live
 PRICES = "open high low close volume"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; only a local session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
 def _raw(rows: DataFrame) -> DataFrame:
     """Bars as a source's text: epoch seconds, ms or ISO by row, and a spoiled copy of each first bar."""
     ts = F.when(F.col("ts") % 3 == 0, (F.col("ts") / 1000).cast("long").cast("string")).when(F.col("ts") % 3 == 1, F.col("ts").cast("string")).otherwise(F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
