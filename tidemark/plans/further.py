@@ -25,7 +25,7 @@ _MORE = "rows AS (SELECT asset, ts, greatest(high - low, 0) AS range FROM d UNIO
 
 @query("har_next", keys="asset", floats="har", others="n_obs")
 def _(spark, d):
-    return fc.har_next(fc.ranges(v.bars_1d(spark, d)), window=512).withColumn("har", F.round("har", 4))
+    return fc.har_next(v.kept(fc.ranges(v.bars_1d(spark, d))), window=512).withColumn("har", F.round("har", 4))
 
 
 oracle("har_next", "SELECT asset, round(har, 4) AS har, n_obs FROM forecasts WHERE y IS NULL", v.BARS_1D, _MORE, _fits("rows", "range", 512), keys="asset", floats="har", others="n_obs")
@@ -33,7 +33,7 @@ oracle("har_next", "SELECT asset, round(har, 4) AS har, n_obs FROM forecasts WHE
 
 @query("coefficient_series", keys="asset ts", floats="slope_1 slope_22")
 def _(spark, d):
-    rows = fc.har(fc.ranges(v.bars_1d(spark, d)), window=512).filter("beta IS NOT NULL")
+    rows = fc.har(v.kept(fc.ranges(v.bars_1d(spark, d))), window=512).filter("beta IS NOT NULL")
     return rows.select("asset", "ts", *(F.round(F.element_at("beta", k), 4).alias(name) for k, name in ((2, "slope_1"), (4, "slope_22"))))
 
 

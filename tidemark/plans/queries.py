@@ -476,17 +476,17 @@ def _(spark, d):
 @query("har_forecast", floats="har", others="n_obs")
 def _(spark, d):
     # four digits: two ways to solve a system agree to about 1e-9 here, so that a sixth digit may round either way
-    return fc.har(fc.ranges(v.bars_1d(spark, d)), window=512).filter("har IS NOT NULL").withColumn("har", F.round("har", 4))
+    return fc.har(v.kept(fc.ranges(v.bars_1d(spark, d))), window=512).filter("har IS NOT NULL").withColumn("har", F.round("har", 4))
 
 
 @query("har_walk_expanding", floats="har", others="n_obs")
 def _(spark, d):
-    return fc.har(fc.ranges(v.bars_1d(spark, d)), positive=True).filter("har IS NOT NULL").withColumn("har", F.round("har", 4))
+    return fc.har(v.kept(fc.ranges(v.bars_1d(spark, d))), positive=True).filter("har IS NOT NULL").withColumn("har", F.round("har", 4))
 
 
 @query("har_coefficients", keys="asset coefficient", floats="mean deviation")
 def _(spark, d):
-    return reports.coefficient_drift(fc.har(fc.ranges(v.bars_1d(spark, d)), window=512), ["b0", "b1", "b2", "b3"])
+    return reports.coefficient_drift(fc.har(v.kept(fc.ranges(v.bars_1d(spark, d))), window=512), ["b0", "b1", "b2", "b3"])
 
 
 def _simple(spark: SparkSession, d: str) -> DataFrame:
