@@ -94,6 +94,13 @@ def test_asof_over_many_spans(spark, bars, direction, tolerance):
     assert sorted(((str(r["asset"]), r["ts"], r["rate"]) for r in got.collect()), key=str) == plain_asof([(r["asset"], r["ts"]) for r in bars.collect()], right, direction, tolerance)
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_asof_has_no_frame_that_is_recomputed_for_each_row(bars, direction):
+    # a frame from a row to its partition's end is quadratic in Spark
+    plan = asof.asof(bars.select("asset", "ts"), bars.select("asset", "ts", "x"), ["x"], direction=direction)._jdf.queryExecution().toString()
+    assert "unboundedpreceding" in plan.lower() and "unboundedfollowing" not in plan.lower()
+
+
 def test_interval_means_and_lags_over_many_spans(spark, bars):
     right = spark.createDataFrame([(a, BASE + h * HOUR_MS, float(h % 7) - 3) for a in ("a", "b", None) for h in (0, 1, 1, 20, 21, 40, 90, 91, 130)] + [("a", BASE, float("nan"))], "asset string, ts long, rate double")
     small, whole = (asof.interval_mean(bars, right, "rate", 24 * HOUR_MS, 8 * HOUR_MS, span_ms=s) for s in (SPAN, 10_000 * DAY_MS))

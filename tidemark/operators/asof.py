@@ -38,7 +38,8 @@ def asof(left: DataFrame, right: DataFrame, values: list[str], by: list[str] = B
         rows = rows.join(ahead, own)
     inside = Window.partitionBy(*own)
     before = lambda: F.coalesce(F.last("_right", ignorenulls=True).over(inside.orderBy("ts", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried_b"))
-    after = lambda: F.coalesce(F.first("_right", ignorenulls=True).over(inside.orderBy("ts", F.desc("_side"), "_right").rowsBetween(0, Window.unboundedFollowing)), F.col("_carried_a"))
+    # from the end on: Spark recomputes a frame that ends at the partition's end for each row, in quadratic time
+    after = lambda: F.coalesce(F.last("_right", ignorenulls=True).over(inside.orderBy(F.desc("ts"), "_side", F.desc("_right")).rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried_a"))
     if direction == "backward":
         found = rows.withColumn("_m", before())
     elif direction == "forward":

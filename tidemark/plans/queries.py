@@ -21,7 +21,7 @@ from tidemark.operators import forecast as fc
 from tidemark.operators import gates, lab, ols, quality, reports, sim, stats
 from tidemark.operators import signals as sg
 from tidemark.plans import views as v
-from tidemark.schema import HOUR_MS
+from tidemark.schema import DAY_MS, HOUR_MS
 from tidemark.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -730,7 +730,7 @@ def _(spark, d):
     floats="rate",
 )
 def _(spark, d):
-    return aj.asof(v.bars_1h(spark, d), v.funding_by_asset(spark, d), ["rate"], direction="nearest", tolerance_ms=2 * HOUR_MS)
+    return aj.asof(v.bars_1h(spark, d), v.funding_by_asset(spark, d), ["rate"], direction="nearest", tolerance_ms=2 * HOUR_MS, span_ms=DAY_MS)
 
 
 @query(
