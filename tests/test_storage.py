@@ -101,6 +101,26 @@ def test_short_pages_do_not_end_the_events(spark):
     assert rest.read_pages(spark, "funding", "tests.test_storage:few_events", "x", BASE, BASE + 40 * HOUR_MS, limit=1000).count() == 5
 
 
+def overlapping(symbol, timeframe, since, limit):
+    """An event each minute for two hours, then one a day later; answers begin an hour early."""
+    return [[ts, 0.1] for ts in (*range(BASE, BASE + 2 * HOUR_MS, 60_000), BASE + 26 * HOUR_MS) if ts >= since - HOUR_MS][:limit]
+
+
+def overlapping_few(symbol, timeframe, since, limit):
+    return overlapping(symbol, timeframe, since, min(limit, 30))
+
+
+@pytest.mark.parametrize("options", [{}, {"range_ms": HOUR_MS}])
+def test_pages_of_earlier_rows_only_do_not_end_the_events(spark, options):
+    got = rest.read_pages(spark, "funding", "tests.test_storage:overlapping", "x", BASE, BASE + 30 * HOUR_MS, limit=10, **options)
+    assert got.count() == 121 and got.agg(F.max("ts")).first()[0] == BASE + 26 * HOUR_MS
+
+
+def test_servers_that_never_come_to_later_events_are_an_error(spark):
+    with pytest.raises(Exception, match="hold earlier rows only"):
+        rest.read_pages(spark, "funding", "tests.test_storage:overlapping_few", "x", BASE, BASE + 30 * HOUR_MS, limit=10).count()
+
+
 def test_requests_are_bounded_and_upgrades_keep_rows(spark, tmp_path):
     from pyspark.sql import types as T
 

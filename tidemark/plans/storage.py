@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from bisect import bisect_right
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,14 +181,21 @@ def _page(symbol: str, values: list[str], since: int, limit: int) -> list[list]:
     import pyarrow.dataset as ds
 
     asset, _, folder = symbol.partition("@")
-    rows = ds.dataset(f"{folder}/asset={asset}", format="parquet").to_table(columns=["ts", *values], filter=pc.field("ts") >= since).sort_by("ts").slice(0, limit)
-    return [list(r.values()) for r in rows.to_pylist()]
-
-
-def stored(spark: SparkSession, rows: DataFrame) -> tuple[str, list[str], int, int]:
-    """Folder, assets, first time and end of rows stored for the clients (a folder that executors mount)."""
+    own, got = f"{folder}/asset={asset}", []
+    firsts = sorted(int(name.removeprefix("first=")) for name in os.listdir(own) if name.startswith("first="))
+    for first in firsts[max(bisect_right(firsts, since) - 1, 0) :]:  # only the spans that the page needs
+        rows = ds.dataset(f"{own}/first={first}", format="parquet").to_table(columns=["ts", *values], filter=pc.field("ts") >= since).sort_by("ts").slice(0, limit - len(got))
+        got += zip(*(c.to_pylist() for c in rows.columns))
+        if len(got) >= limit:
+            break
+    return [list(r) for r in got]
+
+
+def stored(spark: SparkSession, rows: DataFrame, span_ms: int = 64 * DAY_MS) -> tuple[str, list[str], int, int]:
+    """Folder, assets, first time and end of rows stored for the clients (a folder that executors mount), one file for each asset and span of time."""
     folder = scratch(spark)
-    rows.write.partitionBy("asset").parquet(folder)
+    spans = rows.withColumn("first", F.floor(F.col("ts") / F.lit(span_ms)) * span_ms)
+    spans.repartition("asset", "first").write.partitionBy("asset", "first").parquet(folder)
     lim = rows.agg(F.min("ts"), F.max("ts")).first()
     return folder.replace("file://", ""), sorted(r[0] for r in rows.select("asset").distinct().collect()), lim[0], lim[1] + HOUR_MS
 
@@ -200,8 +209,8 @@ def _(spark, d):
 
 @query("src_rest_funding", "SELECT 'click' AS asset, ts, min(rate) AS rate FROM f GROUP BY ts", v.FUNDING, floats="rate")
 def _(spark, d):
-    folder, _, since, until = stored(spark, _events(spark, d).select(F.lit("click").alias("asset"), "ts", "rate"))
-    return rest.read_pages(spark, "funding", f"{__name__}:funding_client", f"click@{folder}", since, until, limit=110).withColumn("asset", F.lit("click"))
+    folder, _, since, until = stored(spark, _events(spark, d).select(F.lit("click").alias("asset"), "ts", "rate"), DAY_MS)
+    return rest.read_pages(spark, "funding", f"{__name__}:funding_client", f"click@{folder}", since, until, limit=110, range_ms=DAY_MS).withColumn("asset", F.lit("click"))
 
 
 # Sinks ------------------------------------------------------------------------------------------------

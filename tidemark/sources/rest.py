@@ -30,6 +30,10 @@ from tidemark.schema import BARS, FUNDING
 TIMEFRAMES = {"1m": 60_000, "5m": 300_000, "15m": 900_000, "30m": 1_800_000, "1h": 3_600_000, "4h": 14_400_000, "1d": 86_400_000}
 
 
+#: Rows that one request asks for at most, where answers repeat earlier rows.
+MOST_ROWS = 1 << 20
+
+
 class Fatal(Exception):
     """An error that no retry mends."""
 
@@ -70,16 +74,32 @@ def budget(since: int, until: int, step: int, limit: int, max_requests: int) ->
 
 
 def fetched(options: dict, page: Page, step: int, limit: int, events: bool) -> Iterator[tuple]:
-    """The rows of a page range, by as many requests as the server's answers need."""
-    client, symbol, at = load(options["client"]), page.symbol or options["symbol"], page.since
+    """The rows of a page range, by as many requests as the server's answers need. Answers may begin before the time that is asked for; where
+    such rows fill half of an answer or more, the next requests ask for twice as many rows (up to `most_limit`)."""
+    client, symbol, at, ask, stuck = load(options["client"]), page.symbol or options["symbol"], page.since, limit, None
+    most = int(options.get("most_limit", MOST_ROWS))
+
+    def request(since: int) -> list:
+        return with_retries(lambda: client(symbol, options.get("timeframe", "1h"), since, ask), int(options.get("attempts", 5)), float(options.get("backoff", 0.5)))
+
     while at < page.until:
-        rows = with_retries(lambda at=at: client(symbol, options.get("timeframe", "1h"), at, limit), int(options.get("attempts", 5)), float(options.get("backoff", 0.5)))
-        rows = [r for r in rows if at <= r[0] < page.until]
+        answer = request(at)
+        rows = [r for r in answer if at <= r[0] < page.until]
         for r in rows:
             yield (symbol, int(r[0]), *(float(x) for x in r[1:]))
-        if not rows:
+        if not answer or max(r[0] for r in answer) >= page.until:
+            return
+        if rows:
+            at, stuck = int(max(r[0] for r in rows)) + (1 if events else step), None
+        elif len(answer) == stuck or ask >= most:
+            # no more rows for a larger request: either there are none from here on, or the server doesn't give so many; then later requests show some
+            if any(r[0] >= at for k in range((page.until - at).bit_length()) for r in request(at + (1 << k))):
+                raise Fatal(f"{symbol}: answers from {at} on hold earlier rows only, though there are later ones")
             return
-        at = int(max(r[0] for r in rows)) + (1 if events else step)
+        else:
+            stuck = len(answer)
+        if 2 * len(rows) <= len(answer):
+            ask = max(ask, min(2 * ask, most))
 
 
 class PagedReader(DataSourceReader):
@@ -93,7 +113,8 @@ class PagedReader(DataSourceReader):
         if not self.events:
             now = self.o.get("now")
             until = min(until, int(now) - self.step + 1) if now else until  # closed bars only
-        pages = page_ranges(since, until, self.step, self.limit)
+        # events come in any number a time: range_ms says what time one range covers
+        pages = page_ranges(since, until, int(self.o["range_ms"]), 1) if "range_ms" in self.o else page_ranges(since, until, self.step, self.limit)
         if "max_requests" in self.o and len(pages) > int(self.o["max_requests"]):
             # nothing is left out unseen: budget() says what a number of requests covers and what is left
             raise Fatal(f"{len(pages)} page ranges are more than {self.o['max_requests']} requests")
