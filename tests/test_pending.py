@@ -229,6 +229,17 @@ def test_generations_and_their_rejections(spark, tmp_path):
     assert {got[k][0] for k in (("h", 9), ("i", 10), ("j", 11), ("l", 13))} == {"cycle"} and len(got) == len(rows)
 
 
+def test_long_lines_take_one_row_a_node_in_each_round(spark, tmp_path):
+    import glob
+
+    rows = [(f"n{k}", f"n{k - 1}" if k else None, str(k), k) for k in range(300)]
+    rows += [(f"c{k}", f"c{(k + 1) % 7}", f"c{k}", 300 + k) for k in range(7)] + [(f"t{k}", f"t{k - 1}" if k else "c3", f"t{k}", 400 + k) for k in range(30)]
+    got = {r["id"]: (r["stage"], r["root"], r["generation"]) for r in lineage.generations(spark.createDataFrame(rows, "id string, parent string, body string, seq long"), str(tmp_path)).collect()}
+    assert got == {i: (None, "n0", int(i[1:])) if i[0] == "n" else ("cycle", None, None) for i, *_ in rows}
+    written = {f.rsplit("/", 1)[0] for f in glob.glob(f"{tmp_path}/**/*.parquet", recursive=True)}
+    assert written and max(spark.read.parquet(folder).count() for folder in written) <= len(rows)
+
+
 def test_stages_and_funnel(spark):
     rows = lineage.staged(spark.createDataFrame([(k, None if k == 4 else k * 1.0) for k in range(10)], "k long, x double"), {"few": F.col("x") > 2, "odd": F.col("k") % 2 == 1})
     assert [r["stage"] for r in rows.orderBy("k").collect()] == ["few", "few", "few", None, "few", None, "odd", None, "odd", None]
