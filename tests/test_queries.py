@@ -47,3 +47,7 @@ def test_nothing_outside_imports_the_text_operators():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n for n in names), path
+
+
+def test_stability_reads_bars_that_are_made_once(spark):
+    assert "l_shipdate" not in engine.QUERIES["lab_stability"](spark, DATA)._jdf.queryExecution().logical().toString()

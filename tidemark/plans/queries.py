@@ -1357,14 +1357,14 @@ def _(spark, d):
 
 @query("lab_funnel", keys="genome_id asset", floats="sharpe total_return oos_sharpe", others="failed_at n_trades")
 def _(spark, d):
-    genomes, bars = lab.sample(24, 3), v.bars_1d(spark, d)
+    genomes, bars = lab.sample(24, 3), v.kept(v.bars_1d(spark, d))
     metrics, tr, pos = lab.screen(bars, lab.table(spark, genomes))
     return lab.funnel(metrics, tr, pos, lab.stability(bars, genomes, metrics))
 
 
 @query("lab_stability", keys="genome_id asset", floats="stability_score")
 def _(spark, d):
-    genomes, bars = lab.sample(24, 3), v.bars_1d(spark, d)
+    genomes, bars = lab.sample(24, 3), v.kept(v.bars_1d(spark, d))
     return lab.stability(bars, genomes, lab.screen(bars, lab.table(spark, genomes))[0])
 
 
